@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import mixing, packing, simhash, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +47,20 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 """
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at two differing bits or fewer."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in rANS frames, and what those say when read."""
+    return token_files.tokenize_and_read(documents(spark, sf_dir))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return packing.pack(documents(spark, sf_dir), capacity=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op8_pack": op8_pack}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op8_pack": op8_pack}
 ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL}
