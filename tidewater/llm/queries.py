@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, token_files
+from . import mixing, packing, quality, simhash, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +57,45 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenize_and_read(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and the rule table's verdict of every text."""
+    judged = quality.assess(documents(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql_list(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+a AS (
+  SELECT doc_id, t, w, len(w) AS n,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+    list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS tri FROM d),
+rep AS (
+  SELECT doc_id, tri, unnest(places) AS i FROM (
+    SELECT doc_id, tri, list(i) AS places FROM (SELECT doc_id, unnest(tri) AS tri, unnest(range(len(tri))) AS i FROM a) GROUP BY doc_id, tri HAVING count(*) > 1)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+c AS (
+  SELECT a.doc_id, CAST(a.n AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(w, lambda x: lower(x) IN ({_sql_list(quality.STOP_WORDS)}))) AS stops,
+    len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) AS uppers
+  FROM a LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / word_chars <= 0.05 AND stops / n_words >= 0.02
+    AND n_dup_lines / n_lines <= 0.4 AND n_repeat_words / n_words <= 0.5 AND uppers / n_words <= 0.5 AS kept
+FROM b
+"""
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return packing.pack(documents(spark, sf_dir), capacity=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op8_pack": op8_pack}
-ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op6_quality": op6_quality, "op8_pack": op8_pack}
+ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op6_quality": OP6_SQL}

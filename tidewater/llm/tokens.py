@@ -9,16 +9,17 @@ has to encode a part once.  ``tests/llm`` holds this against whole texts.
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Parts kept by each Python worker; above it only parts that recur in a chunk are kept, up to twice as many.
-MEMO = 250_000
-#: Parts of one chunk, which bounds a worker's arrays.
-CHUNK_PARTS = 500_000
+MEMO = 300_000
+#: Characters of one chunk, which bounds a worker's arrays.
+CHUNK_CHARS = 4_000_000
 #: Sentence stops: behind a letter, the splitter always parts them from it.
 STOPS = (".", ",")
 #: Below this code point a character is its own NFC form and has a lower case that no neighbour changes.
@@ -58,9 +59,10 @@ class Encoder:
         the model as they are; other parts are joined around a mark for fewer
         calls.
         """
-        letters = [p for p in parts if p.isalpha() and p.islower() and max(p) < PLAIN]
+        letters = [p for p in parts if p.isalpha() and p.islower() and (p.isascii() or max(p) < PLAIN)]
         if len(letters) < len(parts):
-            other = [p for p in parts if not (p.isalpha() and p.islower() and max(p) < PLAIN)]
+            own = set(letters)
+            other = [p for p in parts if p not in own]
             flat, length = self._letters(letters)
             more, lengths = self._joined(other)
             at = dict(zip([*letters, *other], range(len(parts))))
@@ -112,13 +114,14 @@ class Encoder:
         self.flat, self.start, self.length = self.flat[: self.start[keep]], self.start[:keep], self.length[:keep]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, flat, and the number of each."""
         flats, lengths, some, size = [], [], [], 0
         for text in texts:
-            if text.isascii() or (text.isprintable() or text.replace("\n", "").isprintable()) and max(text) < PLAIN:
+            if text.isascii() or max(text) < PLAIN:
                 text = text.lower()  # the normalizer's only effect on such a text, but for white space
-            some.append(text.replace("\n", " ").split(" "))
-            size += len(some[-1])
-            if size >= CHUNK_PARTS:
+            some.append(text.replace("\n", " "))
+            size += len(text)
+            if size >= CHUNK_CHARS:
                 for x, out in zip(self._chunk(some), (flats, lengths)):
                     out.append(x)
                 some, size = [], 0
@@ -126,19 +129,23 @@ class Encoder:
             out.append(x)
         return np.concatenate(flats), np.concatenate(lengths)
 
-    def _chunk(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [p for t in texts for p in t]
+    def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        which, parts = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
         where = np.fromiter(map(self.at.get, parts, repeat(-1)), np.int64, len(parts))
         known, missing = len(self.at), np.flatnonzero(where < 0)
-        seen = Counter(parts[k] for k in missing.tolist())
-        new = [p for p, _ in seen.most_common()]  # those that recur come first
-        keep = known + max(min(max(0, MEMO - known), len(new)), min(max(0, 2 * MEMO - known), sum(n > 1 for n in seen.values())))
+        missing = missing[np.argsort(-np.bincount(which, minlength=len(parts))[missing], kind="stable")]  # those that recur come first
+        recur = int(np.count_nonzero(np.bincount(which, minlength=len(parts))[missing] > 1))
+        keep = known + max(min(max(0, MEMO - known), len(missing)), min(max(0, 2 * MEMO - known), recur))
+        new = [parts[k] for k in missing.tolist()]
         self.learn(new)
-        where[missing] = np.fromiter((self.at[parts[k]] for k in missing.tolist()), np.int64, len(missing))
-        n = self.length[where]
-        ids = ragged(self.flat, self.start[where], n)
-        bounds = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        lengths = np.diff(np.concatenate([[0], np.cumsum(n)])[bounds], prepend=0) if texts else bounds
+        where[missing] = np.arange(known, known + len(new))
+        entry = where[which]
+        n = self.length[entry]
+        ids = ragged(self.flat, self.start[entry], n)
+        bounds = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py() if len(texts) else np.zeros(0, np.int64)
+        lengths = np.diff(np.concatenate([[0], np.cumsum(n)])[bounds], prepend=0)
         if keep < len(self.at):
             self.forget(new[keep - known :], keep)
         return ids, lengths
@@ -158,8 +165,8 @@ def documents_ids(path: str, texts: list[str | None], end: int) -> Iterator[np.n
     """Ids of each text (null: empty) with the end id behind, as unsigned 32-bit integers."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    for lo in range(0, len(texts), 512):
-        some = [t or "" for t in texts[lo : lo + 512]]
+    for lo in range(0, len(texts), 2048):
+        some = [t or "" for t in texts[lo : lo + 2048]]
         flat, lengths = _encoders[path].ids(some)
         at = 0
         for n in lengths.tolist():
