@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, token_files
+from . import mixing, packing, pii, quality, simhash, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +97,10 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op6_quality": op6_quality, "op8_pack": op8_pack}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base kinds of personal data, and what the labelers and the classifier add."""
+    return pii.detect(documents(spark, sf_dir)).drop("found")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op6_quality": op6_quality, "op8_pack": op8_pack, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op6_quality": OP6_SQL}
