@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash, token_files
+from . import mixing, packing, pii, quality, secrets, simhash, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,11 @@ FROM b
 """
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base kinds of secrets, and random strings at a false-discovery rate of 1 %."""
+    return secrets.detect(documents(spark, sf_dir)).drop("found")
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return packing.pack(documents(spark, sf_dir), capacity=4096)
@@ -102,5 +107,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir)).drop("found")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op6_quality": op6_quality, "op8_pack": op8_pack, "op10_pii": op10_pii}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_pack": op8_pack, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op6_quality": OP6_SQL}
