@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, secrets, simhash, token_files
+from . import mixing, packing, pii, quality, secrets, simhash, substrings, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenize_and_read(documents(spark, sf_dir))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the words of 35-word windows that occur elsewhere too."""
+    cleaned = substrings.remove_repeats(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and the rule table's verdict of every text."""
     judged = quality.assess(documents(spark, sf_dir).select("doc_id", "text"))
@@ -107,5 +113,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir)).drop("found")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_pack": op8_pack, "op10_pii": op10_pii}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op4_substrings": op4_substrings, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_pack": op8_pack, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op6_quality": OP6_SQL}
