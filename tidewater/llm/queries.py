@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, secrets, simhash, substrings, token_files
+from . import mixing, neighbours, packing, pii, quality, secrets, simhash, substrings, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,10 +108,16 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=4096)
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all others."""
+    found = neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda id: id % 20 == 0, k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base kinds of personal data, and what the labelers and the classifier add."""
     return pii.detect(documents(spark, sf_dir)).drop("found")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op4_substrings": op4_substrings, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_pack": op8_pack, "op10_pii": op10_pii}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op4_substrings": op4_substrings, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_pack": op8_pack, "op9_neighbours": op9_neighbours, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op6_quality": OP6_SQL}
