@@ -14,6 +14,7 @@ from .common import Scratch, join_dimension, n_words
 
 #: Hexadecimal digits of the digest that make the draw: 13 of them fit a double exactly.
 DIGITS = 13
+NAMES = ("size", "source_size", "target", "rate", "copies")
 
 
 def draw(seed: int, *of: Column) -> Column:
@@ -54,27 +55,29 @@ def targets(sources: DataFrame, share: float, most: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 17,
-        id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The documents with size, source_size, target, rate and copies; emit() repeats them.
+        id: str = "doc_id", source: str = "source", text: str = "text", prefix: str = "") -> DataFrame:
+    """The documents with size, source_size, target, rate and copies (each name behind ``prefix``); emit() repeats them.
 
     Weights are positive.  Null text has size 0; a null source is a source of
     its own, the last.  A source without words has target and rate 0, so its
     documents are left out.  Rows alike in id and text draw alike.  An empty
-    table gives an empty result.  Other columns pass through.
+    table gives an empty result.  Other columns pass through; those with one of
+    the five names are replaced, unless a prefix keeps them apart.
     """
-    sized = docs.withColumn("size", n_words(F.col(text)))
-    sums = sized.groupBy(source).agg(F.sum("size").alias("size"))
+    size, whole, target, rate, copies = (prefix + x for x in NAMES)
+    sized = docs.withColumn(size, n_words(F.col(text)))
+    sums = sized.groupBy(source).agg(F.sum(size).alias("size"))
     plan = targets(cyclic_weights(sums, source, weights), share, most)
-    plan = Scratch(docs.sparkSession, "mixing").write(plan.select(source, F.col("size").alias("source_size"), "target"), "sources")
-    out = join_dimension(sized, plan, source, plan.count())
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = out.withColumn("rate", rate)
-    extra = draw(seed, F.col(id), F.md5(F.coalesce(F.col(text), F.lit("")))) < F.col("rate") - F.floor("rate")
-    return out.withColumn("copies", F.floor("rate").cast("bigint") + extra.cast("bigint"))
+    plan = plan.select(F.col(source).alias("__source"), F.col("size").alias(whole), F.col("target").alias(target))
+    plan = Scratch(docs.sparkSession, "mixing").write(plan, "sources")
+    out = join_dimension(sized.drop(whole, target, rate, copies).withColumn("__source", F.col(source)), plan, "__source", plan.count()).drop("__source")
+    out = out.withColumn(rate, F.when(F.col(whole) > 0, F.col(target) / F.col(whole)).otherwise(F.lit(0.0)))
+    extra = draw(seed, F.col(id), F.md5(F.coalesce(F.col(text), F.lit("")))) < F.col(rate) - F.floor(rate)
+    return out.withColumn(copies, F.floor(rate).cast("bigint") + extra.cast("bigint"))
 
 
-def emit(mixed: DataFrame) -> DataFrame:
+def emit(mixed: DataFrame, prefix: str = "") -> DataFrame:
     """Each row of a mix as often as its copies say, without the columns of the mix."""
-    n = F.col("copies").cast("int")
+    n = F.col(prefix + "copies").cast("int")
     repeated = mixed.filter(n > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), n)))
-    return repeated.drop("__copy", "size", "source_size", "target", "rate", "copies")
+    return repeated.drop("__copy", *(prefix + x for x in NAMES))

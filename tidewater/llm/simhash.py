@@ -231,7 +231,7 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, columns: list[str] | None = None, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Each row's id (and other named columns), fingerprint as 16 hex digits, and component_id.
+    """Each row's id (or the columns named instead), fingerprint as 16 hex digits, component_id, and root, one number per component.
 
     component_id is the smallest id reachable over links, the row's own
     included; null ids are never the smallest, and a component of null ids
@@ -247,8 +247,24 @@ def near_duplicates(docs: DataFrame, columns: list[str] | None = None, id: str =
     roots = connected_components(links(distinct, scratch), scratch)
     members = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = scratch.write(members.join(least, "root").select(F.col("fp").alias("__fp"), "component_id"), "classes")
+    classes = scratch.write(members.join(least, "root").select(F.col("fp").alias("__fp"), "component_id", "root"), "classes")
     scratch.drop("distinct", "met-0", "met-1", "met-2")
     joined = marked.join(classes, marked["fp"] == classes["__fp"])
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return joined.select(*columns, hexed.alias("fingerprint"), "component_id")
+    return joined.select(*columns, hexed.alias("fingerprint"), "component_id", "root")
+
+
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component: the one with the smallest id, a null id only where there is no other.
+
+    Rows alike count as one.  All columns stay as they are.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(id, text))
+    scratch = Scratch(docs.sparkSession, "deduplicated")
+    near = scratch.write(near_duplicates(keyed, [id, "__key"], id, text, shingle), "near")
+    first = F.min(F.struct(F.col(id).isNull(), F.col(id), F.col("__key").alias("key")))
+    kept = scratch.write(near.groupBy("root").agg(first.alias("x")).select(F.col("x.key").alias("__key")), "kept")
+    out = keyed.join(kept, "__key", "left_semi")
+    if near.count() > near.select("__key").distinct().count():
+        out = out.dropDuplicates(["__key"])
+    return out.drop("__key")
