@@ -255,15 +255,6 @@ def search(vectors: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector
 
     left = scratch.write(entries.select("id", "v", "ids").mapInArrow(index, f"t int, g bigint, bucket bigint, id {kind}, v array<double>, ids array<{kind}>"), "index")
     right = scratch.write(queries.mapInArrow(probe, f"t int, g bigint, id {kind}, v array<double>, limit double"), "probes")
-    # blocks of each group: its entries in a, its queries in b parts; every part of one side meets every one of the other
-    size = left.groupBy("t", "g").agg(F.ceil(F.count("*") / BLOCK).alias("a"))
-    size = size.join(right.groupBy("t", "g").agg(F.ceil(F.count("*") / BLOCK).alias("b")), ["t", "g"])
-    size = scratch.write(size.select(F.struct("t", "g").alias("at"), "a", "b"), "sizes")
-    n = size.count()
-    left = join_dimension(left.withColumn("at", F.struct("t", "g")), size, "at", n, "inner").drop("at")
-    right = join_dimension(right.withColumn("at", F.struct("t", "g")), size, "at", n, "inner").drop("at")
-    left = left.withColumn("x", F.pmod(F.xxhash64("id"), F.col("a"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b") - 1)))
-    right = right.withColumn("y", F.pmod(F.xxhash64("id"), F.col("b"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("a") - 1)))
 
     def visit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -290,9 +281,6 @@ def search(vectors: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector
                 out.append([v for _, v in pairs]), out.append([-s for s, _ in pairs])
         return pd.DataFrame({"id": b["id"].to_numpy(), "ids": out[::2], "scores": out[1::2]})
 
-    keys = ["t", "g", "x", "y"]
-    part = left.select(*keys, "bucket", "id", "v", "ids").groupBy(*keys).cogroup(right.select(*keys, "id", "v", "limit").groupBy(*keys)).applyInPandas(visit, f"id {kind}, ids array<{kind}>, scores array<double>")
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[object, dict[object, float]] = {}
         for batch in batches:
@@ -305,9 +293,32 @@ def search(vectors: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector
         q, v, s = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(q, _arrow[kind]), pa.array(v, _arrow[kind]), pa.array(s, pa.float64())], names=["id", "vec_id", "score"])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = scratch.write(part.repartition(n, "id").mapInArrow(merge, f"id {kind}, vec_id {kind}, score double"), "near")
-    scratch.drop("index", "probes")
+    def look(index: DataFrame, probes: DataFrame, name: str) -> DataFrame:
+        """k + 1 best of what the probes visit.  Each group has its entries in a, its queries in b parts; every part of one side meets every one of the other."""
+        size = index.groupBy("t", "g").agg(F.ceil(F.count("*") / BLOCK).alias("a"))
+        size = size.join(probes.groupBy("t", "g").agg(F.ceil(F.count("*") / BLOCK).alias("b")), ["t", "g"])
+        size = scratch.write(size.select(F.struct("t", "g").alias("at"), "a", "b"), f"{name}-sizes")
+        n, zero = size.count(), F.lit(0).cast("bigint")
+        index = join_dimension(index.withColumn("at", F.struct("t", "g")), size, "at", n, "inner").drop("at")
+        probes = join_dimension(probes.withColumn("at", F.struct("t", "g")), size, "at", n, "inner").drop("at")
+        index = index.withColumn("x", F.pmod(F.xxhash64("id"), F.col("a"))).withColumn("y", F.explode(F.sequence(zero, F.col("b") - 1)))
+        probes = probes.withColumn("y", F.pmod(F.xxhash64("id"), F.col("b"))).withColumn("x", F.explode(F.sequence(zero, F.col("a") - 1)))
+        keys = ["t", "g", "x", "y"]
+        sides = index.select(*keys, "bucket", "id", "v", "ids").groupBy(*keys).cogroup(probes.select(*keys, "id", "v", "limit").groupBy(*keys))
+        part = sides.applyInPandas(visit, f"id {kind}, ids array<{kind}>, scores array<double>")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return scratch.write(part.repartition(parts, "id").mapInArrow(merge, f"id {kind}, vec_id {kind}, score double"), name)
+
+    near = look(left, right, "near")
+    # a query whose buckets held fewer than it wants visits all buckets of one table, which hold every entry
+    wanted = min(k + 1, entries.agg(F.sum(F.size("ids"))).first()[0])
+    full = near.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= wanted)
+    short = scratch.write(queries.join(full, "id", "left_anti"), "short")
+    if not short.isEmpty():
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("g")
+        rest = look(left.filter("t = 0"), short.select(F.lit(0).alias("t"), every, "id", "v", F.lit(float("-inf")).alias("limit")), "rest")
+        near = near.join(full.select("id"), "id", "left_semi").unionByName(rest)
+    scratch.drop("probes")
     lists = near.groupBy("id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))).alias("near"))  # k + 1 each
     named = asked.join(entries.select("h", "v", "id"), ["h", "v"]).select("query_id", "id").join(lists, "id")
     own = F.slice(F.filter(F.sort_array("near"), lambda x: x["v"] != F.col("query_id")), 1, k)
