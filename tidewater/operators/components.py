@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from tidewater.storage import Scratch
 
 
 def _pairs(df: DataFrame, u, v) -> DataFrame:
@@ -30,7 +30,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node that has an edge; root is the smallest node of its component.
 
-    ``edges`` has two long columns u and v, in any direction; repeated edges and
+    ``edges`` has two columns u and v of one type, in any direction; repeated edges and
     loops do no harm.  Large-star and small-star steps alternate until nothing
     changes; the edges never grow in number, minima are combined before the
     shuffle, and the joins are plain ones that adaptive execution splits where
