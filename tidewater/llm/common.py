@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.storage import Scratch, shared_folder
+
+__all__ = ["Scratch", "importable", "join_dimension", "n_words", "py_words", "shared_folder"]
+
 #: White space of all contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -43,40 +45,6 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; in local mode one is made if unset."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="tidewater-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-class Scratch:
-    """Intermediate Parquet tables in the shared folder.
-
-    A written table cuts the lineage and outlives lost executors.  Tables that
-    the returned DataFrame still reads stay; ``drop`` removes the others.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/tidewater/{label}-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.root}/{name}")
-        return self.read(name, df)
-
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        for name in names or ("",):
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_dimension(facts: DataFrame, dim: DataFrame, key: str, rows: int, how: str = "left", salts: int = 64) -> DataFrame:
     """Null-safe join of facts to a dimension with one row per key.
 

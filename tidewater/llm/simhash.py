@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.components import connected_components
+
 from .common import Scratch, importable
-from .components import connected_components
 
 RADIUS = 2
 SHINGLE = 3
