@@ -45,7 +45,7 @@ def choose(rule: str, m: Column, d: Column, m_at: Column | None = None, d_at: Co
         return F.when((at(d) > 0) & ((at(m) == 0) | m.isNull() | (at(d) < at(m))), d).otherwise(m)
     if rule == "rollup":
         both = {"max": F.greatest(a, b), "min": F.least(a, b), "sum": F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)), "average": F.coalesce((a + b) / 2, a, b)}[p["how"]]
-        return F.when(a.isNotNull() | b.isNotNull(), both.cast("string")).otherwise(m)
+        return F.when(a.isNotNull() | b.isNotNull(), both.cast("string")).otherwise(m.cast("string"))
     if rule == "boolean_union":
         yes = lambda c: F.coalesce(F.lower(c).isin("true", "yes", "1"), F.lit(False))
         return F.when(yes(m) | yes(d), F.lit("true")).otherwise(m)

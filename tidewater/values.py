@@ -35,13 +35,13 @@ def filled(c: Column) -> Column:
 def number(c: Column) -> Column:
     """The whole text as a number; null if it is not one, or blank."""
     t = trim(c.cast("string"))
-    return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.cast("double"))
+    return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
 
 
 def leading_number(c: Column) -> Column:
     """The number that the text starts with: "12abc" gives 12."""
     found = F.regexp_extract(F.ltrim(c.cast("string")), r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0)
-    return F.when(found != "", found.cast("double"))
+    return F.when(found != "", found.try_cast("double"))
 
 
 def round_half_up(c: Column, digits: int = 0) -> Column:
