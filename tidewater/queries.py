@@ -6,15 +6,18 @@ understand: three customers in a row are variants of one company.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater import values as V
 from tidewater.functions import names, phone, similarity, text
-from tidewater.operators import dedup, lookup, resolve, survivorship
-from tidewater.plans import predicates
+from tidewater.operators import dedup, lookup, matching, quality, resolve, sampling, survivorship
+from tidewater.plans import predicates, rules
+from tidewater.sources import tables
+from tidewater.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -392,3 +395,369 @@ def merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D28, with the industry as parent."""
     return survivorship.blocked(companies(spark, sf_dir).withColumn("won", F.col("deals") >= 1), "grp", "industry", "won")
+
+
+# Rules
+
+SPECS = [
+    rules.checked({"id": "company-name", "version": "1.2.0", "field": "name", "rules": [
+        {"id": "legal-form", "when": "lower($value) LIKE '% inc.'", "transform": "initcap(trim(regexp_replace(regexp_replace($value, '(?i) inc\\\\.$', ''), '\\\\s+', ' ')))"},
+        {"id": "blanks", "when": "$value <> trim(regexp_replace($value, '\\\\s+', ' '))", "transform": "initcap(trim(regexp_replace($value, '\\\\s+', ' ')))"},
+    ], "tests": [{"name": "suffix", "input": "ACME WORKS 3 Inc.", "expected": "Acme Works 3"}]}),
+    rules.checked({"id": "state", "version": "1.0.0", "field": "state", "rules": [{"id": "abbreviate", "when": "$value IS NOT NULL", "format": "state_abbreviate"}]}),
+    rules.checked({"id": "employees", "version": "2.0.0", "field": "employees", "on_error": "fail_default", "rules": [{"id": "parse", "when": "trim($value) <> ''", "format": "numeric_parse", "default": "0"}]}),
+]
+TIDY = "array_to_string(list_transform(string_split(lower(trim(regexp_replace(regexp_replace(name, ' Inc\\.$', ''), '\\s+', ' ', 'g'))), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
+CHANGES = f"""changes AS (
+  SELECT id, 'name' AS field, name AS before, {TIDY} AS after, CASE WHEN lower(name) LIKE '% inc.' THEN 'legal-form' ELSE 'blanks' END AS rule, 'company-name@1.2.0' AS spec FROM companies WHERE lower(name) LIKE '% inc.' OR name <> trim(regexp_replace(name, '\\s+', ' ', 'g'))
+  UNION ALL SELECT id, 'state', state, CASE trim(lower(state)) WHEN 'california' THEN 'CA' WHEN 'tx' THEN 'TX' WHEN 'ohio' THEN 'OH' WHEN 'fla.' THEN 'FL' ELSE state END, 'abbreviate', 'state@1.0.0' FROM companies WHERE state IS NOT NULL AND trim(lower(state)) <> 'bavaria'
+  UNION ALL SELECT id, 'employees', employees, CASE trim(employees) WHEN '1,200' THEN '1200' WHEN '50-100' THEN '75' WHEN '$1.5M' THEN '1500000' WHEN '42' THEN '42' WHEN '2.5k' THEN '2500' ELSE '0' END, 'parse', 'employees@2.0.0' FROM companies WHERE trim(employees) <> '')"""
+
+
+@query(oracle("SELECT * FROM changes", CHANGES))
+def rule_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three specifications change."""
+    return rules.changes(companies(spark, sf_dir), SPECS)
+
+
+STATUS = """status AS (
+  SELECT id, 'name' AS field, CASE WHEN EXISTS (SELECT 1 FROM changes c WHERE c.id = k.id AND c.field = 'name') THEN 'stale' ELSE 'unprocessed' END AS status FROM companies k
+  UNION ALL SELECT id, 'state', CASE WHEN state IS NULL THEN 'unprocessed' WHEN trim(lower(state)) = 'bavaria' THEN 'compliant' ELSE 'stale' END FROM companies
+  UNION ALL SELECT id, 'employees', CASE WHEN coalesce(trim(employees), '') = '' THEN 'unprocessed' ELSE 'stale' END FROM companies)"""
+COUNTS = "count(*) FILTER (status = 'compliant') AS compliant, count(*) FILTER (status = 'stale') AS stale, count(*) FILTER (status = 'unprocessed') AS unprocessed, count(*) AS total"
+
+
+@query(oracle(f"SELECT field, {COUNTS}, floor(10000.0 * count(*) FILTER (status = 'compliant') / count(*) + 0.5) / 100 AS score FROM status GROUP BY field", CHANGES, STATUS))
+def normalize_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Melt records by field, judge each value, score the fields."""
+    return quality.compliance(rules.melt_status(companies(spark, sf_dir), SPECS), "field")
+
+
+@query(oracle("SELECT k.id, coalesce(c.after, k.name) AS name FROM companies k LEFT JOIN changes c ON c.id = k.id AND c.field = 'name' AND substr(k.id, 2)::BIGINT % 2 = 0", CHANGES))
+def rule_apply_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the selected changes are applied."""
+    c = companies(spark, sf_dir)
+    changed = rules.changes(c, SPECS)
+    selected = changed.filter(F.substring("id", 2, 9).cast("bigint") % 2 == 0).select("id", "field")
+    return rules.apply_selected(c, changed, selected, "name").select("id", "name")
+
+
+@query(oracle("SELECT id, array_to_string(list(field || '=' || before ORDER BY field), ';') AS properties FROM changes GROUP BY id", CHANGES))
+def rule_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values before a run, by record."""
+    back = rules.rollback(rules.changes(companies(spark, sf_dir), SPECS))
+    return back.select("id", F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("properties"))
+
+
+# Quality figures, on orders as facts: F is compliant, O stale, P unprocessed
+
+FACTS = "facts AS (SELECT o_orderkey AS id, o_orderpriority AS field, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'h' || (o_custkey % 7)::VARCHAR END AS harmony_id, ' Value ' || (o_orderkey % 37)::VARCHAR AS raw_value, CASE o_orderstatus WHEN 'F' THEN 'compliant' WHEN 'O' THEN 'stale' ELSE 'unprocessed' END AS status, o_orderdate AS at, o_totalprice AS price FROM orders)"
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("field"), F.when(F.col("o_orderkey") % 10 != 0, F.concat(F.lit("h"), (F.col("o_custkey") % 7).cast("string"))).alias("harmony_id"), F.concat(F.lit(" Value "), (F.col("o_orderkey") % 37).cast("string")).alias("raw_value"), F.when(F.col("o_orderstatus") == "F", "compliant").when(F.col("o_orderstatus") == "O", "stale").otherwise("unprocessed").alias("status"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"))
+
+
+def on_facts(select: str, *ctes: str) -> str:
+    return "WITH " + ", ".join([FACTS, *ctes]) + " " + select
+
+
+RATE = "floor(10000.0 * count(*) FILTER (status = 'compliant') / count(*) + 0.5) / 100"
+
+
+@query(on_facts(f"SELECT {COUNTS}, {RATE} AS score FROM facts"))
+def compliance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1."""
+    return quality.compliance(facts(spark, sf_dir))
+
+
+@query(on_facts(f"""SELECT harmony_id, {COUNTS}, {RATE} AS rate, count(*) FILTER (status <> 'compliant') AS affected, floor(100.0 * count(*) FILTER (status <> 'compliant') / sum(count(*)) OVER () + 0.5) AS impact,
+  floor(100 * ({RATE} - (SELECT {RATE} FROM facts p WHERE p.harmony_id = f.harmony_id AND p.at < DATE '1998-01-01')) + 0.5) / 100 AS delta FROM facts f WHERE harmony_id IS NOT NULL GROUP BY harmony_id"""))
+def compliance_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by rule, and their change since the facts before 1998."""
+    f = facts(spark, sf_dir)
+    old = quality.breakdown(f.filter(F.col("at") < "1998-01-01"), "harmony_id").select("harmony_id", "rate")
+    return quality.breakdown(f, "harmony_id", old)
+
+
+@query(on_facts("SELECT * FROM (SELECT harmony_id, field, trim(lower(raw_value)) AS pattern, count(*) AS n FROM facts WHERE status = 'unprocessed' GROUP BY ALL HAVING count(*) >= 2) ORDER BY n DESC, harmony_id NULLS FIRST, field, pattern LIMIT 50"))
+def pattern_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 and W12."""
+    return quality.pattern_gaps(facts(spark, sf_dir), "harmony_id", "field", "raw_value", 2)
+
+
+@query(on_facts("SELECT harmony_id, field, raw_value, count(*) AS total FROM facts GROUP BY ALL HAVING count(*) FILTER (status = 'compliant') = 0 AND count(*) >= 3"))
+def zero_match_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5."""
+    return quality.zero_match(facts(spark, sf_dir), "harmony_id", "field", "raw_value", least=3)
+
+
+FIELDS = ["domain", "phone", "email", "employees", "active"]
+
+
+@query(oracle(" UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (trim({f}) <> '') AS filled, count(*) AS total, count(*) - count(*) FILTER (trim({f}) <> '') AS missing, floor(100.0 * count(*) FILTER (trim({f}) <> '') / count(*) + 0.5) AS coverage FROM companies" for f in FIELDS)))
+def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 and A8."""
+    return quality.coverage(companies(spark, sf_dir), FIELDS)
+
+
+@query(oracle("SELECT nullif(trim(employees), '') AS value, count(*) AS n, nullif(trim(employees), '') IS NOT NULL AND count(*) < 3 AS suspect FROM companies GROUP BY nullif(trim(employees), '')"))
+def value_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10."""
+    return quality.value_frequency(companies(spark, sf_dir), "employees")
+
+
+@query(on_facts("SELECT field, raw_value AS pattern, n FROM (SELECT field, raw_value, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, raw_value) AS r FROM facts GROUP BY field, raw_value) WHERE r = 1 AND n > 1"))
+def top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11."""
+    return quality.top_pattern(facts(spark, sf_dir), "field", raw="raw_value")
+
+
+@query(on_facts(f"""SELECT 'score_below' AS type, 60.0::DOUBLE AS threshold, {RATE}::DOUBLE AS actual, NULL AS rule FROM facts HAVING {RATE} < 60 UNION ALL SELECT 'unprocessed_above', 10.0, count(*) FILTER (status = 'unprocessed')::DOUBLE, NULL FROM facts HAVING count(*) FILTER (status = 'unprocessed') > 10
+  UNION ALL SELECT 'rate_below', 49.0, {RATE}::DOUBLE, harmony_id FROM facts WHERE harmony_id IS NOT NULL GROUP BY harmony_id HAVING {RATE} < 49"""))
+def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A37."""
+    f = facts(spark, sf_dir)
+    return quality.alerts(quality.compliance(f), quality.breakdown(f, "harmony_id"), "harmony_id", 60.0, 10, 49.0)
+
+
+@query("""SELECT o_orderpriority AS field, m AS at, score, lag(score) OVER w AS previous, floor(100 * (score - lag(score) OVER w) + 0.5) / 100 AS delta FROM (
+  SELECT o_orderpriority, date_trunc('month', o_orderdate)::DATE AS m, floor(10000.0 * count(*) FILTER (o_orderstatus = 'F') / count(*) + 0.5) / 100 AS score FROM orders GROUP BY ALL) WHERE m BETWEEN DATE '1995-01-01' AND DATE '1997-12-31' WINDOW w AS (PARTITION BY o_orderpriority ORDER BY m)""")
+def score_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly scores, the one before, the change."""
+    f = facts(spark, sf_dir)
+    monthly = quality.compliance(f.withColumn("at", F.trunc("at", "month")), "field", "at").select("field", "at", "score")
+    return quality.trend(monthly, ["field"], "at", "score", F.lit("1995-01-01").cast("date"), F.lit("1997-12-31").cast("date"))
+
+
+@query("SELECT o_custkey, arg_max(o_totalprice, o_orderdate) AS o_totalprice, max(o_orderdate) AS o_orderdate FROM (SELECT o_custkey, o_orderdate, max(o_totalprice) AS o_totalprice FROM orders WHERE o_orderdate <= TIMESTAMP '1997-06-30' GROUP BY ALL) GROUP BY o_custkey")
+def latest_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's latest price up to a day."""
+    daily = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderdate").agg(F.max("o_totalprice").alias("o_totalprice"))
+    return lookup.as_of(daily, ["o_custkey"], "o_totalprice", "o_orderdate", F.lit("1997-06-30").cast("timestamp"))
+
+
+@query("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY q DESC, l_partkey) AS n FROM (SELECT l_returnflag, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_returnflag, l_partkey)) WHERE n <= 3")
+def first_n_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is a top three."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    return g.withColumn("n", F.row_number().over(Window.partitionBy("l_returnflag").orderBy(F.desc("q"), "l_partkey"))).filter("n <= 3")
+
+
+@query("SELECT *, (SELECT count(*) FROM orders) AS total FROM (SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40)")
+def page_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page in order, with the exact total."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    total = o.groupBy().agg(F.count("*").alias("total"))
+    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20).join(F.broadcast(total))
+
+
+@query("""SELECT c_mktsegment, count(*) AS n FROM (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('tidewater:' || c_custkey::VARCHAR), c_custkey) AS place, count(*) OVER (PARTITION BY c_mktsegment) AS size, greatest(1, floor(100.0 * count(*) OVER (PARTITION BY c_mktsegment) / count(*) OVER () + 0.5)) AS quota FROM customer c) WHERE place <= 100
+  ORDER BY (place > quota)::INT, CASE WHEN place > quota THEN -size ELSE NULL END NULLS FIRST, c_mktsegment, place LIMIT 100) GROUP BY c_mktsegment""")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred customers in proportion to their segments, counted."""
+    return sampling.stratified(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 100).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither, count(*) AS total, round(count(*) FILTER (a) / count(*) + count(*) FILTER (b) / count(*) * (1 - count(*) FILTER (a) / count(*)), 6) AS combined FROM (SELECT l_returnflag, l_partkey % 3 = 0 AS a, l_suppkey % 4 < 2 AS b FROM lineitem) GROUP BY l_returnflag")
+def source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A29 and U3."""
+    found = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_partkey") % 3 == 0).alias("a"), (F.col("l_suppkey") % 4 < 2).alias("b"))
+    return quality.overlap(found, "a", "b", "l_returnflag")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (value > 50) AS large, round(sum(value) FILTER (value > 50), 4) AS large_sum, round(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) / count(*), 6) AS ratio FROM events GROUP BY event_type")
+def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 and A25."""
+    e, large = table(spark, sf_dir, "events"), F.col("value") > 50
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.count_if(large).alias("large"), F.round(F.sum(F.when(large, F.col("value"))), 4).alias("large_sum"), F.round(F.avg(F.when(large, 1.0).otherwise(0.0)), 6).alias("ratio"))
+
+
+# Resolution, on line items as candidates: a part's price by supplier
+
+CANDS = """cands AS (SELECT l_partkey AS record_id, 'price' AS field, 'p' || (l_suppkey % 5)::VARCHAR AS provider, CASE WHEN l_orderkey % 11 = 0 THEN ' ' ELSE (floor(l_extendedprice / l_quantity / 100) * 10)::INT::VARCHAR END AS value, l_shipdate AS retrieved_at, l_orderkey * 10 + l_linenumber AS position FROM lineitem),
+ok AS (SELECT * FROM cands WHERE trim(value) <> '')"""
+
+
+def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem")
+    value = F.when(F.col("l_orderkey") % 11 == 0, " ").otherwise((F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 100) * 10).cast("int").cast("string"))
+    return x.select(F.col("l_partkey").alias("record_id"), F.lit("price").alias("field"), F.concat(F.lit("p"), (F.col("l_suppkey") % 5).cast("string")).alias("provider"), value.alias("value"), F.col("l_shipdate").alias("retrieved_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"))
+
+
+def on_cands(select: str) -> str:
+    return f"WITH {CANDS} {select}"
+
+
+@query(on_cands("SELECT record_id, field, first(value ORDER BY position) AS value, first(provider ORDER BY position) AS source FROM ok GROUP BY ALL"))
+def resolve_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18."""
+    return resolve.waterfall(cands(spark, sf_dir))
+
+
+ORDERED = "coalesce(nullif(list_position(['p3', 'p1', 'p4'], provider), 0), 4), position"
+
+
+@query(on_cands(f"SELECT record_id, field, first(value ORDER BY {ORDERED}) AS value, first(provider ORDER BY {ORDERED}) AS provider FROM ok GROUP BY ALL"))
+def resolve_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A19."""
+    return resolve.priority(cands(spark, sf_dir), ["p3", "p1", "p4"])
+
+
+@query(on_cands("SELECT record_id, field, first(value ORDER BY retrieved_at DESC, position) AS value, first(provider ORDER BY retrieved_at DESC, position) AS provider FROM ok GROUP BY ALL"))
+def resolve_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A20."""
+    return resolve.recency(cands(spark, sf_dir))
+
+
+@query(on_cands("SELECT record_id, field, first(value ORDER BY n DESC, p) AS value, max(n) AS votes FROM (SELECT record_id, field, value, count(*) AS n, min(position) AS p FROM ok GROUP BY ALL) GROUP BY record_id, field"))
+def resolve_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A21."""
+    return resolve.consensus(cands(spark, sf_dir))
+
+
+@query(on_cands("SELECT record_id, field, first(value ORDER BY value::DOUBLE, position) AS value FROM ok GROUP BY ALL"))
+def resolve_conservative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A22."""
+    return resolve.conservative(cands(spark, sf_dir))
+
+
+@query(on_cands("""SELECT record_id, field, max(n) AS max, array_to_string(list(provider ORDER BY provider) FILTER (n = hi), ',') AS max_providers, min(n) AS min, array_to_string(list(provider ORDER BY provider) FILTER (n = lo), ',') AS min_providers, floor(avg(n) * 100 + 0.5) / 100 AS avg, count(*) AS count
+  FROM (SELECT *, value::DOUBLE AS n, max(value::DOUBLE) OVER (PARTITION BY record_id) AS hi, min(value::DOUBLE) OVER (PARTITION BY record_id) AS lo FROM ok) GROUP BY record_id, field"""))
+def resolve_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A15 and A16."""
+    return resolve.numeric(cands(spark, sf_dir))
+
+
+@query(on_cands("""SELECT record_id, field, floor(100 * (CASE WHEN count(*) < 3 OR count(*) FILTER (abs(n - m) <= s) < 2 THEN avg(n) ELSE avg(n) FILTER (abs(n - m) <= s) END) + 0.5) / 100 AS value,
+  CASE WHEN count(*) < 3 OR count(*) FILTER (abs(n - m) <= s) < 2 THEN count(*) ELSE count(*) FILTER (abs(n - m) <= s) END::INT AS used, count(*)::INT AS count
+  FROM (SELECT record_id, field, value::DOUBLE AS n, median(value::DOUBLE) OVER w AS m, stddev_pop(value::DOUBLE) OVER w AS s FROM ok WINDOW w AS (PARTITION BY record_id, field)) GROUP BY record_id, field"""))
+def resolve_cluster_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17."""
+    return resolve.cluster_average(cands(spark, sf_dir))
+
+
+@query(on_cands(f"SELECT record_id, field, first((value::INT * 2)::VARCHAR ORDER BY {ORDERED}) AS value, first(provider ORDER BY {ORDERED}) AS provider FROM ok WHERE value::INT > 50 GROUP BY record_id, field"))
+def resolve_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates are normalized, those that fail dropped, then one is chosen."""
+    n = F.col("value").try_cast("int")
+    return resolve.pipeline(cands(spark, sf_dir), {"price": F.when(n > 50, (n * 2).cast("string"))}, ["p3", "p1", "p4"])
+
+
+# Lookups, matching, assignment
+
+REF_SQL = "ref AS (SELECT * FROM (VALUES ('building', 'Construction', NULL, true), ('AUTOMOBILE ', 'Automotive', NULL, true), ('automobile', 'Cars', 'o1', true), ('machinery', 'Industrial', NULL, true), ('machinery', 'Old', NULL, false), ('household goods', 'Home', NULL, true)) t(input_value, canonical_value, org_id, is_active))"
+REF = [("building", "Construction", None, True), ("AUTOMOBILE ", "Automotive", None, True), ("automobile", "Cars", "o1", True), ("machinery", "Industrial", None, True), ("machinery", "Old", None, False), ("household goods", "Home", None, True)]
+
+
+def reference(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, c, o, a, True) for i, c, o, a in REF], "input_value string, canonical_value string, org_id string, is_active boolean, fuzzy_eligible boolean")
+
+
+@query(oracle("SELECT value, coalesce(first(canonical_value ORDER BY org_id NULLS LAST), CASE WHEN value = 'HOUSEHOLD' THEN 'Home' END) AS canonical, CASE WHEN count(canonical_value) > 0 THEN 'exact' WHEN value = 'HOUSEHOLD' THEN 'fuzzy' ELSE 'none' END AS match_type, CASE WHEN count(canonical_value) > 0 THEN 100 WHEN value = 'HOUSEHOLD' THEN 63 ELSE 0 END AS confidence FROM (SELECT DISTINCT industry AS value FROM companies) LEFT JOIN ref ON trim(lower(value)) = trim(lower(input_value)) AND is_active GROUP BY value", REF_SQL))
+def lookup_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values through the tiers."""
+    return lookup.lookup(companies(spark, sf_dir).select("industry"), reference(spark), org="o1", threshold=0.6)
+
+
+@query(oracle("SELECT id, 'industry' AS field, industry AS before, CASE industry WHEN 'BUILDING' THEN 'Construction' WHEN 'AUTOMOBILE' THEN 'Automotive' WHEN 'MACHINERY' THEN 'Industrial' END AS after, 'exact' AS match_type, 100 AS confidence, false AS requires_review FROM companies WHERE industry IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')"))
+def lookup_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a field by lookup of its distinct values."""
+    return lookup.apply_lookup(companies(spark, sf_dir), "industry", reference(spark))
+
+
+@query(oracle("SELECT DISTINCT industry AS value FROM companies WHERE industry NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE')"))
+def unmapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J20 and U4."""
+    known = lambda *v: spark.createDataFrame([(x,) for x in v], "v string")
+    return lookup.unmapped(companies(spark, sf_dir).select("industry"), known("BUILDING", "MACHINERY"), known("FURNITURE"))
+
+
+@query("SELECT s_suppkey, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1993-01-01') AS in_crm FROM supplier")
+def known_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J21."""
+    early = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") < "1993-01-01").select("l_suppkey")
+    return lookup.mark_known(table(spark, sf_dir, "supplier").select("s_suppkey"), early, "s_suppkey")
+
+
+@query("SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderdate > TIMESTAMP '1998-01-01'")
+def scan_changed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows changed after a day, of the members of a list."""
+    members = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    rows = tables.scan(spark, f"{sf_dir}/orders.parquet", since=("o_orderdate", dt.datetime(1998, 1, 1)))
+    return tables.by_ids(rows, members, "o_custkey")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lots of rows as one table, the latest of each key."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
+    return tables.upsert(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), ["o_custkey"], "at").drop("at")
+
+
+OWNERS = [{"priority": 1, "owner": "ann", "conditions": [{"field": "industry", "operator": "is_one_of", "values": ["building"]}, {"field": "email", "operator": "contains", "values": ["gmail", "acme"]}]}, {"priority": 2, "owner": "bob", "conditions": [{"field": "name", "operator": "starts_with", "values": ["acme w"]}]}]
+
+
+@query(oracle("SELECT id, CASE WHEN lower(industry) = 'building' AND (lower(coalesce(email, '')) LIKE '%gmail%' OR lower(coalesce(email, '')) LIKE '%acme%') THEN 'ann' WHEN lower(name) LIKE 'acme w%' THEN 'bob' END AS owner FROM companies"))
+def owner_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R13 and P41."""
+    return companies(spark, sf_dir).select("id", matching.owner_of(OWNERS, F.col("id")).alias("owner"))
+
+
+@query(oracle("SELECT owner, count(*) AS n FROM (SELECT CASE WHEN lower(industry) = 'building' AND (lower(coalesce(email, '')) LIKE '%gmail%' OR lower(coalesce(email, '')) LIKE '%acme%') THEN 'ann' WHEN lower(name) LIKE 'acme w%' THEN 'bob' ELSE 'unassigned' END AS owner FROM companies) GROUP BY owner"))
+def owner_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A24."""
+    return companies(spark, sf_dir).groupBy(F.coalesce(matching.owner_of(OWNERS, F.col("id")), F.lit("unassigned")).alias("owner")).agg(F.count("*").alias("n"))
+
+
+@query(oracle("SELECT key, count(*) AS n FROM (SELECT CASE WHEN len(string_split(coalesce(email, ''), '@')) = 2 THEN 'domain:' || CASE WHEN email LIKE '%GMAIL%' THEN 'gmail' ELSE 'acme' || grp END ELSE 'name:acme works ' || grp END AS key FROM companies) GROUP BY key"))
+def company_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one company by mail label, else by name."""
+    c = companies(spark, sf_dir)
+    return c.groupBy(matching.group_key(F.col("name"), F.col("email"), F.col("id")).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query(None)
+def group_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy by weight; each step needs the one before, so tests hold it against a loop."""
+    groups = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("campaign"), F.col("o_custkey").cast("string").alias("key")).agg(F.count("*").alias("n"))
+    return matching.assign_groups(groups, {"ann": 0.5, "bob": 0.3, "cy": 0.2}, by="campaign")
+
+
+@query(oracle("SELECT r.id AS row_id, coalesce(r.mail, r.profile) AS contact_id, CASE WHEN r.mail IS NOT NULL THEN 'email' WHEN r.profile IS NOT NULL THEN 'linkedin' ELSE 'none' END AS method, CASE WHEN r.mail IS NULL AND r.profile IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence FROM (SELECT id, (SELECT min(k.id) FROM companies k WHERE substr(k.id, 2)::BIGINT % 2 = 0 AND trim(lower(k.email)) = trim(lower(c.email)) AND c.email <> '') AS mail, (SELECT min(k.id) FROM companies k WHERE substr(k.id, 2)::BIGINT % 2 = 0 AND k.linkedin = c.linkedin AND c.linkedin <> '') AS profile FROM companies c) r"))
+def contact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to every second record by mail address, else by profile."""
+    c = companies(spark, sf_dir)
+    return matching.match_contacts(c.select(F.col("id").alias("row_id"), "email", "linkedin"), c.filter(F.substring("id", 2, 9).cast("bigint") % 2 == 0))
+
+
+@query(None)
+def company_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy company matches inside blocks; tests hold it against all pairs."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_name").alias("company"), F.lit("").alias("email"))
+    records = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.col("s_name"), F.lit(" Inc.")).alias("name"), F.lit(None).cast("string").alias("domain"))
+    return matching.match_companies(rows, records)
+
+
+# Events
+
+@query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts; the same transformation runs on a stream."""
+    return events.windowed(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT user_id, first(status ORDER BY ts DESC) AS status, count(*)::INT AS version FROM (SELECT user_id, ts, CASE event_type WHEN 'purchase' THEN 'merged' WHEN 'signup' THEN 'reopened' WHEN 'click' THEN 'invalid' END AS status FROM events) WHERE status IS NOT NULL GROUP BY user_id")
+def events_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X3 and X5, replayed in batch: the last state of each user's records."""
+    kinds = {"purchase": "merge", "signup": "restore", "click": "deletion"}
+    kind = F.create_map(*(F.lit(x) for p in kinds.items() for x in p))[F.col("event_type")]
+    return events.lifecycle(table(spark, sf_dir, "events").withColumn("handler", kind), "user_id")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+def events_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event twice, each kept once."""
+    e = table(spark, sf_dir, "events")
+    return events.once(e.unionByName(e), ["event_id"]).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
