@@ -25,10 +25,15 @@ def source(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _timed(events: DataFrame, at: str, late: str) -> DataFrame:
+    """A stream with its watermark; instants without a zone are taken in the session's."""
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
+
+
 def once(events: DataFrame, keys: list[str], at: str = "ts", late: str = STALE) -> DataFrame:
     """Each event once; repeats are known as long as the watermark has not passed them."""
     if events.isStreaming:
-        return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+        return _timed(events, at, late).dropDuplicatesWithinWatermark(keys)
     return events.dropDuplicates(keys)
 
 
@@ -50,14 +55,14 @@ def with_records(events: DataFrame, records: DataFrame, key: str) -> DataFrame:
 
 def windowed(events: DataFrame, at: str = "ts", width: str = "1 hour", slide: str | None = None, by: str = "event_type", late: str = STALE) -> DataFrame:
     """Counts and sums in tumbling or sliding windows; an extension beyond the rest of this library's operators."""
-    e = events.withWatermark(at, late) if events.isStreaming else events
+    e = _timed(events, at, late)
     w = F.window(at, width, slide) if slide else F.window(at, width)
     g = e.groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("start"), by, "n", "total")
 
 
 def sessions(events: DataFrame, key: str, at: str = "ts", gap: str = "30 minutes", late: str = STALE) -> DataFrame:
-    e = events.withWatermark(at, late) if events.isStreaming else events
+    e = _timed(events, at, late)
     g = e.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
