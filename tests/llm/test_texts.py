@@ -100,3 +100,14 @@ def test_score_needs_no_neighbours():
     model = toxicity.train(["you idiot", "kind words here", "idiot again", "good day to you"] * 5, np.array([1, 0, 1, 0] * 5, np.float32), epochs=3)
     texts = ["you idiot", "", "kind words here and more of them", "idiot", None]
     assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts])
+
+
+def test_coding_in_parts_gives_the_same_words():
+    from tidewater.llm.toxicity import CODE_TEXTS, coded, coded_in_parts
+
+    texts = [None, "", "One, two one", "\t\n", "dós ONE"] * CODE_TEXTS
+    which, words, counts = coded(texts)
+    some, own, n = coded_in_parts(texts)
+    assert [words[k] for k in which] == [own[k] for k in some]
+    assert counts.tolist() == n.tolist()
+    assert coded_in_parts([])[2].tolist() == []
