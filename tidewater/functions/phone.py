@@ -79,3 +79,8 @@ def e164(c: Column, style: str = "e164_compact", country: str = "1", strip_exten
         "e164_international": lambda: F.concat(lead, F.lit(" "), F.when(us, brackets).otherwise(n)), "e164_formatted": lambda: F.concat(lead, F.lit(" "), F.when(us, brackets).otherwise(n)),
     }[style]()
     return F.when((F.length(d) >= 7) & (F.length(digits(out)) <= 15), out)
+
+
+def is_e164(c: Column) -> Column:
+    """Whether a number is in compact international form already; null is not."""
+    return F.coalesce(F.trim(c).rlike(r"^\+[1-9][0-9]{6,14}$"), F.lit(False))

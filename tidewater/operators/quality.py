@@ -109,3 +109,19 @@ def overlap(results: DataFrame, a: str, b: str, field: str | None = None) -> Dat
     n = results.groupBy(*by).agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"), F.count("*").alias("total"))
     p, q = (F.col("both") + F.col("only_a")) / F.col("total"), (F.col("both") + F.col("only_b")) / F.col("total")
     return n.withColumn("combined", F.round(p + q * (1 - p), 6))
+
+
+def weighted_score(rates: DataFrame, field: str, rate: str, weights: dict[str, float]) -> DataFrame:
+    """Sum of the fields' rates (0 to 100) by weight, rounded; fields without a weight and missing fields add nothing."""
+    weight = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))))[F.col(field)]
+    return rates.agg(V.round_half_up(F.coalesce(F.sum(F.col(rate) / 100.0 * weight), F.lit(0.0))).alias("score"))
+
+
+def daily_usage(rows: DataFrame, by: list[str], at: str, amount: str) -> DataFrame:
+    """Amount used by group, week and day."""
+    return rows.groupBy(*by, F.to_date(F.date_trunc("week", at)).alias("week"), F.to_date(at).alias("day")).agg(F.sum(amount).alias("used"))
+
+
+def agreement(agree: Column, disagree: Column) -> Column:
+    """Share of agreement; null if nobody has judged."""
+    return F.try_divide(agree.cast("double"), (agree + disagree).cast("double"))

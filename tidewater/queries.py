@@ -203,6 +203,21 @@ def functions_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return companies(spark, sf_dir).select("id", names.employee_band(F.col("contacts") * 400).alias("employees_band"), names.revenue_band(F.col("revenue")).alias("revenue_band"), names.plan_tier(F.col("contacts") * 30000).alias("tier"))
 
 
+@query("""SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'executive' WHEN 1 THEN 'sales' WHEN 2 THEN 'technical' WHEN 3 THEN 'marketing' WHEN 4 THEN 'other' END AS role,
+  CASE c_custkey % 7 WHEN 0 THEN 'c_suite' WHEN 1 THEN 'vp' WHEN 2 THEN 'individual' WHEN 3 THEN 'director' WHEN 4 THEN 'entry' END AS seniority FROM customer""")
+def functions_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F50 on made titles."""
+    title = F.get(F.array(*map(F.lit, ("Chief Executive Officer", "VP Sales", "Senior Developer", "Head of Marketing", "Junior Nurse", "", None))), (F.col("c_custkey") % 7).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", names.role(title).alias("role"), names.seniority(title).alias("seniority"))
+
+
+@query(oracle(f"SELECT id, coalesce(regexp_matches(trim(phone), '^\\+[1-9][0-9]{{6,14}}$'), false) AS before, phone IS NOT NULL AND regexp_matches('+1' || {TEN}, '^\\+[1-9][0-9]{{6,14}}$') AS after FROM companies"))
+def phone_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """whether numbers are in international form, before and after normalization."""
+    p = F.col("phone")
+    return companies(spark, sf_dir).select("id", phone.is_e164(p).alias("before"), phone.is_e164(phone.e164(p)).alias("after"))
+
+
 PAIR_SQL = "SELECT a.id AS a, b.id AS b, a.name AS x, b.name AS y FROM companies a JOIN companies b ON a.grp = b.grp AND a.id < b.id"
 
 
@@ -574,6 +589,26 @@ def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.count_if(large).alias("large"), F.round(F.sum(F.when(large, F.col("value"))), 4).alias("large_sum"), F.round(F.avg(F.when(large, 1.0).otherwise(0.0)), 6).alias("ratio"))
 
 
+@query(on_facts(f"SELECT floor(sum(rate / 100 * w) + 0.5) AS score FROM (SELECT field, {RATE} AS rate FROM facts GROUP BY field) JOIN (VALUES ('1-URGENT', 40.0::DOUBLE), ('2-HIGH', 35.0), ('5-LOW', 25.0)) t(f, w) ON field = f"))
+def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields' rates by weight."""
+    rates = quality.compliance(facts(spark, sf_dir), "field")
+    return quality.weighted_score(rates, "field", "score", {"1-URGENT": 40, "2-HIGH": 35, "5-LOW": 25})
+
+
+@query("SELECT event_type, date_trunc('week', ts)::DATE AS week, ts::DATE AS day, count(*)::BIGINT AS used FROM events GROUP BY ALL")
+def usage_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One unit for each event."""
+    return quality.daily_usage(table(spark, sf_dir, "events").withColumn("one", F.lit(1).cast("bigint")), ["event_type"], "ts", "one")
+
+
+@query("SELECT l_suppkey, (count(*) FILTER (l_returnflag = 'A') / nullif(count(*) FILTER (l_returnflag = 'A') + count(*) FILTER (l_returnflag = 'R'), 0))::DOUBLE AS score FROM lineitem GROUP BY l_suppkey")
+def agreement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A34, with flags A and R as the two verdicts."""
+    n = lambda flag: F.count_if(F.col("l_returnflag") == flag)
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(quality.agreement(n("A"), n("R")).alias("score"))
+
+
 # Resolution, on line items as candidates: a part's price by supplier
 
 CANDS = """cands AS (SELECT l_partkey AS record_id, 'price' AS field, 'p' || (l_suppkey % 5)::VARCHAR AS provider, CASE WHEN l_orderkey % 11 = 0 THEN ' ' ELSE (floor(l_extendedprice / l_quantity / 100) * 10)::INT::VARCHAR END AS value, l_shipdate AS retrieved_at, l_orderkey * 10 + l_linenumber AS position FROM lineitem),
