@@ -1,7 +1,7 @@
 """A training corpus from documents: toxicity, near duplicates, personal data, mixing, packing.
 
-Each stage is one of the operators of ``tidewater.llm`` with the parameters of
-its own query.  It gets all that the stage before it kept, as a table read
+Each stage is one of the operators of ``tidewater.llm``, all but the near
+duplicates with the parameters of its own query.  It gets all that the stage before it kept, as a table read
 again from Parquet; all stages but the last return the columns of the documents.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import mixing, packing, pii, simhash, toxicity
+from tidewater.llm import copies, mixing, packing, pii, toxicity
 from tidewater.llm.common import Scratch
 from tidewater.llm.queries import held_out
 
@@ -22,8 +22,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Not op2's digest of three words and two bits: linked are texts whose five-word shingles overlap by 0.8 or more.
+    """
+    return copies.deduplicated(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
