@@ -12,6 +12,8 @@ to Spark as literals of one expression.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +40,8 @@ PATTERNS = (
     r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,5}\)|00[1-9][0-9]{0,2}|0[1-9][0-9]{1,4})[\x20./-]?[0-9]{2,4}(?:[\x20./-]?[0-9]{2,4}){1,3}(?![0-9A-Za-z])",
     r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
 )
-#: A text without a match of the first part needs no search for the pattern.
-NEEDS = ("@", None, None, "+", "at", None, "0", None)
+#: Every match of a pattern holds one of these; a text with none of them needs no search.
+NEEDS = (("@",), None, None, ("+",), ("[at", "[AT", "(at", "(AT"), None, ("(", "0"), None)
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 # Gazetteers, fixed values: mail domains' ends, card issuers' first digits, country calling codes, bank countries.
@@ -63,7 +65,7 @@ AGAINST = r"(?i)(?:version|isbn|invoice|rechnung|facture|factura|order|bestell|s
 VOTERS = ("pattern", "gazetteer", "context", "border")
 
 
-def found(text: Column, pattern: str, need: str | None) -> Column:
+def found(text: Column, pattern: str, need: tuple[str, ...] | None) -> Column:
     """Matches in order: array of (s, e, m, pre, post), in code points, with up to 40 and 8 characters around."""
     kind = "array<struct<s:int,e:int,m:string,pre:string,post:string>>"
     none = F.from_json(F.lit("[]"), kind)
@@ -73,7 +75,7 @@ def found(text: Column, pattern: str, need: str | None) -> Column:
             F.get(at, i).alias("s"), (F.get(at, i) + F.length(m)).cast("int").alias("e"), m.alias("m"), F.right(F.get(pieces, i), F.lit(40)).alias("pre"), F.left(F.get(pieces, i + 1), F.lit(8)).alias("post"))))))
 
     searched = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
-    return F.when(F.instr(text, need) > 0, searched).otherwise(none) if need else searched
+    return F.when(reduce(or_, (F.instr(text, x) > 0 for x in need)), searched).otherwise(none) if need else searched
 
 
 def starts(matches: Column, pieces: Column, block: int = 256) -> Column:
