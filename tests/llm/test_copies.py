@@ -46,10 +46,11 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table, sf).collect()) == want
 
 
-@pytest.mark.parametrize("stars", [0, 1, 3])
-def test_chains_and_crowded_groups(spark, monkeypatch, stars):
+@pytest.mark.parametrize(("turns", "block"), [(0, 4096), (0, 16), (2, 16), (4, 4096)])
+def test_chains_and_crowded_groups(spark, monkeypatch, turns, block):
     """Copies of one text with a few words changed, and a chain whose ends are not alike."""
-    monkeypatch.setattr(copies, "STARS", stars)
+    monkeypatch.setattr(copies, "TURNS", turns)
+    monkeypatch.setattr(copies, "BLOCK", block)
     rng = random.Random(4)
     base, rows = [f"w{i}" for i in range(150)], []
     for k in range(60):
@@ -79,4 +80,18 @@ def test_sets_and_bands():
     hashes, n, same = copies.shingles(["a b c d e f", "", "A b", None, "a b c d e"])
     assert n.tolist() == [2, 0, 1, 0, 1] and same[1] == same[3] == 0
     assert hashes[0] == hashes[3] and len(np.unique(hashes)) == 3
-    assert copies.band_keys(hashes, n).shape == (3, copies.BANDS)
+    assert copies.band_keys(hashes, n).shape == (3, copies.BANDS) and copies.signatures(hashes, n).shape == (3, copies.WORDS)
+
+
+def test_radius_reaches_the_similarity():
+    """Of sets of all sizes that overlap by 0.8, none lies beyond the radius."""
+    rng = np.random.default_rng(9)
+    for size in (4, 8, 16, 40, 200, 1000):
+        far = []
+        for _ in range(200):
+            own = rng.integers(0, 2**63, size, np.uint64)
+            other = own[: size * 8 // 9 + (size == 4) * 1]
+            both = np.concatenate([own, other, rng.integers(0, 2**63, size - len(other), np.uint64)])
+            x = copies.signatures(both, np.array([size, size]))
+            far.append(int(np.bitwise_count(x[0] ^ x[1]).sum()))
+        assert max(far) <= copies.RADIUS

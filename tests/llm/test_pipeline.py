@@ -1,8 +1,9 @@
 import corpus_pipeline
-from tidewater.llm import pii, simhash
+from tidewater.llm import pii
 from tidewater.llm.queries import QUERIES
 
 from .fixtures import empty, odd
+from .test_copies import kept_ids
 
 
 def test_stages_in_turn(spark, tmp_path):
@@ -18,9 +19,8 @@ def test_stages_in_turn(spark, tmp_path):
     kept = {r["doc_id"] for r in tables["toxicity"].collect()}
     clean = [r["doc_id"] for r in labels.filter("toxic = 0").collect()]
     assert sum(k in kept for k in clean) > 0.97 * len(clean)
-    once = [r["component_id"] for r in simhash.near_duplicates(tables["toxicity"]).collect()]
     ids = sorted(r["doc_id"] for r in tables["near_duplicates"].collect())
-    assert ids == sorted(set(once))
+    assert ids == kept_ids([(r["doc_id"], r["text"]) for r in tables["toxicity"].collect()])
     masked = tables["personal_data"]
     assert sorted(r["doc_id"] for r in masked.collect()) == ids and masked.filter("n_chars <> length(text)").count() == 0
     assert pii.detect(masked).filter("n_email + n_ip + n_card + n_phone > 0").count() == 0

@@ -58,13 +58,17 @@ def test_odd_texts(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_one_row_of_each_component_stays(spark, sf):
-    table = docs(spark, sf).unionByName(docs(spark, sf).limit(5))
-    kept = [r["doc_id"] for r in simhash.deduplicated(table).collect()]
-    assert sorted(kept) == sorted({r["component_id"] for r in simhash.near_duplicates(table).collect()})
-    out = simhash.deduplicated(odd(spark))
-    assert out.columns == odd(spark).columns
-    assert out.count() == len({r["root"] for r in simhash.near_duplicates(odd(spark)).collect()})
+@pytest.mark.parametrize("words", [1, 2])
+def test_close_pairs_against_all_pairs(words):
+    rng = np.random.default_rng(words)
+    fps = rng.integers(0, 2**64, (300, words), np.uint64)
+    fps[150:] = fps[:150] ^ (np.uint64(1) << rng.integers(0, 64, (150, words), np.uint64))
+    fps[200:] ^= np.uint64(1) << rng.integers(0, 64, (100, words), np.uint64)
+    groups, label = np.repeat([0, 1, 2], [200, 0, 100]), rng.integers(0, 40, 300)
+    for radius in (2, 5, 20):
+        got = {(int(a), int(b)) for x, y in simhash.close_pairs(groups, fps, label, radius) for a, b in zip(x, y)}
+        want = {(a, b) for b in range(300) for a in range(b) if groups[a] == groups[b] and label[a] != label[b] and int(np.bitwise_count(fps[a] ^ fps[b]).sum()) <= radius}
+        assert got == want
 
 
 @pytest.mark.parametrize("group", [4, 512])

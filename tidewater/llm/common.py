@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.storage import Scratch, shared_folder
 
-__all__ = ["Scratch", "importable", "join_dimension", "n_words", "py_words", "shared_folder"]
+__all__ = ["Scratch", "importable", "join_dimension", "n_words", "py_words", "row_key", "shared_folder", "spare"]
 
 #: White space of all contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -35,6 +35,19 @@ def n_words(text: Column) -> Column:
     return F.greatest(F.size(parts) - ends, F.lit(0)).cast("bigint")
 
 
+def row_key(id: str, text: str) -> Column:
+    """128 bits that tell rows apart by id and text; rows alike have the same."""
+    return F.struct(F.xxhash64(id, text).alias("a"), F.xxhash64(F.lit(1), text, id).alias("b"))
+
+
+def spare(name: str, columns: list[str]) -> str:
+    """A column name that none of the columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers find this package where driver and executors share its folder.
 
@@ -52,9 +65,10 @@ def join_dimension(facts: DataFrame, dim: DataFrame, key: str, rows: int, how: s
     broadcast.  A larger one is copied ``salts`` times and joined on key and
     salt, so that a key with a third of all facts is spread over as many tasks.
     """
-    d = dim.withColumnRenamed(key, "__key")
+    named, salt, fsalt = (spare(x, [*facts.columns, *dim.columns]) for x in ("key", "salt", "fsalt"))
+    d = dim.withColumnRenamed(key, named)
     if rows <= BROADCAST_ROWS:
-        return facts.join(F.broadcast(d), facts[key].eqNullSafe(d["__key"]), how).drop("__key")
-    d = d.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    f = facts.withColumn("__fsalt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
-    return f.join(d, f[key].eqNullSafe(d["__key"]) & (f["__fsalt"] == d["__salt"]), how).drop("__key", "__salt", "__fsalt")
+        return facts.join(F.broadcast(d), facts[key].eqNullSafe(d[named]), how).drop(named)
+    d = d.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    f = facts.withColumn(fsalt, F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
+    return f.join(d, f[key].eqNullSafe(d[named]) & (f[fsalt] == d[salt]), how).drop(named, salt, fsalt)

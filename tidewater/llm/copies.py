@@ -1,19 +1,22 @@
-"""Near copies by the overlap of their word shingles: MinHash bands, stars, exact check.
+"""SimHash near-duplicates of a given similarity: bit-sliced comparison in blocks, then an exact check.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word
-shingles is 0.8 or more; links form components.  A SimHash radius that reaches
-so far (11 bits of 64 and more) leaves its bands no bits to tell texts apart,
-so candidates are texts that agree in one of ``BANDS`` bands of ``ROWS``
-minima: at similarity 0.8 a pair is missed with a chance of
-(1 - 0.8^6)^36 = 2e-5.  Each candidate pair that could still join two
-components is checked on the whole sets, kept as 64-bit hashes.
-
-A band's group can hold a large part of all texts.  So first, for ``STARS``
-rounds, one member of each component in a group is compared with one of the
-group's least component.  Only where a group still has several components are
-all pairs across them checked, less those that have been.  So a group of copies
-of one text costs as many pairs as it has members; a group of texts that meet
-by chance and are not alike costs all its pairs.
+shingles is 0.8 or more; links form components, and one text of each stays.
+Bands of fingerprint bits, as ``simhash`` has for two bits, would have no bits
+left at the distances that such texts have.  So fingerprints of 128 bits are
+compared inside blocks of texts that agree in one of ``BANDS`` bands of
+``ROWS`` minima; at similarity 0.8 a pair shares none with a chance of
+(1 - 0.8^6)^36 = 2e-5, and exceeds ``RADIUS`` bits with one below 1e-5.
+
+A block can hold a large part of all texts, so it is worked off in turns.  In
+each, a component that is known by now has one member in a block, blocks above
+``BLOCK`` members are dealt in pieces, and the bit planes give each member its
+nearest one of another component: no more pairs than members.  These pairs are
+checked on the whole sets of shingles, kept as 64-bit hashes, and components
+grow.  Pieces and members change from turn to turn, so a block of copies of one
+text is one component after two or three.  What is still open after ``TURNS``
+is compared in full, in pairs of pieces; only pairs within the radius, of
+different components and not yet checked leave a task.
 """
 
 from __future__ import annotations
@@ -27,15 +30,21 @@ from pyspark.sql import functions as F
 
 from tidewater.operators.components import connected_components
 
-from .common import Scratch, importable
-from .simhash import LOWER
+from .common import Scratch, importable, row_key, spare
+from .simhash import LOWER, close_pairs, numbered, slabs
 from .substrings import mix, rolling, word_hashes
 
 SIMILARITY = 0.8
 SHINGLE = 5
 BANDS = 36
 ROWS = 6
-STARS = 3
+#: 64-bit words of a fingerprint, and the distance up to which texts are checked.  At similarity 0.8 it is 19 bits on
+#: average, 24 for texts of a few shingles, with a deviation of 4.5.
+WORDS = 2
+RADIUS = 44
+TURNS = 4
+#: Members of a block, or of a piece of one, that a task compares at once.
+BLOCK = 4096
 #: Words that a task hashes at once.
 AT_ONCE = 100_000
 SEED = 11
@@ -65,6 +74,13 @@ def shingles(texts: list[str | None], shingle: int = SHINGLE) -> tuple[np.ndarra
     return out, n, same
 
 
+def unique_in_texts(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set of each text's hashes, and its size."""
+    ends = np.cumsum(n)
+    each = [np.unique(hashes[b - c : b]) for b, c in zip(ends.tolist(), n.tolist())]
+    return (np.concatenate(each) if each else hashes), np.fromiter(map(len, each), np.int64, len(each))
+
+
 def band_keys(hashes: np.ndarray, n: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """For each text with shingles, one key a band."""
     rng = np.random.default_rng(SEED)
@@ -78,6 +94,18 @@ def band_keys(hashes: np.ndarray, n: np.ndarray, bands: int = BANDS, rows: int =
     return out
 
 
+def signatures(hashes: np.ndarray, n: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """For each text with shingles, its SimHash of ``words`` times 64 bits; each shingle of the set counts once."""
+    start, size = (np.cumsum(n) - n)[n > 0], n[n > 0][:, None]
+    out = np.zeros((len(start), words), np.uint64)
+    for k in range(words):
+        own = mix(hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
+        out[:, k] = np.packbits(2 * ones > size, axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def _in_parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Slices of texts of about AT_ONCE words each, judged by characters."""
     lo, size = 0, 0
@@ -95,21 +123,54 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(batch.num_columns - 1).to_pylist()
         for lo, hi in _in_parts(texts):
             hashes, n, same = shingles(texts[lo:hi])
-            keys = band_keys(hashes, n) if n.any() else np.zeros((0, BANDS), np.uint64)
-            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
+            hashes, n = unique_in_texts(hashes, n)
+            some = bool(n.any())
+            lists = []
+            for wide, values in ((WORDS, signatures(hashes, n) if some else np.zeros(0, np.uint64)), (BANDS, band_keys(hashes, n) if some else np.zeros(0, np.uint64))):
+                offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, wide, 0))]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel().view(np.int64))))
             part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(same.view(np.int64)), bands], names=[*part.schema.names[:-1], "same", "bands"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(same.view(np.int64)), pa.array(n), *lists], names=[*part.schema.names[:-1], "same", "size", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for lo, hi in _in_parts(texts):
-            hashes, n, _ = shingles(texts[lo:hi])
-            ends = np.cumsum(n)
-            each = [np.unique(hashes[b - c : b]).view(np.int64) for b, c in zip(ends.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(each, pa.list_(pa.int64()))], names=["same", "set"])
+            hashes, n = unique_in_texts(*shingles(texts[lo:hi])[:2])
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], names=["same", "set"])
+
+
+def _candidates(similarity: float, every: bool):
+    """Pairs from rows (band, piece, root, same, size, words of the fingerprint), sorted by band and piece.
+
+    With ``every`` all within the radius, else each row's nearest; pairs of one
+    component, and of sets whose sizes alone rule the similarity out, do not count.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slabs(batches, 2):
+            root, same, size, fps = rows[:, 2], rows[:, 3], rows[:, 4], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+            distance, other = np.full(len(rows), RADIUS + 1), np.full(len(rows), -1)
+            found = []
+            for a, b in close_pairs(numbered(rows[:, :2]), fps, root, RADIUS):
+                fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+                a, b = a[fits], b[fits]
+                if every:
+                    found.append(np.stack([a, b]))
+                    continue
+                d = np.bitwise_count(fps[a] ^ fps[b]).sum(1)
+                for x, y in ((a, b), (b, a)):
+                    nearer = d < distance[x]
+                    distance[x[nearer]], other[x[nearer]] = d[nearer], y[nearer]
+            some = np.flatnonzero(other >= 0)
+            a, b = np.concatenate(found, 1) if found else np.stack([some, other[some]])
+            u, v = np.minimum(same[a], same[b]), np.maximum(same[a], same[b])
+            pairs = np.unique(np.stack([u, v], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return scan
 
 
 def _alike(x: Column, y: Column, similarity: float) -> Column:
@@ -118,50 +179,47 @@ def _alike(x: Column, y: Column, similarity: float) -> Column:
     return (F.least(F.size(x), F.size(y)) >= similarity * most - 1e-9) & (both >= similarity * (F.size(x) + F.size(y) - both) - 1e-9)
 
 
-def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    return rows.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct()
-
+def _dealt(open_: DataFrame, turn: int) -> DataFrame:
+    """Rows with a piece: one row of each component in pieces of a block, or, after the last turn, all rows in pairs of pieces."""
+    numbers = ["same", "size", *(f"f{k}" for k in range(WORDS))]
+    if turn < TURNS:
+        one = F.min(F.struct(F.xxhash64("same", F.lit(turn)).alias("h"), *numbers)).alias("x")
+        open_ = open_.groupBy("band", "root").agg(one).select("band", "root", *(F.col(f"x.{c}").alias(c) for c in numbers))
+    sizes = open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    rows = open_.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("same", F.lit(-turn)), F.col("parts")))
+    if turn < TURNS:
+        return rows.select("band", F.col("own").alias("piece"), "root", *numbers)
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    return rows.select("band", (F.least("own", "with") * F.col("parts") + F.greatest("own", "with")).alias("piece"), "root", *numbers)
 
-def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each component: the one with the smallest id, a null id only where there is no other.
 
-    Null and empty texts are copies of each other.  Rows alike count as one.
-    All columns stay as they are.
-    """
+def classes(docs: DataFrame, key: Column, id: str, text: str, similarity: float, scratch: Scratch) -> DataFrame:
+    """One row per row of docs: id, key, and root, one number per component."""
     spark = docs.sparkSession
     importable(spark)
-    scratch = Scratch(spark, "copies")
-    keyed = docs.withColumn("__key", F.xxhash64(id, text))
-    kind = docs.schema[id].dataType.simpleString()
-    own = keyed.select(F.col(id).alias("id"), F.col("__key").alias("key"), F.col(text).alias("text"))
-    marked = scratch.write(own.mapInArrow(_mark, f"id {kind}, key bigint, same bigint, bands array<bigint>"), "marked")
-    distinct = scratch.write(marked.groupBy("same").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"), F.first("bands").alias("bands"), F.count("*").alias("n")), "distinct")
-    dealt = distinct.select("same", F.explode("bands").alias("band"))
-    crowded = dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    met = scratch.write(dealt.join(crowded.select("band"), "band"), "met")
-    pick = distinct.join(met.select("same").distinct(), "same").select(F.col("first.key").alias("__key"), "same")
-    texts = keyed.select("__key", F.col(text).alias("__text")).join(pick, "__key").select("same", "__text")
-    sets = scratch.write(texts.mapInArrow(_sets, "same bigint, set array<bigint>").dropDuplicates(["same"]), "sets")
-
-    roots, found, checked = None, None, None
-    for turn in range(STARS + 1):
+    keyed = docs.select(F.col(id).alias("id"), key.alias("key"), F.col(text).alias("text"))
+    schema = f"id {docs.schema[id].dataType.simpleString()}, key {keyed.schema['key'].dataType.simpleString()}, same bigint, size bigint, fp array<bigint>, bands array<bigint>"
+    marked = scratch.write(keyed.mapInArrow(_mark, schema), "marked")
+    distinct = scratch.write(marked.groupBy("same").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+    dealt = distinct.select(F.explode("bands").alias("band"), "same", "size", *(F.get("fp", F.lit(k)).alias(f"f{k}") for k in range(WORDS)))
+    crowded = dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    met = scratch.write(dealt.join(crowded, "band"), "met")
+    pick = distinct.join(met.select("same").distinct(), "same", "left_semi").select("key", "same")
+    sets = scratch.write(keyed.select("key", "text").join(pick, "key").select("same", "text").mapInArrow(_sets, "same bigint, set array<bigint>").dropDuplicates(["same"]), "sets")
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    roots, links, checked = None, None, None
+    for turn in range(TURNS + 1):
         rows = met.withColumn("root", F.col("same"))
         if roots is not None:
-            rows = met.join(roots, met["same"] == roots["node"], "left").select("band", "same", F.coalesce("root", "same").alias("root"))
-            open_ = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-            rows = scratch.write(rows.join(open_, "band"), f"open-{turn}")
+            rows = met.join(roots, met["same"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "same"))
+            still = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+            rows = scratch.write(rows.join(still, "band"), f"open-{turn}")
             if rows.isEmpty():
                 break
-        if turn < STARS:
-            one = rows.groupBy("band", "root").agg(F.min(F.struct(F.xxhash64("same", F.lit(turn)), "same")).alias("x")).select("band", "root", "x.same") if turn else rows
-            hub = one.groupBy("band").agg(F.min(F.struct("root", "same")).alias("h")).select("band", F.col("h.same").alias("hub"))
-            pairs = _pairs(one.join(hub, "band"), "same", "hub")
-        else:
-            x, y = rows.alias("x"), rows.alias("y")
-            pairs = _pairs(x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))).select(F.col("x.same").alias("a"), F.col("y.same").alias("b")), "a", "b")
-        if checked is not None:
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
-        pairs = scratch.write(pairs, f"pairs-{turn}")
+        ready = _dealt(rows, turn).repartition(parts, "band", "piece").sortWithinPartitions("band", "piece", "same")
+        pairs = ready.mapInArrow(_candidates(similarity, turn == TURNS), "u bigint, v bigint").distinct()
+        pairs = scratch.write(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"), f"pairs-{turn}")
         if pairs.isEmpty():
             continue
         checked = pairs if checked is None else checked.unionByName(pairs)
@@ -169,14 +227,27 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", simila
         new = scratch.write(with_sets.filter(_alike(F.col("x"), F.col("y"), similarity)).select("u", "v"), f"links-{turn}")
         if new.isEmpty():
             continue
-        found = new if found is None else found.unionByName(new)
-        roots = connected_components(found, Scratch(spark, f"copies-{turn}"))
-
-    members = distinct if roots is None else distinct.join(roots, distinct["same"] == roots["node"], "left")
-    root = F.col("same") if roots is None else F.coalesce("root", "same")
-    kept = scratch.write(members.groupBy(root.alias("root")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key")), "kept")
-    scratch.drop("sets", "met")
-    out = keyed.join(kept, "__key", "left_semi")
-    if marked.count() > marked.select("key").distinct().count():
-        out = out.dropDuplicates(["__key"])
-    return out.drop("__key")
+        links = new if links is None else links.unionByName(new)
+        roots = connected_components(links, Scratch(spark, f"copies-{turn}"))
+    scratch.drop("distinct", "sets", "met")
+    slim = marked.select("id", "key", "same")
+    if roots is None:
+        return slim.withColumn("root", F.col("same")).drop("same")
+    return slim.join(roots, slim["same"] == roots["node"], "left").select("id", "key", F.coalesce("root", "same").alias("root"))
+
+
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each component: the one with the smallest id, a null id only where there is no other.
+
+    Null and empty texts are copies of each other.  Rows alike count as one.
+    All columns stay as they are, whatever their names.
+    """
+    name = spare("key", docs.columns)
+    scratch = Scratch(docs.sparkSession, "copies")
+    classed = classes(docs, row_key(id, text), id, text, similarity, scratch)
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))).alias("first")
+    kept = scratch.write(classed.groupBy("root").agg(first, F.count("*").alias("n"), F.count_distinct("key").alias("keys")).select(F.col("first.key").alias(name), "n", "keys"), "kept")
+    repeated = not kept.filter("n > keys").isEmpty()  # rows alike, of which all would stay
+    scratch.drop("marked")
+    out = docs.withColumn(name, row_key(id, text)).join(kept.select(name), name, "left_semi")
+    return (out.dropDuplicates([name]) if repeated else out).drop(name)

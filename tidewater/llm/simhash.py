@@ -111,15 +111,20 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link_block(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For rows sorted by group: the least row that each is linked to, over links inside its group."""
-    n = len(fps)
+def close_pairs(groups: np.ndarray, fps: np.ndarray, label: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group and two labels whose fingerprints differ in at most ``radius`` bits.
+
+    Rows are sorted by group; a fingerprint is one 64-bit word or several.
+    Pairs come by their distance in rows, (a, a + shift), so labels that the
+    caller unites meanwhile are not compared again.
+    """
+    n, bits = len(fps), BIT * (fps.size // max(1, len(fps)))
     width = -(-n // BIT)
-    bits = np.zeros((BIT, (width + 1) * BIT), np.uint8)
-    bits[:, :n] = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
-    planes = np.packbits(bits, axis=1, bitorder="little").view("<u8")
-    label = np.arange(n)
-    starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    flat = np.zeros((bits, (width + 1) * BIT), np.uint8)
+    flat[:, :n] = np.unpackbits(np.ascontiguousarray(fps.astype("<u8")).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
+    planes = np.packbits(flat, axis=1, bitorder="little").view("<u8")
+    del flat
+    starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.zeros(0, np.int64)
     longest = int(np.diff(np.append(starts, n)).max()) if n else 0
     for shift in range(1, longest):
         open_ = np.zeros(width * BIT, bool)
@@ -132,7 +137,7 @@ def link_block(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.
         by, off = divmod(shift, BIT)
         low, high = np.uint64(off), np.uint64(BIT - off)
         counters, over = [np.zeros(len(at), np.uint64) for _ in range(max(1, radius.bit_length()))], np.zeros(len(at), np.uint64)
-        for b in range(0, BIT, 8):
+        for b in range(0, bits, 8):
             chunk = planes[b : b + 8]
             near = chunk[:, np.minimum(at + by, width)]
             moved = near >> low | chunk[:, np.minimum(at + by + 1, width)] << high if off else near
@@ -154,7 +159,14 @@ def link_block(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.
             found = np.unpackbits(alive.view(np.uint8).reshape(len(at), 8), axis=1, bitorder="little")
             row, lane = np.nonzero(found)
             a = at[row] * BIT + lane
-            _unite(label, a, a + shift)
+            yield a, a + shift
+
+
+def link_block(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For rows sorted by group: the least row that each is linked to, over links inside its group."""
+    label = np.arange(len(fps))
+    for a, b in close_pairs(groups, fps, label, radius):
+        _unite(label, a, b)
     return label
 
 
@@ -182,31 +194,37 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = root
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of groups in sorted rows (m, key, fp).  A slab ends where a group does."""
+def slabs(batches: Iterator[pa.RecordBatch], keys: int, most: int = 0) -> Iterator[np.ndarray]:
+    """Sorted rows of integers as matrices of ``most`` (SLAB) rows or so; one ends where a group, the first ``keys`` columns, does."""
     kept: list[np.ndarray] = []
-
-    def done(rows: np.ndarray) -> pa.RecordBatch:
-        new = np.any(rows[1:, :2] != rows[:-1, :2], axis=1)
-        label = link_block(np.concatenate([[0], np.cumsum(new)]), rows[:, 2].astype(np.uint64))
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(rows[moved, 2]), pa.array(rows[label[moved], 2])], names=["u", "v"])
-
-    held = 0
+    held, most = 0, most or SLAB
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
         kept.append(rows)
         held += len(rows)
-        if held >= SLAB:
+        if held >= most:
             rows = np.concatenate(kept)
-            cut = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1))
+            cut = np.flatnonzero(np.any(rows[1:, :keys] != rows[:-1, :keys], axis=1))
             if len(cut):
-                yield done(rows[: cut[-1] + 1])
+                yield rows[: cut[-1] + 1]
                 kept, held = [rows[cut[-1] + 1 :]], len(rows) - cut[-1] - 1
             else:
                 kept = [rows]
     if held:
-        yield done(np.concatenate(kept))
+        yield np.concatenate(kept)
+
+
+def numbered(keys: np.ndarray) -> np.ndarray:
+    """Number of the group of each sorted row."""
+    return np.concatenate([[0], np.cumsum(np.any(keys[1:] != keys[:-1], axis=1))])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning edges of groups in sorted rows (m, key, fp)."""
+    for rows in slabs(batches, 2):
+        label = link_block(numbered(rows[:, :2]), rows[:, 2].astype(np.uint64))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[moved, 2]), pa.array(rows[label[moved], 2])], names=["u", "v"])
 
 
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
@@ -253,19 +271,3 @@ def near_duplicates(docs: DataFrame, columns: list[str] | None = None, id: str =
     joined = marked.join(classes, marked["fp"] == classes["__fp"])
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return joined.select(*columns, hexed.alias("fingerprint"), "component_id", "root")
-
-
-def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component: the one with the smallest id, a null id only where there is no other.
-
-    Rows alike count as one.  All columns stay as they are.
-    """
-    keyed = docs.withColumn("__key", F.xxhash64(id, text))
-    scratch = Scratch(docs.sparkSession, "deduplicated")
-    near = scratch.write(near_duplicates(keyed, [id, "__key"], id, text, shingle), "near")
-    first = F.min(F.struct(F.col(id).isNull(), F.col(id), F.col("__key").alias("key")))
-    kept = scratch.write(near.groupBy("root").agg(first.alias("x")).select(F.col("x.key").alias("__key")), "kept")
-    out = keyed.join(kept, "__key", "left_semi")
-    if near.count() > near.select("__key").distinct().count():
-        out = out.dropDuplicates(["__key"])
-    return out.drop("__key")
