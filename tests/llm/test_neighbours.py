@@ -29,6 +29,9 @@ def test_recall(spark):
         hit += len({v for v, _ in got[q]} & {v for v, _ in want})
         total += len(want)
     assert hit / total >= 0.9
+    scored = [r["scored"] for r in neighbours.search(table, lambda id: id % 20 == 0, counted=True).collect()]
+    print(f"recall {hit / total:.4f}, compared with {np.mean(scored) / len(rows):.3f} of all rows")
+    assert np.mean(scored) < 0.42 * len(rows)  # vectors of no structure, so few that the 20th of 2,000 is hardly near
 
 
 def test_copies_ties_norms_and_bad_rows(spark, monkeypatch):
@@ -53,10 +56,32 @@ def test_few_and_no_rows(spark):
     assert neighbours.search(some, lambda id: id == 7).count() == 0
 
 
-def test_bucket_chances_add_up():
-    model = neighbours.Model(4, 1.0, np.zeros(32), np.ones(32))
-    logs = model.chances(np.random.default_rng(1).normal(size=(3, 32)))
+def test_probes_come_in_the_order_of_their_chances():
+    model = neighbours.Model(4, 1.0, 5)
+    projected = np.random.default_rng(1).normal(size=(3, neighbours.TABLES * 5))
+    costs = model.costs(projected, 1)
+    every = np.array(np.meshgrid(*[range(neighbours.CELLS)] * 5, indexing="ij")).reshape(5, -1)
     for q in range(3):
-        every = model.all_buckets(logs[q], 1)
-        assert np.exp(every).sum() == pytest.approx(1, abs=1e-5)
-        assert model.of_buckets(logs, 1, np.arange(len(every)))[q] == pytest.approx(every)
+        total = sum(costs[q, d][every[d]] for d in range(5))
+        numbers = sum(every[d] * neighbours.CELLS ** (4 - d) for d in range(5))
+        got = model.probes(projected, 1, 40)[q]
+        assert len(set(got.tolist())) == 40
+        cost = dict(zip(numbers.tolist(), total.tolist()))
+        assert [cost[b] for b in got.tolist()] == pytest.approx(sorted(total.tolist())[:40])
+
+
+def test_groups_are_prefixes_and_ids_need_not_be_numbers(spark, monkeypatch):
+    """Small blocks: many groups, of which a query visits its own; ids are strings."""
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16)) * 4
+    rows = [(f"v{i:04d}", (centres[i % 12] + rng.normal(size=16)).tolist()) for i in range(600)]
+    table = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    got = found(neighbours.search(table, lambda id: id.endswith("0"), k=5))
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    hit = 0
+    for q in range(0, 600, 10):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len({v for v, _ in got[f"v{q:04d}"]} & {f"v{j:04d}" for j in np.argsort(-s)[:5]})
+    assert len(got) == 60 and hit / 300 >= 0.9

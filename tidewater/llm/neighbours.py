@@ -1,57 +1,75 @@
 """Approximate nearest neighbours by inner product: multiprobe p-stable hashing.
 
 Vectors get one more component, so that the largest inner product becomes the
-least Euclidean distance.  Each of a few tables projects them on Gaussian
+least Euclidean distance.  Each of ``TABLES`` tables projects them on Gaussian
 directions (made orthogonal) and cuts each projection into cells; a bucket is a
 tuple of cells.  A neighbour's projection is the query's, shrunk, with Gaussian
-noise, so each bucket has an estimated chance of holding it, and a query visits
-buckets in order of that chance until their sum reaches a depth.  Shrinkage,
-noise and depth are fitted on a bounded sample of queries whose true neighbours
-are found by brute force over all rows.  Every row is indexed.
-
-Buckets are dealt to groups by a hash of their number; a query goes to the
-groups where it has a bucket to visit.  Both sides of a group are split into
-blocks of bounded size, so neither a crowded bucket nor a popular group fills a
-task.  Rows with one and the same vector are one index entry with its smallest
-ids, which is all that a list of k can show of them.
+noise, so each cell has an estimated chance of holding it.  A query visits the
+buckets of a table in the order of these chances, its own first, then
+perturbed ones, up to a number of probes.  Shrinkage, noise, the number of
+directions and that of probes are fitted on a bounded sample of queries whose
+true neighbours are found by brute force over all rows.  Every row is indexed.
+
+A bucket's number begins with the cells of its first directions, and buckets
+whose numbers begin alike are one group: the number of groups follows the number of
+rows, and a query goes only to those of its buckets.  Both sides of a group are
+split into blocks of bounded size, so neither a crowded bucket nor a popular
+group fills a task.  What the tables find is merged, a vector once, and ranked
+by the exact product.  Rows with one and the same vector are one index entry
+with its smallest ids, which is all that a list of k can show of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log2, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, importable, join_dimension
+from .tokens import ragged
 
-TABLES = 4
-DIRECTIONS = 8
+TABLES = 16
+#: Cells of a direction, and their width in standard deviations: two hold nearly all rows.
 CELLS = 4
-#: Queries of the fitted sample, and the share of their true neighbours that the depth must reach.
+WIDTH = 3.0
+#: Most directions of a table, at first three more than would give each row a bucket, and most buckets that a query visits in it.
+DIRECTIONS = 30
+PROBES = 2048
+#: Queries of the fitted sample, and the share of their true neighbours that the probes must reach.
 SAMPLE = 256
-AIM = 0.96
-#: Entries and queries of one block, and entries a group should have.
-BLOCK = 8192
+AIM = 0.92
+#: Entries of a group or block, queries of a block, and queries that a task looks up at once.
+BLOCK = 100_000
+ASKED = 16_000
+AT_ONCE = 128
 SEED = 20
 
 
 class Model:
     """Directions, cell borders, and what a neighbour's projections look like."""
 
-    def __init__(self, dims: int, top: float, mean: np.ndarray | None = None, spread: np.ndarray | None = None):
-        self.top = top
+    def __init__(self, dims: int, top: float, directions: int):
+        self.top, self.per = top, directions
         rng = np.random.default_rng(SEED)
-        n = TABLES * DIRECTIONS
-        draws = rng.normal(size=(max(n, dims + 1), dims + 1))
-        full = np.concatenate([np.linalg.qr(draws[k : k + dims + 1].T)[0].T for k in range(0, len(draws), dims + 1) if len(draws[k : k + dims + 1])])
-        self.directions = full[:n]
-        self.shift = rng.uniform(-0.5, 0.5, n)
-        self.mean, self.spread = mean, spread
-        self.shrink, self.noise, self.depth = 1.0, np.ones(n), 1.0
+        n = TABLES * directions
+        draws = rng.normal(size=(n, dims + 1))
+        self.directions = np.concatenate([np.linalg.qr(draws[k : k + dims + 1].T)[0].T for k in range(0, n, dims + 1)])
+        self.shift = rng.uniform(-0.25, 0.25, n)
+        self.mean, self.spread, self.shrink, self.noise = np.zeros(n), np.ones(n), 1.0, np.ones(n)
+        self.probed = 1
+
+    def narrowed(self, directions: int) -> Model:
+        """The same with fewer directions in each table."""
+        out = object.__new__(Model)
+        keep = (np.arange(TABLES)[:, None] * self.per + np.arange(directions)).ravel()
+        out.top, out.per, out.shrink, out.probed = self.top, directions, self.shrink, self.probed
+        for name in ("directions", "shift", "mean", "spread", "noise"):
+            setattr(out, name, getattr(self, name)[keep])
+        return out
 
     def extend(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         norm = np.linalg.norm(x, axis=1)
@@ -63,39 +81,42 @@ class Model:
         return self.extend(x, query) @ self.directions.T
 
     def borders(self) -> np.ndarray:
-        """Inner cell borders of each direction, two standard deviations apart."""
+        """Inner cell borders of each direction."""
         steps = np.arange(CELLS - 1) - (CELLS - 2) / 2
-        return self.mean[:, None] + self.spread[:, None] * (2.0 * steps[None, :] + self.shift[:, None])
-
-    def cells(self, projected: np.ndarray) -> np.ndarray:
-        return (projected[:, :, None] > self.borders()[None]).sum(2)
+        return self.mean[:, None] + self.spread[:, None] * (WIDTH * steps[None, :] + self.shift[:, None])
 
     def buckets(self, projected: np.ndarray) -> np.ndarray:
-        """Bucket numbers, one for each row and table."""
-        weights = CELLS ** np.arange(DIRECTIONS)
-        return self.cells(projected).reshape(-1, TABLES, DIRECTIONS) @ weights
-
-    def chances(self, projected: np.ndarray) -> np.ndarray:
-        """Log-chance of each cell for a neighbour, by query and direction."""
-        from math import sqrt
-
-        z = (self.borders()[None] - (self.shrink * projected)[:, :, None]) / self.noise[None, :, None]
+        """Bucket numbers, one for each row and table; the first direction decides most."""
+        cells = (projected[:, :, None] > self.borders()[None]).sum(2)
+        return cells.reshape(-1, TABLES, self.per) @ CELLS ** np.arange(self.per - 1, -1, -1)
+
+    def costs(self, projected: np.ndarray, table: int) -> np.ndarray:
+        """By query, direction of the table and cell: how much less likely than the best cell, in logarithms."""
+        own = slice(table * self.per, (table + 1) * self.per)
+        z = (self.borders()[None, own] - (self.shrink * projected[:, own])[:, :, None]) / self.noise[None, own, None]
         upto = np.concatenate([np.zeros((*z.shape[:2], 1)), 0.5 * (1 + _erf(z / sqrt(2))), np.ones((*z.shape[:2], 1))], 2)
-        return np.log(np.maximum(np.diff(upto, axis=2), 1e-12))
-
-    def all_buckets(self, logs: np.ndarray, table: int) -> np.ndarray:
-        """Log-chance of every bucket of a table, for one query."""
-        out = np.zeros(1)
-        for j in range(DIRECTIONS):
-            out = (logs[table * DIRECTIONS + j][:, None] + out[None, :]).ravel()
-        return out
-
-    def of_buckets(self, logs: np.ndarray, table: int, buckets: np.ndarray) -> np.ndarray:
-        """Log-chances of some buckets, for many queries (rows)."""
-        out = np.zeros((len(logs), len(buckets)))
-        for j in range(DIRECTIONS):
-            out += logs[:, table * DIRECTIONS + j, :][:, buckets // CELLS**j % CELLS]
-        return out
+        logs = np.log(np.maximum(np.diff(upto, axis=2), 1e-12))
+        return logs.max(2, keepdims=True) - logs
+
+    def probes(self, projected: np.ndarray, table: int, most: int) -> np.ndarray:
+        """The ``most`` likeliest buckets of a table for each query, likeliest first.
+
+        Direction by direction the cheapest sums are kept: no prefix beyond the
+        first ``most`` can be part of one of the ``most`` cheapest buckets.
+        """
+        costs = self.costs(projected, table)
+        sums, numbers = np.zeros((len(projected), 1)), np.zeros((len(projected), 1), np.int64)
+        for d in range(self.per):
+            sums = (sums[:, :, None] + costs[:, d, None, :]).reshape(len(sums), -1)
+            numbers = (numbers[:, :, None] * CELLS + np.arange(CELLS)).reshape(len(sums), -1)
+            if sums.shape[1] > most:
+                cheapest = np.argpartition(sums, most - 1, axis=1)[:, :most]
+                sums, numbers = np.take_along_axis(sums, cheapest, 1), np.take_along_axis(numbers, cheapest, 1)
+        return np.take_along_axis(numbers, np.argsort(sums, axis=1, kind="stable"), 1)
+
+    def group(self, buckets: np.ndarray, depth: int) -> np.ndarray:
+        """What a bucket's number begins with: the cells of its first ``depth`` directions."""
+        return buckets // CELLS ** (self.per - depth)
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
@@ -105,23 +126,30 @@ def _erf(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * (1 - poly * np.exp(-x * x))
 
 
-def cut(logs: np.ndarray, depth: float) -> float:
-    """Log-chance down to which buckets are visited: their chances, largest first, add up to the depth."""
-    grid = np.minimum((-logs * 16).astype(np.int64), 511)
-    mass = np.cumsum(np.bincount(grid, np.exp(logs), 512))
-    return -(int(np.searchsorted(mass, min(depth, mass[-1]))) + 1) / 16
+def _matrix(column: pa.Array, single: bool) -> np.ndarray:
+    """Vectors from a column of their bytes."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, "<f4" if single else "<f8").reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
 
+def _packed(single: bool):
+    """Arrays of numbers, in the last column, to their bytes: what moves is an eighth of Spark's own arrays or half of it."""
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype("<f4" if single else "<f8")
+            rows = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([r.tobytes() for r in rows], pa.binary())], names=[*batch.schema.names[:-1], "v"])
+
+    return pack
 
 
 def valid(vectors: DataFrame, id: str, vector: str) -> DataFrame:
     """Rows that take part, as (id, v): ids not null, components finite and not all zero."""
     v = F.col("v")
-    out = vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL")
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    out = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL")
+    fine = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
     return out.filter(v.isNotNull() & F.forall(v, fine) & F.exists(v, lambda x: x != 0))
 
 
@@ -132,202 +160,225 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         some = np.flatnonzero(scores >= limit)
     else:
         some = np.arange(len(scores))
+    if ids.dtype == object:
+        return np.array(sorted(some.tolist(), key=lambda i: (-scores[i], ids[i])), np.int64)[:k]
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def fit(entries: DataFrame, queries: DataFrame, k: int) -> Model | None:
+def fit(entries: DataFrame, queries: DataFrame, k: int, n: int, dims: int, single: bool) -> Model:
     """The model, from one pass for norms, one for the spread, and one that finds the sample's true neighbours."""
     spark = entries.sparkSession
-    facts = entries.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top"), F.max(F.size("v")).alias("dims")).first()
-    if facts["dims"] is None:
-        return None
-    model = Model(facts["dims"], facts["top"] * (1 + 1e-9))
+
+    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = [np.linalg.norm(_matrix(b.column(0), single).astype(float), axis=1).max(initial=0) for b in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([max(top, default=0.0)])], names=["top"])
+
+    top = entries.select("v").mapInArrow(norms, "top double").agg(F.max("top")).first()[0]
+    model = Model(dims, top * (1 + 1e-9), max(1, min(DIRECTIONS, round(log2(n + 1)) + 3)))
     shared = spark.sparkContext.broadcast(model)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = shared.value.project(_matrix(batch.column(0)))
+            p = shared.value.project(_matrix(batch.column(0), single).astype(float))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(p.shape[1])), pa.array(np.full(p.shape[1], float(len(p)))), pa.array(p.sum(0)), pa.array((p * p).sum(0))], names=["j", "n", "s", "q"])
 
     sums = entries.select("v").mapInArrow(moments, "j bigint, n double, s double, q double").groupBy("j").agg(F.sum("n"), F.sum("s"), F.sum("q")).orderBy("j").collect()
-    n, s, q = (np.array([r[c] for r in sums]) for c in (1, 2, 3))
-    model.mean = s / n
-    model.spread = np.sqrt(np.maximum(q / n - model.mean**2, 1e-12))
-    chosen = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    count, s, q = (np.array([r[c] for r in sums]) for c in (1, 2, 3))
+    model.mean = s / count
+    model.spread = np.sqrt(np.maximum(q / count - model.mean**2, 1e-12))
+    chosen = [r["v"] for r in queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
     if not chosen:
         return model
-    sample = np.array([r["v"] for r in chosen])
-    shared = spark.sparkContext.broadcast((model, sample))
+    sample = _matrix(pa.array(chosen), single).astype(float)
+    asked = spark.sparkContext.broadcast(sample)
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, sample = shared.value
-        score, near = np.zeros((len(sample), 0)), np.zeros((len(sample), 0, model.directions.shape[0]))
+        """The best of a task for each query of the sample."""
+        score, held = np.zeros((len(sample), 0)), np.zeros((0, dims))
         for batch in batches:
-            x = _matrix(batch.column(0))
-            both = np.concatenate([score, sample @ x.T], 1)
+            x = _matrix(batch.column(0), single).astype(float)
+            both = np.concatenate([score, asked.value @ x.T], 1)
             take = np.argsort(-both, axis=1, kind="stable")[:, : k + 1]
-            projected = model.project(x)
-            old = score.shape[1]
-            fresh = np.zeros((len(sample), take.shape[1], projected.shape[1]))
-            for i in range(len(sample)):
-                was = take[i] < old
-                fresh[i, was], fresh[i, ~was] = near[i, take[i][was]], projected[take[i][~was] - old]
-            score, near = np.take_along_axis(both, take, 1), fresh
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sample))), pa.array(list(score), pa.list_(pa.float64())), pa.array(list(near.reshape(len(sample), -1)), pa.list_(pa.float64()))], names=["q", "score", "near"])
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        score = np.concatenate(group["score"].to_list())
-        near = np.concatenate([np.asarray(x).reshape(len(y), -1) for x, y in zip(group["near"], group["score"])])
-        best = np.argsort(-score, kind="stable")[1 : k + 1]  # the first is the query itself
-        return pd.DataFrame({"q": [group["q"].iloc[0]], "near": [near[best].ravel()]})
-
-    found = entries.select("v").mapInArrow(truth, "q bigint, score array<double>, near array<double>").groupBy("q").applyInPandas(merge, "q bigint, near array<double>").collect()
-    own = model.project(sample, query=True)
-    pairs = [(r["q"], np.array(r["near"]).reshape(-1, own.shape[1])) for r in found if r["near"]]
-    if not pairs:
+            rows = np.concatenate([held.reshape(len(sample), -1, dims), np.broadcast_to(x, (len(sample), *x.shape))], 1) if len(held) else np.broadcast_to(x, (len(sample), *x.shape))
+            score, held = np.take_along_axis(both, take, 1), np.take_along_axis(rows, take[:, :, None], 1)
+        some = held.reshape(-1, dims)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(sample)), score.shape[1])), pa.array(score.ravel()), pa.array([r.tobytes() for r in some], pa.binary())], names=["q", "score", "v"])
+
+    found = entries.select("v").mapInArrow(truth, "q bigint, score double, v binary")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
+    near = found.withColumn("rank", rank).filter((F.col("rank") > 1) & (F.col("rank") <= k + 1)).collect()  # the first is the query itself; SAMPLE x k rows
+    if not near:
         return model
-    mine, theirs = np.concatenate([np.repeat(own[q][None], len(x), 0) for q, x in pairs]), np.concatenate([x for _, x in pairs])
-    model.shrink = float((mine * theirs).sum() / max((mine * mine).sum(), 1e-12))
-    model.noise = np.maximum((theirs - model.shrink * mine).std(0), 1e-3 * model.spread)
-    reach = []
-    logs = model.chances(own)
-    for q, near in pairs:
-        where, first = model.buckets(near), np.full(len(near), 1.0)
+    whose, theirs = np.array([r["q"] for r in near]), model.project(np.stack([np.frombuffer(r["v"]) for r in near]))
+    own = model.project(sample, query=True)
+    model.shrink = float((own[whose] * theirs).sum() / max((own[whose] ** 2).sum(), 1e-12))
+    model.noise = np.maximum((theirs - model.shrink * own[whose]).std(0), 1e-3 * model.spread)
+    for directions in range(model.per, 0, -1):
+        tried = model.narrowed(directions)
+        keep = (np.arange(TABLES)[:, None] * model.per + np.arange(directions)).ravel()
+        where, first = tried.buckets(theirs[:, keep]), np.full(len(whose), np.inf)
         for t in range(TABLES):
-            every = model.all_buckets(logs[q], t)
-            order = np.argsort(-every)
-            mass = np.empty(len(every))
-            mass[order] = np.cumsum(np.exp(every[order]))
-            first = np.minimum(first, mass[where[:, t]])
-        reach.append(first)
-    model.depth = float(np.quantile(np.concatenate(reach), AIM))
-    return model
-
-
-def search(vectors: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+            order = tried.probes(own[:, keep], t, PROBES)
+            for lo in range(0, len(whose), 1000):
+                hit = order[whose[lo : lo + 1000]] == where[lo : lo + 1000, t, None]
+                first[lo : lo + 1000] = np.minimum(first[lo : lo + 1000], np.where(hit.any(1), hit.argmax(1) + 1.0, np.inf))
+        reach = np.quantile(first, AIM, method="higher")
+        if reach <= PROBES:
+            tried.probed = int(reach)
+            return tried
+    tried.probed = CELLS
+    return tried
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector: str = "embedding", counted: bool = False) -> DataFrame:
     """For each query row its k nearest other rows found: query_id, rank, vec_id, score.
 
     Vectors null, of another length than most, all zero, or with null or
     non-finite components, and rows without an id, take no part.  Rows alike
     are one; a vector with many ids is one candidate for each.  Fewer than k
     candidates are all returned.  An empty table gives an empty result.  Other
-    columns are dropped.
+    columns are dropped.  ``counted`` gives (id, scored) instead: how many
+    distinct vectors each query was compared with.
     """
     spark = vectors.sparkSession
     importable(spark)
     scratch = Scratch(spark, "neighbours")
+    single = vectors.schema[vector].dataType.simpleString() == "array<float>"
+    kind = vectors.schema[id].dataType.simpleString()
     rows = valid(vectors, id, vector)
     usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.filter(F.size("v") == (usual["n"] if usual else 0)).withColumn("h", F.xxhash64("v"))
+    rows = rows.filter(F.size("v") == (usual["n"] if usual else 0))
+    rows = scratch.write(rows.mapInArrow(_packed(single), f"id {kind}, v binary").withColumn("h", F.xxhash64("v")), "rows")
     by_vector = Window.partitionBy("h", "v").orderBy("id")
     firsts = rows.withColumn("rank", F.dense_rank().over(by_vector)).filter(F.col("rank") <= k + 1)
     entries = scratch.write(firsts.groupBy("h", "v").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("id", F.get("ids", F.lit(0))), "entries")
-    asked = rows.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "h", "v").distinct()
-    asked = scratch.write(asked, "asked")
+    asked = scratch.write(rows.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "h", "v").distinct(), "asked")
     queries = scratch.write(asked.select("h", "v").distinct().join(entries.select("h", "v", "id"), ["h", "v"]).select("id", "v"), "queries")
-    kind = vectors.schema[id].dataType.simpleString()
-    result = f"query_id {kind}, rank int, vec_id {kind}, score double"
-    model = fit(entries, queries, k)
-    if model is None:
-        return spark.createDataFrame([], result)
-    groups = max(1, entries.count() // (BLOCK // 2))
+    n = entries.count()
+    if not n:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    model = fit(entries, queries, k, n, usual["n"], single)
+    depth = min(model.per, max(0, round(log2(n / BLOCK)) if n > BLOCK else 0))
     shared = spark.sparkContext.broadcast(model)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = shared.value.buckets(shared.value.project(_matrix(batch.column(1))))
+            codes = shared.value.buckets(shared.value.project(_matrix(batch.column(1), single).astype(float)))
             for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), t, np.int32)), pa.array(_group(codes[:, t], groups)), pa.array(codes[:, t]), *batch.columns], names=["t", "g", "bucket", "id", "v", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), t, np.int32)), pa.array(shared.value.group(codes[:, t], depth)), pa.array(codes[:, t]), *batch.columns], names=["t", "g", "bucket", "id", "v", "ids"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            out = []
-            logs = model.chances(model.project(_matrix(batch.column(1)), query=True))
-            for i in range(batch.num_rows):
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(lo, AT_ONCE)
+                projected = model.project(_matrix(part.column(1), single).astype(float), query=True)
                 for t in range(TABLES):
-                    every = model.all_buckets(logs[i], t)
-                    limit = cut(every, model.depth)
-                    out += [(i, t, g, limit) for g in np.unique(_group(np.flatnonzero(every >= limit), groups)).tolist()]
-            i, t, g, limit = zip(*out) if out else ((), (), (), ())
-            take = pa.array(i, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(g, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(limit, pa.float64())], names=["t", "g", "id", "v", "limit"])
-
-    left = scratch.write(entries.select("id", "v", "ids").mapInArrow(index, f"t int, g bigint, bucket bigint, id {kind}, v array<double>, ids array<{kind}>"), "index")
-    right = scratch.write(queries.mapInArrow(probe, f"t int, g bigint, id {kind}, v array<double>, limit double"), "probes")
-
-    def visit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "ids": [], "scores": []})
-        model, t = shared.value, int(b["t"].iloc[0])
-        a = a.sort_values("bucket", kind="stable")
-        x, q = np.stack(a["v"].to_list()), np.stack(b["v"].to_list())
-        buckets, starts = np.unique(a["bucket"].to_numpy(), return_index=True)
-        ends, first = np.append(starts[1:], len(a)), a["id"].to_numpy()
-        lists, out = a["ids"].to_list(), []
-        for lo in range(0, len(q), 256):
-            part = q[lo : lo + 256]
-            open_ = model.of_buckets(model.chances(model.project(part, query=True)), t, buckets) >= b["limit"].to_numpy()[lo : lo + 256, None]
-            scores = np.full((len(part), len(x)), -np.inf)
-            for j in range(len(buckets)):
-                who = np.flatnonzero(open_[:, j])
-                if len(who):
-                    scores[who, starts[j] : ends[j]] = part[who] @ x[starts[j] : ends[j]].T
-            for i in range(len(part)):
-                some = np.flatnonzero(scores[i] > -np.inf)
-                best = some[_best(scores[i, some], first[some], k + 9)]
-                exact = (x[best] * part[i]).sum(1)
-                pairs = sorted((-s, v) for s, r in zip(exact.tolist(), best.tolist()) for v in lists[r])[: k + 1]
-                out.append([v for _, v in pairs]), out.append([-s for s, _ in pairs])
-        return pd.DataFrame({"id": b["id"].to_numpy(), "ids": out[::2], "scores": out[1::2]})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[object, dict[object, float]] = {}
+                    if depth:
+                        groups = [np.unique(g) for g in model.group(model.probes(projected, t, model.probed), depth)]
+                    else:
+                        groups = [np.zeros(1, np.int64)] * len(projected)
+                    take = pa.array(np.repeat(np.arange(len(groups)), list(map(len, groups))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), t, np.int32)), pa.array(np.concatenate(groups)), part.column(0).take(take), part.column(1).take(take)], names=["t", "g", "id", "v"])
+
+    left = scratch.write(entries.select("id", "v", "ids").mapInArrow(index, f"t int, g bigint, bucket bigint, id {kind}, v binary, ids array<{kind}>"), "index")
+    right = scratch.write(queries.mapInArrow(probe, f"t int, g bigint, id {kind}, v binary"), "probes")
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows: the entries of a block (side 0), then its queries (side 1; 2: queries that want all)."""
+        key, parts, block = None, [], None
         for batch in batches:
-            for q, ids, scores in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = best.setdefault(q, {})
-                mine.update(zip(ids, scores))
-                if len(mine) > 8 * k:
-                    best[q] = dict(sorted(mine.items(), key=lambda x: (-x[1], x[0]))[: k + 1])
-        rows = [(q, v, s) for q, mine in best.items() for v, s in sorted(mine.items(), key=lambda x: (-x[1], x[0]))[: k + 1]]
-        q, v, s = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(q, _arrow[kind]), pa.array(v, _arrow[kind]), pa.array(s, pa.float64())], names=["id", "vec_id", "score"])
-
-    def look(index: DataFrame, probes: DataFrame, name: str) -> DataFrame:
-        """k + 1 best of what the probes visit.  Each group has its entries in a, its queries in b parts; every part of one side meets every one of the other."""
+            at = np.stack([batch.column(c).to_numpy() for c in range(5)], 1)
+            borders = np.flatnonzero(np.any(at[1:] != at[:-1], axis=1)) + 1
+            for lo, hi in zip([0, *borders.tolist()], [*borders.tolist(), len(at)]):
+                if hi == lo:
+                    continue
+                now, side, run = tuple(at[lo, :4].tolist()), int(at[lo, 4]), batch.slice(lo, hi - lo)
+                if now != key:
+                    key, parts, block = now, [], None
+                if side == 0:
+                    parts.append(run)
+                    continue
+                if block is None:
+                    block = _block(parts, single)
+                    parts = []
+                for a in range(0, run.num_rows, AT_ONCE):
+                    yield _answer(shared.value, block, run.slice(a, AT_ONCE), key[0], side == 2, k, single, counted)
+
+    def look(index: DataFrame, probes: DataFrame, side: int, name: str) -> DataFrame:
+        """The best of what the probes visit.  Each group has its entries in a, its queries in b parts; every part of one side meets every one of the other."""
         size = index.groupBy("t", "g").agg(F.ceil(F.count("*") / BLOCK).alias("a"))
-        size = size.join(probes.groupBy("t", "g").agg(F.ceil(F.count("*") / BLOCK).alias("b")), ["t", "g"])
+        size = size.join(probes.groupBy("t", "g").agg(F.ceil(F.count("*") / ASKED).alias("b")), ["t", "g"])
         size = scratch.write(size.select(F.struct("t", "g").alias("at"), "a", "b"), f"{name}-sizes")
-        n, zero = size.count(), F.lit(0).cast("bigint")
-        index = join_dimension(index.withColumn("at", F.struct("t", "g")), size, "at", n, "inner").drop("at")
-        probes = join_dimension(probes.withColumn("at", F.struct("t", "g")), size, "at", n, "inner").drop("at")
+        groups, zero = size.count(), F.lit(0).cast("bigint")
+        index = join_dimension(index.withColumn("at", F.struct("t", "g")), size, "at", groups, "inner").drop("at")
+        probes = join_dimension(probes.withColumn("at", F.struct("t", "g")), size, "at", groups, "inner").drop("at")
         index = index.withColumn("x", F.pmod(F.xxhash64("id"), F.col("a"))).withColumn("y", F.explode(F.sequence(zero, F.col("b") - 1)))
         probes = probes.withColumn("y", F.pmod(F.xxhash64("id"), F.col("b"))).withColumn("x", F.explode(F.sequence(zero, F.col("a") - 1)))
-        keys = ["t", "g", "x", "y"]
-        sides = index.select(*keys, "bucket", "id", "v", "ids").groupBy(*keys).cogroup(probes.select(*keys, "id", "v", "limit").groupBy(*keys))
-        part = sides.applyInPandas(visit, f"id {kind}, ids array<{kind}>, scores array<double>")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return scratch.write(part.repartition(parts, "id").mapInArrow(merge, f"id {kind}, vec_id {kind}, score double"), name)
-
-    near = look(left, right, "near")
+        both = index.select("t", "g", "x", "y", F.lit(0).alias("side"), "bucket", "id", "v", "ids").unionByName(
+            probes.select("t", "g", "x", "y", F.lit(side).alias("side"), F.lit(0).cast("bigint").alias("bucket"), "id", "v", F.lit(None).cast(f"array<{kind}>").alias("ids")))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 1)
+        spread = both.repartition(tasks, "t", "g", "x", "y").sortWithinPartitions("t", "g", "x", "y", "side")
+        return scratch.write(spread.mapInArrow(visit, f"id {kind}, ids array<{kind}>, score double"), name)
+
+    near = look(left, right, 1, "near")
+    if counted:
+        return near.select("id", F.get("ids", F.lit(0)).alias("vec_id")).distinct().groupBy("id").agg(F.count("*").alias("scored"))
     # a query whose buckets held fewer than it wants visits all buckets of one table, which hold every entry
     wanted = min(k + 1, entries.agg(F.sum(F.size("ids"))).first()[0])
-    full = near.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= wanted)
+    flat = near.select("id", F.explode("ids").alias("vec_id"), "score").groupBy("id", "vec_id").agg(F.max("score").alias("score"))
+    full = flat.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= wanted).select("id")
     short = scratch.write(queries.join(full, "id", "left_anti"), "short")
     if not short.isEmpty():
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("g")
-        rest = look(left.filter("t = 0"), short.select(F.lit(0).alias("t"), every, "id", "v", F.lit(float("-inf")).alias("limit")), "rest")
-        near = near.join(full.select("id"), "id", "left_semi").unionByName(rest)
-    scratch.drop("probes")
-    lists = near.groupBy("id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))).alias("near"))  # k + 1 each
+        groups = left.filter("t = 0").select("t", "g").distinct()
+        rest = look(left.filter("t = 0"), short.join(groups, F.lit(True)) if groups.count() == 1 else _everywhere(short, groups), 2, "rest")
+        flat = flat.join(full, "id", "left_semi").unionByName(rest.select("id", F.explode("ids").alias("vec_id"), "score"))
+    lists = flat.groupBy("id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))).alias("near"))  # k + 1 a table and block
     named = asked.join(entries.select("h", "v", "id"), ["h", "v"]).select("query_id", "id").join(lists, "id")
     own = F.slice(F.filter(F.sort_array("near"), lambda x: x["v"] != F.col("query_id")), 1, k)
-    flat = named.select("query_id", F.posexplode(own).alias("at", "x"))
-    return flat.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.v").alias("vec_id"), (-F.col("x.s")).alias("score"))
-
-
-_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
-def _group(buckets: np.ndarray, groups: int) -> np.ndarray:
-    return (buckets * 2654435761 >> 7) % groups
+    placed = named.select("query_id", F.posexplode(own).alias("at", "x"))
+    out = scratch.write(placed.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.v").alias("vec_id"), (-F.col("x.s")).alias("score")), "found")
+    scratch.drop("rows", "entries", "asked", "queries", "index", "probes", "near", "near-sizes", "short", "rest", "rest-sizes")
+    return out
+
+
+def _everywhere(short: DataFrame, groups: DataFrame) -> DataFrame:
+    """Queries that found too few, once for each group: stated queries against all rows."""
+    listed = groups.agg(F.collect_list(F.struct("t", "g")).alias("all")).first()["all"]  # one table's groups: entries / BLOCK or so
+    return short.withColumn("at", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(g).cast("bigint").alias("g")) for t, g in listed)))).select("at.t", "at.g", "id", "v")
+
+
+def _block(parts: list[pa.RecordBatch], single: bool) -> tuple:
+    """Entries by bucket: vectors, ids, lists of ids, distinct buckets and where they start."""
+    table = pa.Table.from_batches(parts).combine_chunks() if parts else None
+    if table is None:
+        return np.zeros((0, 1)), np.zeros(0, np.int64), None, np.zeros(0, np.int64), np.zeros(1, np.int64)
+    bucket = table.column("bucket").to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    x = _matrix(table.column("v").combine_chunks(), single)[order]
+    first, lists = table.column("id").take(pa.array(order)), table.column("ids").take(pa.array(order))
+    ids = first.to_numpy() if pa.types.is_integer(first.type) else np.array([*first.to_pylist(), None], object)[:-1]
+    buckets, starts = np.unique(bucket[order], return_index=True)
+    return x, ids, lists.combine_chunks(), buckets, np.append(starts, len(order))
+
+
+def _answer(model: Model, block: tuple, asked: pa.RecordBatch, table: int, every: bool, k: int, single: bool, counted: bool) -> pa.RecordBatch:
+    """For each query the best of the rows in the buckets that it visits, with all others that tie with the last."""
+    x, ids, lists, buckets, starts = block
+    q = _matrix(asked.column("v"), single).astype(float)
+    probes = None if every else model.probes(model.project(q, query=True), table, model.probed)
+    who, rows, scores = [], [], []
+    for i in range(len(q)):
+        if every or not len(buckets):
+            some = np.arange(len(x))
+        else:
+            at = np.minimum(np.searchsorted(buckets, probes[i]), len(buckets) - 1)
+            at = at[buckets[at] == probes[i]]
+            some = ragged(np.arange(len(x)), starts[at], starts[at + 1] - starts[at])
+        best = some if counted else some[_best(x[some] @ q[i], ids[some], k + 9)]
+        exact = (x[best].astype(float) * q[i]).sum(1)
+        keep = np.arange(len(best)) if counted else _best(exact, ids[best], k + 1)
+        who.append(np.full(len(keep), i)), rows.append(best[keep]), scores.append(exact[keep])
+    who, rows, scores = (np.concatenate(v) for v in (who, rows, scores))
+    lists = lists.take(pa.array(rows)) if lists is not None else pa.nulls(0, asked.schema.field("ids").type)
+    return pa.RecordBatch.from_arrays([asked.column("id").take(pa.array(who)), lists, pa.array(scores)], names=["id", "ids", "score"])
