@@ -53,10 +53,12 @@ def brute_repeats(rows, window):
         yield str(k), len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("window,gram", [(35, 8), (5, 2)])
-def test_repeats_against_brute_force(spark, sf, monkeypatch, window, gram):
+@pytest.mark.parametrize("window,gram,bound,part", [(35, 8, 500_000, 1000), (35, 8, 20, 100), (5, 2, 1, 50)])
+def test_repeats_against_brute_force(spark, sf, monkeypatch, window, gram, bound, part):
+    """Small chunks, groups and tasks: prefixes are lengthened, and tasks forget what they need not hold."""
     monkeypatch.setattr(substrings, "CHUNK", 3000)
-    monkeypatch.setattr(substrings, "PART", 1000)
+    monkeypatch.setattr(substrings, "PART", part)
+    monkeypatch.setattr(substrings, "BOUND", bound)
     run = " ".join(f"w{i}" for i in range(60))
     more = spark.createDataFrame([(-1, run), (-2, "x " + run[:190]), (-3, "same row " + run), (-3, "same row " + run), (-4, "b " * 34), (-5, "c " * 35), (-6, "c " * 36)], "doc_id bigint, text string")
     table = docs(spark, sf).select("doc_id", "text").unionByName(more).unionByName(odd(spark).filter("doc_id <> 10 or doc_id is null").select("doc_id", "text"))
@@ -69,6 +71,23 @@ def test_repeats_of_nothing(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def test_a_prefix_that_a_third_of_all_windows_share(spark, monkeypatch):
+    """One 8-word passage in different surroundings: counted before anything moves, no group exceeds the bound by chance's share."""
+    monkeypatch.setattr(substrings, "BOUND", 200)
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(k, " ".join(f"a{k}x{i}" for i in range(20)) + f" {passage} " + " ".join(f"b{k}x{i}" for i in range(20))) for k in range(300)]
+    table = spark.createDataFrame(rows, "key bigint, text string").repartition(3)
+    heavy, parts = substrings.heavy_prefixes(table, 35, 8, "text")
+    assert len(heavy) >= 1 and parts.max() >= 10
+    chunk, _ = next(substrings._chunks(iter(table.toArrow().to_batches()), 35, 8, 10**9))
+    whole = len(chunk.prefix)
+    chunk = next(substrings._chunks(iter([b.select(["key", "text"]) for b in table.toArrow().combine_chunks().to_batches()]), 35, 8, 10**9))[0]
+    chunk.lengthen(heavy, parts)
+    sizes = np.unique(chunk.prefix, return_counts=True)[1]
+    assert whole > 6000 and sizes.max() <= 2 * 200
+    assert substrings.repeated_spans(table).count() == 0
+
+
 def test_first_least():
     x = np.random.default_rng(0).integers(0, 5, 200).astype(np.uint64)
     for width in (1, 2, 3, 7, 28):

@@ -63,6 +63,19 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT r, unnest(range(len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
+x AS (SELECT r, i, md5(array_to_string(w[i + 1:i + 35], ' ')) AS h FROM p JOIN d USING (r)),
+again AS (SELECT r, i FROM x QUALIFY count(*) OVER (PARTITION BY h) > 1),
+covered AS (SELECT DISTINCT r, i + k + 1 AS j FROM again, (SELECT unnest(range(35)) AS k)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM words ANTI JOIN covered USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def held_out() -> Column:
     """Rows that are not learned from: crc32 of the doc_id as text is a multiple of 5 (no doc_id: held out)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -132,4 +145,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_pack": op8_pack, "op9_neighbours": op9_neighbours, "op10_pii": op10_pii}
-ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op6_quality": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op4_substrings": OP4_SQL, "op6_quality": OP6_SQL}

@@ -8,11 +8,14 @@ they make up its maximal repeats.
 
 Suffixes are split by prefixes that depend on the words alone, so that equal
 suffixes always meet.  The prefix of a window is the one of its ``GRAM``-word
-substrings with the smallest hash (a minimizer); neighbouring windows mostly
-share it, so a run of them travels as one row of six bytes a window.  A group
-of suffixes with one such prefix is told apart by longer prefixes, up to whole
-windows, in parts that fit in memory; the nodes of a subtree are the equal
-neighbours in sorted order.
+substrings with the smallest hash (a minimizer) instead of its first words, as
+neighbouring windows mostly share it: a run of them travels as one row.
+Prefixes have different lengths: the windows under each are counted first, and
+one with more than ``BOUND`` is lengthened to whole windows, dealt into as many
+groups as it needs.  So every group fits in memory before anything moves.  A
+task reads its groups in the order of their prefixes and holds ``PART`` windows
+at a time; of a window that comes more often than that it holds one.  In sorted
+order the leaves under one node at full depth are neighbours.
 
 Before anything moves, each task compares the windows of a few million words
 with each other: of a window that occurs there more than once, all places are
@@ -30,17 +33,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, importable
+from .common import BROADCAST_ROWS, Scratch, importable, spare
 
 WINDOW = 35
 GRAM = 8
 #: Words that a task compares before it sends; windows that one sort holds.
 CHUNK = 1_000_000
 PART = 2_000_000
-#: Windows of one shuffle partition.
+#: Windows of one shuffle partition, and of one group.
 SHARD = 3_000_000
-#: Bytes kept of a window's hash.  They only tell windows with one prefix, a 64-bit hash of its own, apart.
-KEEP = 6
+BOUND = 500_000
+#: Bytes of a window's hash.  They only tell windows with one prefix, a 64-bit hash of its own, apart.
+KEEP = 8
 
 BLANK = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -116,10 +120,22 @@ class Chunk:
         self.send = np.ones(len(order), bool)
         self.send[order[1:][same]] = False
 
+    def lengthen(self, heavy: np.ndarray, parts: np.ndarray) -> None:
+        """Give windows under the heavy prefixes (sorted) the prefix of their whole words, in so many parts."""
+        if not len(heavy) or not len(self.prefix):
+            return
+        at = np.minimum(np.searchsorted(heavy, self.prefix), len(heavy) - 1)
+        own = heavy[at] == self.prefix
+        self.prefix[own] = mix(self.prefix[own] + np.uint64(1) + mix(self.hash[own]) % parts[at[own]])
+
+    def sizes(self) -> pa.RecordBatch:
+        prefix, n = np.unique(self.prefix[self.send], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(n)], names=["prefix", "n"])
+
     def rows(self, keys: np.ndarray, window: int) -> pa.RecordBatch:
         sent = np.flatnonzero(self.send)
         new = np.ones(len(sent), bool)
-        new[1:] = (np.diff(sent) != 1) | (np.diff(self.anchor[sent]) != 0) | (np.diff(self.doc[sent]) != 0)
+        new[1:] = (np.diff(sent) != 1) | (np.diff(self.anchor[sent]) != 0) | (np.diff(self.doc[sent]) != 0) | (self.prefix[sent][1:] != self.prefix[sent][:-1])
         head = np.flatnonzero(new)
         data = np.ascontiguousarray(self.hash[sent].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEEP])
         offsets = np.append(head, len(sent)).astype(np.int32) * KEEP
@@ -144,62 +160,89 @@ def spans(doc: np.ndarray, at: np.ndarray, places: np.ndarray, window: int) -> t
     return a[head], a[tail] + window, d[head]
 
 
-def _send(window: int, gram: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, keys, size = [], [], [], 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                h, n = word_hashes(part.column(1).to_pylist())
-                hashes.append(h), counts.append(n), keys.append(part.column(0).to_numpy())
-                size += len(h)
-                if size >= CHUNK:
-                    yield Chunk(np.concatenate(hashes), np.concatenate(counts), window, gram).rows(np.concatenate(keys), window)
-                    hashes, counts, keys, size = [], [], [], 0
-        if keys:
-            yield Chunk(np.concatenate(hashes), np.concatenate(counts), window, gram).rows(np.concatenate(keys), window)
-
-    return scan
-
-
-def _subtrees(window: int):
-    """Per shuffle partition: the suffixes under nodes at full depth with two leaves or more, as spans of words."""
+def _chunks(batches: Iterator[pa.RecordBatch], window: int, gram: int, most: int) -> Iterator[tuple[Chunk, np.ndarray]]:
+    hashes, counts, keys, size = [], [], [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            h, n = word_hashes(part.column(1).to_pylist())
+            hashes.append(h), counts.append(n), keys.append(part.column(0).to_numpy())
+            size += len(h)
+            if size >= most:
+                yield Chunk(np.concatenate(hashes), np.concatenate(counts), window, gram), np.concatenate(keys)
+                hashes, counts, keys, size = [], [], [], 0
+    if keys:
+        yield Chunk(np.concatenate(hashes), np.concatenate(counts), window, gram), np.concatenate(keys)
+
+
+class Leaves:
+    """Windows of a task in the order of their prefixes: prefix, hash, key of the text, place in it, and whether it has been told."""
+
+    def __init__(self):
+        self.columns = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+
+    def add(self, batches: list[pa.RecordBatch]) -> None:
+        parts = [self.columns]
+        for rows in batches:
+            prefix, key, start = (rows.column(c).to_numpy() for c in range(3))
+            data = rows.column(4)
+            offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+            own = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u8")
+            n = np.diff(offsets) // KEEP
+            place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            parts.append([np.repeat(prefix.view(np.uint64), n), own, np.repeat(key, n), place, np.zeros(len(own), bool)])
+        self.columns = [np.concatenate(x) for x in zip(*parts)]
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def repeats(self, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Key and place of the windows under nodes with two leaves or more, not told before.
+
+        Unless it is the last time, of each window under the highest prefix,
+        which may go on, one stays.
+        """
+        prefix, own, key, place, told = self.columns
+        order = np.lexsort((~told, own, prefix))
+        same = (prefix[order][1:] == prefix[order][:-1]) & (own[order][1:] == own[order][:-1])
+        again = np.zeros(len(order), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        out = np.flatnonzero(again & ~told)
+        stay = order[np.concatenate([[True], ~same])] if len(order) and not last else np.zeros(0, np.int64)
+        stay = stay[prefix[stay] == prefix.view(np.int64)[order].max().astype(np.uint64)] if len(stay) else stay
+        told = told | again
+        self.columns = [x[stay] for x in (prefix, own, key, place, told)]
+        return key[out], place[out]
+
+
+def _subtrees(window: int, part: int):
+    """Per shuffle partition, sorted by prefix: the suffixes under nodes at full depth with two leaves or more, as spans of words."""
+
+    def told(key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((place, key))
+        start, upto, at = spans(key[order], place[order], np.arange(len(order)), window)
+        return out(at, start, upto)
 
     def out(key: np.ndarray, start: np.ndarray, upto: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start.astype(np.int32)), pa.array(upto.astype(np.int32))], names=["key", "start", "upto"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, key, start, data, length = [], [], [], [], []
+        leaves, limit, held, waiting = Leaves(), part, 0, []
         for batch in batches:
-            p, k, s, u = (batch.column(c).to_numpy() for c in range(4))
-            known = u > 0
+            known = batch.column(3).to_numpy() > 0
             if known.any():
-                yield out(k[known], s[known], u[known])
-            rest = batch.filter(pa.array(~known))
-            column = rest.column(4)
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
-            raw = column.buffers()[2]
-            data.append(np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]].copy() if raw is not None else np.zeros(0, np.uint8))
-            length.append(np.diff(offsets) // KEEP)
-            prefix.append(p[~known]), key.append(k[~known]), start.append(s[~known])
-        if not prefix:
-            return
-        prefix, key, start, length = (np.concatenate(x) for x in (prefix, key, start, length))
-        total = int(length.sum())
-        names = np.zeros((total, 8), np.uint8)
-        names[:, :KEEP] = np.concatenate(data).reshape(-1, KEEP)
-        row = np.repeat(np.arange(len(key)), length)
-        node = mix(names.view("<u8").ravel() + mix(prefix.view(np.uint64))[row])
-        place = start[row] + np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-        parts = -(-total // PART)
-        again = np.zeros(total, bool)
-        for part in range(parts):  # by longer prefixes, so that equal suffixes stay together
-            own = np.flatnonzero(node % np.uint64(parts) == part) if parts > 1 else np.arange(total)
-            order = own[np.argsort(node[own], kind="stable")]
-            same = node[order][1:] == node[order][:-1]
-            again[order[1:][same]] = again[order[:-1][same]] = True
-        first, upto, at = spans(row, place, np.flatnonzero(again), window)
-        yield out(key[at], first, upto)
+                yield out(*(batch.column(c).to_numpy()[known] for c in (1, 2, 3)))
+            rest = batch.filter(pa.array(~known)) if known.any() else batch
+            if not len(rest):
+                continue
+            waiting.append(rest)
+            held += rest.column(4).nbytes // KEEP
+            if held >= limit:
+                leaves.add(waiting)
+                yield told(*leaves.repeats(last=False))
+                waiting, held, limit = [], len(leaves), max(part, 2 * len(leaves))
+        leaves.add(waiting)
+        yield told(*leaves.repeats(last=True))
 
     return build
 
@@ -221,15 +264,41 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], names=[*batch.schema.names[: n - 2], "n_words", "n_removed", "kept"])
 
 
+def heavy_prefixes(docs: DataFrame, window: int, gram: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes with more than BOUND windows, sorted, and the parts that each is dealt into.
+
+    All windows that would be sent are counted.  No more than BROADCAST_ROWS
+    prefixes are told to the tasks: with so many, the bound is that much higher.
+    """
+
+    most = CHUNK
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, _ in _chunks(batches, window, gram, most):
+            yield chunk.sizes()
+
+    sizes = docs.select("key", text).mapInArrow(count, "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
+    heavy = sizes.filter(F.col("n") > BOUND).orderBy(F.desc("n"), "prefix").limit(BROADCAST_ROWS).collect()
+    heavy = sorted((r["prefix"] % (1 << 64), -(-r["n"] // BOUND)) for r in heavy)
+    return np.array([h for h, _ in heavy], np.uint64), np.array([p for _, p in heavy], np.uint64)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text") -> DataFrame:
     """(key, spans): the words of each text that lie in repeated windows, as sorted (start, upto), for a column ``key`` of the texts."""
     spark = docs.sparkSession
     importable(spark)
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // 6 // SHARD)
-    sent = docs.select("key", text).mapInArrow(_send(window, gram), "prefix bigint, key bigint, start int, upto int, data binary")
-    found = sent.repartition(n, "prefix").mapInArrow(_subtrees(window), "key bigint, start int, upto int")
-    return found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "upto"))).alias("spans"))
+    heavy, most = spark.sparkContext.broadcast(heavy_prefixes(docs, window, gram, text)), CHUNK
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, keys in _chunks(batches, window, gram, most):
+            chunk.lengthen(*heavy.value)
+            yield chunk.rows(keys, window)
+
+    sent = docs.select("key", text).mapInArrow(send, "prefix bigint, key bigint, start int, upto int, data binary")
+    found = sent.repartition(n, "prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window, PART), "key bigint, start int, upto int")
+    return found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "upto"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,11 +307,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id:
     Repetition is judged on the input.  Null and empty texts, and texts shorter
     than a window, lose nothing.  Rows alike in id and text are copies of each
     other and lose all that windows cover.  An empty table gives an empty
-    result.  Other columns are dropped.  Texts meet their spans by a hash of id
-    and text.
+    result.  Other columns are dropped.  Texts meet their spans by a 64-bit
+    hash of id and text.
     """
-    keyed = docs.select(id, F.col(text).alias("__text"), F.xxhash64(id, text).alias("key"))
-    found = Scratch(docs.sparkSession, "substrings").write(repeated_spans(keyed, window, gram, "__text"), "spans")
-    joined = keyed.join(found, "key", "left").select(id, "__text", "spans")
+    named = spare("text", [id])
+    keyed = docs.select(F.col(id).alias(spare("id", [])), F.col(text).alias(named), F.xxhash64(id, text).alias("key"))
+    scratch = Scratch(docs.sparkSession, "substrings")
+    found = scratch.write(repeated_spans(keyed, window, gram, named), "spans")
+    joined = keyed.join(found, "key", "left").select(F.col(spare("id", [])).alias(id), named, "spans")
     kind = docs.schema[id].dataType.simpleString()
     return joined.mapInArrow(_keep, f"`{id}` {kind}, n_words bigint, n_removed bigint, kept string")
