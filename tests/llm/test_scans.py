@@ -1,7 +1,9 @@
 """Spans of personal data and of secrets, held against Python's own regular expressions."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
 from tidewater.llm import pii, secrets
 
@@ -105,7 +107,31 @@ def test_random_strings_are_found_and_written_ones_are_not(spark, sf):
 
 
 def test_length_classes_have_limits_of_their_own(spark):
-    rows = [(1, [(0, 3, 20, 0, 20)] * 1), (2, [(0, 3, 70, 4, 200), (0, 3, 80, 4, 1)])]
-    table = spark.createDataFrame(rows, "doc_id bigint, c array<struct<s:int,k:int,e:int,l:int,p:int>>")
+    rows = [(1, [(0, 3, 20, 0, 20)] * 1, [(0, p) for p in range(40)] + [(4, 3)] * 40), (2, [(0, 3, 70, 4, 200), (0, 3, 80, 4, 1)], [])]
+    table = spark.createDataFrame(rows, "doc_id bigint, c array<struct<s:int,k:int,e:int,l:int,p:int>>, natural array<struct<l:int,p:int>>")
     limits = secrets.thresholds(table)
     assert limits[4] == 200 and limits[0] > 1000 and limits[1] > 1000
+
+
+def test_false_discoveries_stay_at_the_rate(spark):
+    """Thresholds from one half of all texts, natural tokens of the other half among random strings."""
+    texts = [r["text"] or "" for r in docs(spark, "/root/testdata/sf0.01").collect()]
+    usage = Counter("".join(texts))
+    usage = {c: n / sum(usage.values()) for c, n in usage.items()}
+    null = [Counter() for _ in secrets.LENGTHS]
+    other = [[] for _ in secrets.LENGTHS]
+    for k, t in enumerate(texts):
+        for token in secrets.natural_tokens(t):
+            length, s = secrets.natural_statistic(token, usage)
+            if k % 2:
+                null[length][s] += 1
+            elif secrets.encoding(token):
+                other[length].append(s)
+    rng, wrong, right, planted = random.Random(1), 0, 0, 0
+    for length, n in enumerate(secrets.NATURAL):
+        keys = ["".join(rng.choice(secrets.ALPHABETS[5][1]) for _ in range(n)) for _ in range(100)]
+        found = [secrets.statistic(x, secrets.encoding(x)[1], usage) for x in keys if secrets.encoding(x)]
+        limit = secrets.discoveries(Counter(found + other[length]), secrets.tail(null[length]), secrets.RATE)
+        right, planted, wrong = right + sum(s >= limit for s in found), planted + len(found), wrong + sum(s >= limit for s in other[length])
+    print(f"natural among discoveries: {wrong} of {wrong + right}, of {sum(map(len, other))}; random found: {right} of {planted}")
+    assert wrong <= 0.02 * (wrong + right) and right > 0.9 * planted
