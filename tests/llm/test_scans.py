@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tidewater.llm import pii, secrets
 
 from .fixtures import ODD, docs, empty, odd
@@ -76,6 +78,20 @@ def test_labelers_add_what_context_speaks_for(spark):
     assert "phone_local:15:30" in spans[0] and "iban:10:37" in spans[2] and spans[3] == "email:5:12,email:16:23"
 
 
+def test_forms_and_checksums(spark):
+    """The strict form's vote, by kind, against what each number says of itself."""
+    cases = [
+        (0, "ann.b@mail.example.org", 1), (0, "a..b@x.org", -1), (0, ".a@x.org", -1), (0, "a@x.1", -1), (1, "10.0.0.1", 1), (1, "010.0.0.1", -1), (1, "1.2.3.0", 1),
+        (2, "4111 1111 1111 1111", 1), (2, "4111-1111-1111-1111", 1), (2, "411 11111 1111 1111", -1), (2, "4111111111111111", 1), (3, "+1 (234) 567-8901", 1), (3, "+49 30 123456", 1), (3, "+1..........23456789", -1),
+        (4, "joe [at] x [dot] com", 1), (4, "joe [at] x.com", -1), (5, "4111 1111 1111 1111", 1), (5, "4111 1111 1111 1112", -1), (6, "(030) 1234 5678", 1), (6, "0171 234 5678", 1),
+        (7, "DE89 3704 0044 0532 0130 00", 1), (7, "DE88 3704 0044 0532 0130 00", -1), (7, "GB82WEST12345698765432", 1),
+    ]
+    for kind in range(len(pii.KINDS)):
+        own = [(m, v) for k, m, v in cases if k == kind]
+        table = spark.createDataFrame(own, "m string, want int")
+        assert [(r["m"], r["got"]) for r in table.select("m", pii.form(kind, F.col("m")).alias("got")).collect()] == own
+
+
 def test_masks(spark):
     rows = [(1, "to a@b.com, 10.0.0.1 and +1 (234) 567-8901."), (2, None), (3, "nothing"), (4, "\U0001f600 a@b.com\U0001f600")]
     out = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}

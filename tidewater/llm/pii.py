@@ -2,7 +2,8 @@
 
 Only built-in DataFrame expressions touch the texts.  Spans come from a
 pattern's matches and the pieces between them.  Four labelers vote on each
-candidate; what is gathered is the number of candidates for each pattern of
+candidate: a strict form of the kind with its checksum, a gazetteer, the words
+before it, and the characters around it; what is gathered is the number of candidates for each pattern of
 votes, some hundred rows whatever the size of the corpus.  On these counts
 expectation-maximisation estimates how reliable each labeler is, and a
 logistic classifier of spans is fitted to the posteriors.  Its weights return
@@ -18,7 +19,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spare
 from .quality import let
 
 #: Kinds in the order of the contract, then those that the method alone adds.
@@ -62,7 +63,7 @@ HINTS = (
 )
 AGAINST = r"(?i)(?:version|isbn|invoice|rechnung|facture|factura|order|bestell|section|page|seite|serial|build|\bno\.)\W*$"
 
-VOTERS = ("pattern", "gazetteer", "context", "border")
+VOTERS = ("form", "gazetteer", "context", "border")
 
 
 def found(text: Column, pattern: str, need: tuple[str, ...] | None) -> Column:
@@ -122,15 +123,37 @@ def gazetteer(kind: int, m: Column) -> Column:
     return F.when(known, 1).otherwise(-1)
 
 
+def mod97(m: Column) -> Column:
+    """Whether a bank account number passes its check: its first four characters moved to the end, letters as 10 to 35, is 1 mod 97."""
+    turned = let(F.regexp_replace(m, " ", ""), lambda x: F.concat(F.substring(x, 5, 64), F.left(x, F.lit(4))))
+    places = F.transform(F.filter(F.split(turned, "", -1), lambda c: c != ""), lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1)
+    return F.aggregate(places, F.lit(0), lambda a, x: ((a * F.when(x > 9, 100).otherwise(10) + x) % 97).cast("int")) == 1
+
+
+def form(kind: int, m: Column) -> Column:
+    """Whether a match has the strict form of its kind, which its pattern does not ask for, and passes the kind's checksum."""
+    n = F.length(digits(m))
+    strict = (
+        m.rlike(r"\.[A-Za-z]{2,24}$") & ~m.rlike(r"^[._%+-]|\.\.|\.@|@-|-\.|\.-"),
+        ~m.rlike(r"(?:^|\.)0[0-9]"),
+        m.rlike(r"^(?:[0-9]{12,19}|[0-9]{4}([\x20-])[0-9]{4}(?:\1[0-9]{4})+(?:\1[0-9]{1,3})?|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})$"),
+        m.rlike(r"^\+[1-9][0-9]{0,3}[\x20.-]?(?:\([0-9]{1,5}\)|[0-9]+)(?:[\x20.-]?[0-9]{2,})*$"),
+        m.rlike(r"\[(?:at|AT)\]|\((?:at|AT)\)") & m.rlike(r"(?:\[(?:dot|DOT)\]|\((?:dot|DOT)\))"),
+        luhn(m),
+        n.between(7, 13) & m.rlike(r"^(?:\([0-9]+\)|[0-9]+)([\x20./-]?)[0-9]+(?:\1[0-9]+|\x20[0-9]+|-[0-9]+)*$"),
+        mod97(m),
+    )[kind]
+    return F.when(strict, 1).otherwise(-1)
+
+
 def votes_of(t: Column, kind: int) -> Column:
     """The candidates of one kind with their votes."""
     spans = found(t, PATTERNS[kind], NEEDS[kind])
     if kind < BASE:
         spans = F.filter(spans, lambda x: valid(kind, x["m"]))
-    pattern = F.lit(1) if kind < BASE else F.lit(-1)
     return F.transform(spans, lambda x: F.struct(
         x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e"), F.lit(kind < BASE).alias("base"),
-        pattern.alias("pattern"), gazetteer(kind, x["m"]).alias("gazetteer"),
+        form(kind, x["m"]).alias("form"), gazetteer(kind, x["m"]).alias("gazetteer"),
         F.when(x["pre"].rlike(AGAINST), -1).when(x["pre"].rlike(HINTS[kind]), 1).otherwise(0).alias("context"),
         F.when(x["pre"].rlike(r"[\p{L}\p{N}_]$") | x["post"].rlike(r"^[\p{L}\p{N}_]"), -1).otherwise(1).alias("border"),
         F.least(F.floor((x["e"] - x["s"]) / 8), F.lit(3)).cast("int").alias("size")))
@@ -244,17 +267,22 @@ def detect(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "<{}>") -> DataFrame:
-    """The rows with each accepted span replaced by the name of its kind; null stays null.  Overlapping spans make one mask."""
-    table = Scratch(docs.sparkSession, "pii").write(docs.select(candidates(F.col(text)).alias("c")).filter(F.size("c") > 0), "candidates")
-    weights = train(table)
+    """The rows with each accepted span replaced by the name of its kind; null stays null.  Overlapping spans make one mask.
+
+    The candidates are stored with the rows, so each text is searched once.
+    All columns stay as they are, whatever their names.
+    """
+    own, spans = spare("candidates", docs.columns), spare("spans", docs.columns)
+    table = Scratch(docs.sparkSession, "pii").write(docs.withColumn(own, candidates(F.col(text))), "candidates")
+    weights = train(table.select(F.col(own).alias("c")))
     names = F.array(*(F.lit(mask.format(k.upper())) for k in KINDS))
     pieces = F.from_json(F.lit("[]"), "array<string>")
 
     def step(state: Column, x: Column) -> Column:
-        cut = F.concat(F.substring("__t", state["pos"] + 1, F.greatest(x["s"] - state["pos"], F.lit(0))), F.when(x["s"] >= state["pos"], F.get(names, x["k"])).otherwise(F.lit("")))
+        cut = F.concat(F.substring(F.col(text), state["pos"] + 1, F.greatest(x["s"] - state["pos"], F.lit(0))), F.when(x["s"] >= state["pos"], F.get(names, x["k"])).otherwise(F.lit("")))
         return F.struct(F.greatest(state["pos"], x["e"]).cast("int").alias("pos"), F.concat(state["out"], F.array(cut)).alias("out"))
 
     first = F.struct(F.lit(0).alias("pos"), pieces.alias("out"))
-    out = docs.withColumn("__t", F.col(text)).withColumn("__spans", accepted(candidates(F.col("__t")), weights))
-    done = let(F.aggregate("__spans", first, step), lambda d: F.concat(F.array_join(d["out"], ""), F.substring("__t", d["pos"] + 1, F.length("__t"))))
-    return out.withColumn(text, F.when(F.size("__spans") > 0, done).otherwise(F.col("__t"))).drop("__t", "__spans")
+    out = table.withColumn(spans, accepted(F.col(own), weights))
+    done = let(F.aggregate(F.col(spans), first, step), lambda d: F.concat(F.array_join(d["out"], ""), F.substring(F.col(text), d["pos"] + 1, F.length(F.col(text)))))
+    return out.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(F.col(text))).select(docs.columns)
