@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, importable
+from .common import Scratch, importable, spare
 from .tokens import documents_ids, vocabulary
 
 #: Pieces that one task packs: enough to leave few bins open, few enough for many tasks.
@@ -104,8 +104,9 @@ def pack(docs: DataFrame, capacity: int = 4096, open_bins: int = OPEN_BINS, grou
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(columns[:, 0]), pa.array(columns[:, 1])], names=[*batch.schema.names[1:], "sequence_id", "offset"])
 
     kind = docs.schema[id].dataType.simpleString()
-    shuffled = made.withColumn("__h", F.xxhash64(id, "piece", "ids_crc32", F.monotonically_increasing_id())).withColumn("__g", F.pmod("__h", F.lit(groups)))
+    h, g = spare("h", made.columns), spare("g", made.columns)
+    shuffled = made.withColumn(h, F.xxhash64(id, "piece", "ids_crc32", F.monotonically_increasing_id())).withColumn(g, F.pmod(h, F.lit(groups)))
     return (
-        shuffled.repartition(groups, "__g").sortWithinPartitions("__g", "__h").select("__g", id, "piece", "start", "length", "ids_crc32")
+        shuffled.repartition(groups, g).sortWithinPartitions(g, h).select(g, id, "piece", "start", "length", "ids_crc32")
         .mapInArrow(place, f"`{id}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES
+from .common import SPACE_CLASS, SPACES, spare
 
 SYMBOLS = "#*$%&|<>"
 
@@ -83,27 +83,29 @@ def assess(docs: DataFrame, rules: tuple[tuple[str, float | None, float | None],
     A null text has no words; a text without words has ratio 0 throughout and
     fails.  Columns of the same names are replaced; others pass through.
     """
+    names = [*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    t_, w_, lines_, n_, stop_, upper_ = (spare(x, names) for x in ("t", "w", "lines", "n", "stop", "upper"))
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__t", t).withColumn("__w", F.filter(F.split("__t", SPACE_CLASS + "+", -1), lambda w: w != ""))
-    words, t = F.col("__w"), F.col("__t")
+    out = docs.withColumn(t_, t).withColumn(w_, F.filter(F.split(t_, SPACE_CLASS + "+", -1), lambda w: w != ""))
+    words, t = F.col(w_), F.col(t_)
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.trim(x, F.lit(SPACES)) != "")
     out = out.withColumns({
         "n_words": F.size(words).cast("bigint"),
         "word_chars": F.length(without(t, SPACES)).cast("bigint"),
         "n_symbols": (F.length(t) - F.length(without(t, SYMBOLS))).cast("bigint"),
-        "__lines": lines,
+        lines_: lines,
         "n_repeat_words": n_repeat_words(words),
-        "__stop": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
-        "__upper": F.size(F.filter(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w))),
+        stop_: F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
+        upper_: F.size(F.filter(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w))),
     })
-    out = out.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint")).withColumn("__n", F.size("__lines")).drop("__lines", "__w", "__t")
+    out = out.withColumn("n_dup_lines", (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("bigint")).withColumn(n_, F.size(lines_)).drop(lines_, w_, t_)
     ratio = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
     out = out.withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-        "mean_word_length": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "word_chars"), "stop_word_ratio": ratio("__stop", "n_words"),
-        "dup_line_ratio": ratio("n_dup_lines", "__n"), "repeat_word_ratio": ratio("n_repeat_words", "n_words"), "upper_word_ratio": ratio("__upper", "n_words"),
+        "mean_word_length": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "word_chars"), "stop_word_ratio": ratio(stop_, "n_words"),
+        "dup_line_ratio": ratio("n_dup_lines", n_), "repeat_word_ratio": ratio("n_repeat_words", "n_words"), "upper_word_ratio": ratio(upper_, "n_words"),
     })
-    return out.withColumn("kept", ~F.col("base_failed") & compiled(rules)).drop("__stop", "__upper", "__n")
+    return out.withColumn("kept", ~F.col("base_failed") & compiled(rules)).drop(stop_, upper_, n_)
 
 
 def compiled(rules: tuple[tuple[str, float | None, float | None], ...]) -> Column:

@@ -268,6 +268,6 @@ def near_duplicates(docs: DataFrame, columns: list[str] | None = None, id: str =
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = scratch.write(members.join(least, "root").select(F.col("fp").alias("__fp"), "component_id", "root"), "classes")
     scratch.drop("distinct", "met-0", "met-1", "met-2")
-    joined = marked.join(classes, marked["fp"] == classes["__fp"])
+    joined = marked.join(classes, marked["fp"] == classes["_fp"])
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return joined.select(*columns, hexed.alias("fingerprint"), "component_id", "root")

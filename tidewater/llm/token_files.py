@@ -7,15 +7,16 @@ shard, frame    place in doc_id order
 start           ids of the shard before this frame
 doc_ids         the documents of the frame, in order; lengths: ids of each
 block           ids in a block; the last block of a frame may hold fewer
-states          checkpoint of each block: its 64-bit coder state (little-endian)
+states          checkpoint of each block: its STATES 64-bit coder states (little-endian)
 words           32-bit words of each block, so its place in the payload
 crc32           checksum of each block's ids (little-endian 32-bit)
 payload         the blocks' 32-bit words, block after block
 
 Ids are coded with a static range asymmetric numeral system.  One frequency
 table, counted over all documents and scaled to 2**SCALE, is shared by all
-frames and stored beside them.  Each block is a coder of its own, so any block
-is decoded without the others; numpy steps through all blocks of a frame at
+frames and stored beside them.  A block is coded by STATES interleaved states,
+id after id in turn, which share one stream of words.  Each block is
+independent, so any is decoded without the others; numpy steps through all blocks of a frame at
 once, one lane for each.
 """
 
@@ -27,15 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, importable
+from .common import Scratch, importable, join_dimension, spare
 from .tokens import documents_ids, vocabulary
 
 SCALE = 20
 LOWEST = 1 << 31
 BLOCK = 1024
+STATES = 4
 #: Ids that a frame gathers before it is written; a document is never parted.
 FRAME = 1 << 21
 #: Coded ids of one shard at about two bytes an id.
@@ -74,38 +76,39 @@ def scaled(ids: np.ndarray, counts: np.ndarray, scale: int = SCALE) -> np.ndarra
 
 
 def encode(ids: np.ndarray, table: Table, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """States, number of words per block, and all words."""
+    """States (a row a block), number of words per block, and all words."""
     lanes = -(-len(ids) // block)
     padded = np.full(lanes * block, table.ids[np.argmax(table.freq)])
     padded[: len(ids)] = ids
     rank = table.rank[padded].reshape(lanes, block).T
-    states = np.full(lanes, LOWEST, np.uint64)
+    states = np.full((STATES, lanes), LOWEST, np.uint64)
     words, put = np.zeros((block, lanes), np.uint32), np.zeros((block, lanes), bool)
     shift, low, top = np.uint64(SCALE), np.uint64(32), np.uint64((LOWEST >> SCALE) << 32)
     for t in range(block - 1, -1, -1):
-        freq = table.freq[rank[t]]
-        full = states >= top * freq
-        words[t], put[t] = states.astype(np.uint32), full
-        states = np.where(full, states >> low, states)
-        whole = states // freq
-        states = (whole << shift) + (states - whole * freq) + table.first[rank[t]]
-    return states, put.sum(0).astype(np.uint32), words.T[put.T]
+        freq, own = table.freq[rank[t]], states[t % STATES]
+        full = own >= top * freq
+        words[t], put[t] = own.astype(np.uint32), full
+        own = np.where(full, own >> low, own)
+        whole = own // freq
+        states[t % STATES] = (whole << shift) + (own - whole * freq) + table.first[rank[t]]
+    return np.ascontiguousarray(states.T), put.sum(0).astype(np.uint32), words.T[put.T]
 
 
 def decode(n: int, states: np.ndarray, words: np.ndarray, payload: np.ndarray, table: Table, block: int = BLOCK) -> np.ndarray:
     """The n ids of consecutive blocks from their checkpoints and words."""
-    states = states.copy()
+    states = np.array(states.reshape(-1, STATES).T, order="C")
     at = np.cumsum(words, dtype=np.int64) - words
     payload = np.append(payload, np.uint32(0)).astype(np.uint64)
-    out = np.zeros((block, len(states)), np.int64)
+    out = np.zeros((block, states.shape[1]), np.int64)
     shift, low, slot = np.uint64(SCALE), np.uint64(32), np.uint64((1 << SCALE) - 1)
     for t in range(block):
-        s = states & slot
+        own = states[t % STATES]
+        s = own & slot
         rank = table.slots[s]
         out[t] = rank
-        states = table.freq[rank] * (states >> shift) + s - table.first[rank]
-        more = states < LOWEST
-        states = np.where(more, states << low | payload[np.minimum(at, len(payload) - 1)], states)
+        own = table.freq[rank] * (own >> shift) + s - table.first[rank]
+        more = own < LOWEST
+        states[t % STATES] = np.where(more, own << low | payload[np.minimum(at, len(payload) - 1)], own)
         at += more
     return table.ids[out.T.ravel()[:n]]
 
@@ -180,8 +183,9 @@ def write_files(docs: DataFrame, scratch: Scratch, path: str | None = None, end:
         if keys:
             yield pa.RecordBatch.from_pylist([_frame(shard, number, start, keys, each, own)], schema)
 
-    ordered = made.withColumn("__tie", F.xxhash64("ids")).withColumn("__row", F.monotonically_increasing_id())
-    keys = [F.col(id).asc_nulls_first(), F.col("__tie"), F.col("__row")]
+    tie, row = spare("tie", made.columns), spare("row", made.columns)
+    ordered = made.withColumn(tie, F.xxhash64("ids")).withColumn(row, F.monotonically_increasing_id())
+    keys = [F.col(id).asc_nulls_first(), F.col(tie), F.col(row)]
     ordered = ordered.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select(id, "ids")
     scratch.write(ordered.mapInArrow(code, FRAMES.format(kind=kind)), "frames")
     scratch.drop("ids")
@@ -192,28 +196,36 @@ def _arrow_frames(kind: pa.DataType) -> pa.Schema:
 
 
 def read_files(spark: SparkSession, root: str, id: str = "doc_id") -> DataFrame:
-    """Per document, from the files: id, start, n_tokens, ids_crc32.  Only one count per shard reaches the driver."""
+    """Per document, from the files: id, start, n_tokens, ids_crc32.  Only the frequency table, no larger than the vocabulary, reaches the driver."""
+    scratch = Scratch(spark, "reading")
     importable(spark)
     frames = spark.read.parquet(f"{root}/frames")
     kind = frames.schema["doc_ids"].dataType.elementType.simpleString()
     stored = spark.read.parquet(f"{root}/table").collect()
     table = spark.sparkContext.broadcast((np.array([r["id"] for r in stored], np.int64), np.array([r["freq"] for r in stored], np.int64)))
-    sums = sorted(frames.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
-    at, before = {}, 0
-    for shard, n in sums:
-        at[shard], before = before, before + n
-    starts = spark.sparkContext.broadcast(at)
+    starts = scratch.write(shard_starts(frames), "starts")
+    placed = join_dimension(frames, starts, "shard", starts.count(), "inner")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Table(*table.value)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
-                rows = [(key, starts.value[row["shard"]] + a, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for key, a, ids in read_frame(row, own)]
+                rows = [(key, row["before"] + a, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for key, a, ids in read_frame(row, own)]
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("doc_ids").type.value_type), *(pa.array(c, pa.int64()) for c in columns[1:])], names=[id, "start", "n_tokens", "ids_crc32"])
 
-    return frames.mapInArrow(scan, f"`{id}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.mapInArrow(scan, f"`{id}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def shard_starts(frames: DataFrame, stretch: int = 1000) -> DataFrame:
+    """(shard, before): ids of all shards before each, by sums over stretches of shards and inside each; at most one row a stretch meets in one task."""
+    sums = frames.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("at", F.floor(F.col("shard") / stretch))
+    inside = F.sum("n").over(Window.partitionBy("at").orderBy("shard")) - F.col("n")
+    stretches = sums.groupBy("at").agg(F.sum("n").alias("all"))
+    stretches = stretches.select(F.col("at").alias("to"), (F.sum("all").over(Window.orderBy("at")) - F.col("all")).alias("upto"))
+    own = sums.withColumn("inside", inside)
+    return own.join(stretches, own["at"] == stretches["to"]).select("shard", (F.col("inside") + F.col("upto")).alias("before"))
 
 
 def tokenize_and_read(docs: DataFrame, path: str | None = None, end: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
