@@ -1,8 +1,9 @@
 """A training corpus from documents: toxicity, near duplicates, personal data, mixing, packing.
 
 Each stage is one of the operators of ``tidewater.llm``, all but the near
-duplicates with the parameters of its own query.  It gets all that the stage before it kept, as a table read
-again from Parquet; all stages but the last return the columns of the documents.
+duplicates with the parameters of its own query.  It gets all that the stage
+before it kept, as a table read again from Parquet; all stages but the last
+return the columns of the documents.
 """
 
 from __future__ import annotations
@@ -11,20 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import copies, mixing, packing, pii, toxicity
-from tidewater.llm.common import Scratch
+from tidewater.llm.common import Scratch, spare
 from tidewater.llm.queries import held_out
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, labels, ~held_out(), into="__toxicity").filter("__toxicity < 0.5").drop("__toxicity")
+    labels, score = spark.read.parquet(f"{sf_dir}/labels.parquet"), spare("toxicity", docs.columns)
+    return toxicity.score(docs, labels, ~held_out(), into=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id.
 
-    Not op2's digest of three words and two bits: linked are texts whose five-word shingles overlap by 0.8 or more.
+    SimHash with the general parameters of stages on shingles, not those of op2's digest: five words instead of three,
+    128 bits compared at a radius that reaches a similarity of 0.8, which is then checked on the shingles themselves.
     """
     return copies.deduplicated(docs)
 
@@ -37,7 +39,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the weights of their sources ask for."""
-    return mixing.emit(mixing.mix(docs, prefix="__mix_"), prefix="__mix_").select(docs.columns)
+    prefix = spare("mix_", [c[:5] for c in docs.columns])
+    return mixing.emit(mixing.mix(docs, prefix=prefix), prefix=prefix).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
