@@ -31,8 +31,8 @@ CASES = [
     (lambda c: phone.e164(c, "e164_spaces"), ["+44 20 7010 2000", "+61 2 9374 4000", "310-387-9598", "+49 30 1234567"], ["+44 20 7010 2000", "+61 2 9374 4000", "+1 310 387 9598", "+49 301 234 567"]),
     (names.normalize_company_name, ["Acme Solutions, Inc.", "  ACME  llc ", None], ["acme", "acme", ""]),
     (names.clean_last_name, ["Smith, MBA", "Doe PhD", "Jones - CDMP®", "Lee"], ["Smith", "Doe", "Jones", "Lee"]),
-    (names.email_label, ["x@refinelabs.com", "x@example.co.uk", "x@mail.acme.com", "nobody", "a@b@c.de", None], ["refinelabs", "example", "acme", "", "", ""]),
-    (names.job_level, ["Chief of Staff", "VP Sales", "Head of Ops", "Sales Manager", "Engineer", ""], ["C-Level", "VP", "Director", "Manager", "Individual", "Unknown"]),
+    (names.email_label, ["x@northwind.com", "x@example.co.uk", "x@mail.acme.com", "nobody", "a@b@c.de", None], ["northwind", "example", "acme", "", "", ""]),
+    (names.job_level, ["Chief of Staff", "VP Sales", "Head of Ops", "Sales Manager", "Engineer", "", "Senior Vice President", "Assistant to the VP", "Chief Clinical Officer", "President", "Business Analyst", "Analyst, Senior", "Board Certified Behavior Analyst", "Principal Engineer Lead"], ["IC", "VP", "Director", "Manager", "IC", "Other", "EVP / SVP", "IC", "C-Suite", "Founder", "Needs Review", "IC", "IC", "Manager"]),
     (names.string_hash, ["hello", "", "the quick brown fox"], [99162322, 0, None]),
 ]
 
@@ -63,7 +63,7 @@ def test_full_names(spark):
 
 
 def test_similarities(spark):
-    pairs = [("hello", "helo"), ("refinelabs", "refine labs"), ("apple", "microsoft"), (None, "x"), ("", ""), ("Same", "same")]
+    pairs = [("hello", "helo"), ("northwind", "north wind"), ("apple", "microsoft"), (None, "x"), ("", ""), ("Same", "same")]
     rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "n int, a string, b string").orderBy("n")
     got = rows.select(similarity.similarity(F.col("a"), F.col("b")).alias("e"), similarity.jaro_winkler(F.col("a"), F.col("b")).alias("j"), similarity.trigram_similarity(F.col("a"), F.col("b")).alias("t")).collect()
     assert got[0]["e"] == pytest.approx(0.8) and got[1]["j"] > 0.85 and got[2]["j"] < 0.5 and got[3]["e"] == 0 and got[5]["e"] == 1 and got[5]["t"] == 1

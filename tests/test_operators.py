@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater import queries
-from tidewater.functions.similarity import _jaro_winkler
+from tidewater.functions.similarity import jaro_winkler
 from tidewater.operators import dedup, lookup, matching, resolve, sampling, scoring, survivorship
 from tidewater.plans import rules
 from tidewater.sources import tables
@@ -39,8 +39,46 @@ def test_contact_pairs(spark):
     assert got == {("a", "b"): (95.0, "A"), ("a", "c"): (85.0, "A")}
 
 
+def _jaro_winkler(a, b):
+    """A plain loop: letters of one text take the first free equal letter of the other within reach."""
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    a, b = a.lower(), b.lower()
+    reach = max(len(a), len(b)) // 2 - 1
+    if reach < 0:
+        return 0.0
+    taken, mine = [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(i + reach + 1, len(b))):
+            if not taken[j] and b[j] == c:
+                taken[j] = True
+                mine.append(c)
+                break
+    if not mine:
+        return 0.0
+    theirs = [c for c, t in zip(b, taken) if t]
+    m, moved = len(mine), sum(x != y for x, y in zip(mine, theirs)) / 2
+    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    prefix = 0
+    while prefix < min(len(a), len(b), 4) and a[prefix] == b[prefix]:
+        prefix += 1
+    return min(1.0, jaro + prefix * 0.1 * (1 - jaro))
+
+
+def test_jaro_winkler_against_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcA ") for _ in range(rng.randrange(14))) for _ in range(400)]
+    rows = spark.createDataFrame(list(zip(texts[:200], texts[200:])), "a string, b string")
+    for r in rows.select("a", "b", jaro_winkler(F.col("a"), F.col("b")).alias("s")).collect():
+        assert r["s"] == pytest.approx(_jaro_winkler(r["a"], r["b"]))
+
+
 def test_signal_groups_and_composite(spark):
-    p = pairs(spark, ("Acme", "x.com", "310 387 9598", "t", None), ("ACME!", "y.com", "(310)387-9598", "t", None))
+    p = pairs(spark, ("Acme  Co", "x.com", "310 387 9598", "t", None), ("ACME co", "y.com", "(310)387-9598", "t", None))
     groups = [{"id": "g1", "conditions": [{"field": "domain", "match_type": "exact", "weight": 1}]}, {"id": "g2", "conditions": [{"field": "name", "match_type": "normalized", "weight": 2}, {"field": "phone", "match_type": "normalized", "weight": 1}]}]
     r = dedup.score_by_groups(p, groups).first()
     assert (r["group"], r["confidence"], r["grade"]) == ("g2", 100.0, "A")
@@ -120,7 +158,7 @@ def test_crosswalk_registry_relationship(spark):
     assert {r["token"]: (r["canonical_form"], r["scope"]) for r in lookup.registry_lookup(tokens, registry, "o1").collect()} == {"acme": ("Acme!", "org"), "ibm": ("IBM", "global"), "old": (None, None)}
     records = spark.createDataFrame([("p", None), ("c1", "p"), ("c2", "p"), ("d", "q"), ("e", None)], "id string, parent_id string")
     made = spark.createDataFrame([("p", "c1"), ("c1", "c2"), ("c1", "d"), ("c1", "e"), ("p", "e")], "a string, b string")
-    assert {(r["a"], r["b"]): r["relationship"] for r in lookup.relationship(made, records).collect()} == {("p", "c1"): "directly_linked", ("c1", "c2"): "same_parent", ("c1", "d"): "different_parents", ("c1", "e"): "one_has_parent", ("p", "e"): "no_hierarchy"}
+    assert {(r["a"], r["b"]): r["relationship"] for r in lookup.relationship(made, records).collect()} == {("p", "c1"): "directly_linked", ("c1", "c2"): "same_parent", ("c1", "d"): "sibling", ("c1", "e"): "one_has_parent", ("p", "e"): "no_hierarchy"}
 
 
 def test_greedy_assignment(spark):
@@ -141,9 +179,16 @@ def test_company_matches_against_all_pairs(spark):
 
 
 def test_gate(spark):
-    records = spark.createDataFrame([(1, "Acme", "acme.com"), (2, "Beta", None)], "id int, name string, domain string")
-    rows = spark.createDataFrame([(1, "x", "www.acme.com"), (2, "BETA Inc.", None), (3, "New", "new.io"), (4, " ", None)], "row_id int, name string, domain string")
-    assert {r["row_id"]: (r["action"], r["id"]) for r in matching.gate(rows, records).collect()} == {1: ("upsert", 1), 2: ("review", 2), 3: ("insert", None), 4: ("skip", None)}
+    """By domain, else by name; somebody's child is skipped, a known record is itself, a weak match is new."""
+    schema = "name string, domain string, phone string, industry string, employees string"
+    records = spark.createDataFrame([(1, None, "Acme", "acme.com", "1", "x", "10"), (2, None, "Beta", None, "22", "x", "60"), (3, 1, "Child", "child.io", None, None, None), (4, None, "Gamma", None, None, None, None)], f"id int, parent_id int, {schema}")
+    rows = spark.createDataFrame([
+        (1, None, "Acme Inc", "www.acme.com", "1", "x", "12"), (2, None, "BETA Inc.", None, "22", "x", "60"), (3, None, "New", "new.io", None, None, None), (4, None, " ", None, None, None, None),
+        (5, None, "Child", "child.io", None, None, None), (6, 4, "Gamma", "gamma.io", None, None, None), (7, 4, "Other", "acme.com", None, None, None),
+    ], f"row_id int, known_id int, {schema}")
+    got = {r["row_id"]: (r["action"], r["id"], r["score"]) for r in matching.gate(rows, records).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: ("review", 1), 2: ("insert", None), 3: ("insert", None), 4: ("insert", None), 5: ("skip", 3), 6: ("upsert", 4), 7: ("upsert", 4)}
+    assert got[1][2] == pytest.approx(0.5 + 0.25 * 0.5 + 0.1 + 0.08 + 0.035) and got[3][2] is None
 
 
 def test_stratified_sample(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater import values as V
 
 #: Letters of a keypad, and their digits.
+STYLES = ("e164_compact", "e164_dashes", "e164_spaces", "e164_international", "e164_formatted", "national")
 KEYS, KEY_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "22233344455566677778889999"
 
 
@@ -52,33 +53,43 @@ def e164(c: Column, style: str = "e164_compact", country: str = "1", strip_exten
     ``e164_formatted`` uses the same layout as ``e164_international``: country
     codes are told by their first digits, not by a library of numbering plans.
     """
+    if style not in STYLES:
+        raise ValueError(style)
     t = V.text(c)
     if strip_extensions:
         t = F.regexp_replace(t, r"(?i)\s*(x|ext\.?|extension|#)\s*\d+$", "")
-    t = F.translate(F.when(t.rlike("[A-Za-z]"), F.upper(t)).otherwise(t), KEYS, KEY_DIGITS)
-    t = V.trim(t)
-    t = F.when(t.startswith("1 ") | t.startswith("1-"), F.concat(F.lit("+"), t)).otherwise(t)
-    d = digits(t)
-    plus = t.startswith("+") & (F.length(d) <= 15)
-    known = F.when((F.length(d) == 11) & d.startswith("1"), "1")
-    for x in ("44", "61", "33", "49"):
-        known = known.when(d.startswith(x), x)
-    known = known.when((F.length(d) >= 8) & ~d.startswith("0"), F.left(d, F.lit(1)))
-    code = F.when(plus, F.coalesce(known, F.lit(country))).otherwise(F.lit(country))
-    cut = F.when(plus, F.coalesce(F.length(known), F.lit(0))).when((F.length(d) == 11) & d.startswith(country[0]), 1).otherwise(0)
-    n = F.substr(d, cut + 1)
-    us = (code == "1") & (F.length(n) == 10)
-    area, mid, end = F.substring(n, 1, 3), F.substring(n, 4, 3), F.substr(n, F.lit(7))
-    brackets = F.concat(F.lit("("), area, F.lit(") "), mid, F.lit("-"), end)
-    lead = F.concat(F.lit("+"), code)
-    if style == "national":
-        return F.when(F.length(d) >= 7, F.when(F.length(n) == 10, brackets).otherwise(n))
-    out = {
-        "e164_compact": lambda: F.concat(lead, n), "e164_dashes": lambda: F.concat(lead, F.lit(" "), F.when(us, F.concat_ws("-", area, mid, end)).otherwise(F.replace(grouped(code, n), F.lit(" "), F.lit("-")))),
-        "e164_spaces": lambda: F.concat(lead, F.lit(" "), F.when(us, F.concat_ws(" ", area, mid, end)).otherwise(grouped(code, n))),
-        "e164_international": lambda: F.concat(lead, F.lit(" "), F.when(us, brackets).otherwise(n)), "e164_formatted": lambda: F.concat(lead, F.lit(" "), F.when(us, brackets).otherwise(n)),
-    }[style]()
-    return F.when((F.length(d) >= 7) & (F.length(digits(out)) <= 15), out)
+
+    def parsed(t: Column) -> Column:
+        """Digits, country code and national number; each step is computed once."""
+        t = V.trim(F.translate(F.when(t.rlike("[A-Za-z]"), F.upper(t)).otherwise(t), KEYS, KEY_DIGITS))
+        return V.let(F.when(t.rlike("^1[ -]"), F.concat(F.lit("+"), t)).otherwise(t), lambda t: V.let(F.struct(digits(t).alias("d"), t.startswith("+").alias("plus")), told))
+
+    def told(x: Column) -> Column:
+        d = x["d"]
+        plus = x["plus"] & (F.length(d) <= 15)
+        known = F.when((F.length(d) == 11) & d.startswith("1"), "1").when(d.rlike("^(44|61|33|49)"), F.left(d, F.lit(2))).when((F.length(d) >= 8) & ~d.startswith("0"), F.left(d, F.lit(1)))
+        code = F.when(plus, F.coalesce(known, F.lit(country))).otherwise(F.lit(country))
+        cut = F.when(plus, F.coalesce(F.length(known), F.lit(0))).when((F.length(d) == 11) & d.startswith(country[0]), 1).otherwise(0)
+        return V.let(F.struct(F.length(d).alias("size"), code.alias("code"), F.substr(d, cut + 1).alias("n")), written)
+
+    def written(x: Column) -> Column:
+        code, n = x["code"], x["n"]
+        us = (code == "1") & (F.length(n) == 10)
+        area, mid, end = F.substring(n, 1, 3), F.substring(n, 4, 3), F.substr(n, F.lit(7))
+        brackets = F.concat(F.lit("("), area, F.lit(") "), mid, F.lit("-"), end)
+        lead = F.concat(F.lit("+"), code)
+        if style == "national":
+            return F.when(x["size"] >= 7, F.when(F.length(n) == 10, brackets).otherwise(n))
+        if style == "e164_compact":
+            out = F.concat(lead, n)
+        elif style in ("e164_international", "e164_formatted"):
+            out = F.concat(lead, F.lit(" "), F.when(us, brackets).otherwise(n))
+        else:
+            by = "-" if style == "e164_dashes" else " "
+            out = F.concat(lead, F.lit(" "), F.when(us, F.concat_ws(by, area, mid, end)).otherwise(F.replace(grouped(code, n), F.lit(" "), F.lit(by))))
+        return F.when((x["size"] >= 7) & (F.length(code) + F.length(n) <= 15), out)
+
+    return V.let(t, parsed)
 
 
 def is_e164(c: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from tidewater import values as V
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -32,35 +32,41 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return jaccard(trigrams(a), trigrams(b))
 
 
-def _jaro_winkler(a: str | None, b: str | None) -> float:
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    a, b = a.lower(), b.lower()
-    reach = max(len(a), len(b)) // 2 - 1
-    if reach < 0:
-        return 0.0
-    free, mine = list(b), []
-    taken = [False] * len(b)
-    for i, c in enumerate(a):
-        j = next((j for j in range(max(0, i - reach), min(i + reach + 1, len(b))) if not taken[j] and free[j] == c), None)
-        if j is not None:
-            taken[j] = True
-            mine.append(c)
-    if not mine:
-        return 0.0
-    theirs = [c for c, t in zip(b, taken) if t]
-    m, moved = len(mine), sum(x != y for x, y in zip(mine, theirs)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
-    prefix = next((k for k in range(min(len(a), len(b), 4)) if a[k] != b[k]), min(len(a), len(b), 4))
-    return min(1.0, jaro + prefix * 0.1 * (1 - jaro))
-
-
-@F.pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro-Winkler with the prefix bonus at any score; there is no built-in.  Use it on distinct pairs."""
-    return pd.Series([_jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+def jaro_winkler(a: Column, b: Column) -> Column:
+    """Jaro-Winkler with the prefix bonus at any score, without case; 0 with a null or an empty side.
+
+    Built-in array functions: for each letter of the one text the first free
+    equal letter of the other within reach is taken, in order.
+    """
+    letters = lambda c: F.filter(F.split(F.lower(c), ""), lambda x: x != "")
+    none = F.array().cast("array<int>")
+
+    def scored(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        n, m = F.size(x), F.size(y)
+        reach = F.floor(F.greatest(n, m) / 2).cast("int") - 1
+
+        def take(state: Column, i: Column) -> Column:
+            low, high = F.greatest(i - reach, F.lit(0)), F.least(i + reach, m - 1)
+            free = F.filter(F.when(low <= high, F.sequence(low, high)).otherwise(none), lambda j: (F.get(y, j) == F.get(x, i)) & ~F.array_contains(state["theirs"], j))
+            hit = F.size(free) > 0
+            return F.struct(F.when(hit, F.concat(state["mine"], F.array(i))).otherwise(state["mine"]).alias("mine"), F.when(hit, F.concat(state["theirs"], F.slice(free, 1, 1))).otherwise(state["theirs"]).alias("theirs"))
+
+        start = F.struct(none.alias("mine"), none.alias("theirs"))
+        found = F.aggregate(F.sequence(F.lit(0), n - 1), start, take)
+
+        def jaro(s: Column) -> Column:
+            k = F.size(s["mine"])
+            theirs = F.array_sort(s["theirs"])
+            moved = F.size(F.filter(F.zip_with(s["mine"], theirs, lambda i, j: F.get(x, i) != F.get(y, j)), lambda d: d)) / 2
+            same = F.size(F.filter(F.sequence(F.lit(0), F.least(n, m, F.lit(4)) - 1), lambda i: F.slice(x, 1, i + 1) == F.slice(y, 1, i + 1)))
+            base = (k / n + k / m + (k - moved) / k) / 3
+            return F.when(k == 0, 0.0).otherwise(F.least(base + same * 0.1 * (1 - base), F.lit(1.0)))
+
+        return F.when(reach < 0, 0.0).otherwise(V.let(found, jaro))
+
+    pair = F.struct(letters(a).alias("x"), letters(b).alias("y"))
+    return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(V.let(pair, scored))
 
 
 def phonetic(c: Column) -> Column:

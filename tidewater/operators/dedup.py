@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater import values as V
+from tidewater.functions.names import EMPLOYEE_BANDS
 from tidewater.functions.phone import digits
-from tidewater.functions.similarity import similarity
+from tidewater.functions.similarity import jaro_winkler, similarity
 from tidewater.functions.text import email_lowercase, extract_domain, linkedin_id
 from tidewater.storage import Scratch
 
@@ -64,12 +67,6 @@ def domain_end(c: Column) -> Column:
     return F.concat(F.lit("."), F.when(n >= 3, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.get(parts, n - 1)))
 
 
-def ends_differ(a: Column, b: Column) -> Column:
-    x, y = domain_end(a), domain_end(b)
-    own = list(NATIONAL_ENDS)
-    return F.coalesce(((x == ".com") & y.isin(own)) | ((y == ".com") & x.isin(own)), F.lit(False))
-
-
 def grade(score: Column) -> Column:
     out = F.when(score >= GRADES["A"], "A")
     for g in ("B", "C"):
@@ -77,29 +74,51 @@ def grade(score: Column) -> Column:
     return out.otherwise("D")
 
 
+def company_facts(r: Column | None = None) -> list[Column]:
+    """What score_companies compares, of a record (or of a struct of one): host, profile, phone, plain name and industry, end of the domain."""
+    at = (lambda f: F.col(f)) if r is None else (lambda f: r[f])
+    host, phone = extract_domain(at("domain")), digits(at("phone"))
+    low = lambda c: V.trim(F.lower(c))
+    return [
+        host.alias("host"), linkedin_id(at("linkedin")).alias("profile"), F.when(F.length(phone) >= 7, phone).alias("call"),
+        F.when(at("name") != "", low(at("name"))).alias("plain"), low(at("industry")).alias("trade"), domain_end(host).alias("end"),
+    ]
+
+
+def comparable(records: DataFrame, id: str = "id") -> DataFrame:
+    """Ids and facts of records: normalized once for each record, not for each pair."""
+    return records.select(id, *company_facts())
+
+
 def score_companies(pairs: DataFrame, penalty: int = 20) -> DataFrame:
-    """pairs has structs a and b with name, domain, phone, industry, linkedin; adds confidence, grade, name_similarity, signals."""
-    a, b = F.col("a"), F.col("b")
-    da, db = extract_domain(a["domain"]), extract_domain(b["domain"])
-    same = lambda x, y: F.coalesce((x == y) & (x != ""), F.lit(False))
-    phone = lambda c: F.when(F.length(digits(c)) >= 7, digits(c))
-    out = pairs.withColumns({
-        "__domain": same(da, db), "__linkedin": same(linkedin_id(a["linkedin"]), linkedin_id(b["linkedin"])), "__phone": same(phone(a["phone"]), phone(b["phone"])),
-        "name_similarity": F.when((a["name"] != "") & (b["name"] != ""), similarity(V.trim(F.lower(a["name"])), V.trim(F.lower(b["name"])))),
-        "__industry": same(V.trim(F.lower(a["industry"])), V.trim(F.lower(b["industry"]))), "__ends": ends_differ(da, db),
-    })
-    sim = F.coalesce("name_similarity", F.lit(0.0))
-    name = F.when(sim >= 0.85, V.round_half_up(15 + (sim - 0.85) * 66)).otherwise(0.0)
-    industry = F.when((sim >= 0.7) & F.col("__industry"), 10.0).otherwise(0.0)
-    total = F.when(F.col("__domain") | F.col("__linkedin"), 95.0).otherwise(0.0) + F.when(F.col("__phone"), 20.0).otherwise(0.0) + name + industry
-    total = F.least(F.greatest(total - F.when(F.col("__ends"), float(penalty)).otherwise(0.0), F.lit(0.0)), F.lit(100.0))
-    signal = lambda when, kind, tier, points, sure: F.when(when, F.struct(F.lit(tier).alias("tier"), F.lit(kind).alias("type"), F.lit(sure).alias("deterministic"), points.cast("double").alias("score")))
-    signals = F.filter(F.array(
-        signal(F.col("__domain"), "domain", 1, F.lit(95), True), signal(F.col("__linkedin"), "linkedin", 1, F.lit(95), True), signal(F.col("__phone"), "phone", 2, F.lit(20), True),
-        signal(name > 0, "name", 3, name, False), signal(industry > 0, "name_industry", 4, industry, False), signal(F.col("__ends"), "tld_mismatch", 0, F.lit(-penalty), False),
-    ), lambda x: x.isNotNull())
-    out = out.withColumns({"confidence": total, "grade": grade(total), "signals": signals})
-    return out.drop("__domain", "__linkedin", "__phone", "__industry", "__ends")
+    """pairs has structs a and b with the facts of comparable(), or with name, domain, phone, industry, linkedin; adds confidence, grade, name_similarity, signals."""
+    if "host" not in pairs.schema["a"].dataType.names:
+        pairs = pairs.withColumns({side: F.struct(*company_facts(F.col(side))) for side in ("a", "b")})
+    same = lambda f: F.coalesce((F.col("a")[f] == F.col("b")[f]) & (F.col("a")[f] != ""), F.lit(False))
+    x, y, own = F.col("a")["end"], F.col("b")["end"], list(NATIONAL_ENDS)
+    sim = similarity(F.col("a")["plain"], F.col("b")["plain"])
+    marks = F.struct(
+        same("host").alias("domain"), same("profile").alias("profile"), same("call").alias("phone"), same("trade").alias("industry"),
+        F.coalesce(((x == ".com") & y.isin(own)) | ((y == ".com") & x.isin(own)), F.lit(False)).alias("ends"),
+        F.when(F.col("a")["plain"].isNotNull() & F.col("b")["plain"].isNotNull(), sim).alias("sim"),
+    )
+
+    def judged(m: Column) -> Column:
+        sim = F.coalesce(m["sim"], F.lit(0.0))
+        name = F.when(sim >= 0.85, V.round_half_up(15 + (sim - 0.85) * 66)).otherwise(0.0)
+        industry = F.when((sim >= 0.7) & m["industry"], 10.0).otherwise(0.0)
+        total = F.when(m["domain"] | m["profile"], 95.0).otherwise(0.0) + F.when(m["phone"], 20.0).otherwise(0.0) + name + industry
+        total = F.least(F.greatest(total - F.when(m["ends"], float(penalty)).otherwise(0.0), F.lit(0.0)), F.lit(100.0))
+        signal = lambda when, kind, tier, points, sure: F.when(when, F.struct(F.lit(tier).alias("tier"), F.lit(kind).alias("type"), F.lit(sure).alias("deterministic"), points.cast("double").alias("score")))
+        signals = F.filter(F.array(
+            signal(m["domain"], "domain", 1, F.lit(95), True), signal(m["profile"], "linkedin", 1, F.lit(95), True), signal(m["phone"], "phone", 2, F.lit(20), True),
+            signal(name > 0, "name", 3, name, False), signal(industry > 0, "name_industry", 4, industry, False), signal(m["ends"], "tld_mismatch", 0, F.lit(-penalty), False),
+        ), lambda s: s.isNotNull())
+        return F.struct(total.alias("confidence"), m["sim"].alias("name_similarity"), signals.alias("signals"))
+
+    out = pairs.withColumn("__judged", V.let(marks, judged))
+    keep = [c for c in pairs.columns if c not in ("confidence", "grade", "name_similarity", "signals")]
+    return out.select(*keep, F.col("__judged.name_similarity"), F.col("__judged.confidence"), grade(F.col("__judged.confidence")).alias("grade"), F.col("__judged.signals"))
 
 
 def score_contacts(pairs: DataFrame) -> DataFrame:
@@ -118,38 +137,73 @@ def score_contacts(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"confidence": confidence, "grade": graded, "name_similarity": name})
 
 
+def comparison_form(c: Column, field: str) -> Column:
+    """A field's value as the normalized comparison has it: + and digits of phones, host of addresses, else small letters and single blanks."""
+    if "phone" in field:
+        d = digits(c)
+        return F.concat(F.when(F.length(d) == 10, "+1").otherwise("+"), d)
+    if field == "domain" or "url" in field or "website" in field:
+        return F.substring_index(F.regexp_replace(F.lower(c), r"^(https?://)?(www\.)?", ""), "/", 1)
+    return F.regexp_replace(V.trim(F.lower(c)), r"\s+", " ")
+
+
 def score_by_groups(pairs: DataFrame, groups: list[dict]) -> DataFrame:
-    """Signal groups: all conditions of a group must hold, the first such group wins.
+    """Signal groups: all conditions of a group must hold, on filled values, and the first such group wins.
 
-    A condition has field, match_type (exact, normalized, fuzzy), weight and,
-    for fuzzy, threshold (edit similarity).  Score: matched weight by total
-    weight of the group, in per cent; grades from 97, 85 and 70.
+    A condition has field, match_type (exact: without case and blanks,
+    normalized: by the kind of field, fuzzy: Jaro-Winkler from the threshold
+    on), weight and threshold.  As every condition of the group holds, its
+    score is all of its weight, 100, and 0 if the weights are; grades from 97, 85 and 70.
     """
-    def holds(c: dict) -> Column:
-        x, y = F.col("a")[c["field"]], F.col("b")[c["field"]]
-        norm = lambda v: F.regexp_replace(F.lower(V.text(v)), "[^a-z0-9]", "")
-        test = {"exact": lambda: (x == y) & (x != ""), "normalized": lambda: (norm(x) == norm(y)) & (norm(x) != ""), "fuzzy": lambda: similarity(x, y) >= c["threshold"]}[c["match_type"]]()
-        return F.coalesce(test, F.lit(False))
+    plain = lambda v: F.regexp_replace(V.trim(F.lower(v)), r"\s+", " ")
 
-    found = F.lit(None).cast("struct<group:string,confidence:double>")
+    def holds(c: dict) -> Column:
+        x, y = F.col("a")[c["field"]].cast("string"), F.col("b")[c["field"]].cast("string")
+        test = {
+            "exact": lambda: plain(x) == plain(y), "normalized": lambda: comparison_form(x, c["field"]) == comparison_form(y, c["field"]),
+            "fuzzy": lambda: jaro_winkler(plain(x), plain(y)) >= c["threshold"],
+        }[c["match_type"]]()
+        return F.coalesce((x != "") & (y != "") & test, F.lit(False))
+
+    found = F.lit(None).cast("struct<group:string,confidence:double,signals:array<string>>")
     for g in reversed(groups):
-        total = sum(c["weight"] for c in g["conditions"])
         every = F.lit(True)
         for c in g["conditions"]:
             every &= holds(c)
-        hit = F.struct(F.lit(g["id"]).alias("group"), F.lit(100.0 * total / total).alias("confidence"))
+        whole = 100.0 if sum(c["weight"] for c in g["conditions"]) > 0 else 0.0
+        hit = F.struct(F.lit(g["id"]).alias("group"), F.lit(whole).alias("confidence"), F.array(*(F.lit(c["field"]) for c in g["conditions"])).alias("signals"))
         found = F.when(every, hit).otherwise(found)
     score = F.coalesce(found["confidence"], F.lit(0.0))
-    return pairs.withColumns({"group": found["group"], "confidence": score, "grade": F.when(score >= 97, "A").when(score >= 85, "B").when(score >= 70, "C").otherwise("D")})
+    return pairs.withColumns({"group": found["group"], "confidence": score, "grade": F.when(score >= 97, "A").when(score >= 85, "B").when(score >= 70, "C").otherwise("D"), "signals": found["signals"]})
 
 
-def composite_similarity(a: Column, b: Column, adjacent: dict[str, int]) -> Column:
-    """Weighted similarity: domain .50, name .25, phone .10, industry .08, size band .07 (a neighbouring band counts half)."""
-    same = lambda x, y: F.coalesce((x == y) & (x != ""), F.lit(False)).cast("double")
-    order = F.create_map(*[F.lit(x) for pair in adjacent.items() for x in pair])
-    steps = F.abs(order[a["band"]] - order[b["band"]])
-    bands = F.when(steps == 0, 1.0).when(steps == 1, 0.5).otherwise(0.0)
-    return 0.5 * same(extract_domain(a["domain"]), extract_domain(b["domain"])) + 0.25 * similarity(a["name"], b["name"]) + 0.1 * same(digits(a["phone"]), digits(b["phone"])) + 0.08 * same(F.lower(a["industry"]), F.lower(b["industry"])) + 0.07 * F.coalesce(bands, F.lit(0.0))
+# Weights of a composite similarity.
+COMPOSITE = {"domain": 0.5, "name": 0.25, "phone": 0.1, "industry": 0.08, "employees": 0.07}
+
+
+def composite_similarity(a: Column, b: Column, weights: dict[str, float] | None = None) -> Column:
+    """Weighted similarity of two records: equal domains, edit similarity of name, phone and industry, size bands (a neighbouring one counts half)."""
+    w = weights or COMPOSITE
+    filled = lambda x, y, value: F.coalesce(F.when((x != "") & (y != ""), value), F.lit(0.0))
+    alike = lambda x, y: filled(x, y, similarity(x, y))
+    tops = [top for top, _ in EMPLOYEE_BANDS]
+    band = lambda n: F.when(n > 0, reduce(lambda x, y: x + y, ((n > top).cast("int") for top in tops)))
+    hosts = extract_domain(a["domain"]), extract_domain(b["domain"])
+    steps = F.abs(band(V.leading_number(a["employees"])) - band(V.leading_number(b["employees"])))
+    parts = {
+        "domain": filled(*hosts, F.when(hosts[0] == hosts[1], 1.0).otherwise(0.0)), "name": alike(V.text(a["name"]), V.text(b["name"])),
+        "phone": alike(digits(V.text(a["phone"])), digits(V.text(b["phone"]))), "industry": alike(F.lower(V.text(a["industry"])), F.lower(V.text(b["industry"]))),
+        "employees": F.coalesce(F.when(steps == 0, 1.0).when(steps == 1, 0.5), F.lit(0.0)),
+    }
+    total = sum(w.values())
+    return reduce(lambda x, y: x + y, (parts[k] * (v / total) for k, v in w.items())) if total else F.lit(0.0)
+
+
+def tld_penalty(a: Column, b: Column, flagged: list[tuple[str, str]], penalty: float = 20.0) -> Column:
+    """What a configured rule takes off the confidence of two domains whose ends are one of the flagged pairs, in any order."""
+    x, y = domain_end(a), domain_end(b)
+    hit = reduce(lambda p, q: p | q, (((x == u) & (y == v)) | ((x == v) & (y == u)) for u, v in flagged), F.lit(False))
+    return F.when(F.coalesce(hit, F.lit(False)), float(penalty)).otherwise(0.0)
 
 
 def with_records(pairs: DataFrame, records: DataFrame, id: str = "id") -> DataFrame:

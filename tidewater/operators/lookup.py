@@ -48,11 +48,26 @@ def lookup(values: DataFrame, reference: DataFrame, org: str | None = None, thre
 
 
 def fuzzy_lookup(values: DataFrame, ref: DataFrame, threshold: float) -> DataFrame:
-    left = values.select("value", trigrams(F.col("value")).alias("a"))
-    right = ref.select("ref", "canonical", "org_id", trigrams(F.col("ref")).alias("b"))
-    met = left.withColumn("g", F.explode("a")).join(right.withColumn("g", F.explode("b")), "g")
-    met = met.filter((F.size("a") >= threshold * F.size("b")) & (F.size("b") >= threshold * F.size("a"))).drop("g").distinct()
-    scored = met.withColumn("sim", jaccard(F.col("a"), F.col("b"))).filter(F.col("sim") >= threshold)
+    """The most similar reference row of each value by trigrams, from the threshold on.
+
+    Prefix filter: in one order of all trigrams, the rarest first, two sets that
+    overlap by the threshold share one of their first |set| - ceil(threshold x
+    |set|) + 1.  So common trigrams make no pairs, only these meet, as ids, and
+    the sets are compared afterwards.
+    """
+    left = values.select("value", trigrams(F.col("value")).alias("a")).withColumn("x", F.xxhash64("value"))
+    right = ref.select("ref", "canonical", "org_id", trigrams(F.col("ref")).alias("b")).withColumn("y", F.xxhash64("ref", "canonical", "org_id"))
+    tokens = lambda rows, of, id: rows.select(F.col(id).alias("id"), F.size(of).alias("size"), F.explode(of).alias("g"))
+    left_tokens, right_tokens = tokens(left, "a", "x"), tokens(right, "b", "y").distinct()
+    seen = left_tokens.select("g").unionByName(right_tokens.select("g")).groupBy("g").agg(F.count("*").alias("n"))
+
+    def prefix(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("id").orderBy("n", "g"))
+        return rows.join(seen, "g").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+
+    met = prefix(left_tokens).select("g", F.col("id").alias("x"), F.col("size").alias("p")).join(prefix(right_tokens).select("g", F.col("id").alias("y"), F.col("size").alias("q")), "g")
+    met = met.filter((F.col("p") >= threshold * F.col("q")) & (F.col("q") >= threshold * F.col("p"))).select("x", "y").distinct()
+    scored = met.join(left, "x").join(right, "y").withColumn("sim", jaccard(F.col("a"), F.col("b"))).filter(F.col("sim") >= threshold)
     top = best(scored, ["value"], F.desc("sim"), F.col("org_id").asc_nulls_last(), F.col("canonical"), F.col("ref"))
     return top.select("value", "canonical", F.lit("fuzzy").alias("match_type"), F.round(F.col("sim") * 100).cast("int").alias("confidence"))
 
@@ -112,10 +127,66 @@ def relationship(pairs: DataFrame, records: DataFrame, id: str = "id", parent: s
     """How the two records of a pair (a, b) stand to each other by their parents."""
     side = lambda x: records.select(F.col(id).alias(x), F.col(parent).alias(f"{x}_parent"))
     p, q = F.col("a_parent"), F.col("b_parent")
-    kind = F.when((p == F.col("b")) | (q == F.col("a")), "directly_linked").when(p == q, "same_parent").when(p.isNotNull() & q.isNotNull(), "different_parents").when(p.isNotNull() | q.isNotNull(), "one_has_parent").otherwise("no_hierarchy")
+    kind = F.when((p == F.col("b")) | (q == F.col("a")), "directly_linked").when(p == q, "same_parent").when(p.isNotNull() & q.isNotNull(), "sibling").when(p.isNotNull() | q.isNotNull(), "one_has_parent").otherwise("no_hierarchy")
     return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("relationship", kind)
 
 
 def as_of(rows: DataFrame, by: list[str], value: str, at: str, when) -> DataFrame:
     """The latest value of each group on or before an instant."""
     return rows.filter(F.col(at) <= when).groupBy(*by).agg(F.max_by(value, at).alias(value), F.max(at).alias(at))
+
+
+def child_table(records: DataFrame, id: str = "id", parent: str = "parent_id") -> DataFrame:
+    """(id, parent_id) of the records that have a parent."""
+    return records.filter(F.col(parent).isNotNull()).select(F.col(id).alias("id"), F.col(parent).alias("parent_id"))
+
+
+def key_index(records: DataFrame, keys: dict[str, Column], id: str = "id") -> DataFrame:
+    """(kind, key, id): one row for each filled key of each record, the record of smallest id for each key."""
+    made = F.array(*(F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("key")) for kind, c in keys.items()))
+    long = records.select(F.col(id).alias("id"), F.explode(made).alias("k")).select("k.kind", "k.key", "id")
+    return long.filter(~V.is_blank(F.col("key"))).groupBy("kind", "key").agg(F.min("id").alias("id"))
+
+
+def by_code(codes: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Codes of four or six digits to the key of a taxonomy (key, code_4, codes_6); of several the smallest key."""
+    short = taxonomy.select("key", F.col("code_4").alias("code"))
+    long = taxonomy.select("key", F.explode("codes_6").alias("code"))
+    known = short.unionByName(long).groupBy("code").agg(F.min("key").alias("key"))
+    return codes.toDF("code").distinct().join(known, "code", "left")
+
+
+def taxonomy_search(taxonomy: DataFrame, words: str, fields: list[str]) -> DataFrame:
+    """Rows whose fields, taken together, contain the words, without case."""
+    whole = F.lower(F.concat_ws(" ", *(F.col(f) for f in fields)))
+    return taxonomy.filter(whole.contains(words.lower()))
+
+
+def ilike_any(rows: DataFrame, fields: list[str], words: str) -> DataFrame:
+    """Rows with the words in any of the fields, without case; % and _ are plain characters."""
+    pattern = "%" + words.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
+    hit = F.lit(False)
+    for f in fields:
+        hit = hit | F.coalesce(F.col(f).ilike(pattern), F.lit(False))
+    return rows.filter(hit)
+
+
+def field_conflicts(rules: DataFrame, assigned: DataFrame, org: str) -> DataFrame:
+    """Active rules (id, name, org_id, is_active) of an organisation or of all that write the same field (rule_id, field): one row a rule, field and other rule."""
+    live = rules.filter(F.col("is_active") & (F.col("org_id").isNull() | (F.col("org_id") == org)))
+    own = assigned.join(live.select(F.col("id").alias("rule_id"), "name"), "rule_id").distinct()
+    other = own.select(F.col("rule_id").alias("other_id"), F.col("name").alias("other_name"), "field")
+    return own.join(other, "field").filter("rule_id <> other_id").select("rule_id", "field", "other_id", "other_name")
+
+
+def with_latest(rows: DataFrame, facts: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:
+    """The latest facts of each key joined to the rows; without facts 0."""
+    last = facts.groupBy(F.col(key).alias("__key")).agg(*(F.max_by(v, at).alias(v) for v in values))
+    out = rows.join(last, F.col(key) == F.col("__key"), "left").drop("__key")
+    return out.withColumns({v: F.coalesce(v, F.lit(0)) for v in values})
+
+
+def field_sources(records: DataFrame, sources: DataFrame, fields: list[str], id: str = "id", lead: str = "source_") -> DataFrame:
+    """Records with one column a field that says where its value came from, from rows (id, field, source); the last name wins where there are several."""
+    wide = sources.filter(F.col("field").isin(fields)).groupBy(F.col("id").alias("__id")).agg(*(F.max(F.when(F.col("field") == f, F.col("source"))).alias(f"{lead}{f}") for f in fields))
+    return records.join(wide, F.col(id) == F.col("__id"), "left").drop("__id")

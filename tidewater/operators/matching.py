@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater import values as V
@@ -12,17 +12,30 @@ from tidewater.functions.similarity import jaro_winkler
 from tidewater.functions.text import email_lowercase, extract_domain, linkedin_id
 from tidewater.plans.predicates import owner_condition
 
+from .dedup import composite_similarity
 from .lookup import best
 
 
-def match_contacts(rows: DataFrame, contacts: DataFrame) -> DataFrame:
-    """row_id to contact: by mail address, else by profile; method and confidence."""
+def match_contacts(rows: DataFrame, contacts: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """row_id to contact: by mail address, else by profile, else, with ``records``, to a company of a similar name; method, confidence and action.
+
+    The third tier is match_companies for the rows that the others leave over.
+    """
     mail = lambda c: F.when(email_lowercase(c) != "", email_lowercase(c))
     by_mail = best(rows.select("row_id", mail(F.col("email")).alias("k")).join(contacts.select("id", mail(F.col("email")).alias("k")), "k"), ["row_id"], F.col("id")).select("row_id", F.col("id").alias("__mail"))
     by_profile = best(rows.select("row_id", linkedin_id(F.col("linkedin")).alias("k")).join(contacts.select("id", linkedin_id(F.col("linkedin")).alias("k")), "k"), ["row_id"], F.col("id")).select("row_id", F.col("id").alias("__profile"))
     out = rows.select("row_id").join(by_mail, "row_id", "left").join(by_profile, "row_id", "left")
     how = F.when(F.col("__mail").isNotNull(), "email").when(F.col("__profile").isNotNull(), "linkedin").otherwise("none")
-    return out.select("row_id", F.coalesce("__mail", "__profile").alias("contact_id"), how.alias("method"), F.when(how == "none", 0.0).otherwise(1.0).alias("confidence"))
+    out = out.select("row_id", F.coalesce("__mail", "__profile").alias("contact_id"), how.alias("method"), F.when(how == "none", 0.0).otherwise(1.0).alias("confidence"))
+    if records is None:
+        return out
+    rest = match_companies(rows.join(out.filter("method = 'none'"), "row_id", "left_semi"), records).select("row_id", F.col("id").alias("company_id"), "score", "action")
+    out = out.join(rest, "row_id", "left")
+    fuzzy = F.col("action").isin("match", "review")
+    return out.select(
+        "row_id", "contact_id", F.when(fuzzy, F.col("company_id")).alias("company_id"), F.when(fuzzy, "company_fuzzy").otherwise(F.col("method")).alias("method"),
+        F.when(fuzzy, F.col("score")).otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("method") != "none", "match").otherwise(F.coalesce("action", F.lit("none"))).alias("action"),
+    )
 
 
 def match_companies(rows: DataFrame, records: DataFrame) -> DataFrame:
@@ -43,15 +56,37 @@ def match_companies(rows: DataFrame, records: DataFrame) -> DataFrame:
     return rows.select("row_id").join(top.select("row_id", "id", "score", "same_domain"), "row_id", "left").select("row_id", "id", "score", F.coalesce(how, F.lit("none")).alias("action"))
 
 
-def gate(rows: DataFrame, records: DataFrame) -> DataFrame:
-    """Before a write: update, insert, review or skip, by domain first, else by name."""
-    d = extract_domain(F.col("domain"))
-    name = lambda c: normalize_company_name(c)
-    by_domain = best(rows.select("row_id", d.alias("k")).join(records.select("id", d.alias("k")), "k"), ["row_id"], F.col("id")).select("row_id", F.col("id").alias("__d"))
-    by_name = best(rows.select("row_id", name(F.col("name")).alias("k")).filter("k <> ''").join(records.select("id", name(F.col("name")).alias("k")), "k"), ["row_id"], F.col("id")).select("row_id", F.col("id").alias("__n"))
-    out = rows.select("row_id", "name", d.alias("host")).join(by_domain, "row_id", "left").join(by_name, "row_id", "left")
-    action = F.when(F.col("__d").isNotNull(), "upsert").when(F.col("__n").isNotNull(), "review").when(V.is_blank(F.col("name")) & F.col("host").isNull(), "skip").otherwise("insert")
-    return out.select("row_id", action.alias("action"), F.coalesce("__d", "__n").alias("id"))
+def gate(rows: DataFrame, records: DataFrame, least: float = 0.6, weights: dict[str, float] | None = None) -> DataFrame:
+    """Before a write: upsert, insert, review or skip, with the target and how similar it is.
+
+    Candidates are records of the same domain or, without any, of the same
+    normalized name; the most similar by the weights counts.  A row that says
+    which record it is (known_id) is an upsert of it.  A candidate that is
+    somebody's child (parent_id) is skipped, as the row may mean the parent.
+    From ``least`` on it goes to review, else the row is new.
+    """
+    fields = ("name", "domain", "phone", "industry", "employees")
+    host, name = extract_domain(F.col("domain")), normalize_company_name(F.col("name"))
+    own = rows.select("row_id", "known_id", F.struct(*fields).alias("a"), host.alias("host"), name.alias("plain"))
+    other = records.select("id", "parent_id", F.struct(*fields).alias("b"), host.alias("host"), name.alias("plain"))
+    by_domain = own.drop("plain").join(other.drop("plain"), "host").drop("host")
+    rest = own.filter("plain <> ''").join(by_domain.select("row_id").distinct(), "row_id", "left_anti")
+    met = by_domain.unionByName(rest.drop("host").join(other.drop("host"), "plain").drop("plain")).filter(~F.col("id").eqNullSafe(F.col("known_id")))
+    scored = met.withColumn("score", V.round_half_up(composite_similarity(F.col("a"), F.col("b"), weights), 6))
+    top = best(scored, ["row_id"], F.desc("score"), F.col("id")).select("row_id", "id", "parent_id", "score")
+    out = own.select("row_id", "known_id").join(top, "row_id", "left")
+    known, near = F.col("known_id").isNotNull(), F.col("score") >= least
+    action = F.when(known, "upsert").when(F.col("id").isNull(), "insert").when(F.col("parent_id").isNotNull(), "skip").when(near, "review").otherwise("insert")
+    target = F.when(known, F.col("known_id")).when(action.isin("skip", "review"), F.col("id"))
+    return out.select("row_id", action.alias("action"), target.alias("id"), "score")
+
+
+def write_plan(rows: DataFrame, gated: DataFrame, size: int = 100) -> DataFrame:
+    """The rows to write, by action and in numbered batches of ``size``; those for review or skipped have no batch."""
+    planned = rows.join(gated.select("row_id", "action", F.col("id").alias("target_id")), "row_id")
+    writes = F.col("action").isin("upsert", "insert")
+    place = F.row_number().over(Window.partitionBy("action").orderBy("row_id"))
+    return planned.withColumn("batch", F.when(writes, F.floor((place - 1) / size)))
 
 
 def owner_of(rules: list[dict], key: Column, weights: dict[str, int] | None = None) -> Column:

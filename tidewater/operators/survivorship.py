@@ -40,7 +40,7 @@ def choose(rule: str, m: Column, d: Column, m_at: Column | None = None, d_at: Co
         return F.when(~V.is_missing(d) & (d_at > m_at), d).otherwise(m)
     if rule == "source_preference":
         best = lambda s: F.when(at(s) > 0, at(s)).otherwise(1 << 30)
-        return F.when(best(d_at) < best(m_at), d).otherwise(m)
+        return F.when((best(d_at) < best(m_at)) & ~V.is_missing(d), d).otherwise(m)
     if rule == "specific_value":
         return F.when((at(d) > 0) & ((at(m) == 0) | m.isNull() | (at(d) < at(m))), d).otherwise(m)
     if rule == "rollup":
@@ -58,6 +58,38 @@ def choose(rule: str, m: Column, d: Column, m_at: Column | None = None, d_at: Co
     raise ValueError(rule)
 
 
+def closed_won(pairs: DataFrame, m: str = "m", d: str = "d", won: str = "won") -> DataFrame:
+    """The rule closed_won_priority: master and duplicate change places if only the duplicate has a won deal."""
+    swap = F.coalesce(F.col(f"{d}.{won}"), F.lit(False)) & ~F.coalesce(F.col(f"{m}.{won}"), F.lit(False))
+    return pairs.withColumn("swapped", swap).withColumns({m: F.when(swap, F.col(d)).otherwise(F.col(m)), d: F.when(swap, F.col(m)).otherwise(F.col(d))})
+
+
+def parent_aware(records: DataFrame, cluster: str, order: list[Column], id: str = "id", parent: str = "parent_id") -> DataFrame:
+    """The survivor of each cluster: the first record without a parent, else the first of all, and why."""
+    w = Window.partitionBy(cluster).orderBy(F.col(parent).isNotNull(), *order)
+    first = records.withColumn("__n", F.row_number().over(w)).filter("__n = 1")
+    return first.select(cluster, F.col(id).alias("survivor"), F.when(F.col(parent).isNull(), "parent_preferred").otherwise("all_have_parents").alias("reason"))
+
+
+def load_rules(rules: DataFrame, org: str, default: str = "__default__") -> DataFrame:
+    """Active rules of an organisation, and the default ones that none of its own replaces on the same field and kind."""
+    live = rules.filter("is_active")
+    own = live.filter(F.col("org_id") == org)
+    return own.unionByName(live.filter(F.col("org_id") == default).join(own.select("field_key", "rule_type").distinct(), ["field_key", "rule_type"], "left_anti"))
+
+
+def snapshots(clustered: DataFrame, records: DataFrame, fields: list[str], id: str = "id") -> DataFrame:
+    """Before a merge: (cluster, id, properties), the filled fields of each member as a map."""
+    pairs = F.filter(F.array(*(F.struct(F.lit(f).alias("key"), F.col(f).cast("string").alias("value")) for f in fields)), lambda p: ~V.is_missing(p["value"]))
+    members = clustered.select("cluster", F.explode("record_ids").alias("__id"))
+    return members.join(records.select(F.col(id).alias("__id"), F.map_from_entries(pairs).alias("properties")), "__id").select("cluster", F.col("__id").alias("id"), "properties")
+
+
+def field_universe(records: DataFrame, cluster: str, properties: str = "properties") -> DataFrame:
+    """All keys that any record of a cluster has, sorted."""
+    return records.groupBy(cluster).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys(properties))))).alias("fields"))
+
+
 def policy(rule: str, m: Column, d: Column, m_at: Column | None = None, d_at: Column | None = None, order: list[str] | None = None, direction: str = "higher") -> Column:
     """Merge policies: fill_empty, keep_master, append_both, keep_highest, keep_lowest, keep_newest, keep_oldest, keep_most_advanced."""
     a, b = V.leading_number(m), V.leading_number(d)

@@ -17,12 +17,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions import phone, text
+from tidewater.functions import casing, phone, text
 
 #: Format functions by key; user code may add to it.
 FORMATS: dict[str, Callable[..., Column]] = {
     "e164_phone": lambda c, **p: phone.e164(c, **p), "email_lowercase": text.email_lowercase, "linkedin_url": text.linkedin_url, "numeric_parse": text.numeric_parse, "url_canonical": text.url_canonical,
     "trim_whitespace": text.clean_whitespace, "employee_range": text.employee_range, "extract_domain": text.domain_format, "state_abbreviate": text.state_abbreviate, "country_code_iso2": text.country_code,
+    "smart_title_case": casing.smart_title_case,
 }
 ERRORS = ("fail_loud", "fail_silent", "fail_default")
 
@@ -60,7 +61,8 @@ def version_key(v: str) -> tuple[int, ...]:
 def cascade(spec: dict[str, Any], field: str | None = None) -> tuple[Column, Column]:
     """(new value, id of the rule that made it): the first rule whose condition holds.
 
-    A transform that fails gives null; then fail_silent tries the next rule,
+    With a list of sources, records of another source (column ``source``) stay
+    as they are.  A transform that fails gives null; then fail_silent tries the next rule,
     fail_default takes the rule's default, fail_loud raises.  No rule: the
     value stays.
     """
@@ -68,8 +70,9 @@ def cascade(spec: dict[str, Any], field: str | None = None) -> tuple[Column, Col
     value = F.col(name)
     mode = spec.get("on_error", "fail_silent")
     out, applied = value.cast("string"), F.lit(None).cast("string")
+    allowed = F.col("source").isin(*spec["sources"]) if spec.get("sources") else F.lit(True)
     for rule in reversed(spec["rules"]):
-        when = F.expr(rule["when"].replace("$value", f"`{name}`")) if rule.get("when") else F.lit(True)
+        when = allowed & (F.expr(rule["when"].replace("$value", f"`{name}`")) if rule.get("when") else F.lit(True))
         made = FORMATS[rule["format"]](value, **rule.get("config", {})) if "format" in rule else F.expr(rule["transform"].replace("$value", f"`{name}`"))
         made = made.cast("string")
         if mode == "fail_default" and rule.get("default") is not None:

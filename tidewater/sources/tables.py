@@ -71,3 +71,37 @@ def live(cache: DataFrame, now, expires: str = "ttl_expires_at") -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     """A layout from which readers skip partitions, such as weeks of usage."""
     df.write.mode("append").partitionBy(by).parquet(path)
+
+
+def search(records: DataFrame, domain: str | None = None, name: str | None = None) -> DataFrame:
+    """Records of a domain, or whose name has the words; the comparison with the domain reaches the reader."""
+    if domain is not None:
+        return records.filter(F.col("domain") == domain)
+    return records.filter(F.lower("name").contains((name or "").lower()))
+
+
+def write_gated(planned: DataFrame, path: str) -> None:
+    """What a gate lets through, one folder an action (upsert, insert, review, skip); a rerun replaces the folders that it writes."""
+    planned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("action").parquet(path)
+
+
+def provider_table(spark: SparkSession, path: str, provider: str, columns: dict[str, str], id: str) -> DataFrame:
+    """A provider's stored answers under our names, with its own name and the record's id; a live source would be a reader of the Python Data Source API."""
+    rows = spark.read.parquet(path) if not path.endswith(".json") else spark.read.json(path)
+    return rows.select(F.col(id).alias("record_id"), F.lit(provider).alias("provider"), *(F.col(c).alias(name) for c, name in columns.items()))
+
+
+def demo_companies(spark: SparkSession, n: int = 10) -> DataFrame:
+    """Made companies for a demonstration, the same each time, by rule."""
+    k = F.col("k")
+    return spark.range(n).withColumnRenamed("id", "k").select(
+        F.format_string("demo-%03d", k).alias("id"), F.concat(F.lit("Demo Company "), k + 1).alias("name"), F.concat(F.lit("demo"), k + 1, F.lit(".example")).alias("domain"),
+        (F.lit(10) * F.pow(F.lit(3), k % 6)).cast("int").alias("employee_count"), F.get(F.array(*map(F.lit, ("Software", "Retail", "Healthcare"))), (k % 3).cast("int")).alias("industry"),
+        F.concat(F.lit("https://www.linkedin.com/company/demo-"), k + 1).alias("linkedin_url"),
+    )
+
+
+def demo_answers(companies: DataFrame, provider: str, fields: list[str], seed: int = 0) -> DataFrame:
+    """Made answers of a provider for companies: about a quarter of the fields are missing, by a hash of provider, id and field."""
+    gone = lambda f: F.pmod(F.xxhash64(F.lit(provider), "id", F.lit(f), F.lit(seed)), F.lit(4)) == 0
+    return companies.select(F.col("id").alias("record_id"), *(F.when(~gone(f), F.col(f)).alias(f) for f in fields))
