@@ -46,11 +46,12 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table, sf).collect()) == want
 
 
-@pytest.mark.parametrize(("turns", "block"), [(0, 4096), (0, 16), (2, 16), (4, 4096)])
-def test_chains_and_crowded_groups(spark, monkeypatch, turns, block):
+@pytest.mark.parametrize(("turns", "block", "few"), [(0, 4096, 100), (0, 16, 3), (2, 16, 24), (3, 4096, 24)])
+def test_chains_and_crowded_groups(spark, monkeypatch, turns, block, few):
     """Copies of one text with a few words changed, and a chain whose ends are not alike."""
     monkeypatch.setattr(copies, "TURNS", turns)
     monkeypatch.setattr(copies, "BLOCK", block)
+    monkeypatch.setattr(copies, "FEW", few)
     rng = random.Random(4)
     base, rows = [f"w{i}" for i in range(150)], []
     for k in range(60):
@@ -83,6 +84,32 @@ def test_sets_and_bands():
     assert copies.band_keys(hashes, n).shape == (3, copies.BANDS) and copies.signatures(hashes, n).shape == (3, copies.WORDS)
 
 
+@pytest.mark.parametrize("most", [1 << 26, 8])
+def test_links_of_a_piece_against_all_pairs(most):
+    """Texts around one, near and less near; bitmaps and merges give the same components as all pairs."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 100, np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 100 - k % 30, replace=False), rng.integers(0, 2**63, k % 25, np.uint64)])) for k in range(120)]
+    size = np.array(list(map(len, sets)))
+    fps = copies.signatures(np.concatenate(sets), size).view(np.int64)
+    root = np.where(np.arange(120) < 10, 0, np.arange(120))  # ten are one component already
+    rows = np.column_stack([np.zeros(120, np.int64), np.zeros(120, np.int64), root, np.arange(120), size, fps])
+    got = copies.links_of_piece(rows, np.concatenate(sets).view(np.int64), size, 0.8, most)
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    assert all(alike(a, b) for a, b in got.tolist()) and len(got) < 120
+
+    def parts(links):
+        label = list(range(120))
+        for a, b in [*((0, k) for k in range(10)), *links]:
+            x, y = label[a], label[b]
+            label = [min(x, y) if v in (x, y) else v for v in label]
+        return label
+
+    bits = fps.view(np.uint64)
+    want = [(a, b) for b in range(120) for a in range(b) if np.bitwise_count(bits[a] ^ bits[b]).sum() <= copies.RADIUS and alike(a, b)]
+    assert parts(got.tolist()) == parts(want) and 1 < len(set(parts(want))) < 100
+
+
 def test_radius_reaches_the_similarity():
     """Of sets of all sizes that overlap by 0.8, none lies beyond the radius."""
     rng = np.random.default_rng(9)

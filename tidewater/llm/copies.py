@@ -15,8 +15,10 @@ nearest one of another component: no more pairs than members.  These pairs are
 checked on the whole sets of shingles, kept as 64-bit hashes, and components
 grow.  Pieces and members change from turn to turn, so a block of copies of one
 text is one component after two or three.  What is still open after ``TURNS``
-is compared in full, in pairs of pieces; only pairs within the radius, of
-different components and not yet checked leave a task.
+is compared in full, by bit planes first: a block of up to ``FEW`` members
+gives its pairs within the radius, to be checked as before; a larger one, in
+pairs of pieces, has the sets beside it and is checked where it lies, so only
+links that join two components leave a task.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tidewater.operators.components import connected_components
 
 from .common import Scratch, importable, row_key, spare
-from .simhash import LOWER, close_pairs, numbered, slabs
+from .simhash import LOWER, close_pairs, numbered, slabs, unite
 from .substrings import mix, rolling, word_hashes
 
 SIMILARITY = 0.8
@@ -42,9 +44,13 @@ ROWS = 6
 #: average, 24 for texts of a few shingles, with a deviation of 4.5.
 WORDS = 2
 RADIUS = 44
-TURNS = 4
-#: Members of a block, or of a piece of one, that a task compares at once.
+TURNS = 3
+#: Members of a block, or of a piece of one, that a task compares at once; shingles of a piece; members that may leave as pairs.
 BLOCK = 4096
+SHINGLES = 1 << 20
+FEW = 24
+#: Bytes of the bitmaps of a piece; sets that need more are merged pair by pair.
+BITMAPS = 1 << 26
 #: Words that a task hashes at once.
 AT_ONCE = 100_000
 SEED = 11
@@ -173,24 +179,102 @@ def _candidates(similarity: float, every: bool):
     return scan
 
 
+class Overlaps:
+    """How many hashes two sets of a piece share: bitmaps over those that more than one set has, or merges of sorted sets where these would be large."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray, most: int):
+        known, which, n = np.unique(values, return_inverse=True, return_counts=True)
+        place = np.cumsum(n > 1) - 1
+        words = int(place[-1] // 64 + 1) if len(place) and place[-1] >= 0 else 1
+        self.bits = None
+        if 8 * words * len(lengths) <= most:
+            row, at = np.repeat(np.arange(len(lengths)), lengths)[n[which] > 1], place[which[n[which] > 1]]
+            self.bits = np.zeros((len(lengths), words), np.uint64)
+            np.bitwise_or.at(self.bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+            self.step = max(1, (most >> 3) // words)
+        else:
+            ends = np.cumsum(lengths)
+            self.sets = [np.sort(values[b - c : b]) for b, c in zip(ends.tolist(), lengths.tolist())]
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.fromiter((len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist())), np.int64, len(a))
+        parts = [np.bitwise_count(self.bits[a[k : k + self.step]] & self.bits[b[k : k + self.step]]).sum(1, dtype=np.int64) for k in range(0, len(a), self.step)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def links_of_piece(rows: np.ndarray, values: np.ndarray, lengths: np.ndarray, similarity: float, most: int) -> np.ndarray:
+    """Links (u, v) between components of one piece, from rows as _candidates has them and the sets; no more than join them."""
+    _, first, which = np.unique(rows[:, 2], return_index=True, return_inverse=True)
+    label, same, size, fps = first[which], rows[:, 3], rows[:, 4], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+    overlaps, out = Overlaps(values, lengths, most), [np.zeros((0, 2), np.int64)]
+    for a, b in close_pairs(np.zeros(len(rows), np.int64), fps, label, RADIUS):
+        fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+        a, b = a[fits], b[fits]
+        both = overlaps(a, b)
+        alike = both >= similarity * (size[a] + size[b] - both) - 1e-9
+        a, b = a[alike], b[alike]
+        if len(a):
+            _, once = np.unique(np.sort(np.stack([label[a], label[b]], 1), axis=1), axis=0, return_index=True)
+            out.append(np.stack([same[a[once]], same[b[once]]], 1))
+            unite(label, a[once], b[once])
+    return np.concatenate(out)
+
+
+def _checked_links(similarity: float, most: int):
+    """links_of_piece for each piece of rows sorted by band and piece, with their sets in the last column."""
+
+    def done(held: list[tuple]) -> pa.RecordBatch:
+        pairs = links_of_piece(*(np.concatenate(x) for x in zip(*held)), similarity, most)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["u", "v"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            n = batch.num_columns - 1
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:n]], 1)
+            column = batch.column(n)
+            offsets, values = column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten().to_numpy()
+            borders = (np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1).tolist()
+            for lo, hi in zip([0, *borders], [*borders, len(rows)]):
+                if lo == hi:
+                    continue
+                if held and (held[0][0][0, :2] != rows[lo, :2]).any():
+                    yield done(held)
+                    held = []
+                held.append((rows[lo:hi], values[offsets[lo] : offsets[hi]], np.diff(offsets[lo : hi + 1])))
+        if held:
+            yield done(held)
+
+    return scan
+
+
 def _alike(x: Column, y: Column, similarity: float) -> Column:
     """Whether two sets of hashes overlap so far; built-in, as Arrow batches of pairs of sets take much memory."""
     most, both = F.greatest(F.size(x), F.size(y)), F.size(F.array_intersect(x, y))
     return (F.least(F.size(x), F.size(y)) >= similarity * most - 1e-9) & (both >= similarity * (F.size(x) + F.size(y) - both) - 1e-9)
 
 
-def _dealt(open_: DataFrame, turn: int) -> DataFrame:
-    """Rows with a piece: one row of each component in pieces of a block, or, after the last turn, all rows in pairs of pieces."""
-    numbers = ["same", "size", *(f"f{k}" for k in range(WORDS))]
-    if turn < TURNS:
-        one = F.min(F.struct(F.xxhash64("same", F.lit(turn)).alias("h"), *numbers)).alias("x")
-        open_ = open_.groupBy("band", "root").agg(one).select("band", "root", *(F.col(f"x.{c}").alias(c) for c in numbers))
-    sizes = open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    rows = open_.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("same", F.lit(-turn)), F.col("parts")))
-    if turn < TURNS:
-        return rows.select("band", F.col("own").alias("piece"), "root", *numbers)
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    return rows.select("band", (F.least("own", "with") * F.col("parts") + F.greatest("own", "with")).alias("piece"), "root", *numbers)
+NUMBERS = ("same", "size", *(f"f{k}" for k in range(WORDS)))
+
+
+def _one_each(open_: DataFrame, turn: int) -> DataFrame:
+    """One row of each component of a block, in pieces."""
+    one = F.min(F.struct(F.xxhash64("same", F.lit(turn)).alias("h"), *NUMBERS)).alias("x")
+    one = open_.groupBy("band", "root").agg(one).select("band", "root", *(F.col(f"x.{c}").alias(c) for c in NUMBERS))
+    sizes = one.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    rows = one.join(sizes, "band").withColumn("piece", F.pmod(F.xxhash64("same", F.lit(-turn)), F.col("parts")))
+    return rows.select("band", "piece", "root", *NUMBERS)
+
+
+def _all(open_: DataFrame, few: bool) -> DataFrame:
+    """All rows of the blocks of up to FEW members, or of the others, these in pairs of pieces."""
+    sizes = open_.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter(F.col("n") <= FEW if few else F.col("n") > FEW)
+    if few:
+        return open_.join(sizes.select("band"), "band").select("band", F.lit(0).cast("bigint").alias("piece"), "root", *NUMBERS)
+    sizes = sizes.select("band", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / SHINGLES)).alias("parts"))
+    rows = open_.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("same"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    return rows.select("band", (F.least("own", "with") * F.col("parts") + F.greatest("own", "with")).alias("piece"), "root", *NUMBERS)
 
 
 def classes(docs: DataFrame, key: Column, id: str, text: str, similarity: float, scratch: Scratch) -> DataFrame:
@@ -199,15 +283,19 @@ def classes(docs: DataFrame, key: Column, id: str, text: str, similarity: float,
     importable(spark)
     keyed = docs.select(F.col(id).alias("id"), key.alias("key"), F.col(text).alias("text"))
     schema = f"id {docs.schema[id].dataType.simpleString()}, key {keyed.schema['key'].dataType.simpleString()}, same bigint, size bigint, fp array<bigint>, bands array<bigint>"
-    marked = scratch.write(keyed.mapInArrow(_mark, schema), "marked")
-    distinct = scratch.write(marked.groupBy("same").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+    wide = scratch.write(keyed.mapInArrow(_mark, schema), "wide")
+    marked = scratch.write(wide.select("id", "key", "same"), "marked")
+    distinct = scratch.write(wide.groupBy("same").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+    scratch.drop("wide")
     dealt = distinct.select(F.explode("bands").alias("band"), "same", "size", *(F.get("fp", F.lit(k)).alias(f"f{k}") for k in range(WORDS)))
     crowded = dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     met = scratch.write(dealt.join(crowded, "band"), "met")
     pick = distinct.join(met.select("same").distinct(), "same", "left_semi").select("key", "same")
     sets = scratch.write(keyed.select("key", "text").join(pick, "key").select("same", "text").mapInArrow(_sets, "same bigint, set array<bigint>").dropDuplicates(["same"]), "sets")
+    scratch.drop("distinct")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_pieces = lambda rows: rows.repartition(parts, "band", "piece").sortWithinPartitions("band", "piece", "same")
     roots, links, checked = None, None, None
     for turn in range(TURNS + 1):
         rows = met.withColumn("root", F.col("same"))
@@ -217,23 +305,25 @@ def classes(docs: DataFrame, key: Column, id: str, text: str, similarity: float,
             rows = scratch.write(rows.join(still, "band"), f"open-{turn}")
             if rows.isEmpty():
                 break
-        ready = _dealt(rows, turn).repartition(parts, "band", "piece").sortWithinPartitions("band", "piece", "same")
-        pairs = ready.mapInArrow(_candidates(similarity, turn == TURNS), "u bigint, v bigint").distinct()
+        last = turn == TURNS
+        pairs = in_pieces(_all(rows, few=True) if last else _one_each(rows, turn)).mapInArrow(_candidates(similarity, last), "u bigint, v bigint").distinct()
         pairs = scratch.write(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"), f"pairs-{turn}")
-        if pairs.isEmpty():
-            continue
         checked = pairs if checked is None else checked.unionByName(pairs)
         with_sets = pairs.join(sets.select(F.col("same").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("same").alias("v"), F.col("set").alias("y")), "v")
-        new = scratch.write(with_sets.filter(_alike(F.col("x"), F.col("y"), similarity)).select("u", "v"), f"links-{turn}")
+        new = with_sets.filter(_alike(F.col("x"), F.col("y"), similarity)).select("u", "v")
+        if last:
+            many = in_pieces(_all(rows, few=False).join(sets, "same").select("band", "piece", "root", *NUMBERS, "set"))
+            new = new.unionByName(many.mapInArrow(_checked_links(similarity, BITMAPS), "u bigint, v bigint").distinct())
+        new = scratch.write(new, f"links-{turn}")
+        scratch.drop(f"open-{turn}")
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
         roots = connected_components(links, Scratch(spark, f"copies-{turn}"))
-    scratch.drop("distinct", "sets", "met")
-    slim = marked.select("id", "key", "same")
+    scratch.drop("sets", "met")
     if roots is None:
-        return slim.withColumn("root", F.col("same")).drop("same")
-    return slim.join(roots, slim["same"] == roots["node"], "left").select("id", "key", F.coalesce("root", "same").alias("root"))
+        return marked.withColumn("root", F.col("same")).drop("same")
+    return marked.join(roots, marked["same"] == roots["node"], "left").select("id", "key", F.coalesce("root", "same").alias("root"))
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -166,7 +166,7 @@ def link_block(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.
     """For rows sorted by group: the least row that each is linked to, over links inside its group."""
     label = np.arange(len(fps))
     for a, b in close_pairs(groups, fps, label, radius):
-        _unite(label, a, b)
+        unite(label, a, b)
     return label
 
 
@@ -181,7 +181,7 @@ def _above(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndar
     return more
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     while True:
         x, y = label[a], label[b]
         split = x != y
