@@ -144,5 +144,42 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir)).drop("found")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_pack": op8_pack, "op9_neighbours": op9_neighbours, "op10_pii": op10_pii}
-ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op4_substrings": OP4_SQL, "op6_quality": OP6_SQL}
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 finds of the base kinds, which SQL can express."""
+    return op10_pii(spark, sf_dir).drop("spans")
+
+
+def secrets_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 finds of the base kinds, which SQL can express."""
+    return op7_secrets(spark, sf_dir).drop("spans")
+
+
+def _base_sql(kinds: dict[str, tuple[str, str]]) -> str:
+    """Spans of kinds, {name: (pattern, test of a match m)}, by the lengths of matches and of the pieces between them."""
+    found = ", ".join(f"regexp_extract_all(t, '{p}') AS m{k}, string_split_regex(t, '{p}') AS p{k}" for k, (p, _) in enumerate(kinds.values()))
+    spans = ", ".join(
+        f"list_transform(list_filter(list_transform(range(len(m{k})), lambda i: {{'s': list_sum(list_transform(p{k}[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m{k}[1:i], lambda x: length(x))), 0), 'm': m{k}[i + 1]}}), lambda y: {test.format(m='y.m')}), lambda y: {{'s': y.s, 'k': {k}, 'e': y.s + length(y.m)}}) AS s{k}"
+        for k, (_, test) in enumerate(kinds.values())
+    )
+    names = ", ".join(f"'{x}'" for x in kinds)
+    every = " || ".join(f"s{k}" for k in range(len(kinds)))
+    counts = ", ".join(f"len(s{k}) AS n_{x}" for k, x in enumerate(kinds))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, t, {found} FROM d), g AS (SELECT doc_id, {spans} FROM f)
+SELECT doc_id, {counts}, sha256(array_to_string(list_transform(list_sort({every}), lambda y: ([{names}])[y.k + 1] || ':' || y.s::BIGINT::VARCHAR || ':' || y.e::BIGINT::VARCHAR), ',')) AS base_sha256 FROM g"""
+
+
+_DIGITS = "regexp_replace({m}, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda j: CASE WHEN j % 2 = 0 THEN ({_DIGITS})[length({_DIGITS}) - j]::INT WHEN 2 * ({_DIGITS})[length({_DIGITS}) - j]::INT > 9 THEN 2 * ({_DIGITS})[length({_DIGITS}) - j]::INT - 9 ELSE 2 * ({_DIGITS})[length({_DIGITS}) - j]::INT END)) % 10 = 0"
+PII_SQL = _base_sql({
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split({m}, '.'), lambda x: length(ltrim(x, '0')) > 3 OR try_cast(x AS BIGINT) > 255)) = 0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+})
+_KEY = "(?:" + "|".join("".join("_?" if c == "_" else f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token", "api_key")) + ")"
+_ASSIGN = _KEY + r"[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+SECRETS_SQL = _base_sql({"assign": (_ASSIGN, f"length(regexp_extract({{m}}, '{_ASSIGN}', 1)) >= 6"), "access": ("AKIA[A-Z0-9]+", "length({m}) >= 20"), "hex": ("[0-9a-f]+", "length({m}) >= 24")})
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_pack": op8_pack, "op9_neighbours": op9_neighbours, "op10_pii": op10_pii, "pii_base_spans": pii_base_spans, "secrets_base_spans": secrets_base_spans}
+ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op4_substrings": OP4_SQL, "op6_quality": OP6_SQL, "pii_base_spans": PII_SQL, "secrets_base_spans": SECRETS_SQL}
