@@ -808,4 +808,4 @@ def events_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.once(e.unionByName(e), ["event_id"]).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-from tidewater import queries_more  # noqa: E402,F401  registers its own
+from tidewater import queries_more, queries_state  # noqa: E402,F401  register their own

@@ -56,7 +56,7 @@ def column_kinds(df: DataFrame) -> dict[str, str]:
 def write_csv(df: DataFrame, path: str) -> None:
     """Every cell quoted and safe for spreadsheets."""
     safe = [csv_safe(F.col(c)).alias(c) if k == "string" else F.col(c) for c, k in df.dtypes]
-    df.select(*safe).write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    df.select(*safe).write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def upsert(current: DataFrame, rows: DataFrame, keys: list[str], at: str) -> DataFrame:

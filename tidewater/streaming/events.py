@@ -77,7 +77,7 @@ def lifecycle(events: DataFrame, key: str, kind: str = "handler", at: str = "ts"
     if not events.isStreaming:
         states = events.filter(F.col(kind).isin(*EFFECTS))
         names = F.create_map(*(F.lit(x) for pair in EFFECTS.items() for x in pair))
-        return states.groupBy(key).agg(F.max_by(names[F.col(kind)], at).alias("status"), F.count("*").cast("int").alias("version"))
+        return states.groupBy(key).agg(F.max_by(names[F.col(kind)], F.struct(at, kind)).alias("status"), F.count("*").cast("int").alias("version"))
 
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, status, version = state.get if state.exists else (-1, None, 0)
