@@ -110,3 +110,24 @@ def test_few_open_bins_still_hold_all():
         assert used.get(b, 0) == at
         used[b] = at + n
     assert max(used.values()) <= 100
+
+
+def test_packer_against_a_slow_best_fit():
+    """Every open bin is looked at: the fullest that fits, of equally full ones the last filled; the fullest closes first."""
+    rng = np.random.default_rng(12)
+    for most in (1, 5, 64):
+        packer, bins, made, stamp = packing.Packer(100, most), [], 0, 0
+        for n in rng.integers(1, 101, 3000).tolist():
+            fits = [b for b in bins if b[0] >= n]
+            if fits:
+                best = min(fits, key=lambda b: (b[0], -b[1]))
+                bins.remove(best)
+            else:
+                if len(bins) == most:
+                    bins.remove(min(bins, key=lambda b: (b[0], -b[1])))
+                best, made = (100, 0, made), made + 1
+            want = (best[2], 100 - best[0])
+            stamp += 1
+            if best[0] > n:
+                bins.append((best[0] - n, stamp, best[2]))
+            assert packer.put(n) == want
