@@ -100,3 +100,21 @@ def test_suppression_scopes(spark):
     row = spark.createDataFrame([(("a", None), ("A", "x"))], "a struct<f:string,g:string>, b struct<f:string,g:string>")
     got = row.select(predicates.suppression("f", "matches_between").alias("m"), predicates.suppression("g", "is_blank", scope="both").alias("both"), predicates.suppression("g", "is_blank", scope="either").alias("either"), predicates.suppression("g", "differs_between").alias("d")).first()
     assert (got["m"], got["both"], got["either"], got["d"]) == (True, False, True, True)
+
+
+def test_filters_for_a_source_and_columns_that_rules_need():
+    from tidewater.plans import flows, predicates
+
+    native = {"equals": "EQ", "contains": "HAS"}
+    leaf = lambda op, f="name": {"field": f, "fieldType": "string", "operator": op, "value": "x"}
+    tree = lambda match, *groups: {"match": match, "groups": [{"match": m, "conditions": list(cs)} for m, *cs in groups]}
+    eq, has = ("name", "EQ", "x"), ("name", "HAS", "x")
+    assert flows.source_filters(tree("any", ("all", leaf("equals"), leaf("contains"))), native) == ([[eq, has]], False)
+    assert flows.source_filters(tree("any", ("all", leaf("equals"), leaf("is_empty"))), native) == ([[eq]], True)
+    assert flows.source_filters(tree("any", ("any", leaf("equals"), leaf("contains"))), native) == ([[eq], [has]], False)
+    assert flows.source_filters(tree("any", ("any", leaf("equals"), leaf("is_empty"))), native) == ([], True)
+    assert flows.source_filters(tree("all", ("all", leaf("equals")), ("all", leaf("contains"))), native) == ([[eq, has]], False)
+    assert flows.source_filters(None, native) == ([], True)
+    assert predicates.condition_count(tree("all", ("all", leaf("equals")), ("any", leaf("contains"), leaf("equals")))) == 3
+    spec = {"field": "name", "rules": [{"when": "`state` = 'x'", "transform": "upper($value)"}, {"format": "email_lowercase"}]}
+    assert flows.required_columns([spec, {**spec, "field": "email"}]) == ["id", "name", "state", "email"]
