@@ -297,3 +297,15 @@ def test_all_pairs_of_a_block(spark):
     records = spark.createDataFrame([(str(k), "acme", "x.com", None, None) for k in range(5)], "id string, name string, domain string, phone string, linkedin string")
     keys = dedup.company_keys(F.col("name"), F.col("domain"), F.col("phone"), F.col("linkedin"))
     assert {(r["a"], r["b"]) for r in dedup.candidate_pairs(records, keys).collect()} == set(combinations("01234", 2))
+
+
+def test_scratch_tables_are_removed(spark):
+    from tidewater import storage
+
+    made = storage.Scratch(spark, "test")
+    made.write(spark.range(3), "t")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made.root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert files.exists(path)
+    storage.clean(spark)
+    assert not files.exists(path) and not storage._roots

@@ -19,11 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Folders of this process's scratch tables.
+_roots: list[str] = []
+
+
 class Scratch:
     """Written Parquet tables: they cut the lineage and outlive lost executors.  ``drop`` removes those no longer read."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/tidewater/{label}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.root}/{name}")
@@ -31,5 +36,15 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names or ("",):
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}".rstrip("/"))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all scratch tables of this process.  DataFrames that read them must have been used or stored before."""
+    while _roots:
+        _delete(spark, _roots.pop())
