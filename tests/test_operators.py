@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from fractions import Fraction
 from itertools import combinations
 
 import pytest
@@ -68,8 +70,6 @@ def _jaro_winkler(a, b):
 
 
 def test_jaro_winkler_against_a_loop(spark):
-    import random
-
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcA ") for _ in range(rng.randrange(14))) for _ in range(400)]
     rows = spark.createDataFrame(list(zip(texts[:200], texts[200:])), "a string, b string")
@@ -167,6 +167,42 @@ def test_greedy_assignment(spark):
     assert got == {"a": "x", "b": "y", "c": "y", "d": "x"}
 
 
+def _dealt(groups, shares):
+    """A plain loop over all groups, in exact fractions."""
+    share = {o: Fraction(str(x)) / sum(Fraction(str(y)) for y in shares.values()) for o, x in shares.items()}
+    total, have, out = sum(n for _, n in groups), dict.fromkeys(shares, 0), {}
+    for key, n in sorted(groups, key=lambda g: (-g[1], g[0])):
+        o = max(shares, key=lambda o: total * share[o] - have[o])
+        have[o] += n
+        out[key] = o
+    return out
+
+
+@pytest.mark.parametrize("shares", [{"x": 0.5, "y": 0.5}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.05, "b": 0.9, "c": 0.05, "d": 0.1}, {"one": 1}])
+def test_assignment_against_a_loop(spark, shares):
+    rng = random.Random(len(shares))
+    rows = [(c, f"{c}-{k:04d}", rng.choice([1, 1, 1, 2, 3, 7, 40])) for c in ("p", None) for k in range(400)]
+    table = spark.createDataFrame(rows, "campaign string, key string, n int").repartition(5)
+    got = {r["key"]: r["owner"] for r in matching.assign_groups(table, shares, by="campaign").collect()}
+    want = {**_dealt([(k, n) for c, k, n in rows if c], shares), **_dealt([(k, n) for c, k, n in rows if not c], shares)}
+    assert got == want
+
+
+def test_turns_against_single_steps():
+    rng = random.Random(4)
+    for _ in range(300):
+        k, n, m = rng.randrange(1, 5), rng.randrange(1, 6), rng.randrange(1, 40)
+        target = [Fraction(rng.randrange(0, 60), rng.choice([1, 2, 3])) for _ in range(k)]
+        have, one = [Fraction(0)] * k, [Fraction(0)] * k
+        got = [turn[(r - a) % len(turn)] for a, b, turn in matching.rotations(target, have, n, m) for r in range(a, b + 1)]
+        want = []
+        for _ in range(m):
+            o = max(range(k), key=lambda o: target[o] - one[o])
+            one[o] += n
+            want.append(o)
+        assert got == want and have == one
+
+
 def test_company_matches_against_all_pairs(spark):
     names = ["Acme Works", "Acme Work", "Acorn", "Zeta Labs", "Zeto Labs"]
     records = spark.createDataFrame([(k, n, None) for k, n in enumerate(names)], "id int, name string, domain string")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from tidewater.functions.names import email_label, normalize_company_name, strin
 from tidewater.functions.similarity import jaro_winkler
 from tidewater.functions.text import email_lowercase, extract_domain, linkedin_id
 from tidewater.plans.predicates import owner_condition
+from tidewater.storage import Scratch
 
 from .dedup import composite_similarity
 from .lookup import best
@@ -109,24 +114,73 @@ def group_key(company: Column, email: Column, row: Column) -> Column:
     return F.when(label != "", F.concat(F.lit("domain:"), label)).when(name != "", F.concat(F.lit("name:"), name)).otherwise(F.concat(F.lit("row:"), row.cast("string")))
 
 
+def ranked(rows: DataFrame, by: list[str], key: str, scratch: Scratch) -> DataFrame:
+    """The rows with ``rank`` from 1 by key inside each group.  Ranges of (group, key) are ranked by tasks of their own, so one large group fills none."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = scratch.write(rows.repartitionByRange(parts, *by, key).withColumn("__part", F.spark_partition_id()), "placed")
+    counts = placed.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__part").alias("__p"), earlier.alias("__before"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    out = placed.join(offsets, reduce(and_, [F.col("__part") == F.col("__p"), *same]))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(key)) + F.col("__before")).select(*rows.columns, "rank")
+
+
+def rotations(target: list[Fraction], have: list[Fraction], n: int, m: int) -> list[tuple[int, int, list[int]]]:
+    """Who gets m groups of n, one after the other, each for the owner furthest below the target (ties: the first): (from, to, owners in turn), ranks from 1.
+
+    Owners that the next round reaches take turns in one order until another
+    one is as far below, so there are few stretches whatever m is.  ``have`` is brought up to date.
+    """
+    out, rank = [], 1
+    while rank <= m:
+        gap = [t - h for t, h in zip(target, have)]
+        order = sorted(range(len(gap)), key=lambda o: (-gap[o], o))
+        top = order[0]
+        turn = [o for o in order if (-gap[o], o) < (n - gap[top], top)] or [top]
+        rounds = m  # at most
+        for x in order[len(turn) :]:
+            last = turn[-1]
+            behind = (gap[last] - gap[x]) / n  # whole rounds after which the last one in turn is level with x
+            rounds = min(rounds, max(1, int(behind) + (1 if behind != int(behind) or last < x else 0)))
+        taken = min(m - rank + 1, rounds * len(turn))
+        for k, o in enumerate(turn):
+            have[o] += n * (taken // len(turn) + (k < taken % len(turn)))
+        out.append((rank, rank + taken - 1, turn))
+        rank += taken
+    return out
+
+
 def assign_groups(groups: DataFrame, shares: dict[str, float], by: str | None = None) -> DataFrame:
-    """Groups (key, n) to owners: largest first, to the owner furthest below the target.
+    """Groups (key, n) to owners: largest first, to the owner furthest below the target; equal ones by key.
 
-    Each step needs the one before, so this is one task for each value of
-    ``by`` (a campaign, say), over one row per group.
+    Each step needs the one before, but groups of one size are dealt in few
+    stretches of turns.  So only the number of groups of each size goes
+    through one task for each value of ``by`` (a campaign, say); the groups
+    themselves are ranked in ranges and find their stretch by a join.  Sizes
+    are above 0.
     """
-    whole = sum(shares.values())
+    scratch = Scratch(groups.sparkSession, "assign")
+    keys, names = [by] if by else [], list(shares)
+    sizes = groups.groupBy(*keys, "n").agg(F.count("*").alias("m"))
+    share = [Fraction(str(shares[o])) for o in names]
+    share = [x / sum(share) for x in share]
 
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "key"], ascending=[False, True])
-        total, have, out = float(rows["n"].sum()), dict.fromkeys(shares, 0.0), []
-        for n in rows["n"]:
-            o = max(shares, key=lambda o: total * shares[o] / whole - have[o])
-            have[o] += n
-            out.append(o)
-        return rows.assign(owner=out)[[*([by] if by else []), "key", "n", "owner"]]
-
-    cols = [*([by] if by else []), "key", "n"]
+        rows = rows.sort_values("n", ascending=False)
+        total, have, out = int((rows["n"] * rows["m"]).sum()), [Fraction(0)] * len(share), []
+        for n, m in zip(rows["n"].tolist(), rows["m"].tolist()):
+            for a, b, turn in rotations([total * x for x in share], have, int(n), int(m)):
+                out.append((n, a, b, [names[o] for o in turn]))
+        made = pd.DataFrame(out, columns=["__size", "__from", "__to", "__turn"])
+        return made.assign(__by=rows[by].iloc[0])[["__by", *made.columns]] if by else made
+
     kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", owner string"
-    return groups.select(*cols).groupBy(*([by] if by else [])).applyInPandas(deal, schema)
+    schema = (f"__by {kinds[by]}, " if by else "") + f"__size {kinds['n']}, __from bigint, __to bigint, __turn array<string>"
+    stretches = sizes.groupBy(*keys).applyInPandas(deal, schema)
+    own = ranked(groups.select(*keys, "key", "n"), [*keys, "n"], "key", scratch)
+    met = (F.col("n") == F.col("__size")) & F.col("rank").between(F.col("__from"), F.col("__to"))
+    if by:
+        met &= F.col(by).eqNullSafe(F.col("__by"))
+    owner = F.get("__turn", F.pmod(F.col("rank") - F.col("__from"), F.size("__turn")).cast("int"))
+    return own.join(stretches, met).select(*keys, "key", "n", owner.alias("owner"))
