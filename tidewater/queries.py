@@ -570,12 +570,12 @@ def first_n_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("n", F.row_number().over(Window.partitionBy("l_returnflag").orderBy(F.desc("q"), "l_partkey"))).filter("n <= 3")
 
 
-@query("SELECT *, (SELECT count(*) FROM orders) AS total FROM (SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40)")
+@query("SELECT *, (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders) > 60 AS has_more FROM (SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40)")
 def page_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page in order, with the exact total."""
+    """One page in order, the exact total, and whether there is more."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    total = o.groupBy().agg(F.count("*").alias("total"))
-    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20).join(F.broadcast(total))
+    total = o.count()
+    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20).withColumns({"total": F.lit(total).cast("bigint"), "has_more": F.lit(total > 60)})
 
 
 @query("""SELECT c_mktsegment, count(*) AS n FROM (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('tidewater:' || c_custkey::VARCHAR), c_custkey) AS place, count(*) OVER (PARTITION BY c_mktsegment) AS size, greatest(1, floor(100.0 * count(*) OVER (PARTITION BY c_mktsegment) / count(*) OVER () + 0.5)) AS quota FROM customer c) WHERE place <= 100
