@@ -99,8 +99,8 @@ def candidates(spark, *rows):
 
 
 def test_waterfalls(spark):
-    c = candidates(spark, ("zoominfo", None, 1), ("apollo", "Software", 2), ("clearbit", "Tech", 3))
-    assert tuple(resolve.waterfall(c).first())[2:] == ("Software", "apollo")
+    c = candidates(spark, ("zulu", None, 1), ("alpha", "Software", 2), ("charlie", "Tech", 3))
+    assert tuple(resolve.waterfall(c).first())[2:] == ("Software", "alpha")
     current = spark.createDataFrame([(1, "f", "Existing Value"), (2, "f", None)], "record_id int, field string, value string")
     got = {r["record_id"]: (r["value"], r["source"]) for r in resolve.waterfall(c, current, mode="fill_empty").collect()}
     assert got[1] == ("Existing Value", "existing")
@@ -120,9 +120,9 @@ def test_cache_and_prospects(spark):
     now = dt.datetime(2024, 5, 1)
     rows = spark.createDataFrame([(1, "a", now - dt.timedelta(days=1), "old", 5), (1, "b", now + dt.timedelta(days=1), "new", None), (1, "c", now + dt.timedelta(days=9), "third", 7)], "record_id int, provider string, ttl_expires_at timestamp, name string, size int")
     assert tuple(resolve.cached_rows(rows, ["name", "size"], ["a", "b", "c"], F.lit(now)).first()) == (1, "new", "7")
-    p = spark.createDataFrame([("apollo", "x.com", "A", None, ["t1"]), ("zoominfo", "x.com", None, 5, ["t2", "t1"])], "provider string, domain string, name string, size int, technologies array<string>")
-    r = resolve.merge_prospects(p, ["zoominfo", "apollo"], ["name", "size"]).first()
-    assert (r["name"], r["size"], r["technologies"], r["provider"]) == ("A", 5, ["t1", "t2"], "zoominfo+apollo")
+    p = spark.createDataFrame([("alpha", "x.com", "A", None, ["t1"]), ("zulu", "x.com", None, 5, ["t2", "t1"])], "provider string, domain string, name string, size int, technologies array<string>")
+    r = resolve.merge_prospects(p, ["zulu", "alpha"], ["name", "size"]).first()
+    assert (r["name"], r["size"], r["technologies"], r["provider"]) == ("A", 5, ["t1", "t2"], "zulu+alpha")
 
 
 def test_survivorship(spark):
@@ -150,7 +150,7 @@ def test_lookup_tiers(spark):
 
 
 def test_crosswalk_registry_relationship(spark):
-    table = spark.createDataFrame([("11", "Farms", "farming", "AGRI"), ("22", "Power", "utilities", "UTIL")], "naics_code string, naics_label string, apollo_label string, hubspot_value string")
+    table = spark.createDataFrame([("11", "Farms", "farming", "AGRI"), ("22", "Power", "utilities", "UTIL")], "naics_code string, naics_label string, source_label string, crm_value string")
     rows = spark.createDataFrame([(1, "11", None, None), (2, None, "POWER", None), (3, "99", "x", "Farming"), (4, None, None, None)], "n int, naics_code string, naics_label string, provider_label string")
     assert {r["n"]: (r["value"], r["matched_by"]) for r in lookup.crosswalk(rows, table).collect()} == {1: ("AGRI", "naics_code"), 2: ("UTIL", "naics_label"), 3: ("AGRI", "provider_label"), 4: (None, "miss")}
     registry = spark.createDataFrame([("acme", "ACME", None, "active"), ("acme", "Acme!", "o1", "active"), ("ibm", "IBM", None, "active"), ("old", "Old", None, "retired")], "input_token string, canonical_form string, org_id string, status string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater import values as V
 from tidewater.functions.similarity import jaccard, phonetic, trigrams
+from tidewater.storage import Scratch
 
 
 def _low(c: Column) -> Column:
@@ -28,17 +29,19 @@ def lookup(values: DataFrame, reference: DataFrame, org: str | None = None, thre
     """(value, canonical, match_type, confidence) for each distinct value of the only column.
 
     Tiers in turn, each for what the one before left over: equal text, trigram
-    similarity from the threshold on, equal sound.  The organisation's row
+    similarity from the threshold on, equal sound.  What each has found is
+    stored, as the next one and the result read it.  The organisation's row
     beats the common one.  The fuzzy tier meets only rows that share a trigram
     and whose numbers of trigrams allow the threshold.
     """
-    values = values.toDF("value").filter("value IS NOT NULL").distinct()
+    scratch = Scratch(values.sparkSession, "lookup")
+    values = scratch.write(values.toDF("value").filter("value IS NOT NULL").distinct(), "values")
     ref = active(reference, org).select(F.col("input_value").alias("ref"), F.col("canonical_value").alias("canonical"), "org_id", "fuzzy_eligible")
     own_first = F.col("org_id").asc_nulls_last()
     exact = best(values.join(ref, _low(F.col("value")) == _low(F.col("ref"))), ["value"], own_first, F.col("canonical"))
-    exact = exact.select("value", "canonical", F.lit("exact").alias("match_type"), F.lit(100).alias("confidence"))
+    exact = scratch.write(exact.select("value", "canonical", F.lit("exact").alias("match_type"), F.lit(100).alias("confidence")), "exact")
     rest = values.join(exact, "value", "left_anti")
-    fuzzy = fuzzy_lookup(rest, ref.filter("fuzzy_eligible"), threshold)
+    fuzzy = scratch.write(fuzzy_lookup(rest, ref.filter("fuzzy_eligible"), threshold), "fuzzy")
     found, rest = exact.unionByName(fuzzy), rest.join(fuzzy, "value", "left_anti")
     if sounds:
         heard = rest.withColumn("s", phonetic(F.col("value"))).filter("s <> ''").join(ref.withColumn("s", phonetic(F.col("ref"))), "s").filter(_low(F.col("value")) != _low(F.col("ref")))
@@ -90,9 +93,9 @@ def registry_lookup(tokens: DataFrame, registry: DataFrame, org: str) -> DataFra
 
 def crosswalk(rows: DataFrame, table: DataFrame) -> DataFrame:
     """rows (key, naics_code, naics_label, provider_label) to a value: by code, else by label, else by the provider's label."""
-    once = lambda on, name: best(table.filter(F.col(on).isNotNull()).withColumn("__k", F.lower(on)), ["__k"], F.col("naics_code")).select(F.col("__k").alias(f"__{name}"), F.col("hubspot_value").alias(name))
+    once = lambda on, name: best(table.filter(F.col(on).isNotNull()).withColumn("__k", F.lower(on)), ["__k"], F.col("naics_code")).select(F.col("__k").alias(f"__{name}"), F.col("crm_value").alias(name))
     out = rows
-    for on, source, name in (("naics_code", "naics_code", "by_code"), ("naics_label", "naics_label", "by_label"), ("apollo_label", "provider_label", "by_provider")):
+    for on, source, name in (("naics_code", "naics_code", "by_code"), ("naics_label", "naics_label", "by_label"), ("source_label", "provider_label", "by_provider")):
         out = out.join(once(on, name), F.lower(F.col(source)) == F.col(f"__{name}"), "left").drop(f"__{name}")
     how = F.when(F.col("by_code").isNotNull(), "naics_code").when(F.col("by_label").isNotNull(), "naics_label").when(F.col("by_provider").isNotNull(), "provider_label").otherwise("miss")
     return out.select(*rows.columns, F.coalesce("by_code", "by_label", "by_provider").alias("value"), how.alias("matched_by"))
@@ -100,11 +103,12 @@ def crosswalk(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 def classify_compound(values: DataFrame, reference: DataFrame, separators: str = r"\s*[,;/&|]\s*", **how) -> DataFrame:
     """A value as a whole, else its first part that the lookup knows."""
-    values = values.toDF("value").filter("value IS NOT NULL").distinct()
-    whole = lookup(values, reference, **how).filter("canonical IS NOT NULL")
-    parts = values.join(whole, "value", "left_anti").select("value", F.posexplode(F.split("value", separators)).alias("at", "part")).filter("part <> ''")
+    scratch = Scratch(values.sparkSession, "compound")
+    values = scratch.write(values.toDF("value").filter("value IS NOT NULL").distinct(), "values")
+    whole = scratch.write(lookup(values, reference, **how).filter("canonical IS NOT NULL"), "whole")
+    parts = scratch.write(values.join(whole, "value", "left_anti").select("value", F.posexplode(F.split("value", separators)).alias("at", "part")).filter("part <> ''"), "parts")
     known = lookup(parts.select("part"), reference, **how).filter("canonical IS NOT NULL").withColumnRenamed("value", "part")
-    first = best(parts.join(known, "part"), ["value"], F.col("at")).select("value", "canonical", F.concat(F.lit("part_"), F.col("match_type")).alias("match_type"), "confidence")
+    first = scratch.write(best(parts.join(known, "part"), ["value"], F.col("at")).select("value", "canonical", F.concat(F.lit("part_"), F.col("match_type")).alias("match_type"), "confidence"), "first")
     out = whole.unionByName(first)
     return out.unionByName(values.join(out, "value", "left_anti").select("value", F.lit(None).cast("string").alias("canonical"), F.lit("none").alias("match_type"), F.lit(0).alias("confidence")))
 

@@ -126,7 +126,7 @@ def melt_status(records: DataFrame, specs: list[dict[str, Any]], id: str = "id")
         new, rule = cascade(s)
         value = F.col(s["field"]).cast("string")
         status = F.when(F.coalesce(F.trim(value) == "", F.lit(True)) | rule.isNull(), "unprocessed").when(new.eqNullSafe(value), "compliant").otherwise("stale")
-        made.append(F.struct(F.lit(s["field"]).alias("field"), value.alias("raw_value"), new.alias("normalized_value"), F.lit(s["id"]).alias("harmony_id"), status.alias("status")))
+        made.append(F.struct(F.lit(s["field"]).alias("field"), value.alias("raw_value"), new.alias("normalized_value"), F.lit(s["id"]).alias("rule_key"), status.alias("status")))
     return records.select(F.col(id).alias("id"), F.explode(F.array(*made)).alias("c")).select("id", "c.*")
 
 

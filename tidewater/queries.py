@@ -476,12 +476,12 @@ def rule_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Quality figures, on orders as facts: F is compliant, O stale, P unprocessed
 
-FACTS = "facts AS (SELECT o_orderkey AS id, o_orderpriority AS field, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'h' || (o_custkey % 7)::VARCHAR END AS harmony_id, ' Value ' || (o_orderkey % 37)::VARCHAR AS raw_value, CASE o_orderstatus WHEN 'F' THEN 'compliant' WHEN 'O' THEN 'stale' ELSE 'unprocessed' END AS status, o_orderdate AS at, o_totalprice AS price FROM orders)"
+FACTS = "facts AS (SELECT o_orderkey AS id, o_orderpriority AS field, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'h' || (o_custkey % 7)::VARCHAR END AS rule_key, ' Value ' || (o_orderkey % 37)::VARCHAR AS raw_value, CASE o_orderstatus WHEN 'F' THEN 'compliant' WHEN 'O' THEN 'stale' ELSE 'unprocessed' END AS status, o_orderdate AS at, o_totalprice AS price FROM orders)"
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("field"), F.when(F.col("o_orderkey") % 10 != 0, F.concat(F.lit("h"), (F.col("o_custkey") % 7).cast("string"))).alias("harmony_id"), F.concat(F.lit(" Value "), (F.col("o_orderkey") % 37).cast("string")).alias("raw_value"), F.when(F.col("o_orderstatus") == "F", "compliant").when(F.col("o_orderstatus") == "O", "stale").otherwise("unprocessed").alias("status"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("field"), F.when(F.col("o_orderkey") % 10 != 0, F.concat(F.lit("h"), (F.col("o_custkey") % 7).cast("string"))).alias("rule_key"), F.concat(F.lit(" Value "), (F.col("o_orderkey") % 37).cast("string")).alias("raw_value"), F.when(F.col("o_orderstatus") == "F", "compliant").when(F.col("o_orderstatus") == "O", "stale").otherwise("unprocessed").alias("status"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"))
 
 
 def on_facts(select: str, *ctes: str) -> str:
@@ -497,25 +497,25 @@ def compliance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compliance(facts(spark, sf_dir))
 
 
-@query(on_facts(f"""SELECT harmony_id, {COUNTS}, {RATE} AS rate, count(*) FILTER (status <> 'compliant') AS affected, floor(100.0 * count(*) FILTER (status <> 'compliant') / sum(count(*)) OVER () + 0.5) AS impact,
-  floor(100 * ({RATE} - (SELECT {RATE} FROM facts p WHERE p.harmony_id = f.harmony_id AND p.at < DATE '1998-01-01')) + 0.5) / 100 AS delta FROM facts f WHERE harmony_id IS NOT NULL GROUP BY harmony_id"""))
+@query(on_facts(f"""SELECT rule_key, {COUNTS}, {RATE} AS rate, count(*) FILTER (status <> 'compliant') AS affected, floor(100.0 * count(*) FILTER (status <> 'compliant') / sum(count(*)) OVER () + 0.5) AS impact,
+  floor(100 * ({RATE} - (SELECT {RATE} FROM facts p WHERE p.rule_key = f.rule_key AND p.at < DATE '1998-01-01')) + 0.5) / 100 AS delta FROM facts f WHERE rule_key IS NOT NULL GROUP BY rule_key"""))
 def compliance_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates by rule, and their change since the facts before 1998."""
     f = facts(spark, sf_dir)
-    old = quality.breakdown(f.filter(F.col("at") < "1998-01-01"), "harmony_id").select("harmony_id", "rate")
-    return quality.breakdown(f, "harmony_id", old)
+    old = quality.breakdown(f.filter(F.col("at") < "1998-01-01"), "rule_key").select("rule_key", "rate")
+    return quality.breakdown(f, "rule_key", old)
 
 
-@query(on_facts("SELECT * FROM (SELECT harmony_id, field, trim(lower(raw_value)) AS pattern, count(*) AS n FROM facts WHERE status = 'unprocessed' GROUP BY ALL HAVING count(*) >= 2) ORDER BY n DESC, harmony_id NULLS FIRST, field, pattern LIMIT 50"))
+@query(on_facts("SELECT * FROM (SELECT rule_key, field, trim(lower(raw_value)) AS pattern, count(*) AS n FROM facts WHERE status = 'unprocessed' GROUP BY ALL HAVING count(*) >= 2) ORDER BY n DESC, rule_key NULLS FIRST, field, pattern LIMIT 50"))
 def pattern_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 and W12."""
-    return quality.pattern_gaps(facts(spark, sf_dir), "harmony_id", "field", "raw_value", 2)
+    return quality.pattern_gaps(facts(spark, sf_dir), "rule_key", "field", "raw_value", 2)
 
 
-@query(on_facts("SELECT harmony_id, field, raw_value, count(*) AS total FROM facts GROUP BY ALL HAVING count(*) FILTER (status = 'compliant') = 0 AND count(*) >= 3"))
+@query(on_facts("SELECT rule_key, field, raw_value, count(*) AS total FROM facts GROUP BY ALL HAVING count(*) FILTER (status = 'compliant') = 0 AND count(*) >= 3"))
 def zero_match_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5."""
-    return quality.zero_match(facts(spark, sf_dir), "harmony_id", "field", "raw_value", least=3)
+    return quality.zero_match(facts(spark, sf_dir), "rule_key", "field", "raw_value", least=3)
 
 
 FIELDS = ["domain", "phone", "email", "employees", "active"]
@@ -540,11 +540,11 @@ def top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(on_facts(f"""SELECT 'score_below' AS type, 60.0::DOUBLE AS threshold, {RATE}::DOUBLE AS actual, NULL AS rule FROM facts HAVING {RATE} < 60 UNION ALL SELECT 'unprocessed_above', 10.0, count(*) FILTER (status = 'unprocessed')::DOUBLE, NULL FROM facts HAVING count(*) FILTER (status = 'unprocessed') > 10
-  UNION ALL SELECT 'rate_below', 49.0, {RATE}::DOUBLE, harmony_id FROM facts WHERE harmony_id IS NOT NULL GROUP BY harmony_id HAVING {RATE} < 49"""))
+  UNION ALL SELECT 'rate_below', 49.0, {RATE}::DOUBLE, rule_key FROM facts WHERE rule_key IS NOT NULL GROUP BY rule_key HAVING {RATE} < 49"""))
 def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A37."""
     f = facts(spark, sf_dir)
-    return quality.alerts(quality.compliance(f), quality.breakdown(f, "harmony_id"), "harmony_id", 60.0, 10, 49.0)
+    return quality.alerts(quality.compliance(f), quality.breakdown(f, "rule_key"), "rule_key", 60.0, 10, 49.0)
 
 
 @query("""SELECT o_orderpriority AS field, m AS at, score, lag(score) OVER w AS previous, floor(100 * (score - lag(score) OVER w) + 0.5) / 100 AS delta FROM (

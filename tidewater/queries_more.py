@@ -201,7 +201,7 @@ def survivor_rule_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.load_rules(rules, "org1").select("id", "org_id", "field_key", "rule_type")
 
 
-SRC = "list_position(['apollo', 'graph'], CASE ({0})::INT % 3 WHEN 0 THEN 'apollo' WHEN 1 THEN 'graph' ELSE 'other' END)"
+SRC = "list_position(['alpha', 'gamma'], CASE ({0})::INT % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'gamma' ELSE 'other' END)"
 SEGS = "coalesce(list_position(['building', 'machinery'], lower({0})), 0)"
 
 
@@ -213,9 +213,9 @@ def survivorship_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _master_and_duplicate(spark, sf_dir)
     swapped = survivorship.closed_won(p.withColumns({s: F.col(s).withField("won", F.coalesce(F.col(s)["active"] == "true", F.lit(False))) for s in ("m", "d")})).select(F.when(F.col("swapped"), F.col("d.id")).otherwise(F.col("m.id")).alias("id"), "swapped")
     m, d = F.col("m"), F.col("d")
-    source = lambda r: F.get(F.array(*map(F.lit, ("apollo", "graph", "other"))), r["contacts"] % 3)
+    source = lambda r: F.get(F.array(*map(F.lit, ("alpha", "gamma", "other"))), r["contacts"] % 3)
     made = p.select(
-        m["id"].alias("id"), survivorship.choose("source_preference", m["email"], d["email"], source(m), source(d), order=["apollo", "graph"]).alias("by_source"), survivorship.choose("specific_value", m["industry"], d["industry"], order=["BUILDING", "machinery"]).alias("by_value"),
+        m["id"].alias("id"), survivorship.choose("source_preference", m["email"], d["email"], source(m), source(d), order=["alpha", "gamma"]).alias("by_source"), survivorship.choose("specific_value", m["industry"], d["industry"], order=["BUILDING", "machinery"]).alias("by_value"),
         survivorship.choose("rollup", m["contacts"], d["contacts"], how="min").cast("double").alias("least_"), survivorship.choose("rollup", m["contacts"], d["contacts"], how="average").cast("double").alias("mean"),
     )
     return made.join(swapped, "id")
@@ -422,7 +422,7 @@ CODE = "CASE contacts WHEN 0 THEN '11' WHEN 1 THEN '99' WHEN 2 THEN '33' END"
   SELECT id, industry, {CODE} AS code, CASE WHEN contacts IN (1, 3) THEN 'Odd' END AS l, coalesce(CASE {CODE} WHEN '11' THEN 'CONSTRUCTION' WHEN '33' THEN 'RETAIL' END, CASE industry WHEN 'BUILDING' THEN 'CONSTRUCTION' WHEN 'AUTOMOBILE' THEN 'AUTOMOTIVE' END) AS v FROM companies)"""))
 def industry_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By code, by label, by the provider's label, else into fallback columns."""
-    xwalk = spark.createDataFrame(XWALK, "naics_code string, naics_label string, apollo_label string, hubspot_value string")
+    xwalk = spark.createDataFrame(XWALK, "naics_code string, naics_label string, source_label string, crm_value string")
     rows = companies(spark, sf_dir).select(F.col("id").alias("record_id"), F.expr(CODE).alias("naics_code"), F.when(F.col("contacts").isin(1, 3), "Odd").alias("naics_label"), F.col("industry").alias("provider_label"))
     return flows.industry_two_stage(rows, xwalk)
 
@@ -439,31 +439,31 @@ def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.unionByName(flows.lookup_issues(c, "industry", reference, "o1").select(F.lit("industry").alias("field"), "issues"))
 
 
-@query(on_facts("SELECT id, CASE WHEN status = 'compliant' AND id % 3 <> 1 AND harmony_id IN ('h0', 'h1', 'h2') THEN 'stale' ELSE status END AS status FROM facts"))
+@query(on_facts("SELECT id, CASE WHEN status = 'compliant' AND id % 3 <> 1 AND rule_key IN ('h0', 'h1', 'h2') THEN 'stale' ELSE status END AS status FROM facts"))
 def stale_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compliant under another version of the rule than the present one."""
     f = facts(spark, sf_dir).withColumn("version", F.concat(F.lit("1."), (F.col("id") % 3).cast("string")))
-    now = spark.createDataFrame([("h0", "1.1"), ("h1", "1.1"), ("h2", "1.1")], "harmony_id string, version string")
-    return flows.mark_stale(f, now, rule="harmony_id").select("id", "status")
+    now = spark.createDataFrame([("h0", "1.1"), ("h1", "1.1"), ("h2", "1.1")], "rule_key string, version string")
+    return flows.mark_stale(f, now, rule="rule_key").select("id", "status")
 
 
 # Reports
 
-RATES = f"rates AS (SELECT harmony_id, {RATE} AS rate, count(*) FILTER (status = 'unprocessed') AS unprocessed, count(*) FILTER (status <> 'compliant') AS affected FROM facts WHERE harmony_id IS NOT NULL GROUP BY harmony_id)"
-INSIGHTS = "insights AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'h' || (o_orderkey % 9)::VARCHAR END AS harmony_id, 'gap ' || o_orderkey::VARCHAR AS message, (o_orderkey % 50)::BIGINT AS n, TIMESTAMP '2024-01-01 12:00:00' - to_minutes((o_orderkey % 120)::INT) AS created_at FROM orders)"
+RATES = f"rates AS (SELECT rule_key, {RATE} AS rate, count(*) FILTER (status = 'unprocessed') AS unprocessed, count(*) FILTER (status <> 'compliant') AS affected FROM facts WHERE rule_key IS NOT NULL GROUP BY rule_key)"
+INSIGHTS = "insights AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'h' || (o_orderkey % 9)::VARCHAR END AS rule_key, 'gap ' || o_orderkey::VARCHAR AS message, (o_orderkey % 50)::BIGINT AS n, TIMESTAMP '2024-01-01 12:00:00' - to_minutes((o_orderkey % 120)::INT) AS created_at FROM orders)"
 
 
-@query(on_facts("""SELECT *, row_number() OVER (ORDER BY impact DESC, harmony_id NULLS FIRST, issue)::INT AS rank FROM (SELECT * FROM (
-  SELECT i.harmony_id, message AS issue, n AS affected, (n * CASE WHEN r.harmony_id IS NOT NULL THEN 1.5 ELSE 1 END * CASE WHEN created_at > TIMESTAMP '2024-01-01 11:00:00' THEN 1.2 ELSE 1 END)::DOUBLE AS impact FROM insights i LEFT JOIN rates r USING (harmony_id)
-  UNION ALL SELECT harmony_id, unprocessed::VARCHAR || ' unprocessed records', unprocessed, unprocessed::DOUBLE FROM rates WHERE rate < 80 AND unprocessed > 0) ORDER BY impact DESC, harmony_id NULLS FIRST, issue LIMIT 3)""", RATES, INSIGHTS))
+@query(on_facts("""SELECT *, row_number() OVER (ORDER BY impact DESC, rule_key NULLS FIRST, issue)::INT AS rank FROM (SELECT * FROM (
+  SELECT i.rule_key, message AS issue, n AS affected, (n * CASE WHEN r.rule_key IS NOT NULL THEN 1.5 ELSE 1 END * CASE WHEN created_at > TIMESTAMP '2024-01-01 11:00:00' THEN 1.2 ELSE 1 END)::DOUBLE AS impact FROM insights i LEFT JOIN rates r USING (rule_key)
+  UNION ALL SELECT rule_key, unprocessed::VARCHAR || ' unprocessed records', unprocessed, unprocessed::DOUBLE FROM rates WHERE rate < 80 AND unprocessed > 0) ORDER BY impact DESC, rule_key NULLS FIRST, issue LIMIT 3)""", RATES, INSIGHTS))
 def remediation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three items of most impact."""
     k = F.col("o_orderkey")
-    insights = table(spark, sf_dir, "orders").select(F.when(k % 3 != 0, F.concat(F.lit("h"), (k % 9).cast("string"))).alias("harmony_id"), F.concat(F.lit("gap "), k.cast("string")).alias("message"), (k % 50).alias("n"), (F.lit("2024-01-01 12:00:00").cast("timestamp") - F.make_dt_interval(mins=(k % 120).cast("int"))).alias("created_at"))
-    return reports.remediation(insights, quality.breakdown(facts(spark, sf_dir), "harmony_id"), "harmony_id", F.lit("2024-01-01 12:00:00").cast("timestamp"))
+    insights = table(spark, sf_dir, "orders").select(F.when(k % 3 != 0, F.concat(F.lit("h"), (k % 9).cast("string"))).alias("rule_key"), F.concat(F.lit("gap "), k.cast("string")).alias("message"), (k % 50).alias("n"), (F.lit("2024-01-01 12:00:00").cast("timestamp") - F.make_dt_interval(mins=(k % 120).cast("int"))).alias("created_at"))
+    return reports.remediation(insights, quality.breakdown(facts(spark, sf_dir), "rule_key"), "rule_key", F.lit("2024-01-01 12:00:00").cast("timestamp"))
 
 
-@query(on_facts("""SELECT 'rule_unmatched' AS type, 2 AS priority, harmony_id AS subject, affected AS count FROM rates WHERE rate < 60 AND affected > 0
+@query(on_facts("""SELECT 'rule_unmatched' AS type, 2 AS priority, rule_key AS subject, affected AS count FROM rates WHERE rate < 60 AND affected > 0
   UNION ALL SELECT 'grade_a_duplicates', 1, NULL, count(*) FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 5 = 0 HAVING count(*) > 0 UNION ALL SELECT 'quarantine_pending', 1, NULL, count(*) FROM customer WHERE c_custkey % 7 = 0 HAVING count(*) > 0
   UNION ALL SELECT 'enrichment_available', 3, NULL, arg_max(event_id % 90 + 1, ts) FROM events""", RATES))
 def action_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,7 +472,7 @@ def action_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 7 == 0, "pending").otherwise("done").alias("status"))
     e = table(spark, sf_dir, "events")
     runs = e.select(F.lit("completed").alias("status"), (F.col("event_id") % 90 + 1).alias("processed"), F.col("ts").alias("completed_at"))
-    return reports.actions(quality.breakdown(facts(spark, sf_dir), "harmony_id"), "harmony_id", pairs, held, runs, F.lit("1970-01-02").cast("timestamp"))
+    return reports.actions(quality.breakdown(facts(spark, sf_dir), "rule_key"), "rule_key", pairs, held, runs, F.lit("1970-01-02").cast("timestamp"))
 
 
 @query(oracle("SELECT DISTINCT id FROM companies WHERE phone IS NULL OR trim(coalesce(email, '')) = '' OR linkedin = '' ORDER BY id LIMIT 100"))
@@ -503,12 +503,12 @@ def import_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.bucket_samples(e, "bucket", "event_id").withColumn("samples", F.array_join(F.transform("samples", lambda s: s["event_id"].cast("string")), ","))
 
 
-@query("SELECT (s_suppkey)::BIGINT AS position, CASE s_suppkey % 3 WHEN 0 THEN 'apollo' WHEN 1 THEN 'graph' ELSE 'new' END AS provider, (0.5 + CASE s_suppkey % 3 WHEN 0 THEN 2 + 3 + 2 WHEN 1 THEN 1 + 1 + 1 ELSE 4 + 5 + 4 END)::DOUBLE AS credits_per_record, ((0.5 + CASE s_suppkey % 3 WHEN 0 THEN 7 WHEN 1 THEN 3 ELSE 13 END) * 200)::DOUBLE AS total_credits FROM supplier")
+@query("SELECT (s_suppkey)::BIGINT AS position, CASE s_suppkey % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'gamma' ELSE 'new' END AS provider, (0.5 + CASE s_suppkey % 3 WHEN 0 THEN 2 + 3 + 2 WHEN 1 THEN 1 + 1 + 1 ELSE 4 + 5 + 4 END)::DOUBLE AS credits_per_record, ((0.5 + CASE s_suppkey % 3 WHEN 0 THEN 7 WHEN 1 THEN 3 ELSE 13 END) * 200)::DOUBLE AS total_credits FROM supplier")
 def run_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credits of steps over two hundred records."""
     k = F.col("s_suppkey")
-    steps = table(spark, sf_dir, "supplier").select(k.cast("bigint").alias("position"), F.when(k % 3 == 0, "apollo").when(k % 3 == 1, "graph").otherwise("new").alias("provider"), F.array(F.lit("domain"), F.lit("phone"), F.lit("other")).alias("fields"))
-    costs = spark.createDataFrame([("apollo", "domain", 2.0), ("apollo", "phone", 3.0), ("graph", "name", 9.0), ("default", "domain", 4.0), ("default", "phone", 5.0)], "provider string, field string, credits double")
+    steps = table(spark, sf_dir, "supplier").select(k.cast("bigint").alias("position"), F.when(k % 3 == 0, "alpha").when(k % 3 == 1, "gamma").otherwise("new").alias("provider"), F.array(F.lit("domain"), F.lit("phone"), F.lit("other")).alias("fields"))
+    costs = spark.createDataFrame([("alpha", "domain", 2.0), ("alpha", "phone", 3.0), ("gamma", "name", 9.0), ("default", "domain", 4.0), ("default", "phone", 5.0)], "provider string, field string, credits double")
     return reports.run_cost(steps, costs, 200, 0.5)
 
 
