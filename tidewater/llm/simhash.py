@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, columns: list[str] | None = None, id: str =
     roots = connected_components(links(distinct, scratch), scratch)
     members = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = scratch.write(members.join(least, "root").select(F.col("fp").alias("__fp"), "component_id", "root"), "classes")
+    classes = scratch.write(members.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root"), "classes")
     scratch.drop("distinct", "met-0", "met-1", "met-2")
     joined = marked.join(classes, marked["fp"] == classes["_fp"])
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
