@@ -269,6 +269,9 @@ def test_rules_from_yaml(spark, tmp_path):
     (tmp_path / "a.yaml").write_text("id: low\nversion: 1.0.0\nfield: v\nrules:\n  - id: r\n    transform: lower($value)\ntests:\n  - {name: t, input: ABC, expected: abc}\n")
     loaded = rules.load(str(tmp_path))
     assert list(loaded) == ["low"] and rules.run_tests(spark, loaded["low"]) == []
+    library = {"a": {"id": "a", "field": "v", "category": "x", "tags": ["t"]}, "b": {"id": "b", "field": "v", "category": "y"}}
+    assert list(rules.chosen(library, field="v")) == ["a", "b"] and list(rules.chosen(library, category="y")) == ["b"] and list(rules.chosen(library, tag="t")) == ["a"]
+    assert rules.summary(library, "category") == {"x": 1, "y": 1}
 
 
 def test_csv_round_trip(spark, tmp_path):

@@ -82,13 +82,6 @@ def alerts(score: DataFrame, rates: DataFrame, rule: str, least_score: float, mo
     )
 
 
-def remediation(gaps: DataFrame, rule: str, most: int = 3) -> DataFrame:
-    """The gaps of most impact: count x 1.5 for a known rule x 1.2 if recent, with their rank."""
-    impact = F.col("n") * F.when(F.col(rule).isNotNull(), 1.5).otherwise(1.0) * F.when(F.col("recent"), 1.2).otherwise(1.0)
-    ranked = gaps.withColumn("impact", impact).orderBy(F.desc("impact"), rule, "pattern").limit(most)
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("impact"), rule, "pattern")))
-
-
 def trend(history: DataFrame, by: list[str], at: str, value: str, since, until) -> DataFrame:
     """The series within a span of time, each value with the one before and the change."""
     w = Window.partitionBy(*by).orderBy(at)

@@ -49,6 +49,11 @@ def checked(spec: dict[str, Any]) -> dict[str, Any]:
     return spec
 
 
+def chosen(specs: dict[str, dict[str, Any]], tag: str | None = None, **having: str) -> dict[str, dict[str, Any]]:
+    """The specifications with given values of keys such as field, category or entity, and with a tag."""
+    return {k: s for k, s in specs.items() if all(s.get(key) == v for key, v in having.items()) and (tag is None or tag in s.get("tags", []))}
+
+
 def summary(specs: dict[str, dict[str, Any]], key: str) -> Counter:
     return Counter(s.get(key, "") for s in specs.values())
 
@@ -105,6 +110,18 @@ def changes(records: DataFrame, specs: list[dict[str, Any]], id: str = "id") ->
     return long.filter(F.col("before").isNotNull() & F.col("rule").isNotNull() & ~F.col("after").eqNullSafe(F.col("before")))
 
 
+def apply_all(records: DataFrame, specs: list[dict[str, Any]]) -> DataFrame:
+    """Records after all specifications, each on its own field; one projection a specification."""
+    for s in specs:
+        records = records.withColumn(s["field"], cascade(s)[0])
+    return records
+
+
+def preview(records: DataFrame, specs: list[dict[str, Any]], most: int = 50, id: str = "id") -> DataFrame:
+    """The first ``most`` changes by id and field: a report before anything is applied."""
+    return changes(records, specs, id).orderBy("id", "field").limit(most)
+
+
 def apply_selected(records: DataFrame, changed: DataFrame, selected: DataFrame, field: str, id: str = "id", overrides: DataFrame | None = None) -> DataFrame:
     """Records with the selected (id, field) changes of one field; an override (before, value) beats the proposal."""
     own = changed.filter(F.col("field") == field).join(selected.select("id", "field").distinct(), ["id", "field"], "left_semi")

@@ -187,6 +187,18 @@ def rule_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", rules.cascade(spec)[0].alias("state"))
 
 
+@query(oracle("SELECT k.id, coalesce(n.after, k.name) AS name, coalesce(s.after, k.state) AS state, coalesce(e.after, k.employees) AS employees FROM companies k LEFT JOIN changes n ON n.id = k.id AND n.field = 'name' LEFT JOIN changes s ON s.id = k.id AND s.field = 'state' LEFT JOIN changes e ON e.id = k.id AND e.field = 'employees'", CHANGES))
+def rule_apply_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records after all specifications."""
+    return rules.apply_all(companies(spark, sf_dir), SPECS).select("id", "name", "state", "employees")
+
+
+@query(oracle("SELECT * FROM changes WHERE before <> after ORDER BY id, field LIMIT 50", CHANGES))
+def rule_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty changes, before anything is applied."""
+    return rules.preview(companies(spark, sf_dir), SPECS)
+
+
 # Events
 
 @query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 'deletion' WHEN 'signup' THEN 'merge' WHEN 'click' THEN 'change' ELSE 'creation' END AS handler, c_mktsegment FROM events LEFT JOIN customer ON c_custkey = user_id WHERE ts >= ts - INTERVAL 1 MINUTE AND event_id % 3 <> 0")
