@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neighbours, packing, pii, quality, secrets, simhash, substrings, token_files, toxicity
+from . import compression, divergence, mixing, negatives, neighbours, packing, pii, quality, secrets, simhash, substrings, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +144,71 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir)).drop("found")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every fiftieth vector and its five positives, three rows of other labels at 50 to 95 % of the positive's score."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.mine(rows, lambda id: id % 50 == 0)
+
+
+OP11_SQL = """
+WITH r AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+
+def op12_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from four fifths of the labels."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = compression.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of each language, and the 200 terms that set each source off most."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS ln FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(ln) AS total FROM k GROUP BY lang),
+g AS (
+  SELECT x.lang, x.source, coalesce(y.n, 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL) y USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + v.v) AS p,
+    1 + 1000000000::HUGEINT * (k.ln + 1) // (v.total + v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+every AS (
+  SELECT * FROM pair UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op10 finds of the base kinds, which SQL can express."""
     return op10_pii(spark, sf_dir).drop("spans")
@@ -181,5 +246,5 @@ _ASSIGN = _KEY + r"[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
 SECRETS_SQL = _base_sql({"assign": (_ASSIGN, f"length(regexp_extract({{m}}, '{_ASSIGN}', 1)) >= 6"), "access": ("AKIA[A-Z0-9]+", "length({m}) >= 20"), "hex": ("[0-9a-f]+", "length({m}) >= 24")})
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_pack": op8_pack, "op9_neighbours": op9_neighbours, "op10_pii": op10_pii, "pii_base_spans": pii_base_spans, "secrets_base_spans": secrets_base_spans}
-ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op4_substrings": OP4_SQL, "op6_quality": OP6_SQL, "pii_base_spans": PII_SQL, "secrets_base_spans": SECRETS_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_token_files": op3_token_files, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_pack": op8_pack, "op9_neighbours": op9_neighbours, "op10_pii": op10_pii, "op11_negatives": op11_negatives, "op12_compressed": op12_compressed, "op13_divergence": op13_divergence, "pii_base_spans": pii_base_spans, "secrets_base_spans": secrets_base_spans}
+ORACLE_SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op4_substrings": OP4_SQL, "op6_quality": OP6_SQL, "op11_negatives": OP11_SQL, "op13_divergence": OP13_SQL, "pii_base_spans": PII_SQL, "secrets_base_spans": SECRETS_SQL}
