@@ -6,7 +6,8 @@ dictionaries and not the text's own beginning explain each block; all blocks of
 the whole text count.  The difference of the two compressed sizes over the
 size of the text is bent to a score by a logistic curve, which is fitted on
 labelled texts that the dictionaries have not seen and weighs each label as
-often as it occurs.  A text that repeats itself is short under both
+often as it occurs; differences far from the border are cut off first, so that
+the curve is fitted where it decides.  A text that repeats itself is short under both
 dictionaries, so its difference is near zero, where clean text has not been
 seen.  Very short texts tell little: ``PRIOR`` bytes of usual good text are
 added to each.
@@ -38,7 +39,7 @@ BLOCK = 256
 DICTIONARY = 400_000
 LEVEL = 3
 #: Bytes of usual good text that each text gets.
-PRIOR = 60
+PRIOR = 20
 #: Of the sample, one text in ASIDE is left for the curve.
 ASIDE = 4
 SEED = 12
@@ -77,7 +78,8 @@ class Model:
 
     def normalised(self, texts: list[str | None]) -> np.ndarray:
         d, n = np.array([self.difference(t) for t in texts], float).reshape(-1, 2).T
-        return (d + PRIOR * self.usual) / (n + PRIOR)
+        span = max(abs(self.usual), 1e-3)
+        return np.clip((d + PRIOR * self.usual) / (n + PRIOR), -span / 2, span)  # beyond these all is bad, or good
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.dictionaries:
@@ -97,7 +99,7 @@ def dictionary(texts: list[str]) -> tuple[bytes, bool]:
     return b"".join(parts)[:DICTIONARY] or b" " * 8, True
 
 
-def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> tuple[float, float]:
     """Slope and offset of the weighted logistic curve, by Newton's method on the standardised x."""
     middle, spread = x.mean(), max(x.std(), 1e-9)
     z = np.stack([(x - middle) / spread, np.ones(len(x))], 1)
