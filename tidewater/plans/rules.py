@@ -3,12 +3,15 @@
 A specification is a dict (from YAML): id, version, field, sources, on_error
 (fail_loud, fail_silent or fail_default), rules [{id, when, transform,
 default}] and tests [{input, expected}].  ``when`` and ``transform`` are Spark
-SQL expressions over ``$value`` and the record's columns; ``format`` names a
-function of the registry below instead.
+SQL expressions over ``$value`` and the record's columns, or, with ``language:
+jsonata``, expressions of ``tidewater.plans.expressions``; ``format`` names a
+function of the registry below instead.  A file of a rule library, with
+``applies_to`` in place of field, is taken as it is: see ``adopted``.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable
 from pathlib import Path
@@ -17,8 +20,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater import values as V
 from tidewater.functions import casing, phone, text
 
+from . import expressions
+
 #: Format functions by key; user code may add to it.
 FORMATS: dict[str, Callable[..., Column]] = {
     "e164_phone": lambda c, **p: phone.e164(c, **p), "email_lowercase": text.email_lowercase, "linkedin_url": text.linkedin_url, "numeric_parse": text.numeric_parse, "url_canonical": text.url_canonical,
@@ -32,10 +38,20 @@ def load(folder: str) -> dict[str, dict[str, Any]]:
     """All specifications of a folder of YAML files, by id."""
     import yaml
 
-    found = [yaml.safe_load(p.read_text()) for p in sorted(Path(folder).glob("*.y*ml"))]
+    found = [adopted(yaml.safe_load(p.read_text())) for p in sorted(Path(folder).glob("*.y*ml"))]
     return {s["id"]: checked(s) for s in found}
 
 
+def adopted(spec: dict[str, Any]) -> dict[str, Any]:
+    """A library's specification in the form of this module: its first field's last name, its error policy, its language; others as they are."""
+    if "applies_to" not in spec:
+        return spec
+    to = spec["applies_to"]
+    fields = [f.rsplit(".", 1)[-1] for f in to.get("fields", [])]
+    policy = {"fail-loud": "fail_loud", "fail-default": "fail_default"}.get(spec.get("on_error"), "fail_silent")
+    return {**spec, "field": spec.get("field") or (fields or [""])[0], "fields": fields, "entity": to.get("entity"), "on_error": policy, "language": spec.get("language", "jsonata")}
+
+
 def checked(spec: dict[str, Any]) -> dict[str, Any]:
     """The specification, or an error that says what is wrong with it."""
     for key in ("id", "version", "field", "rules"):
@@ -46,6 +62,12 @@ def checked(spec: dict[str, Any]) -> dict[str, Any]:
     for rule in spec["rules"]:
         if not rule.get("id") or "transform" not in rule and "format" not in rule:
             raise ValueError(f"{spec['id']}: each rule has an id and a transform or a format")
+        for part in ("when", "transform") if spec.get("language") == "jsonata" else ():
+            if rule.get(part):
+                try:
+                    expressions.parsed(str(rule[part]).strip())
+                except expressions.ExpressionError as x:
+                    raise expressions.ExpressionError(f"{spec['id']}/{rule['id']}: {x}") from x
     return spec
 
 
@@ -63,28 +85,56 @@ def version_key(v: str) -> tuple[int, ...]:
     return tuple(int(x) if x.isdigit() else 0 for x in v.lstrip("v").split("-")[0].split("."))
 
 
-def cascade(spec: dict[str, Any], field: str | None = None) -> tuple[Column, Column]:
+def _written(spec: dict[str, Any], rule: dict[str, Any], name: str, value: Column, kind: str) -> tuple[Column, Column, Column, Column]:
+    """(condition, where it fails, result, where that fails) of a rule in the language of its specification."""
+    never = F.lit(False)
+    if spec.get("language") == "jsonata":
+        try:
+            made = [expressions.compiled(str(rule[part]), value, kind, lambda c: F.col(c), F.col("source") if spec.get("sources") else None, spec.get("meta")) if rule.get(part) is not None else None for part in ("when", "transform")]
+        except expressions.ExpressionError as x:
+            raise expressions.ExpressionError(f"{spec['id']}/{rule['id']}: {x}") from x
+        when, result = made
+        fails = [F.coalesce(n.fails, never) if n is not None and n.fails is not None else never for n in made]
+        if result is not None:
+            return expressions.condition(when) if when else F.lit(True), fails[0], expressions.result(result), fails[1]
+        when = expressions.condition(when) if when else F.lit(True)
+    else:
+        when, fails = F.expr(rule["when"].replace("$value", f"`{name}`")) if rule.get("when") else F.lit(True), [never]
+    result = FORMATS[rule["format"]](value, **rule.get("config", {})) if "format" in rule else F.expr(rule["transform"].replace("$value", f"`{name}`"))
+    return F.coalesce(when, never), fails[0], result.cast("string"), result.isNull()
+
+
+def cascade(spec: dict[str, Any], field: str | None = None, kind: str = "string") -> tuple[Column, Column]:
     """(new value, id of the rule that made it): the first rule whose condition holds.
 
     With a list of sources, records of another source (column ``source``) stay
-    as they are.  A transform that fails gives null; then fail_silent tries the next rule,
-    fail_default takes the rule's default, fail_loud raises.  No rule: the
-    value stays.
+    as they are.  Where a condition or a transform fails, fail_silent and
+    fail_default go on with the next rule, the latter after the rule's default
+    if it has one; fail_loud raises.  A transform in SQL fails where it gives null; one in
+    the expression language may give null.  No rule: the value stays.
     """
     name = field or spec["field"]
-    value = F.col(name)
+    if spec.get("language") != "jsonata":
+        made = _first(spec, name, F.col(name), kind)
+        return made[0], made[1]
+    both = V.let(F.col(name), lambda v: F.struct(*(c.alias(n) for c, n in zip(_first(spec, name, v, kind), ("out", "rule")))))  # the value is bound once, however often a rule names it
+    return both["out"], both["rule"]
+
+
+def _first(spec: dict[str, Any], name: str, value: Column, kind: str) -> tuple[Column, Column]:
     mode = spec.get("on_error", "fail_silent")
     out, applied = value.cast("string"), F.lit(None).cast("string")
-    allowed = F.col("source").isin(*spec["sources"]) if spec.get("sources") else F.lit(True)
+    allowed = F.coalesce(F.col("source").isin(*spec["sources"]), F.lit(False)) if spec.get("sources") else F.lit(True)
     for rule in reversed(spec["rules"]):
-        when = allowed & (F.expr(rule["when"].replace("$value", f"`{name}`")) if rule.get("when") else F.lit(True))
-        made = FORMATS[rule["format"]](value, **rule.get("config", {})) if "format" in rule else F.expr(rule["transform"].replace("$value", f"`{name}`"))
-        made = made.cast("string")
-        if mode == "fail_default" and rule.get("default") is not None:
-            made = F.coalesce(made, F.lit(str(rule["default"])))
+        when, lost, made, failed = _written(spec, rule, name, value, kind)
+        holds, wrong = allowed & ~lost & when, lost | when & failed
         if mode == "fail_loud":
-            made = F.coalesce(made, F.raise_error(F.concat(F.lit(f"{spec['id']}/{rule['id']}: no result for "), F.coalesce(value.cast("string"), F.lit("null")))).cast("string"))
-        fires = F.coalesce(when, F.lit(False)) & made.isNotNull() if mode == "fail_silent" else F.coalesce(when, F.lit(False))
+            said = F.concat(F.lit(f"{spec['id']}/{rule['id']}: no result for "), F.coalesce(value.cast("string"), F.lit("null")))
+            made, fires = F.when(wrong, F.raise_error(said).cast("string")).otherwise(made), allowed & (wrong | when)
+        elif mode == "fail_default" and rule.get("default") is not None:
+            made, fires = F.when(wrong, F.lit(str(rule["default"]))).otherwise(made), allowed & (wrong | when)
+        else:
+            fires = holds & ~failed
         out, applied = F.when(fires, made).otherwise(out), F.when(fires, F.lit(rule["id"])).otherwise(applied)
     return out, applied
 
@@ -148,10 +198,34 @@ def melt_status(records: DataFrame, specs: list[dict[str, Any]], id: str = "id")
 
 
 def run_tests(spark: SparkSession, spec: dict[str, Any]) -> list[dict[str, Any]]:
-    """The specification's own cases that fail; all of them are one small table."""
-    cases = spec.get("tests", [])
-    if not cases:
-        return []
-    rows = spark.createDataFrame([(k, c["input"], None if c["expected"] is None else str(c["expected"])) for k, c in enumerate(cases)], f"n int, `{spec['field']}` string, expected string")
-    got = rows.select("n", "expected", cascade(spec)[0].alias("got")).filter(~F.col("expected").eqNullSafe(F.col("got"))).collect()
-    return [{**cases[r["n"]], "got": r["got"]} for r in got]
+    """The specification's own cases that fail, as the specification gives them and with ``got``; its cases are one small table for each kind of input."""
+    failed = []
+    cases = list(enumerate(spec.get("tests", [])))
+    for kind, of, type_ in (("string", (str, type(None)), "string"), ("boolean", bool, "boolean"), ("number", (int, float), "double")):
+        own = [(k, c) for k, c in cases if isinstance(c["input"], of) and (kind == "boolean") == isinstance(c["input"], bool)]
+        if own:
+            given = [(k, float(c["input"]) if kind == "number" else c["input"]) for k, c in own]
+            rows = spark.createDataFrame(given, f"n int, `{spec['field']}` {type_}")
+            rows = rows.withColumn("source", F.lit((spec.get("sources") or [""])[0]))
+            got = dict(rows.select("n", cascade(spec, kind=kind)[0]).collect())
+            failed += [{**c, "got": got[k]} for k, c in own if not _as_expected(c["expected"], got[k])]
+    return failed
+
+
+def _as_expected(expected: Any, got: str | None) -> bool:
+    """A result, as text or JSON, against what a case expects; numbers may differ by 1e-4."""
+    if isinstance(expected, bool) or expected is None or isinstance(expected, str):
+        return got == (expected if not isinstance(expected, bool) else str(expected).lower())
+    try:
+        return tolerant(expected, json.loads(got or ""))
+    except ValueError:
+        return False
+
+
+def tolerant(a: Any, b: Any) -> bool:
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(tolerant(a[k], b[k]) for k in a)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(tolerant, a, b))
+    numbers = all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in (a, b))
+    return abs(a - b) <= 1e-4 if numbers else type(a) is type(b) and a == b

@@ -72,16 +72,24 @@ def functions_person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", casing.person_name(F.col("n"), last=True).alias("m")).select("c_custkey", "m.output", F.round("m.confidence", 4).alias("confidence"))
 
 
-JOBS = ("Chief Revenue Officer", "CTO & Co-Founder", "Executive Vice President", "SVP Sales", "Assistant to the VP", "V.P. Finance", "Owner", "Head of Growth", "Clinical Supervisor", "Team Lead", "Account Executive", "Consultant", "Sales Rep", "Staff Nurse", "Gardener", " ")
-JOB = "list_extract([" + ", ".join(f"'{j}'" for j in JOBS) + "], (c_custkey % 16)::INT + 1)"
-LEVEL = r"""CASE WHEN trim(t) = '' THEN 'Other' WHEN regexp_matches(l, '\b(c[efiomprst]o|chief (executive|financial|technology|operating|marketing|revenue|information|product|sales|strategy|security|clinical|medical) officer|c-level|c-suite)\b') THEN 'C-Suite'
-  WHEN regexp_matches(l, '\b((executive|senior) (vice president|vp)|[es]vp)\b') THEN 'EVP / SVP' WHEN regexp_matches(l, '\bassistant to the\b') THEN 'IC' WHEN regexp_matches(l, '\b(vice president|vp)\b|v\.p\.') THEN 'VP' WHEN regexp_matches(l, '\b(founder|co-founder|owner|president)\b') THEN 'Founder'
-  WHEN regexp_matches(l, '\b(director|head of|clinical supervisor)\b') THEN 'Director' WHEN regexp_matches(l, '\b(manager|mgr|supervisor|lead)\b') THEN 'Manager' WHEN regexp_matches(l, '\b(therapist|psychologist|account executive|sdr|bdr)\b') THEN 'IC'
-  WHEN regexp_matches(l, '\b(member|expert|consultant|advisor|specialist|analyst)\b') THEN 'Needs Review' WHEN regexp_matches(l, '\b(coordinator|representative|sales rep|engineer|developer|designer|accountant|senior|principal|staff)\b') THEN 'IC' ELSE 'Other' END"""
+JOBS = ("Chief Revenue Officer", "CTO & Co-Founder", "Executive Vice President", "SVP Sales", "Assistant to the VP", "V.P. Finance", "Owner", "Head of Growth", "Clinical Supervisor", "Team Lead", "Account Executive", "Consultant", "Sales Rep", "Staff Nurse", "Gardener", " ", "President of the Vice Squad", "Analyst", "Analyst to a senior", "Designer of the head office", "Principal", "Clinical Director", "Sales Manager")
+JOB = "list_extract([" + ", ".join(f"'{j}'" for j in JOBS) + f"], (c_custkey % {len(JOBS)})::INT + 1)"
+def _level_sql() -> str:
+    """The table of titles as SQL on padded text l: a title stands between blanks, and none of its exceptions follows."""
+    def says(w: str) -> str:
+        has = f"' ' || l || ' ' LIKE '% {w} %'"
+        return has if w not in names.UNLESS_FOLLOWED else "(" + has + "".join(f" AND l NOT LIKE '%{w}% {x}%'" for x in names.UNLESS_FOLLOWED[w]) + ")"
+
+    either = lambda words: " OR ".join(map(says, words))
+    ranks = " OR ".join(f"' ' || l || ' ' LIKE '% {w} %'" for w in names.RANKS)
+    return "CASE WHEN trim(t) = '' THEN 'Other' " + " ".join(f"WHEN {either(titles)} THEN '{level}'" for level, titles in names.TITLES) + f" WHEN ({either(names.EXPERIENCED)}) AND NOT ({ranks}) THEN 'IC' ELSE 'Other' END"
+
+
+LEVEL = _level_sql()
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.get(F.array(*map(F.lit, JOBS)), (F.col("c_custkey") % 16).cast("int"))
+    title = F.get(F.array(*map(F.lit, JOBS)), (F.col("c_custkey") % len(JOBS)).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", title.alias("title"))
 
 
@@ -91,10 +99,10 @@ def functions_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jobs(spark, sf_dir).select("c_custkey", names.job_level(F.col("title")).alias("level"))
 
 
-@query(f"SELECT v.level, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(['C-Suite', 'EVP / SVP', 'VP', 'Director', 'Manager', 'IC', 'Founder', 'Other', 'Needs Review']) AS level) v LEFT JOIN (SELECT {LEVEL} AS level, count(*) AS n FROM (SELECT t, lower(trim(t)) AS l FROM (SELECT {JOB} AS t FROM customer)) WHERE t <> 'Consultant' GROUP BY 1) USING (level)")
+@query(f"SELECT v.level, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(['C-Suite', 'EVP / SVP', 'VP', 'Director', 'Manager', 'IC', 'Founder', 'Other', 'Needs Review']) AS level) v LEFT JOIN (SELECT {LEVEL} AS level, count(*) AS n FROM (SELECT t, lower(trim(t)) AS l FROM (SELECT {JOB} AS t FROM customer)) GROUP BY 1) USING (level)")
 def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contacts by level, zero-filled (no consultants here, so one level is empty)."""
-    return reports.level_histogram(_jobs(spark, sf_dir).filter("title <> 'Consultant'"), "title")
+    """Contacts by level, zero-filled."""
+    return reports.level_histogram(_jobs(spark, sf_dir), "title")
 
 
 # Pairs, gates, survivorship

@@ -173,12 +173,6 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Rules
 
-@query(oracle("SELECT k.id, coalesce(c.after, k.name) AS name, k.name AS name_before, CASE WHEN c.after IS NOT NULL THEN 'company-name@1.2.0' ELSE '' END AS applied FROM companies k LEFT JOIN changes c ON c.id = k.id AND c.field = 'name'", CHANGES))
-def rule_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Specifications one after the other, and which of them changed the value."""
-    return rules.chain(companies(spark, sf_dir).select("id", "name"), [SPECS[0]], "name").select("id", "name", "name_before", F.array_join("applied", ",").alias("applied"))
-
-
 @query(oracle("SELECT id, CASE WHEN contacts = 0 AND state IS NOT NULL THEN CASE trim(lower(state)) WHEN 'california' THEN 'CA' WHEN 'tx' THEN 'TX' WHEN 'ohio' THEN 'OH' WHEN 'fla.' THEN 'FL' ELSE state END ELSE state END AS state FROM companies"))
 def rule_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A specification touches records of its sources only."""
