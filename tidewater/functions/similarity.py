@@ -1,4 +1,4 @@
-"""Similarity of texts: edit distance, trigrams, Jaro-Winkler, sounds."""
+"""Similarity of texts: edit distance, trigrams, Jaro-Winkler."""
 
 from __future__ import annotations
 
@@ -67,9 +67,3 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
     pair = F.struct(letters(a).alias("x"), letters(b).alias("y"))
     return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(V.let(pair, scored))
-
-
-def phonetic(c: Column) -> Column:
-    """Sound key of each word (soundex, in place of double metaphone, which is no built-in)."""
-    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z]+"), lambda w: w != "")
-    return F.array_join(F.transform(words, F.soundex), " ")

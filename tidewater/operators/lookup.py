@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater import values as V
-from tidewater.functions.similarity import jaccard, phonetic, trigrams
+from tidewater.functions.similarity import jaccard, trigrams
+from tidewater.functions.sounds import double_metaphone
 from tidewater.storage import Scratch
 
 
@@ -29,7 +30,8 @@ def lookup(values: DataFrame, reference: DataFrame, org: str | None = None, thre
     """(value, canonical, match_type, confidence) for each distinct value of the only column.
 
     Tiers in turn, each for what the one before left over: equal text, trigram
-    similarity from the threshold on, equal sound.  What each has found is
+    similarity from the threshold on, equal sound (first code of double metaphone; texts without a sound match nothing).
+    The latter two look at rows that are fuzzy_eligible only.  What each has found is
     stored, as the next one and the result read it.  The organisation's row
     beats the common one.  The fuzzy tier meets only rows that share a trigram
     and whose numbers of trigrams allow the threshold.
@@ -44,8 +46,10 @@ def lookup(values: DataFrame, reference: DataFrame, org: str | None = None, thre
     fuzzy = scratch.write(fuzzy_lookup(rest, ref.filter("fuzzy_eligible"), threshold), "fuzzy")
     found, rest = exact.unionByName(fuzzy), rest.join(fuzzy, "value", "left_anti")
     if sounds:
-        heard = rest.withColumn("s", phonetic(F.col("value"))).filter("s <> ''").join(ref.withColumn("s", phonetic(F.col("ref"))), "s").filter(_low(F.col("value")) != _low(F.col("ref")))
-        heard = best(heard, ["value"], own_first, F.col("canonical")).select("value", "canonical", F.lit("phonetic").alias("match_type"), F.lit(65).alias("confidence"))
+        sound = lambda rows, c: rows.withColumn("s", double_metaphone(F.col(c))["first"]).filter("s <> ''")
+        sounding = sound(ref.filter("fuzzy_eligible"), "ref").groupBy("s").agg(F.min(F.struct(F.col("org_id").isNull().alias("common"), "org_id", "canonical")).alias("r"))  # one row answers for all that sound alike
+        heard = scratch.write(sound(rest, "value").join(sounding, "s").select("value", F.col("r.canonical").alias("canonical")), "heard")
+        heard = heard.select("value", "canonical", F.lit("phonetic").alias("match_type"), F.lit(65).alias("confidence"))
         found, rest = found.unionByName(heard), rest.join(heard, "value", "left_anti")
     return found.unionByName(rest.select("value", F.lit(None).cast("string").alias("canonical"), F.lit("none").alias("match_type"), F.lit(0).alias("confidence")))
 

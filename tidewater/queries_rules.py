@@ -1,12 +1,14 @@
-"""Registered queries of rule specifications in the expression language, each with its SQL."""
+"""Registered queries of rule specifications in the expression language, and of sounds, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.sounds import double_metaphone
+from tidewater.operators import lookup
 from tidewater.plans import rules
-from tidewater.queries import SPECS, companies, oracle, query
+from tidewater.queries import SPECS, companies, oracle, query, table
 
 #: Amounts in words and signs, the same in both engines.
 AMOUNT = "CASE grp % 8 WHEN 0 THEN concat(cast(1 + grp % 90 as string), ' million') WHEN 1 THEN concat('$', cast(2 + grp % 70 as string), 'K') WHEN 2 THEN concat('USD ', cast(grp % 50 as string), '.5 Billion') WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN concat(cast(1 + grp % 9 as string), ',500.25') WHEN 6 THEN 'about a thousand' ELSE 'unknown' END"
@@ -66,3 +68,35 @@ def rule_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One specification in SQL, then one in the expression language on what the first made, and which of them changed the value."""
     shout = rules.checked({"id": "shout", "version": "1.0.0", "field": "name", "language": "jsonata", "rules": [{"id": "even", "when": "$number($match(value, /[0-9]+/).match) % 2 = 0", "transform": '$replace(value, /works/i, "WORKS")'}]})
     return rules.chain(companies(spark, sf_dir).select("id", "name"), [SPECS[0], shout], "name").select("id", "name", "name_before", F.array_join("applied", ",").alias("applied"))
+
+
+# Sounds
+
+#: Words and their two codes, as published or worked out by hand from the published rules.
+WORDS = (
+    ("Smith", "SM0", "XMT"), ("Schmidt", "XMT", "SMT"), ("Thumb", "0M", "TM"), ("Catherine", "K0RN", "KTRN"), ("Michael", "MKL", "MXL"), ("Knight", "NT", "NT"), ("Laugh", "LF", "LF"), ("Broughton", "PRTN", "PRTN"),
+    ("Czerny", "SRN", "XRN"), ("Gallegos", "KLKS", "KKS"), ("Focaccia", "FKX", "FKX"), ("Chianti", "KNT", "KNT"), ("Wasserman", "ASRM", "FSRM"), ("Breaux", "PR", "PR"), ("Danger", "TNJR", "TNKR"), ("Schooner", "SKNR", "SKNR"), ("Xavier", "SF", "SFR"),
+)
+WORD_SQL = "(SELECT c_custkey, t.w AS word, t.a AS first, t.b AS second FROM customer JOIN (VALUES " + ", ".join(f"({k}, '{w}', '{a}', '{b}')" for k, (w, a, b) in enumerate(WORDS)) + f") t(k, w, a, b) ON c_custkey % {len(WORDS)} = t.k)"
+
+
+@query(f"SELECT c_custkey, word AS name, first, second FROM {WORD_SQL}")
+def functions_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """double metaphone of names."""
+    word = F.get(F.array(*(F.lit(w) for w, _, _ in WORDS)), (F.col("c_custkey") % len(WORDS)).cast("int"))
+    named = table(spark, sf_dir, "customer").select("c_custkey", word.alias("name"))
+    return named.select("c_custkey", "name", double_metaphone(F.col("name")).alias("s")).select("c_custkey", "name", "s.first", "s.second")
+
+
+HEARD = (("Filips", "Phillips Group", "Phillips", "phonetic", 65), ("Katheryn", "Catherine Ltd.", "Catherine", "phonetic", 65), ("Nite", "Night Shop", "Knight", "phonetic", 65), ("Zyzzyx", None, None, "none", 0), ("Smyth", None, None, "none", 0))
+
+
+@query("SELECT DISTINCT value, canonical, match_type, confidence FROM (SELECT concat(t.v, ' ', c_custkey) AS value, t.c AS canonical, t.m AS match_type, t.n AS confidence FROM customer JOIN (VALUES "
+       + ", ".join(f"({k}, '{v}', {repr(c) if c else 'NULL'}, '{m}', {n})" for k, (v, c, _, m, n) in enumerate(HEARD)) + f") t(k, v, c, m, n) ON c_custkey % {len(HEARD)} = t.k)")
+def lookup_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that only sound like an entry; an entry that takes no fuzzy matches (Smith) is not heard, the organisation's own entry beats the common one."""
+    value = F.concat(F.get(F.array(*(F.lit(h[0]) for h in HEARD)), (F.col("c_custkey") % len(HEARD)).cast("int")), F.lit(" "), "c_custkey")
+    rows = [(ref, canonical, None, True, True) for _, canonical, ref, _, _ in HEARD if ref] + [("Smith", "Smith & Co", None, True, False), ("Knight", "Common Knight", None, True, True)]
+    rows = [(r, c, "o1" if r == "Knight" and c == "Night Shop" else o, a, e) for r, c, o, a, e in rows]
+    reference = spark.createDataFrame(rows, "input_value string, canonical_value string, org_id string, is_active boolean, fuzzy_eligible boolean")
+    return lookup.lookup(table(spark, sf_dir, "customer").select(value.alias("value")), reference, org="o1", sounds=True)
