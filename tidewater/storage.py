@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where driver and executors share its folder.
+
+    On a cluster without such a folder the package is sent with ``--py-files``.
+    """
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 #: Folders of this process's scratch tables.
 _roots: list[str] = []
 

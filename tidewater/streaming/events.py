@@ -7,14 +7,14 @@ batch gives the same rows.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators.resolve import latest_per_key
 
+from . import clusters
+
 STALE = "5 minutes"
 #: What a kind of event makes of the cluster that holds its record.
 EFFECTS = {"deletion": "invalid", "merge": "merged", "restore": "reopened"}
@@ -73,25 +73,11 @@ def lifecycle(events: DataFrame, key: str, kind: str = "handler", at: str = "ts"
     Streams keep one small state for each key; a batch folds the same order
     into the last state.
     """
-    schema = f"`{key}` {events.schema[key].dataType.simpleString()}, status string, version int"
-    if not events.isStreaming:
-        states = events.filter(F.col(kind).isin(*EFFECTS))
-        names = F.create_map(*(F.lit(x) for pair in EFFECTS.items() for x in pair))
-        return states.groupBy(key).agg(F.max_by(names[F.col(kind)], F.struct(at, kind)).alias("status"), F.count("*").cast("int").alias("version"))
-
-    def fold(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, status, version = state.get if state.exists else (-1, None, 0)
-        for frame in frames:
-            for t, k in sorted(zip(frame[at].astype("int64"), frame[kind])):
-                if k in EFFECTS:
-                    version += 1
-                    if t >= last:
-                        last, status = int(t), EFFECTS[k]
-        state.update((last, status, version))
-        if status is not None:
-            yield pd.DataFrame({key: [group[0]], "status": [status], "version": [version]})
-
-    return events.groupBy(key).applyInPandasWithState(fold, schema, "last bigint, status string, version int", "update", "NoTimeout")
+    if events.isStreaming:
+        return clusters.last_effects(events, key, kind, at, EFFECTS)
+    states = events.filter(F.col(kind).isin(*EFFECTS))
+    names = F.create_map(*(F.lit(x) for pair in EFFECTS.items() for x in pair))
+    return states.groupBy(key).agg(F.max_by(names[F.col(kind)], F.struct(at, kind)).alias("status"), F.count("*").cast("int").alias("version"))
 
 
 def upsert_sink(path: str, keys: list[str], at: str):
