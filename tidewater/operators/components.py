@@ -53,3 +53,42 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+def labels(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of every node that has an edge, roots too."""
+    found = connected_components(edges, scratch)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def merged(known: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(all labels, those that are new or changed) after edges (u, v) came to stored labels (node, root, with a row for each root).
+
+    The ends of the new edges stand for their roots, so the components are
+    found on the few roots that the edges touch; only clusters whose root moves
+    are written anew.
+    """
+    new = scratch.write(edges.select("u", "v").filter("u <> v").distinct(), "new-edges")
+    ends = new.select(F.col("u").alias("node")).unionByName(new.select(F.col("v").alias("node"))).distinct().join(known, "node", "left")
+    ends = scratch.write(ends.select("node", F.coalesce("root", "node").alias("root"), F.col("root").isNull().alias("fresh")), "ends")
+    at = lambda c: ends.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    joined = new.join(at("u"), "u").join(at("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).filter("u <> v")
+    moved = scratch.write(connected_components(joined, scratch).select(F.col("node").alias("root"), F.col("root").alias("to")), "moved")
+    stay = known.join(moved.select("root"), "root", "left_anti").select("node", "root")
+    changed = known.join(moved, "root").select("node", F.col("to").alias("root"))
+    fresh = ends.filter("fresh").select("node", "root").join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    changed = scratch.write(changed.unionByName(fresh), "changed")
+    return stay.unionByName(changed), changed
+
+
+def recomputed(known: DataFrame, edges: DataFrame, touched: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(all labels, those of touched clusters) when edges went away: ``edges`` are those that are left, ``touched`` the nodes that lost one.
+
+    Only edges inside of clusters with a touched node are looked at; nodes left
+    without an edge have no label any more.
+    """
+    nodes = touched.select(F.col(touched.columns[0]).alias("node"))
+    roots = scratch.write(known.join(nodes, "node", "left_semi").select("root").distinct(), "touched-roots")
+    inside = known.join(roots, "root", "left_semi").select(F.col("node").alias("u"))
+    again = scratch.write(labels(edges.select("u", "v").join(inside, "u", "left_semi"), scratch), "again")
+    return known.join(roots, "root", "left_anti").select("node", "root").unionByName(again), again
