@@ -26,7 +26,7 @@ COUNTRIES = {
     "belgium": "BE", "ireland": "IE", "new zealand": "NZ", "singapore": "SG", "japan": "JP", "india": "IN", "brazil": "BR", "mexico": "MX", "israel": "IL", "south africa": "ZA",
     "uae": "AE", "united arab emirates": "AE",
 }
-#: Date formats that are tried in turn; relative phrases are not understood.
+#: Date formats that are tried in turn, before relative phrases.
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy/M/d")
 
 
@@ -128,9 +128,72 @@ def first_filled(*cs: Column) -> Column:
     return F.coalesce(*(V.filled(c) for c in cs))
 
 
-def parse_date(c: Column, style: str = "iso") -> Column:
-    """iso, date, timestamp (milliseconds) or components; English absolute dates only."""
-    t = F.coalesce(*(F.try_to_timestamp(V.trim(c), F.lit(f)) for f in DATE_FORMATS))
+# Names of units and days, numbers in words.
+UNITS = {"second": "sec(?:ond)?s?", "minute": "min(?:ute)?s?", "hour": "h(?:ou)?rs?", "day": "days?", "week": "weeks?", "month": "months?", "year": "ye?a?rs?"}
+DAYS = ("sun(?:day)?", "mon(?:day)?", "tue(?:s|sday)?", "wed(?:nesday)?", "thu(?:r|rs|rsday)?", "fri(?:day)?", "sat(?:urday)?")
+COUNTS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
+
+
+def _moved(now: Column, n: Column, unit: Column) -> Column:
+    """An instant n units later; months and years keep the day where the month has it."""
+    count = lambda *names: F.when(unit.isin(*names), n).otherwise(0)
+    return now + F.make_interval(count("year"), count("month"), count("week"), count("day"), count("hour"), count("minute"), count("second"))
+
+
+def relative_date(c: Column, now: Column) -> Column:
+    """The instant that an English phrase means at a given present; null for anything else.
+
+    now, today, tomorrow, yesterday; "3 days ago", "in two weeks", "a month from now"; last, past, next, this with a unit
+    ("this" with a week, month or year is its first day); a weekday, alone the nearest one, or with last, next or this, at noon.  All but weekdays keep the time of day.
+    """
+    phrase = F.regexp_replace(F.lower(V.trim(c.cast("string"))), r"[\s,]+", " ")
+    return V.let(F.struct(phrase.alias("t"), now.cast("timestamp").alias("now")), lambda x: _meant(x["t"], x["now"]))  # each is computed once, however often it is looked at
+
+
+def _meant(t: Column, now: Column) -> Column:
+    units = "|".join(UNITS.values())
+    number = "(" + "|".join([r"\d{1,4}", *sorted(COUNTS, key=len, reverse=True)]) + ")"
+
+    def unit(found: Column) -> Column:
+        out = None
+        for name, p in UNITS.items():
+            out = F.when(found.rlike(f"^(?:{p})$"), name) if out is None else out.when(found.rlike(f"^(?:{p})$"), name)
+        return out
+
+    def counted(pattern: str, sign: int) -> Column:
+        word = F.regexp_extract(t, pattern, 1)
+        n = F.coalesce(entries({k: str(v) for k, v in COUNTS.items()})[word], word).try_cast("int") * sign
+        return F.when(t.rlike(pattern), _moved(now, n, unit(F.regexp_extract(t, pattern, 2))))
+
+    step = rf"^(last|past|previous|next|this) ({units})$"
+    sign = F.when(F.regexp_extract(t, step, 1) == "next", 1).when(F.regexp_extract(t, step, 1) == "this", 0).otherwise(-1)
+    kind = unit(F.regexp_extract(t, step, 2))
+    first = F.when(kind == "week", F.date_sub(F.to_date(now), F.dayofweek(now) - 1)).when(kind == "month", F.trunc(now, "month")).when(kind == "year", F.trunc(now, "year"))
+    time = now - F.date_trunc("day", now)
+    stepped = F.when(t.rlike(step), F.when((sign == 0) & first.isNotNull(), first.cast("timestamp") + time).otherwise(_moved(now, sign, kind)))
+
+    named = rf"^(?:(last|past|next|this|on) )?({'|'.join(DAYS)})$"
+    which = F.regexp_extract(t, named, 2)
+    wanted = None
+    for k, p in enumerate(DAYS):
+        wanted = F.when(which.rlike(f"^(?:{p})$"), k) if wanted is None else wanted.when(which.rlike(f"^(?:{p})$"), k)
+    today, how = F.dayofweek(now) - 1, F.regexp_extract(t, named, 1)
+    ahead = F.pmod(wanted - today, F.lit(7))
+    back = F.pmod(today - wanted, F.lit(7))
+    closest = F.when(ahead <= back, ahead).otherwise(-back)
+    next_ = F.when(today == 0, F.when(wanted == 0, 7).otherwise(wanted)).when(today == 6, F.when(wanted == 6, 7).when(wanted == 0, 8).otherwise(wanted + 1)).when((wanted < today) & (wanted != 0), ahead).otherwise(ahead + 7)
+    days = F.when(how == "this", ahead).when(how.isin("last", "past"), F.when(back == 0, -7).otherwise(-back)).when(how == "next", next_).otherwise(closest)
+    weekday = F.when(t.rlike(named), F.date_add(F.to_date(now), days).cast("timestamp") + F.expr("INTERVAL 12 HOURS"))
+
+    plain = F.when(t.isin("now", "today"), now).when(t == "tomorrow", now + F.expr("INTERVAL 1 DAY")).when(t == "yesterday", now - F.expr("INTERVAL 1 DAY"))
+    ago = counted(rf"^{number} ({units}) (?:ago|before|earlier)$", -1)
+    later = F.coalesce(counted(rf"^in {number} ({units})$", 1), counted(rf"^{number} ({units}) (?:from now|later|hence)$", 1))
+    return F.coalesce(plain, ago, later, stepped, weekday)
+
+
+def parse_date(c: Column, style: str = "iso", now: Column | None = None) -> Column:
+    """iso, date, timestamp (milliseconds) or components of an English date; phrases such as "3 days ago" are told from ``now``, by default the present."""
+    t = F.coalesce(*(F.try_to_timestamp(V.trim(c), F.lit(f)) for f in DATE_FORMATS), relative_date(c, F.current_timestamp() if now is None else now))
     if style == "date":
         return F.date_format(t, "yyyy-MM-dd")
     if style == "timestamp":

@@ -815,4 +815,4 @@ def events_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.once(e.unionByName(e), ["event_id"]).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-from tidewater import queries_dedup, queries_more, queries_rules, queries_state, queries_streams  # noqa: E402,F401  register their own
+from tidewater import queries_dedup, queries_more, queries_rules, queries_sql, queries_state, queries_streams  # noqa: E402,F401  register their own
