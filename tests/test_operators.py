@@ -225,6 +225,19 @@ def test_gate(spark):
     got = {r["row_id"]: (r["action"], r["id"], r["score"]) for r in matching.gate(rows, records).collect()}
     assert {k: v[:2] for k, v in got.items()} == {1: ("review", 1), 2: ("insert", None), 3: ("insert", None), 4: ("insert", None), 5: ("skip", 3), 6: ("upsert", 4), 7: ("upsert", 4)}
     assert got[1][2] == pytest.approx(0.5 + 0.25 * 0.5 + 0.1 + 0.08 + 0.035) and got[3][2] is None
+    assert got[7][2] is None  # below the least, a known record's rival is not named
+
+
+def test_gate_by_relation(spark):
+    """A known record is warned of a near one, but not of its parent or child; shared domains are nobody's."""
+    schema = "name string, domain string, phone string, industry string, employees string"
+    same = ("acme.com", "1", "x", "10")
+    records = spark.createDataFrame([(1, None, "Acme", *same), (2, 1, "Acme", "child.io", "1", "x", "10"), (3, None, "Acme", "child.io", "1", "x", "10"), (4, None, "Solo", "gmail.com", "1", "x", "10")], f"id int, parent_id int, {schema}")
+    rows = spark.createDataFrame([(1, 9, "Acme", *same), (2, 2, "Acme", *same), (3, 1, "Acme", "child.io", "1", "x", "10"), (4, None, "Other", "gmail.com", "1", "x", "10"), (5, None, "Acme", "child.io", "1", "x", "10")], f"row_id int, known_id int, {schema}")
+    got = {r["row_id"]: (r["action"], r["id"], r["score"], r["warning"]) for r in matching.gate(rows, records).collect()}
+    assert got[1] == ("upsert", 9, 1.0, "Potential duplicate found: Acme (100% similar)")
+    assert got[2] == ("upsert", 2, None, None) and got[3] == ("upsert", 1, None, None) and got[4] == ("insert", None, None, None)
+    assert got[5] == ("skip", 2, 1.0, "Parent-child suppression: matched company 2 is a child of 1. Manual review required.")
 
 
 def test_stratified_sample(spark):
@@ -237,8 +250,10 @@ def test_stratified_sample(spark):
 
 def test_scoring_and_calibration(spark):
     row = spark.createDataFrame([("Software", 30, "US", "CA", ["Aws", "x"])], "i string, n int, c string, s string, t array<string>")
-    got = row.select(scoring.industry_fit(F.col("i"), ["software"]).alias("a"), scoring.size_fit(F.col("n"), 10, 50).alias("b"), scoring.location_fit(F.col("c"), F.col("s"), ["US"], ["CA"]).alias("c"), scoring.technology_fit(F.col("t"), ["aws", "gcp"]).alias("d")).first()
-    assert tuple(got) == (30, 25, 20, 10)
+    fit = lambda **p: tuple(row.select(scoring.profile_score(p, F.col("i"), F.col("n"), F.lit("Oslo"), F.col("s"), F.col("c"), F.col("t")).alias("f")).select("f.*").first())
+    assert fit() == (95, 35, 25, 20, 15)
+    assert fit(industries=["soft", "software"], employee_min=40, states=["ca"], technologies=["aws", "gcp"]) == (63, 21, 19, 16, 8)
+    assert fit(industries=["retail"], employee_max=10, cities=["bergen"], countries=["us"], technologies=["gcp"]) == (12, 0, 0, 12, 0)
     d = spark.createDataFrame([("name", True)] * 4 + [("name", False)] + [("tld", True), ("tld", False)] * 2, "signal string, longer boolean")
     assert [(r["signal"], r["prefers"]) for r in scoring.consistency(d, "signal", "longer").collect()] == [("name", True)]
 

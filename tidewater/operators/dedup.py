@@ -49,6 +49,11 @@ def candidate_pairs(records: DataFrame, keys: Column, id: str = "id", changed: D
     number is the operator's result; adaptive execution splits hot keys.
     """
     index = records.select(F.col(id).alias("id"), F.explode(keys).alias("k")).select("id", "k.kind", "k.key").distinct()
+    return pairs_of(index, changed)
+
+
+def pairs_of(index: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ids with a common (kind, key)."""
     left = index.join(changed.select(F.col(changed.columns[0]).alias("id")).distinct(), "id", "left_semi") if changed is not None else index
     met = left.select(F.col("id").alias("x"), "kind", "key").join(index.select(F.col("id").alias("y"), "kind", "key"), ["kind", "key"])
     met = met.filter("x < y" if changed is None else "x <> y")
@@ -227,11 +232,23 @@ def members(clustered: DataFrame) -> DataFrame:
     return clustered.select("cluster", F.explode("record_ids").alias("id"))
 
 
-def auto_merge(clustered: DataFrame, pairs: DataFrame, threshold: float, a: str = "a_id") -> DataFrame:
-    """Clusters of grade A with a pair at or above threshold x 100."""
+def auto_merge(clustered: DataFrame, pairs: DataFrame, threshold: float, a: str = "a_id", new: DataFrame | None = None, now: Column | None = None, hours: int = 24) -> DataFrame:
+    """Clusters of grade A with a pair at or above threshold x 100; with ``new``, a table of cluster ids, these only, with ``status`` only pending ones, with ``now`` when each is due."""
     strong = pairs.filter(F.col("confidence") >= threshold * 100).select(F.col(a).alias("id"))
-    touched = members(clustered).join(strong, "id", "left_semi").select("cluster").distinct()
-    return clustered.filter("grade = 'A'").join(touched, "cluster", "left_semi")
+    able = clustered.filter("grade = 'A'")
+    if "status" in clustered.columns:
+        able = able.filter("status = 'pending'")
+    if new is not None:
+        able = able.join(new.select(F.col(new.columns[0]).alias("cluster")).distinct(), "cluster", "left_semi")
+    touched = members(able).join(strong, "id", "left_semi").select("cluster").distinct()
+    out = able.join(touched, "cluster", "left_semi")
+    return out if now is None else out.withColumn("scheduled_at", now + F.make_interval(hours=F.lit(hours)))
+
+
+def without_excluded(records: DataFrame, keys: Column, excluded: DataFrame, id: str = "id") -> DataFrame:
+    """(id, kind, key) of all blocking keys but domains of a table (domain): an organisation's exclusions beside the built-in ones.  The table is normalized as domains of records are."""
+    gone = excluded.select(F.lit("domain").alias("kind"), extract_domain(F.col(excluded.columns[0])).alias("key")).distinct()
+    return records.select(F.col(id).alias("id"), F.explode(keys).alias("k")).select("id", "k.kind", "k.key").join(gone, ["kind", "key"], "left_anti").select("id", "kind", "key")
 
 
 def stale_clusters(clustered: DataFrame, changed: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from tidewater.functions.text import email_lowercase, extract_domain, linkedin_i
 from tidewater.plans.predicates import owner_condition
 from tidewater.storage import Scratch
 
-from .dedup import composite_similarity
+from .dedup import SHARED_DOMAINS, composite_similarity
 from .lookup import best
 
 
@@ -62,28 +62,34 @@ def match_companies(rows: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def gate(rows: DataFrame, records: DataFrame, least: float = 0.6, weights: dict[str, float] | None = None) -> DataFrame:
-    """Before a write: upsert, insert, review or skip, with the target and how similar it is.
+    """Before a write: upsert, insert, review or skip, with the target, how similar the best candidate is, and a warning.
 
-    Candidates are records of the same domain or, without any, of the same
-    normalized name; the most similar by the weights counts.  A row that says
-    which record it is (known_id) is an upsert of it.  A candidate that is
-    somebody's child (parent_id) is skipped, as the row may mean the parent.
-    From ``least`` on it goes to review, else the row is new.
+    Candidates are records of the same domain (mail providers and networks are nobody's) or, without any, of the same
+    normalized name; the most similar by the weights counts, itself left out.  A row that says which record it is
+    (known_id) is an upsert of it: from ``least`` on the candidate is named in a warning, unless one is the other's
+    parent; else it has no score.  Of other rows, a candidate that is somebody's child (parent_id) makes a skip, as the
+    row may mean the parent; from ``least`` on it goes to review, else the row is new.
     """
     fields = ("name", "domain", "phone", "industry", "employees")
-    host, name = extract_domain(F.col("domain")), normalize_company_name(F.col("name"))
-    own = rows.select("row_id", "known_id", F.struct(*fields).alias("a"), host.alias("host"), name.alias("plain"))
-    other = records.select("id", "parent_id", F.struct(*fields).alias("b"), host.alias("host"), name.alias("plain"))
+    keyed = lambda df, *keep: df.select(*keep, extract_domain(F.col("domain")).alias("host"), normalize_company_name(F.col("name")).alias("plain")).withColumn("host", F.when(~F.col("host").isin(*SHARED_DOMAINS), F.col("host")))
+    own = keyed(rows, "row_id", "known_id", F.struct(*fields).alias("a"))
+    own = own.join(records.select(F.col("id").alias("known_id"), F.col("parent_id").alias("known_parent")), "known_id", "left")
+    other = keyed(records, "id", "parent_id", F.struct(*fields).alias("b"))
     by_domain = own.drop("plain").join(other.drop("plain"), "host").drop("host")
     rest = own.filter("plain <> ''").join(by_domain.select("row_id").distinct(), "row_id", "left_anti")
     met = by_domain.unionByName(rest.drop("host").join(other.drop("host"), "plain").drop("plain")).filter(~F.col("id").eqNullSafe(F.col("known_id")))
     scored = met.withColumn("score", V.round_half_up(composite_similarity(F.col("a"), F.col("b"), weights), 6))
-    top = best(scored, ["row_id"], F.desc("score"), F.col("id")).select("row_id", "id", "parent_id", "score")
-    out = own.select("row_id", "known_id").join(top, "row_id", "left")
-    known, near = F.col("known_id").isNotNull(), F.col("score") >= least
+    top = best(scored, ["row_id"], F.desc("score"), F.col("id")).select("row_id", "id", "parent_id", "score", F.col("b.name").alias("rival"))
+    out = own.select("row_id", "known_id", "known_parent").join(top, "row_id", "left")
+    known, near = F.col("known_id").isNotNull(), F.coalesce(F.col("score") >= least, F.lit(False))
+    linked = F.coalesce(F.col("known_parent") == F.col("id"), F.lit(False)) | F.coalesce(F.col("parent_id") == F.col("known_id"), F.lit(False))
     action = F.when(known, "upsert").when(F.col("id").isNull(), "insert").when(F.col("parent_id").isNotNull(), "skip").when(near, "review").otherwise("insert")
     target = F.when(known, F.col("known_id")).when(action.isin("skip", "review"), F.col("id"))
-    return out.select("row_id", action.alias("action"), target.alias("id"), "score")
+    warned = known & near & ~linked
+    per_cent = V.round_half_up(F.col("score") * 100).cast("int").cast("string")
+    warning = F.when(warned, F.concat(F.lit("Potential duplicate found: "), V.text(F.col("rival")), F.lit(" ("), per_cent, F.lit("% similar)"))).when(
+        action == "skip", F.concat(F.lit("Parent-child suppression: matched company "), F.col("id").cast("string"), F.lit(" is a child of "), F.col("parent_id").cast("string"), F.lit(". Manual review required.")))
+    return out.select("row_id", action.alias("action"), target.alias("id"), F.when(~known | warned, F.col("score")).alias("score"), warning.alias("warning"))
 
 
 def write_plan(rows: DataFrame, gated: DataFrame, size: int = 100) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import components
+from tidewater.operators import components, dedup
 from tidewater.operators.dedup_index import KeyIndex
 from tidewater.operators.near_text import near_texts
 from tidewater.queries import FIRMS, KEYS, PAIRS, SCORES, WALK, _company_keys, _scored, companies, firms, oracle, query
@@ -60,3 +60,21 @@ def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
     rows = c.select("id", F.lower(F.trim("name")).alias("text"), F.left(letters, F.lit(4)).alias("block"))
     return near_texts(rows, 0.85, block="block")[1].withColumn("similarity", F.round("similarity", 9))
+
+
+@query(oracle("SELECT DISTINCT cluster, TIMESTAMP '2024-05-01 06:00:00' AS scheduled_at FROM roots JOIN scored ON a = id WHERE confidence >= 98 AND substr(cluster, 2)::BIGINT % 2 = 0 AND substr(cluster, 2)::BIGINT % 4 <> 0 AND cluster IN (SELECT r.cluster FROM roots r JOIN scored s ON s.a = r.id WHERE s.grade = 'A')", FIRMS, KEYS, PAIRS, SCORES, WALK).replace("WITH ", "WITH RECURSIVE ", 1))
+def merge_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New and pending clusters of grade A with a sure pair, and when they are due."""
+    pairs = _scored(spark, sf_dir).filter("confidence >= 65")
+    number = F.substring("cluster", 2, 9).cast("bigint")
+    found = dedup.clusters(pairs).withColumn("status", F.when(number % 4 == 0, "merged").otherwise("pending"))
+    due = dedup.auto_merge(found, pairs, 0.98, new=found.filter(number % 2 == 0).select("cluster"), now=F.lit("2024-04-30 06:00:00").cast("timestamp"), hours=24)
+    return due.select("cluster", "scheduled_at")
+
+
+@query(oracle("SELECT DISTINCT x.id AS a, y.id AS b FROM keys x JOIN keys y ON x.kind = y.kind AND x.key = y.key AND x.id < y.id WHERE NOT (x.kind = 'domain' AND (x.key = 'gmail.com' OR x.key LIKE '%0.com'))", FIRMS, KEYS.replace("FROM firms) WHERE h <> ''", "FROM (SELECT * REPLACE (CASE WHEN grp % 15 = 0 THEN 'https://www.Gmail.com' ELSE domain END AS domain) FROM firms)) WHERE h <> ''")))
+def excluded_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains of mail providers and of an organisation's own list block nothing."""
+    c = firms(spark, sf_dir).withColumn("domain", F.when(F.col("grp") % 15 == 0, "https://www.Gmail.com").otherwise(F.col("domain")))
+    listed = c.select(F.regexp_extract("domain", r"(?i)(company\d*0\.com)(/|$)", 1).alias("domain")).filter("domain <> ''").withColumn("domain", F.concat(F.lit("http://"), "domain"))
+    return dedup.pairs_of(dedup.without_excluded(c, _company_keys(), listed).distinct())

@@ -132,20 +132,21 @@ def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 K3 = "substr({0}, 2)::BIGINT % 3"
-GATE = f"""cand AS (SELECT x.id AS row_id, y.id, y.parent_id, {COMPOSITE} AS score, x.known_id FROM (SELECT *, CASE WHEN grp % 5 = 0 THEN id END AS known_id FROM firm WHERE {K3.format('id')} = 1) x JOIN (SELECT *, CASE WHEN grp % 7 = 0 THEN 'p' END AS parent_id FROM firm WHERE {K3.format('id')} = 0) y
+GATE = f"""cand AS (SELECT x.id AS row_id, y.id, y.parent_id, y.name AS rival, {COMPOSITE} AS score, x.known_id FROM (SELECT *, CASE WHEN grp % 5 = 0 THEN id END AS known_id FROM firm WHERE {K3.format('id')} = 1) x JOIN (SELECT *, CASE WHEN grp % 7 = 0 THEN 'p' WHEN grp % 10 = 5 THEN 'c' || lpad((grp + 1)::VARCHAR, 9, '0') END AS parent_id FROM firm WHERE {K3.format('id')} = 0) y
   ON x.host = y.host OR (x.grp = y.grp AND NOT EXISTS (SELECT 1 FROM firm z WHERE {K3.format('z.id')} = 0 AND z.host = x.host)) WHERE y.id IS DISTINCT FROM x.known_id),
 top AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, id) = 1),
-gated AS (SELECT f.id AS row_id, CASE WHEN f.grp % 5 = 0 THEN 'upsert' WHEN top.id IS NULL THEN 'insert' WHEN top.parent_id IS NOT NULL THEN 'skip' WHEN score >= 0.6 THEN 'review' ELSE 'insert' END AS action, f.grp, top.id AS target, score FROM firm f LEFT JOIN top ON top.row_id = f.id WHERE {K3.format('f.id')} = 1)"""
+gated AS (SELECT f.id AS row_id, CASE WHEN f.grp % 5 = 0 THEN 'upsert' WHEN top.id IS NULL THEN 'insert' WHEN top.parent_id IS NOT NULL THEN 'skip' WHEN score >= 0.6 THEN 'review' ELSE 'insert' END AS action, f.grp, top.id AS target, score, top.parent_id, rival, coalesce(score >= 0.6 AND top.parent_id IS DISTINCT FROM f.id, false) AS warned FROM firm f LEFT JOIN top ON top.row_id = f.id WHERE {K3.format('f.id')} = 1)"""
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = _firms(spark, sf_dir)
     k = F.substring("id", 2, 9).cast("bigint") % 3
     rows = c.filter(k == 1).withColumn("known_id", F.when(F.col("grp") % 5 == 0, F.col("id"))).withColumnRenamed("id", "row_id")
-    return rows, matching.gate(rows, c.filter(k == 0).withColumn("parent_id", F.when(F.col("grp") % 7 == 0, "p")))
+    return rows, matching.gate(rows, c.filter(k == 0).withColumn("parent_id", F.expr("CASE WHEN grp % 7 = 0 THEN 'p' WHEN grp % 10 = 5 THEN concat('c', lpad(cast(grp + 1 AS string), 9, '0')) END")))
 
 
-@query(oracle("SELECT row_id, action, CASE WHEN action = 'upsert' THEN row_id WHEN action IN ('skip', 'review') THEN target END AS id, score FROM gated", FIRM, GATE))
+@query(oracle("""SELECT row_id, action, CASE WHEN action = 'upsert' THEN row_id WHEN action IN ('skip', 'review') THEN target END AS id, CASE WHEN action <> 'upsert' OR warned THEN score END AS score,
+  CASE WHEN action = 'upsert' AND warned THEN 'Potential duplicate found: ' || coalesce(rival, '') || ' (' || floor(score * 100 + 0.5)::INT::VARCHAR || '% similar)' WHEN action = 'skip' THEN 'Parent-child suppression: matched company ' || target || ' is a child of ' || parent_id || '. Manual review required.' END AS warning FROM gated""", FIRM, GATE))
 def write_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upsert, insert, review or skip by the most similar candidate of the domain, else of the name."""
     return _gated(spark, sf_dir)[1]

@@ -155,13 +155,37 @@ def functions_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return companies(spark, sf_dir).select("id", n["first"].alias("first"), n["last"].alias("last"), names.string_hash(F.col("industry")).alias("hash"), written.alias("written"), names.revenue_display(F.col("contacts") * 1234567.0).alias("revenue"))
 
 
-@query(oracle("SELECT id, CASE WHEN industry = 'BUILDING' THEN 30 WHEN industry = 'HOUSEHOLD' THEN 15 ELSE 0 END AS industry, CASE WHEN n BETWEEN 100 AND 900 THEN 25 WHEN n < 100 THEN floor(n / 100.0 * 15 + 0.5) ELSE floor(900.0 / n * 15 + 0.5) END::INT AS size, CASE WHEN contacts = 0 THEN 20 WHEN contacts = 1 THEN 15 ELSE 0 END AS place, CASE WHEN deals = 0 THEN 10 WHEN deals = 1 THEN 20 ELSE 0 END AS tech FROM (SELECT *, contacts * 400 AS n FROM companies)"))
+PROFILE = {"industries": ["house", "Building", "household"], "employee_min": 300, "employee_max": 900, "states": ["ca"], "countries": ["US"], "technologies": ["aws", "gcp", "sql"]}
+
+
+@query(oracle("""SELECT id, floor(i + s + l + t + 0.5)::INT AS score, floor(i + 0.5)::INT AS industry, floor(s + 0.5)::INT AS size, floor(l + 0.5)::INT AS location, floor(t + 0.5)::INT AS technology FROM (
+  SELECT id, CASE WHEN industry = 'BUILDING' THEN 35 WHEN industry = 'HOUSEHOLD' THEN 21 ELSE 0 END::DOUBLE AS i, CASE contacts WHEN 0 THEN 0 WHEN 1 THEN 25 WHEN 2 THEN 25 WHEN 3 THEN 25 * (1 - 300 / 900.0::DOUBLE) ELSE 25 * (1 - 700 / 900.0::DOUBLE) END::DOUBLE AS s,
+    CASE contacts WHEN 0 THEN 16 WHEN 1 THEN 12 ELSE 0 END::DOUBLE AS l, CASE deals WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 0 END::DOUBLE AS t FROM companies)"""))
 def fit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """how well a company fits a profile."""
-    tech = F.when(F.col("deals") == 0, F.array(F.lit("AWS"))).when(F.col("deals") == 1, F.array(F.lit("gcp"), F.lit("Aws"))).otherwise(F.array().cast("array<string>"))
-    return companies(spark, sf_dir).select(
-        "id", scoring.industry_fit(F.col("industry"), ["building", "household goods"]).alias("industry"), scoring.size_fit(F.col("contacts") * 400, 100, 900).alias("size"),
-        scoring.location_fit(F.when(F.col("contacts") == 1, "us").otherwise("xx"), F.when(F.col("contacts") == 0, "ca").otherwise("zz"), ["US"], ["CA"]).alias("place"), scoring.technology_fit(tech, ["aws", "gcp"]).alias("tech"))
+    """how well a company fits a profile, in all and by part."""
+    tech = F.when(F.col("deals") == 0, F.array(F.lit("AWS Lambda"), F.lit("PostgreSQL"))).when(F.col("deals") == 1, F.array(F.lit("Gcp"), F.lit("x")))
+    fit = scoring.profile_score(PROFILE, F.col("industry"), F.col("contacts") * 400, F.lit("Oslo"), F.when(F.col("contacts") == 0, "CA").otherwise("zz"), F.when(F.col("contacts") == 1, "us").otherwise("xx"), tech)
+    return companies(spark, sf_dir).select("id", fit.alias("fit")).select("id", "fit.*")
+
+
+DECIDED = """p AS (SELECT a.id AS pair_id, a.grp % 10 < 8 AS longer_won, a.name AS an, b.name AS bn, a.domain AS ad, b.domain AS bd, a.created AS ac, b.created AS bc,
+    list_sum(list_transform([a.id, a.name, a.domain, a.phone, a.linkedin, a.created], lambda x: coalesce(x <> '', false)::INT)) AS af, list_sum(list_transform([b.id, b.name, b.domain, b.phone, b.linkedin, b.created], lambda x: coalesce(x <> '', false)::INT)) AS bf
+  FROM companies a JOIN companies b ON a.grp = b.grp AND substr(a.id, 2)::BIGINT % 3 = 0 AND substr(b.id, 2)::BIGINT % 3 = 1 WHERE a.grp % 9 <> 0 AND a.grp % 12 <> 0),
+v AS (SELECT 'name' AS field, 'prefer_longest' AS strategy, CASE WHEN length(an) <> length(bn) THEN NOT longer_won = (length(an) > length(bn)) END AS vote FROM p
+  UNION ALL SELECT 'domain', 'tld_preference', CASE WHEN (string_split(ad, '.')[-1] = 'com') <> (string_split(bd, '.')[-1] = 'com') THEN NOT longer_won = (string_split(ad, '.')[-1] = 'com') END FROM p
+  UNION ALL SELECT 'createdate', 'prefer_newest', CASE WHEN ac <> bc THEN NOT longer_won = (ac > bc) END FROM p
+  UNION ALL SELECT '*', 'prefer_nonempty', CASE WHEN af <> bf THEN NOT longer_won = (af > bf) END FROM p)"""
+
+
+@query(oracle("SELECT field, strategy, floor(avg(vote::INT) * 100 + 0.5)::INT AS confidence, count(*) AS sample_count FROM v WHERE vote IS NOT NULL GROUP BY ALL HAVING count(*) >= 3 AND avg(vote::INT) >= 0.7", DECIDED))
+def calibration_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four signals of calibration decisions, and the rules that they suggest."""
+    c, k = companies(spark, sf_dir), F.substring("id", 2, 9).cast("bigint") % 3
+    side = lambda n, of: c.filter(k == of).select("grp", F.struct("id", "name", "domain", "phone", "linkedin", "created").alias(n))
+    samples = side("a", 0).join(side("b", 1), "grp").withColumn("pair_id", F.col("a.id"))
+    said = F.when(F.col("grp") % 9 == 0, "unsure").otherwise("duplicate").alias("verdict")
+    kept = F.when(F.col("grp") % 12 == 0, "auto").when(F.col("grp") % 10 < 8, "b").otherwise("a").alias("survivor_preference")
+    return scoring.suggested_rules(samples.select("pair_id", said, kept), samples)
 
 
 @query("SELECT l_suppkey % 40 AS signal, count(*) AS n, round(avg((l_linenumber <= 5)::INT), 9) AS ratio, avg((l_linenumber <= 5)::INT) >= 0.7 AS prefers FROM lineitem GROUP BY 1 HAVING count(*) >= 3 AND (avg((l_linenumber <= 5)::INT) >= 0.7 OR avg((l_linenumber <= 5)::INT) <= 1 - 0.7::DOUBLE)")
