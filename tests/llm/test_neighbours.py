@@ -85,3 +85,18 @@ def test_groups_are_prefixes_and_ids_need_not_be_numbers(spark, monkeypatch):
         s[q] = -np.inf
         hit += len({v for v, _ in got[f"v{q:04d}"]} & {f"v{j:04d}" for j in np.argsort(-s)[:5]})
     assert len(got) == 60 and hit / 300 >= 0.9
+
+
+def test_best_of_a_sample_copies_only_what_it_keeps():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    queries, rows = rng.normal(size=(256, 64)), rng.normal(size=(30_000, 64))
+    score, held = np.zeros((256, 0)), np.zeros((256, 0, 64))
+    tracemalloc.start()
+    for lo in range(0, len(rows), 2048):
+        score, held = neighbours._kept(score, held, queries @ rows[lo : lo + 2048].T, rows[lo : lo + 2048], 21)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    want = np.sort(queries @ rows.T, axis=1)[:, ::-1][:, :21]
+    assert np.allclose(score, want) and np.allclose(np.einsum("qd,qkd->qk", queries, held), want)

@@ -46,6 +46,8 @@ AIM = 0.92
 BLOCK = 100_000
 ASKED = 16_000
 AT_ONCE = 128
+#: Rows that meet the fitted sample at once; bounds a task's memory whatever the size of its batches.
+AT_ONCE_TRUTH = 2048
 SEED = 20
 
 
@@ -165,6 +167,18 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
+def _kept(score: np.ndarray, held: np.ndarray, more: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each query and their vectors, after those held met the rows x with the products ``more``; only the k are copied."""
+    both = np.concatenate([score, more], 1)
+    take = np.argsort(-both, axis=1, kind="stable")[:, :k]
+    old = take < score.shape[1]
+    out = np.empty((*take.shape, x.shape[1]))
+    query, place = np.nonzero(old)
+    out[query, place] = held[query, take[old]]
+    out[~old] = x[take[~old] - score.shape[1]]
+    return np.take_along_axis(both, take, 1), out
+
+
 def fit(entries: DataFrame, queries: DataFrame, k: int, n: int, dims: int, single: bool) -> Model:
     """The model, from one pass for norms, one for the spread, and one that finds the sample's true neighbours."""
     spark = entries.sparkSession
@@ -194,13 +208,11 @@ def fit(entries: DataFrame, queries: DataFrame, k: int, n: int, dims: int, singl
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best of a task for each query of the sample."""
-        score, held = np.zeros((len(sample), 0)), np.zeros((0, dims))
+        score, held = np.zeros((len(sample), 0)), np.zeros((len(sample), 0, dims))
         for batch in batches:
-            x = _matrix(batch.column(0), single).astype(float)
-            both = np.concatenate([score, asked.value @ x.T], 1)
-            take = np.argsort(-both, axis=1, kind="stable")[:, : k + 1]
-            rows = np.concatenate([held.reshape(len(sample), -1, dims), np.broadcast_to(x, (len(sample), *x.shape))], 1) if len(held) else np.broadcast_to(x, (len(sample), *x.shape))
-            score, held = np.take_along_axis(both, take, 1), np.take_along_axis(rows, take[:, :, None], 1)
+            for lo in range(0, batch.num_rows, AT_ONCE_TRUTH):
+                x = _matrix(batch.column(0).slice(lo, AT_ONCE_TRUTH), single).astype(float)
+                score, held = _kept(score, held, asked.value @ x.T, x, k + 1)
         some = held.reshape(-1, dims)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(sample)), score.shape[1])), pa.array(score.ravel()), pa.array([r.tobytes() for r in some], pa.binary())], names=["q", "score", "v"])
 
