@@ -578,11 +578,13 @@ def page_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20).withColumns({"total": F.lit(total).cast("bigint"), "has_more": F.lit(total > 60)})
 
 
-@query("""SELECT c_mktsegment, count(*) AS n FROM (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('tidewater:' || c_custkey::VARCHAR), c_custkey) AS place, count(*) OVER (PARTITION BY c_mktsegment) AS size, greatest(1, floor(100.0 * count(*) OVER (PARTITION BY c_mktsegment) / count(*) OVER () + 0.5)) AS quota FROM customer c) WHERE place <= 100
-  ORDER BY (place > quota)::INT, CASE WHEN place > quota THEN -size ELSE NULL END NULLS FIRST, c_mktsegment, place LIMIT 100) GROUP BY c_mktsegment""")
+@query("""WITH wanted AS (SELECT CASE WHEN count(*) <= 50 THEN count(*) WHEN count(*) <= 500 THEN 50 WHEN count(*) <= 5000 THEN 100 WHEN count(*) <= 50000 THEN 200 ELSE 400 END AS n FROM customer)
+SELECT c_custkey, c_mktsegment FROM (SELECT c.*, n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('tidewater:' || c_custkey::VARCHAR), c_custkey) AS place, count(*) OVER (PARTITION BY c_mktsegment) AS size, greatest(1, floor(n * count(*) OVER (PARTITION BY c_mktsegment)::DOUBLE / count(*) OVER () + 0.5)) AS quota FROM customer c, wanted) WHERE place <= n
+  ORDER BY (place > quota)::INT, CASE WHEN place > quota THEN -size ELSE NULL END NULLS FIRST, c_mktsegment, place LIMIT (SELECT n FROM wanted)""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hundred customers in proportion to their segments, counted."""
-    return sampling.stratified(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 100).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    """Customers in proportion to their segments, as many as their number asks for."""
+    c = table(spark, sf_dir, "customer")
+    return sampling.stratified(c, "c_mktsegment", "c_custkey", sampling.sample_size(c.count())).select("c_custkey", "c_mktsegment")
 
 
 @query("SELECT l_returnflag, count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither, count(*) AS total, round(count(*) FILTER (a) / count(*) + count(*) FILTER (b) / count(*) * (1 - count(*) FILTER (a) / count(*)), 6) AS combined FROM (SELECT l_returnflag, l_partkey % 3 = 0 AS a, l_suppkey % 4 < 2 AS b FROM lineitem) GROUP BY l_returnflag")

@@ -331,12 +331,12 @@ def industry_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.by_code(table(spark, sf_dir, "customer").select(code), _taxonomy(spark, sf_dir))
 
 
-@query(f"SELECT key, label, lower(concat_ws(' ', label, description)) LIKE '%brass%' AS whole, label ILIKE '%lace%' OR description ILIKE '%plated%' AS any_field FROM {TAXONOMY} WHERE lower(concat_ws(' ', label, description)) LIKE '%brass%' OR label ILIKE '%lace%' OR description ILIKE '%plated%'")
+@query(f"SELECT key, label, lower(concat_ws(' ', label, description)) LIKE '%ring econ%' AS whole, label ILIKE '%widget%' OR description ILIKE '%small%' AS any_field FROM {TAXONOMY} WHERE lower(concat_ws(' ', label, description)) LIKE '%ring econ%' OR label ILIKE '%widget%' OR description ILIKE '%small%'")
 def taxonomy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in all fields together, or in any of them."""
     t = _taxonomy(spark, sf_dir)
-    a = lookup.taxonomy_search(t, "BRASS", ["label", "description"]).select("key").withColumn("whole", F.lit(True))
-    b = lookup.ilike_any(t.select("key", "label"), ["label"], "Lace").select("key").unionByName(lookup.ilike_any(t.select("key", "description"), ["description"], "plated").select("key")).distinct().withColumn("any_field", F.lit(True))
+    a = lookup.taxonomy_search(t, "RING Econ", ["label", "description"]).select("key").withColumn("whole", F.lit(True))
+    b = lookup.ilike_any(t.select("key", "label"), ["label"], "Widget").select("key").unionByName(lookup.ilike_any(t.select("key", "description"), ["description"], "Small").select("key")).distinct().withColumn("any_field", F.lit(True))
     hit = a.join(b, "key", "full")
     return t.select("key", "label").join(hit, "key").select("key", "label", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("any_field", F.lit(False)).alias("any_field"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import names, text
-from tidewater.operators import dedup, lookup, resolve, scoring, survivorship
+from tidewater.operators import dedup, lookup, matching, resolve, scoring, survivorship
 from tidewater.plans import predicates, rules
 from tidewater.queries import CHANGES, SPECS, companies, on_cands, oracle, query, table
 from tidewater.sources import tables
@@ -26,13 +26,31 @@ def _key(c: str = "id"):
 
 @query(oracle("SELECT id, CASE WHEN contacts = 0 THEN '''=' || name WHEN contacts = 1 THEN 'say \"' || name || '\", ok' ELSE name END AS company_name, nullif(coalesce(email, ''), '') AS e_mail FROM companies"))
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quoted CSV with cells that no spreadsheet runs, written to the shared folder and read with a normalized header."""
+    """Quoted CSV with cells that no spreadsheet runs, written to the shared folder and read with a normalized header."""
     path = f"{shared_folder(spark)}/tidewater/csv-{uuid.uuid4().hex}"
     name = F.when(F.col("contacts") == 0, F.concat(F.lit("="), "name")).when(F.col("contacts") == 1, F.concat(F.lit('say "'), "name", F.lit('", ok'))).otherwise(F.col("name"))
     tables.write_csv(companies(spark, sf_dir).select("id", name.alias("Company Name"), F.col("email").alias("E-Mail")), path)
     return tables.read_csv(spark, path)
 
 
+@query(oracle("SELECT id, CASE WHEN contacts = 3 THEN NULL ELSE employees_ END AS employees, contacts = 3 AS rejected, CASE WHEN contacts = 3 THEN id || ',x,y,z' END AS line FROM (SELECT id, contacts, nullif(deals::VARCHAR, '') AS employees_ FROM companies)"))
+def csv_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of another width are kept apart and can be counted."""
+    path = f"{shared_folder(spark)}/tidewater/csv-{uuid.uuid4().hex}"
+    c = companies(spark, sf_dir)
+    c.select(F.when(F.col("contacts") == 3, F.concat("id", F.lit(",x,y,z"))).otherwise(F.concat("id", F.lit(',"'), F.col("deals").cast("string"), F.lit('"')))).write.text(path)
+    rows, rejected = tables.read_csv_checked(spark, path, ["id", "employees"], header=False)
+    none = F.lit(None).cast("string")
+    return rows.select("id", "employees", F.lit(False).alias("rejected"), none.alias("line")).unionByName(rejected.select(F.col("first").alias("id"), none.alias("employees"), F.lit(True).alias("rejected"), "line"))
+
+
+@query(oracle("SELECT * FROM (SELECT unnest(['c1', 'c2', 'c3', 'Email', 'c5']) AS column, unnest([CASE WHEN avg((email LIKE '%_@_%._%')::INT) > 0.8 THEN 'email' ELSE 'text' END, 'linkedin', CASE WHEN avg(regexp_matches(phone, '^[+(]?[0-9][0-9 ().-]{6,}$')::INT) > 0.8 THEN 'phone' ELSE 'text' END, 'email', 'text']) AS kind FROM (SELECT nullif(email, '') AS email, phone FROM companies))"))
+def column_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the columns of an import hold, by their headers and their values."""
+    c = companies(spark, sf_dir).select(F.expr("nullif(email, '')").alias("c1"), F.expr("nullif(linkedin, '')").alias("c2"), F.col("phone").alias("c3"), F.col("state").alias("Email"), F.col("industry").alias("c5"))
+    return spark.createDataFrame(list(tables.column_kinds(c).items()), "column string, kind string")
+
+
 @query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-10'")
 def cache_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that have not expired."""
@@ -261,3 +279,58 @@ def events_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.drain(stream, events.upsert_sink(f"{root}/out", ["event_id"], "ts"), f"{root}/state")
     kept = spark.read.parquet(f"{root}/out").drop("batch")
     return events.windowed(kept).withColumn("total", F.round("total", 4))
+
+
+# Persons
+
+LAST = ("Smith, MBA", "Jones PhD", "O'Neil RN MSN", "van Dyke®", "Li - PMP CFA", "Brown", "  Gray  ", "")
+CLEAN = ("Smith", "Jones", "O'Neil MSN", "van Dyke", "Li", "Brown", "Gray", "")
+
+
+@query("SELECT c_custkey, list_extract([" + ", ".join("'" + x.replace("'", "''") + "'" for x in CLEAN) + f"], (c_custkey % {len(LAST)})::INT + 1) AS last FROM customer")
+def functions_last_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """last names without credentials."""
+    last = F.get(F.array(*map(F.lit, LAST)), (F.col("c_custkey") % len(LAST)).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", names.clean_last_name(last).alias("last"))
+
+
+@query(oracle("""SELECT DISTINCT id, unnest([lower(trim(name)), b, p, array_to_string(list_transform(w, lambda x: x[1]), '')] || list_filter(w, lambda x: length(x) > 3)) AS token
+  FROM (SELECT *, string_split(p, ' ') AS w FROM (SELECT *, regexp_replace(b, '[^a-z0-9 ]', '', 'g') AS p FROM (SELECT id, name, trim(regexp_replace(regexp_replace(lower(trim(name)), ' inc\\.$', ''), ' +', ' ', 'g')) AS b FROM companies)))"""))
+def functions_name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lookup tokens of company names, one row each."""
+    return companies(spark, sf_dir).select("id", F.explode(names.name_tokens(F.col("name"))).alias("token"))
+
+
+CONTACT = """(SELECT x.grp, x.id AS a, y.id AS b, x.grp // 3 % 5 AS p FROM companies x JOIN companies y ON x.grp = y.grp AND substr(x.id, 2)::BIGINT % 3 = 0 AND substr(y.id, 2)::BIGINT % 3 = 1)"""
+
+
+@query(oracle(f"SELECT a, b, CASE p WHEN 0 THEN 95.0 WHEN 1 THEN 90.0 WHEN 2 THEN 80.0 WHEN 3 THEN 50.0 ELSE 85.0 END::DOUBLE AS confidence, CASE p WHEN 0 THEN 'A' WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' ELSE 'B' END AS grade FROM {CONTACT}"))
+def contact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: pairs of persons with the same mail address; profile and phone; phone; name alone; name and company."""
+    c = companies(spark, sf_dir).withColumn("p", F.expr("grp div 3 % 5")).withColumn("k", F.substring("id", 2, 9).cast("bigint") % 3)
+    of = lambda p, value, other=None: F.when(F.col("p").isin(p), value).otherwise(other)
+    own = F.concat(F.lit("only"), "id")
+    persons = c.select(
+        "grp", "k", "id", of([0], F.when(F.col("k") == 0, F.concat(F.lit("P"), "grp", F.lit("@x.com"))).otherwise(F.concat(F.lit("p"), "grp", F.lit("@X.com "))), F.concat(own, F.lit("@x.com"))).alias("email"),
+        of([3, 4], F.concat(F.lit("Jo Do "), "grp"), F.when(F.col("k") == 0, "Ann").otherwise("Bartholomew")).alias("name"), of([4], F.lit("Acme"), F.when(F.col("k") == 0, "Wide").otherwise("Monolith")).alias("company"),
+        of([1, 2], F.concat(F.lit("310 387 "), F.lpad((F.col("grp") % 10000).cast("string"), 4, "0"))).alias("phone"), of([1], F.concat(F.lit("linkedin.com/in/p"), "grp")).alias("linkedin"))
+    side = lambda n, k: persons.filter(F.col("k") == k).select("grp", F.col("id").alias(f"{n}_id"), F.struct("email", "name", "company", "phone", "linkedin").alias(n))
+    scored = dedup.score_contacts(side("a", 0).join(side("b", 1), "grp"))
+    return scored.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("confidence", 6).alias("confidence"), "grade")
+
+
+WRITTEN = "CASE substr(id, 2)::BIGINT % 3 WHEN 0 THEN code || ' works' WHEN 1 THEN code || ' zq' ELSE code || 'qqqqqqqqqqqqqqqq' END"
+JW = "(jaro_similarity(x, y) + (CASE WHEN x[1:4] = y[1:4] THEN 4 WHEN x[1:3] = y[1:3] THEN 3 ELSE 0 END) * 0.1 * (1 - jaro_similarity(x, y)))"
+
+
+@query(oracle(f"""SELECT id AS row_id, target AS id, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 'match' WHEN score >= 0.75 THEN 'review' ELSE 'none' END AS action FROM (
+  SELECT r.id, t.id AS target, CASE WHEN x = y THEN 1.0 ELSE {JW} END AS score FROM (SELECT id, code, {WRITTEN} AS x FROM coded) r JOIN (SELECT id, code || ' works' AS y FROM coded WHERE substr(id, 2)::BIGINT % 3 = 0) t ON x[1:3] = y[1:3]
+  QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY score DESC, t.id) = 1)""", "coded AS (SELECT id, translate(lpad((grp // 3 % 10000)::VARCHAR, 4, '0'), '0123456789', 'abcdefghij') AS code FROM companies)"))
+def company_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row's best company by name, to match, to review, or none."""
+    code = F.translate(F.lpad((F.col("grp") / 3).cast("int").cast("string"), 4, "0"), "0123456789", "abcdefghij")
+    c = companies(spark, sf_dir).withColumn("code", code).withColumn("k", F.substring("id", 2, 9).cast("bigint") % 3)
+    written = F.when(F.col("k") == 0, F.concat("code", F.lit(" Works"))).when(F.col("k") == 1, F.concat("code", F.lit(" ZQ"))).otherwise(F.concat("code", F.lit("qqqqqqqqqqqqqqqq")))
+    rows = c.select(F.col("id").alias("row_id"), written.alias("company"), F.lit(None).cast("string").alias("email"))
+    records = c.filter("k = 0").select("id", F.concat("code", F.lit(" works Inc.")).alias("name"), F.lit(None).cast("string").alias("domain"))
+    return matching.match_companies(rows, records).select("row_id", "id", F.round("score", 6).alias("score"), "action")

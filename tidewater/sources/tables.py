@@ -31,6 +31,15 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return normalized_header((reader.schema(schema) if schema else reader).csv(path))
 
 
+def read_csv_checked(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): quoted CSV with these columns as texts, empty cells null; rejected has the lines of another width as they are, which read_csv would drop unsaid."""
+    schema = ", ".join(f"`{c}` string" for c in [*columns, "_rejected"])
+    reader = spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rejected").option("columnPruning", False).option("nullValue", "").option("quote", '"').option("escape", '"')
+    rows = reader.csv(path)
+    wrong = F.col("_rejected").isNotNull()
+    return normalized_header(rows.filter(~wrong).drop("_rejected")), rows.filter(wrong).select(F.col("_rejected").alias("line"), F.col(columns[0]).alias("first"))
+
+
 def normalized_header(df: DataFrame) -> DataFrame:
     """Header texts to property keys: lower case, words joined by _."""
     import re
