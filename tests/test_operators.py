@@ -141,10 +141,10 @@ def test_owners(spark):
 
 
 def test_lookup_tiers(spark):
-    ref = spark.createDataFrame([("software", "Software", None, True, True), ("software", "Own", "o1", True, True), ("computer hardware", "Hardware", None, True, True), ("robert", "Bob", None, True, False)], "input_value string, canonical_value string, org_id string, is_active boolean, fuzzy_eligible boolean")
-    values = spark.createDataFrame([("Software ",), ("computer hardwares",), ("Rupert",), ("zzz",), (None,)], "v string")
+    ref = spark.createDataFrame([("software", "Software", None, True, True), ("software", "Own", "o1", True, True), ("computer hardware", "Hardware", None, True, True), ("robert", "Bob", None, True, True), ("nite", "closed", None, True, False)], "input_value string, canonical_value string, org_id string, is_active boolean, fuzzy_eligible boolean")
+    values = spark.createDataFrame([("Software ",), ("computer hardwares",), ("Rupert",), ("Knight",), ("zzz",), (None,)], "v string")
     got = {r["value"]: (r["canonical"], r["match_type"], r["confidence"]) for r in lookup.lookup(values, ref, org="o1", threshold=0.7, sounds=True).collect()}
-    assert got["Software "] == ("Own", "exact", 100) and got["computer hardwares"][:2] == ("Hardware", "fuzzy") and got["Rupert"] == ("Bob", "phonetic", 65) and got["zzz"] == (None, "none", 0)
+    assert got["Software "] == ("Own", "exact", 100) and got["computer hardwares"][:2] == ("Hardware", "fuzzy") and got["Rupert"] == ("Bob", "phonetic", 65) and got["Knight"] == got["zzz"] == (None, "none", 0)
     compound = lookup.classify_compound(spark.createDataFrame([("zzz; software",), ("nothing",)], "v string"), ref)
     assert {r["value"]: r["canonical"] for r in compound.collect()} == {"zzz; software": "Software", "nothing": None}
 
