@@ -67,6 +67,36 @@ def test_repeats_against_brute_force(spark, sf, monkeypatch, window, gram, bound
     assert sum(x[2] for x in got) > 0
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_repeats_are_compared_by_words(spark, monkeypatch, limit):
+    """All hashes of windows collide, and heavy prefixes are told to the tasks or joined to the rows: only words decide."""
+    for name, value in (("CHUNK", 100), ("PART", 40), ("BOUND", 5), ("BROADCAST_ROWS", limit)):
+        monkeypatch.setattr(substrings, name, value)
+    real = substrings.rolling
+    collide = lambda x, lengths: [h if n == 2 else h * np.uint64(0) for n, h in zip(lengths, real(x, lengths))]
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(rng.choice(["a", "b", "c", "ab"], 30))) for k in range(60)]
+    want = sorted(brute_repeats([(k, t.split()) for k, t in rows], 5))
+    got = lambda: sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in substrings.remove_repeats(table, 5, 2).collect())
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert got() == want
+    chunk = substrings.Chunk([t for _, t in rows], 5, 2)
+    monkeypatch.setattr(substrings, "rolling", collide)
+    forced = substrings.Chunk([t for _, t in rows], 5, 2)
+    assert len(np.unique(forced.hash)) == 1 and (forced.again == chunk.again).all() and (forced.send == chunk.send).all()
+    held = substrings.Held()
+    for b in forced.rows(np.arange(60), np.zeros(60, np.int64)):
+        p, a, z, start, upto, words = (b.column(c) for c in range(6))
+        own = upto.to_numpy() == 0
+        held.add(p.to_numpy().view(np.uint64)[own], a.to_numpy()[own], z.to_numpy()[own], start.to_numpy()[own].astype(np.int64), np.zeros(own.sum(), bool), [w for w in words.to_pylist() if w], 5)
+    assert held.size == forced.send.sum() and held.grow(5, last=True).num_rows == 0
+
+
+def test_words_that_neighbours_share():
+    rows = np.array([[1, 2, 3], [1, 2, 3], [1, 2, 4], [2, 2, 4]])
+    assert substrings.shared_words(rows).tolist() == [3, 2, 0]
+
+
 def test_repeats_of_nothing(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
@@ -76,12 +106,11 @@ def test_a_prefix_that_a_third_of_all_windows_share(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BOUND", 200)
     passage = " ".join(f"p{i}" for i in range(20))
     rows = [(k, " ".join(f"a{k}x{i}" for i in range(20)) + f" {passage} " + " ".join(f"b{k}x{i}" for i in range(20))) for k in range(300)]
-    table = spark.createDataFrame(rows, "key bigint, text string").repartition(3)
-    heavy, parts = substrings.heavy_prefixes(table, 35, 8, "text")
+    table = spark.createDataFrame(rows, "a bigint, text string").select("a", F.lit(0).cast("bigint").alias("b"), "text").repartition(3)
+    heavy, parts = substrings.in_order(substrings.heavy_prefixes(table, 35, 8, "text"))
     assert len(heavy) >= 1 and parts.max() >= 10
-    chunk, _ = next(substrings._chunks(iter(table.toArrow().to_batches()), 35, 8, 10**9))
+    chunk = next(substrings._chunks(iter(table.toArrow().to_batches()), 35, 8, 10**9))[0]
     whole = len(chunk.prefix)
-    chunk = next(substrings._chunks(iter([b.select(["key", "text"]) for b in table.toArrow().combine_chunks().to_batches()]), 35, 8, 10**9))[0]
     chunk.lengthen(heavy, parts)
     sizes = np.unique(chunk.prefix, return_counts=True)[1]
     assert whole > 6000 and sizes.max() <= 2 * 200

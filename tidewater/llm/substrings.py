@@ -9,15 +9,20 @@ they make up its maximal repeats.
 Suffixes are split by prefixes that depend on the words alone, so that equal
 suffixes always meet.  The prefix of a window is the one of its ``GRAM``-word
 substrings with the smallest hash (a minimizer) instead of its first words, as
-neighbouring windows mostly share it: a run of them travels as one row.
-Prefixes have different lengths: the windows under each are counted first, and
-one with more than ``BOUND`` is lengthened to whole windows, dealt into as many
-groups as it needs.  So every group fits in memory before anything moves.  A
-task reads its groups in the order of their prefixes and holds ``PART`` windows
-at a time; of a window that comes more often than that it holds one.  In sorted
-order the leaves under one node at full depth are neighbours.
-
-Before anything moves, each task compares the windows of a few million words
+neighbouring windows mostly share it: a run of them travels as one row, with
+its words.  Prefixes have different lengths: the windows under each are counted
+first, and one with more than ``BOUND`` is lengthened to whole windows, dealt
+into as many groups as it needs.  So every group fits in memory before anything
+moves.  A task reads its groups in the order of their prefixes and holds about
+``PART`` windows at a time; of a window that comes more often it holds one.
+
+A group's tree is its suffixes in the order of their words, with the number of
+words that each shares with the one before it; neighbours that share ``window``
+words or more are under one internal node.  Suffixes whose hash no other has
+are leaves of their own and never enter the order.  Hashes only set suffixes
+apart; what counts as a repeat has been compared word by word.
+
+Before anything moves, each task compares the windows of about a million words
 with each other: of a window that occurs there more than once, all places are
 marked and one is sent.  So no group of copies sends more rows than there are
 such chunks.
@@ -33,18 +38,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, importable, spare
+from .common import BROADCAST_ROWS, Scratch, importable, join_dimension, row_key, spare
 
 WINDOW = 35
 GRAM = 8
-#: Words that a task compares before it sends; windows that one sort holds.
+#: Words, at six bytes each, that a task compares before it sends; windows that a task holds.
 CHUNK = 1_000_000
-PART = 2_000_000
+PART = 1_000_000
 #: Windows of one shuffle partition, and of one group.
 SHARD = 3_000_000
 BOUND = 500_000
-#: Bytes of a window's hash.  They only tell windows with one prefix, a 64-bit hash of its own, apart.
-KEEP = 8
+#: Suffixes that one sort by words takes, and those of one group beyond it.
+SLAB = 100_000
+#: Rows of an Arrow batch that leaves a task.
+ROWS = 50_000
 
 BLANK = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -100,149 +107,251 @@ def first_least(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+class Words:
+    """The words of byte strings: the rank of each among all in the order of bytes, and where the words of each string begin."""
+
+    def __init__(self, raw: list[bytes]):
+        lists = pc.split_pattern(pa.array(raw, pa.large_binary()), b" ")
+        flat = lists.flatten()
+        real = pc.greater(pc.binary_length(flat), 0)
+        some = real.to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(some)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        flat = flat if some.all() else flat.filter(real)
+        coded = flat.dictionary_encode()
+        self.which, self.dictionary = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        rank = np.zeros(len(self.dictionary), ">u4")
+        rank[pc.array_sort_indices(self.dictionary).to_numpy()] = np.arange(len(rank))
+        self.rank, self.counts, self.begin = rank[self.which], np.diff(bounds), bounds[:-1]
+        self.spaced = pc.binary_join_element_wise(flat, pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
+
+    def values(self) -> np.ndarray:
+        """A hash of each word, the same in all tasks."""
+        from xxhash import xxh3_64_intdigest
+
+        return np.fromiter(map(xxh3_64_intdigest, self.dictionary.to_pylist()), np.uint64, len(self.dictionary))[self.which]
+
+    def slices(self, first: np.ndarray, upto: np.ndarray) -> list[bytes]:
+        """The words from each first place to before each last, joined by one blank."""
+        if not len(first):
+            return []
+        offsets = np.frombuffer(self.spaced.buffers()[1], np.int64)[self.spaced.offset :]
+        data = memoryview(self.spaced.buffers()[2])
+        return [bytes(data[x : y - 1]) for x, y in zip(offsets[first].tolist(), offsets[upto].tolist())]
+
+
+def shared_words(rows: np.ndarray) -> np.ndarray:
+    """How many first words each row but the first shares with the row before it."""
+    out = np.full(max(0, len(rows) - 1), rows.shape[1])
+    for lo in range(0, len(out), SLAB):
+        differ = rows[lo + 1 : lo + SLAB + 1] != rows[lo : min(lo + SLAB, len(out))]
+        some = differ.any(1)
+        out[lo : lo + SLAB][some] = differ[some].argmax(1)
+    return out
+
+
+def nodes(words: Words, place: np.ndarray, hash: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """For each suffix (its first word's place) the first one of its group under the same node at full depth."""
+    node = np.arange(len(place))
+    order = np.lexsort((hash, group))
+    twin = (hash[order][1:] == hash[order][:-1]) & (group[order][1:] == group[order][:-1])
+    own = np.zeros(len(order), bool)
+    own[1:][twin] = own[:-1][twin] = True
+    inner = order[own]  # all others are leaves that no node at this depth has beside another
+    head = np.flatnonzero(np.diff(group[inner], prepend=~group[inner[:1]]) != 0)
+    slab = np.repeat(head // SLAB, np.diff(np.append(head, len(inner))))
+    ends = np.append(np.flatnonzero(np.diff(slab)) + 1, len(inner)).tolist() if len(inner) else []
+    for lo, hi in zip([0, *ends], ends):
+        part = inner[lo:hi]
+        rows = np.ascontiguousarray(words.rank[place[part][:, None] + np.arange(window)])
+        by_words = np.lexsort((rows.view(f"S{4 * window}").ravel(), group[part]))
+        part, rows = part[by_words], rows[by_words]
+        new = np.concatenate([[True], (shared_words(rows) < window) | (group[part][1:] != group[part][:-1])])
+        node[part] = part[new][np.cumsum(new) - 1]
+    return node
+
+
+def longer(prefix: np.ndarray, hash: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The prefixes of whole windows in place of heavy ones, in so many parts."""
+    return mix(prefix + np.uint64(1) + mix(hash) % parts)
+
+
+SENT = ("prefix", "a", "b", "start", "upto", "words")
+SENT_SCHEMA = "prefix bigint, a bigint, b bigint, start int, upto int, words binary"
+
+
+def sent_rows(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray, upto: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
+    ints = [pa.array(x.astype(np.int32)) for x in (start, upto)]
+    return pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(a), pa.array(b), *ints, pa.array(words, pa.binary())], names=SENT)
+
+
 class Chunk:
     """Windows of some whole documents: what to send, and what is known to repeat."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, window: int, gram: int):
-        whole, grams = rolling(hashes, (window, gram))
-        begin = np.cumsum(counts) - counts
-        n = np.maximum(counts - window + 1, 0)
-        self.doc = np.repeat(np.arange(len(counts)), n)
+    def __init__(self, texts: list[str | None], window: int, gram: int):
+        self.words, self.window = Words([(t or "").encode("utf-8", "surrogatepass").translate(BLANK) for t in texts]), window
+        whole, grams = rolling(self.words.values(), (window, gram))
+        n = np.maximum(self.words.counts - window + 1, 0)
+        self.doc = np.repeat(np.arange(len(n)), n)
         self.at = np.arange(len(self.doc)) - np.repeat(np.cumsum(n) - n, n)  # window's place in its document
-        place = self.at + begin[self.doc]
-        self.hash = whole[place] if len(place) else np.zeros(0, np.uint64)
-        self.anchor = first_least(grams, window - gram + 1)[place] if len(place) else place
-        self.prefix = grams[self.anchor] if len(place) else np.zeros(0, np.uint64)
-        order = np.argsort(self.hash, kind="stable")
-        same = self.hash[order][1:] == self.hash[order][:-1] if len(order) else np.zeros(0, bool)
-        self.again = np.zeros(len(order), bool)
-        self.again[order[1:][same]] = self.again[order[:-1][same]] = True
-        self.send = np.ones(len(order), bool)
-        self.send[order[1:][same]] = False
+        self.place = self.at + self.words.begin[self.doc]
+        some = len(self.place) > 0
+        self.hash = whole[self.place] if some else np.zeros(0, np.uint64)
+        self.anchor = first_least(grams, window - gram + 1)[self.place] if some else self.place
+        self.prefix = grams[self.anchor] if some else np.zeros(0, np.uint64)
+        node = nodes(self.words, self.place, self.hash, self.prefix, window)
+        self.again = np.bincount(node, minlength=len(node))[node] > 1
+        self.send = node == np.arange(len(node))
 
     def lengthen(self, heavy: np.ndarray, parts: np.ndarray) -> None:
-        """Give windows under the heavy prefixes (sorted) the prefix of their whole words, in so many parts."""
+        """Give windows under the heavy prefixes (sorted) the prefix of their whole words."""
         if not len(heavy) or not len(self.prefix):
             return
         at = np.minimum(np.searchsorted(heavy, self.prefix), len(heavy) - 1)
         own = heavy[at] == self.prefix
-        self.prefix[own] = mix(self.prefix[own] + np.uint64(1) + mix(self.hash[own]) % parts[at[own]])
+        self.prefix[own] = longer(self.prefix[own], self.hash[own], parts[at[own]])
 
     def sizes(self) -> pa.RecordBatch:
         prefix, n = np.unique(self.prefix[self.send], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(n)], names=["prefix", "n"])
 
-    def rows(self, keys: np.ndarray, window: int) -> pa.RecordBatch:
+    def rows(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Runs of windows to send with their words, then spans that are known to repeat, with none."""
         sent = np.flatnonzero(self.send)
-        new = np.ones(len(sent), bool)
-        new[1:] = (np.diff(sent) != 1) | (np.diff(self.anchor[sent]) != 0) | (np.diff(self.doc[sent]) != 0) | (self.prefix[sent][1:] != self.prefix[sent][:-1])
-        head = np.flatnonzero(new)
-        data = np.ascontiguousarray(self.hash[sent].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEEP])
-        offsets = np.append(head, len(sent)).astype(np.int32) * KEEP
-        first = sent[head]
-        start, upto, doc = spans(self.doc, self.at, np.flatnonzero(self.again), window)
-        marked = np.zeros(len(start), np.int32)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([self.prefix[first].view(np.int64), mix(keys[doc].view(np.uint64)).view(np.int64)])),
-            pa.array(np.concatenate([keys[self.doc[first]], keys[doc]])),
-            pa.array(np.concatenate([self.at[first], start]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(first)), upto]).astype(np.int32)),
-            pa.Array.from_buffers(pa.binary(), len(first) + len(start), [None, pa.py_buffer(np.concatenate([offsets, marked + (offsets[-1] if len(offsets) else 0)]).astype(np.int32)), pa.py_buffer(data)]),
-        ], names=["prefix", "key", "start", "upto", "data"])
+        head, tail = runs(self.doc[sent], self.at[sent], self.anchor[sent], self.prefix[sent])
+        for lo in range(0, len(head), ROWS):
+            x, y = sent[head[lo : lo + ROWS]], sent[tail[lo : lo + ROWS]]
+            doc = self.doc[x]
+            yield sent_rows(self.prefix[x], a[doc], b[doc], self.at[x], np.zeros(len(x)), self.words.slices(self.place[x], self.place[y] + self.window))
+        start, upto, doc = spans(self.doc, self.at, np.flatnonzero(self.again), self.window)
+        yield sent_rows(mix(a[doc].view(np.uint64)), a[doc], b[doc], start, upto, [b""] * len(doc))
+
+
+def runs(doc: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of consecutive windows of one document that are alike in all of ``same``."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (np.diff(at) != 1)
+    for x in same:
+        new[1:] |= x[1:] != x[:-1]
+    head = np.flatnonzero(new)
+    return head, np.append(head[1:], len(doc)) - 1 if len(head) else head
 
 
 def spans(doc: np.ndarray, at: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows of one document as (first word, word behind the last, document)."""
     d, a = doc[places], at[places]
-    new = np.ones(len(places), bool)
-    new[1:] = (np.diff(d) != 0) | (np.diff(a) != 1)
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(places)) - 1 if len(head) else head
+    head, tail = runs(d, a)
     return a[head], a[tail] + window, d[head]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], window: int, gram: int, most: int) -> Iterator[tuple[Chunk, np.ndarray]]:
-    hashes, counts, keys, size = [], [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], window: int, gram: int, most: int) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
+    """Chunks of whole texts from rows (a, b, text), with the keys of their documents."""
+    texts, keys, size = [], [], 0
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            h, n = word_hashes(part.column(1).to_pylist())
-            hashes.append(h), counts.append(n), keys.append(part.column(0).to_numpy())
-            size += len(h)
-            if size >= most:
-                yield Chunk(np.concatenate(hashes), np.concatenate(counts), window, gram), np.concatenate(keys)
-                hashes, counts, keys, size = [], [], [], 0
+            texts += (own := part.column(2).to_pylist())
+            keys.append([part.column(c).to_numpy() for c in range(2)])
+            size += sum(len(t or "") for t in own)
+            if size >= 6 * most:
+                yield Chunk(texts, window, gram), *map(np.concatenate, zip(*keys))
+                texts, keys, size = [], [], 0
     if keys:
-        yield Chunk(np.concatenate(hashes), np.concatenate(counts), window, gram), np.concatenate(keys)
+        yield Chunk(texts, window, gram), *map(np.concatenate, zip(*keys))
+
+
+def _lengthen(window: int):
+    """Rows as sent with a last column parts: those with a number there are split by the prefixes of whole windows."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heavy = pc.and_(pc.is_valid(batch.column(6)), pc.greater(pc.binary_length(batch.column(5)), 0))
+            yield batch.filter(pc.invert(heavy)).select(list(SENT))
+            rest = batch.filter(heavy)
+            if not len(rest):
+                continue
+            prefix, a, b, start, _ = (rest.column(c).to_numpy() for c in range(5))
+            words = Words(rest.column(5).to_pylist())
+            row, at, place = suffixes(words, window)
+            prefix = longer(prefix.view(np.uint64)[row], rolling(words.values(), (window,))[0][place], rest.column(6).to_numpy().astype(np.uint64)[row])
+            head, tail = runs(row, at, prefix)
+            x = row[head]
+            yield sent_rows(prefix[head], a[x], b[x], start[x] + at[head], np.zeros(len(x)), words.slices(place[head], place[tail] + window))
+
+    return split
 
 
-class Leaves:
-    """Windows of a task in the order of their prefixes: prefix, hash, key of the text, place in it, and whether it has been told."""
+def suffixes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of all strings: string, place in it, and place among all words."""
+    n = np.maximum(words.counts - window + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, at, words.begin[row] + at
+
+
+class Held:
+    """Runs of suffixes that a task holds: prefix, key, place in the text, whether they have been told, and their words."""
 
     def __init__(self):
-        self.columns = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
-
-    def add(self, batches: list[pa.RecordBatch]) -> None:
-        parts = [self.columns]
-        for rows in batches:
-            prefix, key, start = (rows.column(c).to_numpy() for c in range(3))
-            data = rows.column(4)
-            offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
-            own = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u8")
-            n = np.diff(offsets) // KEEP
-            place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            parts.append([np.repeat(prefix.view(np.uint64), n), own, np.repeat(key, n), place, np.zeros(len(own), bool)])
-        self.columns = [np.concatenate(x) for x in zip(*parts)]
-
-    def __len__(self) -> int:
-        return len(self.columns[0])
-
-    def repeats(self, last: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Key and place of the windows under nodes with two leaves or more, not told before.
-
-        Unless it is the last time, of each window under the highest prefix,
+        self.parts, self.size = [], 0
+
+    def add(self, prefix: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray, told: np.ndarray, words: list[bytes], window: int) -> None:
+        if len(words):
+            self.parts.append((prefix, a, b, start, told, words))
+            self.size += sum(w.count(b" ") for w in words) + len(words) * (2 - window)
+
+    def grow(self, window: int, last: bool) -> pa.RecordBatch:
+        """Spans of the suffixes under nodes with two leaves or more that were not told before.
+
+        Unless it is the last time, of each suffix under the highest prefix,
         which may go on, one stays.
         """
-        prefix, own, key, place, told = self.columns
-        order = np.lexsort((~told, own, prefix))
-        same = (prefix[order][1:] == prefix[order][:-1]) & (own[order][1:] == own[order][:-1])
-        again = np.zeros(len(order), bool)
-        again[order[1:][same]] = again[order[:-1][same]] = True
-        out = np.flatnonzero(again & ~told)
-        stay = order[np.concatenate([[True], ~same])] if len(order) and not last else np.zeros(0, np.int64)
-        stay = stay[prefix[stay] == prefix.view(np.int64)[order].max().astype(np.uint64)] if len(stay) else stay
-        told = told | again
-        self.columns = [x[stay] for x in (prefix, own, key, place, told)]
-        return key[out], place[out]
+        if not self.parts:
+            return _spans_of(*(np.zeros(0, np.int64),) * 3, window)
+        *columns, raw = zip(*self.parts)
+        prefix, a, b, start, told = map(np.concatenate, columns)
+        words = Words([w for part in raw for w in part])
+        self.parts, self.size = [], 0
+        row, at, place = suffixes(words, window)
+        hash = rolling(mix(words.rank.astype(np.uint64) + np.uint64(1)), (window,))[0][place]
+        node = nodes(words, place, hash, prefix[row], window)
+        again = np.bincount(node)[node] > 1
+        out = np.flatnonzero(again & ~told[row])
+        if not last:
+            stay = np.flatnonzero((node == np.arange(len(node))) & (prefix[row] == prefix[-1]))
+            known = (again | told[row])[stay]
+            head, tail = runs(row[stay], at[stay], known)
+            x, y = stay[head], stay[tail]
+            self.add(prefix[row[x]], a[row[x]], b[row[x]], start[row[x]] + at[x], known[head], words.slices(place[x], place[y] + window), window)
+        return _spans_of(a[row[out]], b[row[out]], (start[row] + at)[out], window)
+
+
+def _spans_of(a: np.ndarray, b: np.ndarray, place: np.ndarray, window: int) -> pa.RecordBatch:
+    order = np.lexsort((place, b, a))
+    a, b, place = a[order], b[order], place[order]
+    head, tail = runs(a, place, b)
+    return _told(a[head], b[head], place[head], place[tail] + window)
+
+
+def _told(a: np.ndarray, b: np.ndarray, start: np.ndarray, upto: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(start.astype(np.int32)), pa.array(upto.astype(np.int32))], names=["a", "b", "start", "upto"])
 
 
 def _subtrees(window: int, part: int):
     """Per shuffle partition, sorted by prefix: the suffixes under nodes at full depth with two leaves or more, as spans of words."""
 
-    def told(key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((place, key))
-        start, upto, at = spans(key[order], place[order], np.arange(len(order)), window)
-        return out(at, start, upto)
-
-    def out(key: np.ndarray, start: np.ndarray, upto: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start.astype(np.int32)), pa.array(upto.astype(np.int32))], names=["key", "start", "upto"])
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves, limit, held, waiting = Leaves(), part, 0, []
+        held, limit = Held(), part
         for batch in batches:
-            known = batch.column(3).to_numpy() > 0
+            known = batch.column(4).to_numpy() > 0
             if known.any():
-                yield out(*(batch.column(c).to_numpy()[known] for c in (1, 2, 3)))
+                yield _told(*(batch.column(c).to_numpy()[known] for c in (1, 2, 3, 4)))
             rest = batch.filter(pa.array(~known)) if known.any() else batch
-            if not len(rest):
-                continue
-            waiting.append(rest)
-            held += rest.column(4).nbytes // KEEP
-            if held >= limit:
-                leaves.add(waiting)
-                yield told(*leaves.repeats(last=False))
-                waiting, held, limit = [], len(leaves), max(part, 2 * len(leaves))
-        leaves.add(waiting)
-        yield told(*leaves.repeats(last=True))
+            prefix, a, b, start = (rest.column(c).to_numpy() for c in range(4))
+            held.add(prefix.view(np.uint64), a, b, start.astype(np.int64), np.zeros(len(rest), bool), rest.column(5).to_pylist(), window)
+            if held.size >= limit:
+                yield held.grow(window, last=False)
+                limit = max(part, 2 * held.size)
+        yield held.grow(window, last=True)
 
     return build
 
@@ -264,41 +373,48 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], names=[*batch.schema.names[: n - 2], "n_words", "n_removed", "kept"])
 
 
-def heavy_prefixes(docs: DataFrame, window: int, gram: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Prefixes with more than BOUND windows, sorted, and the parts that each is dealt into.
-
-    All windows that would be sent are counted.  No more than BROADCAST_ROWS
-    prefixes are told to the tasks: with so many, the bound is that much higher.
-    """
-
+def heavy_prefixes(docs: DataFrame, window: int, gram: int, text: str) -> DataFrame:
+    """Prefixes with more than BOUND windows, and the parts that each is dealt into.  All windows that would be sent are counted."""
     most = CHUNK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _ in _chunks(batches, window, gram, most):
+        for chunk, _, _ in _chunks(batches, window, gram, most):
             yield chunk.sizes()
 
-    sizes = docs.select("key", text).mapInArrow(count, "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
-    heavy = sizes.filter(F.col("n") > BOUND).orderBy(F.desc("n"), "prefix").limit(BROADCAST_ROWS).collect()
-    heavy = sorted((r["prefix"] % (1 << 64), -(-r["n"] // BOUND)) for r in heavy)
-    return np.array([h for h, _ in heavy], np.uint64), np.array([p for _, p in heavy], np.uint64)
+    sizes = docs.select("a", "b", text).mapInArrow(count, "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
+    return sizes.filter(F.col("n") > BOUND).select("prefix", F.ceil(F.col("n") / BOUND).cast("bigint").alias("parts"))
+
+
+def in_order(heavy: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Heavy prefixes as sorted numbers, and their parts; for at most BROADCAST_ROWS."""
+    rows = sorted((r["prefix"] % (1 << 64), r["parts"]) for r in heavy.collect())
+    return np.array([h for h, _ in rows], np.uint64), np.array([p for _, p in rows], np.uint64)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text") -> DataFrame:
-    """(key, spans): the words of each text that lie in repeated windows, as sorted (start, upto), for a column ``key`` of the texts."""
+    """(a, b, spans): the words of each text that lie in repeated windows, as sorted (start, upto), for the key of columns a and b.
+
+    Up to BROADCAST_ROWS heavy prefixes are told to the tasks, which lengthen
+    them as they send; more are joined to the rows sent.
+    """
     spark = docs.sparkSession
     importable(spark)
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // 6 // SHARD)
-    heavy, most = spark.sparkContext.broadcast(heavy_prefixes(docs, window, gram, text)), CHUNK
+    heavy = Scratch(spark, "heavy").write(heavy_prefixes(docs, window, gram, text), "heavy")
+    many, most = heavy.count(), CHUNK
+    told = spark.sparkContext.broadcast(in_order(heavy if many <= BROADCAST_ROWS else heavy.limit(0)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, keys in _chunks(batches, window, gram, most):
-            chunk.lengthen(*heavy.value)
-            yield chunk.rows(keys, window)
+        for chunk, a, b in _chunks(batches, window, gram, most):
+            chunk.lengthen(*told.value)
+            yield from chunk.rows(a, b)
 
-    sent = docs.select("key", text).mapInArrow(send, "prefix bigint, key bigint, start int, upto int, data binary")
-    found = sent.repartition(n, "prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window, PART), "key bigint, start int, upto int")
-    return found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "upto"))).alias("spans"))
+    sent = docs.select("a", "b", text).mapInArrow(send, SENT_SCHEMA)
+    if many > BROADCAST_ROWS:
+        sent = join_dimension(sent, heavy, "prefix", many).select(*SENT, "parts").mapInArrow(_lengthen(window), SENT_SCHEMA)
+    found = sent.repartition(n, "prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window, PART), "a bigint, b bigint, start int, upto int")
+    return found.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("start", "upto"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,13 +423,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id:
     Repetition is judged on the input.  Null and empty texts, and texts shorter
     than a window, lose nothing.  Rows alike in id and text are copies of each
     other and lose all that windows cover.  An empty table gives an empty
-    result.  Other columns are dropped.  Texts meet their spans by a 64-bit
+    result.  Other columns are dropped.  Texts meet their spans by a 128-bit
     hash of id and text.
     """
     named = spare("text", [id])
-    keyed = docs.select(F.col(id).alias(spare("id", [])), F.col(text).alias(named), F.xxhash64(id, text).alias("key"))
+    keyed = docs.select(F.col(id).alias(spare("id", [])), F.col(text).alias(named), row_key(id, text).alias("key"))
+    keyed = keyed.select(spare("id", []), named, "key.a", "key.b")
     scratch = Scratch(docs.sparkSession, "substrings")
     found = scratch.write(repeated_spans(keyed, window, gram, named), "spans")
-    joined = keyed.join(found, "key", "left").select(F.col(spare("id", [])).alias(id), named, "spans")
+    joined = keyed.join(found, ["a", "b"], "left").select(F.col(spare("id", [])).alias(id), named, "spans")
     kind = docs.schema[id].dataType.simpleString()
     return joined.mapInArrow(_keep, f"`{id}` {kind}, n_words bigint, n_removed bigint, kept string")
