@@ -88,7 +88,7 @@ def test_repeats_are_compared_by_words(spark, monkeypatch, limit):
     for b in forced.rows(np.arange(60), np.zeros(60, np.int64)):
         p, a, z, start, upto, words = (b.column(c) for c in range(6))
         own = upto.to_numpy() == 0
-        held.add(p.to_numpy().view(np.uint64)[own], a.to_numpy()[own], z.to_numpy()[own], start.to_numpy()[own].astype(np.int64), np.zeros(own.sum(), bool), [w for w in words.to_pylist() if w], 5)
+        held.add(substrings.from_column(p)[own], a.to_numpy()[own], z.to_numpy()[own], start.to_numpy()[own].astype(np.int64), np.zeros(own.sum(), bool), [w for w in words.to_pylist() if w], 5)
     assert held.size == forced.send.sum() and held.grow(5, last=True).num_rows == 0
 
 

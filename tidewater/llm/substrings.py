@@ -41,10 +41,10 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, Scratch, importable, join_dimension, row_key, spare
 
 WINDOW = 35
-GRAM = 8
+GRAM = 5
 #: Words, at six bytes each, that a task compares before it sends; windows that a task holds.
 CHUNK = 1_000_000
-PART = 1_000_000
+PART = 500_000
 #: Windows of one shuffle partition, and of one group.
 SHARD = 3_000_000
 BOUND = 500_000
@@ -172,16 +172,29 @@ def nodes(words: Words, place: np.ndarray, hash: np.ndarray, group: np.ndarray,
 
 def longer(prefix: np.ndarray, hash: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """The prefixes of whole windows in place of heavy ones, in so many parts."""
-    return mix(prefix + np.uint64(1) + mix(hash) % parts)
+    return label(mix(prefix + np.uint64(1) + mix(hash) % parts))
+
+
+def label(hash: np.ndarray) -> np.ndarray:
+    """32 bits of a hash.  Prefixes with one label share a group, which costs nothing, as words are compared there."""
+    return hash >> np.uint64(32)
+
+
+def to_column(label: np.ndarray) -> pa.Array:
+    return pa.array(label.astype(np.uint32).view(np.int32))
+
+
+def from_column(column: pa.Array) -> np.ndarray:
+    return column.to_numpy().view(np.uint32).astype(np.uint64)
 
 
 SENT = ("prefix", "a", "b", "start", "upto", "words")
-SENT_SCHEMA = "prefix bigint, a bigint, b bigint, start int, upto int, words binary"
+SENT_SCHEMA = "prefix int, a bigint, b bigint, start int, upto int, words binary"
 
 
 def sent_rows(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray, upto: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
     ints = [pa.array(x.astype(np.int32)) for x in (start, upto)]
-    return pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(a), pa.array(b), *ints, pa.array(words, pa.binary())], names=SENT)
+    return pa.RecordBatch.from_arrays([to_column(prefix), pa.array(a), pa.array(b), *ints, pa.array(words, pa.binary())], names=SENT)
 
 
 class Chunk:
@@ -197,7 +210,7 @@ class Chunk:
         some = len(self.place) > 0
         self.hash = whole[self.place] if some else np.zeros(0, np.uint64)
         self.anchor = first_least(grams, window - gram + 1)[self.place] if some else self.place
-        self.prefix = grams[self.anchor] if some else np.zeros(0, np.uint64)
+        self.prefix = label(grams[self.anchor]) if some else np.zeros(0, np.uint64)
         node = nodes(self.words, self.place, self.hash, self.prefix, window)
         self.again = np.bincount(node, minlength=len(node))[node] > 1
         self.send = node == np.arange(len(node))
@@ -212,7 +225,7 @@ class Chunk:
 
     def sizes(self) -> pa.RecordBatch:
         prefix, n = np.unique(self.prefix[self.send], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(n)], names=["prefix", "n"])
+        return pa.RecordBatch.from_arrays([to_column(prefix), pa.array(n)], names=["prefix", "n"])
 
     def rows(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Runs of windows to send with their words, then spans that are known to repeat, with none."""
@@ -223,7 +236,7 @@ class Chunk:
             doc = self.doc[x]
             yield sent_rows(self.prefix[x], a[doc], b[doc], self.at[x], np.zeros(len(x)), self.words.slices(self.place[x], self.place[y] + self.window))
         start, upto, doc = spans(self.doc, self.at, np.flatnonzero(self.again), self.window)
-        yield sent_rows(mix(a[doc].view(np.uint64)), a[doc], b[doc], start, upto, [b""] * len(doc))
+        yield sent_rows(label(mix(a[doc].view(np.uint64))), a[doc], b[doc], start, upto, [b""] * len(doc))
 
 
 def runs(doc: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,10 +282,10 @@ def _lengthen(window: int):
             rest = batch.filter(heavy)
             if not len(rest):
                 continue
-            prefix, a, b, start, _ = (rest.column(c).to_numpy() for c in range(5))
+            prefix, (a, b, start) = from_column(rest.column(0)), (rest.column(c).to_numpy() for c in range(1, 4))
             words = Words(rest.column(5).to_pylist())
             row, at, place = suffixes(words, window)
-            prefix = longer(prefix.view(np.uint64)[row], rolling(words.values(), (window,))[0][place], rest.column(6).to_numpy().astype(np.uint64)[row])
+            prefix = longer(prefix[row], rolling(words.values(), (window,))[0][place], rest.column(6).to_numpy().astype(np.uint64)[row])
             head, tail = runs(row, at, prefix)
             x = row[head]
             yield sent_rows(prefix[head], a[x], b[x], start[x] + at[head], np.zeros(len(x)), words.slices(place[head], place[tail] + window))
@@ -346,8 +359,8 @@ def _subtrees(window: int, part: int):
             if known.any():
                 yield _told(*(batch.column(c).to_numpy()[known] for c in (1, 2, 3, 4)))
             rest = batch.filter(pa.array(~known)) if known.any() else batch
-            prefix, a, b, start = (rest.column(c).to_numpy() for c in range(4))
-            held.add(prefix.view(np.uint64), a, b, start.astype(np.int64), np.zeros(len(rest), bool), rest.column(5).to_pylist(), window)
+            a, b, start = (rest.column(c).to_numpy() for c in range(1, 4))
+            held.add(from_column(rest.column(0)), a, b, start.astype(np.int64), np.zeros(len(rest), bool), rest.column(5).to_pylist(), window)
             if held.size >= limit:
                 yield held.grow(window, last=False)
                 limit = max(part, 2 * held.size)
@@ -381,13 +394,13 @@ def heavy_prefixes(docs: DataFrame, window: int, gram: int, text: str) -> DataFr
         for chunk, _, _ in _chunks(batches, window, gram, most):
             yield chunk.sizes()
 
-    sizes = docs.select("a", "b", text).mapInArrow(count, "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
+    sizes = docs.select("a", "b", text).mapInArrow(count, "prefix int, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
     return sizes.filter(F.col("n") > BOUND).select("prefix", F.ceil(F.col("n") / BOUND).cast("bigint").alias("parts"))
 
 
 def in_order(heavy: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Heavy prefixes as sorted numbers, and their parts; for at most BROADCAST_ROWS."""
-    rows = sorted((r["prefix"] % (1 << 64), r["parts"]) for r in heavy.collect())
+    rows = sorted((r["prefix"] % (1 << 32), r["parts"]) for r in heavy.collect())
     return np.array([h for h, _ in rows], np.uint64), np.array([p for _, p in rows], np.uint64)
 
 
