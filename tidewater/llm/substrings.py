@@ -44,12 +44,12 @@ WINDOW = 35
 GRAM = 5
 #: Words, at six bytes each, that a task compares before it sends; windows that a task holds.
 CHUNK = 1_000_000
-PART = 500_000
+PART = 250_000
 #: Windows of one shuffle partition, and of one group.
 SHARD = 3_000_000
 BOUND = 500_000
 #: Suffixes that one sort by words takes, and those of one group beyond it.
-SLAB = 100_000
+SLAB = 32_768
 #: Rows of an Arrow batch that leaves a task.
 ROWS = 50_000
 
@@ -122,7 +122,7 @@ class Words:
         rank = np.zeros(len(self.dictionary), ">u4")
         rank[pc.array_sort_indices(self.dictionary).to_numpy()] = np.arange(len(rank))
         self.rank, self.counts, self.begin = rank[self.which], np.diff(bounds), bounds[:-1]
-        self.spaced = pc.binary_join_element_wise(flat, pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
+        self.flat = flat
 
     def values(self) -> np.ndarray:
         """A hash of each word, the same in all tasks."""
@@ -134,6 +134,9 @@ class Words:
         """The words from each first place to before each last, joined by one blank."""
         if not len(first):
             return []
+        if self.flat is not None:
+            self.spaced = pc.binary_join_element_wise(self.flat, pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
+            self.flat = None
         offsets = np.frombuffer(self.spaced.buffers()[1], np.int64)[self.spaced.offset :]
         data = memoryview(self.spaced.buffers()[2])
         return [bytes(data[x : y - 1]) for x, y in zip(offsets[first].tolist(), offsets[upto].tolist())]
@@ -202,7 +205,8 @@ class Chunk:
 
     def __init__(self, texts: list[str | None], window: int, gram: int):
         self.words, self.window = Words([(t or "").encode("utf-8", "surrogatepass").translate(BLANK) for t in texts]), window
-        whole, grams = rolling(self.words.values(), (window, gram))
+        value = self.words.values()
+        (whole,), (grams,) = (rolling(value, (k,)) for k in (window, gram))
         n = np.maximum(self.words.counts - window + 1, 0)
         self.doc = np.repeat(np.arange(len(n)), n)
         self.at = np.arange(len(self.doc)) - np.repeat(np.cumsum(n) - n, n)  # window's place in its document
@@ -268,6 +272,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int, gram: int, most: int
             if size >= 6 * most:
                 yield Chunk(texts, window, gram), *map(np.concatenate, zip(*keys))
                 texts, keys, size = [], [], 0
+                pa.default_memory_pool().release_unused()
     if keys:
         yield Chunk(texts, window, gram), *map(np.concatenate, zip(*keys))
 
@@ -363,6 +368,7 @@ def _subtrees(window: int, part: int):
             held.add(from_column(rest.column(0)), a, b, start.astype(np.int64), np.zeros(len(rest), bool), rest.column(5).to_pylist(), window)
             if held.size >= limit:
                 yield held.grow(window, last=False)
+                pa.default_memory_pool().release_unused()
                 limit = max(part, 2 * held.size)
         yield held.grow(window, last=True)
 
@@ -393,6 +399,7 @@ def heavy_prefixes(docs: DataFrame, window: int, gram: int, text: str) -> DataFr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, _ in _chunks(batches, window, gram, most):
             yield chunk.sizes()
+            del chunk  # before the next one is made
 
     sizes = docs.select("a", "b", text).mapInArrow(count, "prefix int, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
     return sizes.filter(F.col("n") > BOUND).select("prefix", F.ceil(F.col("n") / BOUND).cast("bigint").alias("parts"))
@@ -422,6 +429,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
         for chunk, a, b in _chunks(batches, window, gram, most):
             chunk.lengthen(*told.value)
             yield from chunk.rows(a, b)
+            del chunk
 
     sent = docs.select("a", "b", text).mapInArrow(send, SENT_SCHEMA)
     if many > BROADCAST_ROWS:
