@@ -52,4 +52,4 @@ def test_odd_and_empty_documents(spark):
 
 
 def test_names():
-    assert [f"op{n}" for n in range(1, 11)] == [q.split("_")[0] for q in sorted((q for q in QUERIES if q.startswith("op")), key=lambda q: int(q.split("_")[0][2:]))]
+    assert [f"op{n}" for n in range(1, 14)] == [q.split("_")[0] for q in sorted((q for q in QUERIES if q.startswith("op")), key=lambda q: int(q.split("_")[0][2:]))]
