@@ -47,18 +47,26 @@ def match_companies(rows: DataFrame, records: DataFrame) -> DataFrame:
     """row_id to the company of highest Jaro-Winkler among those with its mail label or the first three letters of its name.
 
     From .9 on a match, from .75 on for review, and below .7 for review if the
-    domain agrees.  Scores are computed once for each distinct pair of names.
+    domain agrees.  Rows meet as distinct names, and records as distinct names
+    with the least id of each.  No score is as high as that of an equal name, so a name
+    that a block holds is found by itself; the others meet all names of their blocks.
     """
     norm = lambda c: normalize_company_name(c)
     keys = lambda label, name: F.filter(F.array(F.when(label != "", F.concat(F.lit("d:"), label)), F.when(F.length(name) >= 3, F.concat(F.lit("n:"), F.left(name, F.lit(3))))), lambda x: x.isNotNull())
-    left = rows.select("row_id", norm(F.col("company")).alias("x"), email_label(F.col("email")).alias("label")).withColumn("k", F.explode(keys(F.col("label"), F.col("x"))))
+    own = rows.select("row_id", norm(F.col("company")).alias("x"), email_label(F.col("email")).alias("label"))
+    left = own.select("x", "label").distinct().withColumn("k", F.explode(keys(F.col("label"), F.col("x"))))
     domain = F.coalesce(F.get(F.split(extract_domain(F.col("domain")), r"\."), F.lit(0)), F.lit(""))
-    right = records.select("id", norm(F.col("name")).alias("y"), domain.alias("host")).withColumn("k", F.explode(keys(F.col("host"), F.col("y"))))
-    met = left.join(right, "k").select("row_id", "id", "x", "y", (F.col("label") == F.col("host")).alias("same_domain")).distinct()
+    right = records.select("id", norm(F.col("name")).alias("y"), domain.alias("host")).groupBy("y", "host").agg(F.min("id").alias("id")).withColumn("k", F.explode(keys(F.col("host"), F.col("y"))))
+    same_domain, order = (F.col("label") == F.col("host")).alias("same_domain"), [F.desc("score"), F.desc("same_domain"), F.col("id")]
+    scratch = Scratch(rows.sparkSession, "companies")
+    equal = left.filter("x <> ''").join(right.withColumn("x", F.col("y")), ["k", "x"]).select("x", "label", "id", same_domain, F.lit(1.0).alias("score"))
+    equal = scratch.write(best(equal, ["x", "label"], *order), "equal")
+    met = left.join(equal.hint("merge"), ["x", "label"], "left_anti").join(right, "k").select("x", "label", "id", "y", same_domain)
     scores = met.select("x", "y").distinct().withColumn("score", jaro_winkler(F.col("x"), F.col("y")))
-    top = best(met.join(scores, ["x", "y"]), ["row_id"], F.desc("score"), F.desc("same_domain"), F.col("id"))
+    top = best(met.join(scores.hint("merge"), ["x", "y"]), ["x", "label"], *order)
+    top = equal.unionByName(top.select(equal.columns))
     how = F.when(F.col("score") >= 0.9, "match").when(F.col("score") >= 0.75, "review").when(F.col("same_domain") & (F.col("score") < 0.7), "review").otherwise("none")
-    return rows.select("row_id").join(top.select("row_id", "id", "score", "same_domain"), "row_id", "left").select("row_id", "id", "score", F.coalesce(how, F.lit("none")).alias("action"))
+    return own.join(top.hint("merge"), ["x", "label"], "left").select("row_id", "id", "score", F.coalesce(how, F.lit("none")).alias("action"))
 
 
 def gate(rows: DataFrame, records: DataFrame, least: float = 0.6, weights: dict[str, float] | None = None) -> DataFrame:
