@@ -371,3 +371,12 @@ def test_company_matches_of_one_crowded_block(spark):
     rows = spark.range(6000).select(F.col("id").alias("row_id"), F.format_string("supplier#%06d", "id").alias("company"), F.lit("").alias("email"))
     got = matching.match_companies(rows, records.unionByName(records.withColumn("id", F.col("id") + 6000)))
     assert got.filter("id = row_id AND score = 1 AND action = 'match'").count() == got.count() == 6000
+
+
+def test_company_review_codes_come_again(spark, tmp_path):
+    """From group 10,000 on codes begin anew, as in SQL; the first four digits were taken."""
+    row = spark.createDataFrame([(k, f"C{k}", 1, 1.0, "BUILDING") for k in (36999, 37000, 69999, 70000)], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    row.write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["row_id"]: (r["id"], r["score"]) for r in queries.QUERIES["company_review"](spark, str(tmp_path)).collect()}
+    assert got["c000036999"] == ("c000036999", 1.0) and got["c000069999"] == ("c000069999", 1.0)
+    assert got["c000070000"][0] == "c000069999" and got["c000037000"][0] == "c000036999"

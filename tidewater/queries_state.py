@@ -328,7 +328,7 @@ JW = "(jaro_similarity(x, y) + (CASE WHEN x[1:4] = y[1:4] THEN 4 WHEN x[1:3] = y
   QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY score DESC, t.id) = 1)""", "coded AS (SELECT id, translate(lpad((grp // 3 % 10000)::VARCHAR, 4, '0'), '0123456789', 'abcdefghij') AS code FROM companies)"))
 def company_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row's best company by name, to match, to review, or none."""
-    code = F.translate(F.lpad((F.col("grp") / 3).cast("int").cast("string"), 4, "0"), "0123456789", "abcdefghij")
+    code = F.translate(F.lpad(F.expr("grp div 3 % 10000").cast("string"), 4, "0"), "0123456789", "abcdefghij")
     c = companies(spark, sf_dir).withColumn("code", code).withColumn("k", F.substring("id", 2, 9).cast("bigint") % 3)
     written = F.when(F.col("k") == 0, F.concat("code", F.lit(" Works"))).when(F.col("k") == 1, F.concat("code", F.lit(" ZQ"))).otherwise(F.concat("code", F.lit("qqqqqqqqqqqqqqqq")))
     rows = c.select(F.col("id").alias("row_id"), written.alias("company"), F.lit(None).cast("string").alias("email"))
