@@ -380,3 +380,11 @@ def test_company_review_codes_come_again(spark, tmp_path):
     got = {r["row_id"]: (r["id"], r["score"]) for r in queries.QUERIES["company_review"](spark, str(tmp_path)).collect()}
     assert got["c000036999"] == ("c000036999", 1.0) and got["c000069999"] == ("c000069999", 1.0)
     assert got["c000070000"][0] == "c000069999" and got["c000037000"][0] == "c000036999"
+
+
+def test_contact_cascade_beyond_ten_thousand_groups(spark, tmp_path):
+    """Groups 23 and 10,023 had firms of one name, so a row of the second went to the first."""
+    row = spark.createDataFrame([(k, f"C{k}", 1, 1.0, "BUILDING") for k in (69, 70, 30069, 30070)], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    row.write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["row_id"]: r["company_id"] for r in queries.QUERIES["contact_cascade"](spark, str(tmp_path)).collect()}
+    assert got["c000030070"] == "c000030069"

@@ -9,7 +9,8 @@ from tidewater import values as V
 from tidewater.functions import casing, names, phone, records
 from tidewater.operators import dedup, lookup, matching, quality, reports, survivorship
 from tidewater.plans import flows
-from tidewater.queries import MD, RATE, SQL, _in_group, _master_and_duplicate, companies, facts, firms, on_facts, oracle, query, table
+from tidewater import queries as base
+from tidewater.queries import MD, RATE, SQL, _in_group, _master_and_duplicate, companies, facts, on_facts, oracle, query, table
 from tidewater.sources import tables
 
 # Names
@@ -253,7 +254,9 @@ def merge_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT row_id, contact_id, CASE WHEN method = 'none' THEN 'c' || lpad((substr(row_id, 2)::BIGINT - 1)::VARCHAR, 9, '0') END AS company_id, CASE WHEN method = 'none' THEN 'company_fuzzy' ELSE method END AS method, 1.0::DOUBLE AS confidence, 'match' AS action FROM (" + SQL["contact_matches"] + ") WHERE substr(row_id, 2)::BIGINT % 3 = 1")
 def contact_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By mail, by profile, then to the company of the most similar name; names of one group are the same but for their form."""
-    c = firms(spark, sf_dir)
+    number = "cast(cast(floor(grp / 3) as bigint) as string)"
+    whole = f"translate(lpad({number}, greatest(4, length({number})), '0'), '0123456789', 'abcdefghij')"  # CODE comes again from 10,000 groups on
+    c = companies(spark, sf_dir).withColumn("name", F.expr(base.FIRM_NAME.replace(base.CODE, whole)))
     k = F.substring("id", 2, 9).cast("bigint")
     rows = c.filter(k % 3 == 1).select(F.col("id").alias("row_id"), "email", "linkedin", F.col("name").alias("company"))
     return matching.match_contacts(rows, companies(spark, sf_dir).filter(k % 2 == 0), c.filter(k % 3 == 0).select("id", "name", "domain"))
