@@ -388,3 +388,13 @@ def test_contact_cascade_beyond_ten_thousand_groups(spark, tmp_path):
     row.write.parquet(f"{tmp_path}/customer.parquet")
     got = {r["row_id"]: r["company_id"] for r in queries.QUERIES["contact_cascade"](spark, str(tmp_path)).collect()}
     assert got["c000030070"] == "c000030069"
+
+
+def test_lookup_broadcasts_no_values(spark):
+    """Many distinct values compress well on disk; none of the joins may take them whole to the driver."""
+    values = spark.range(3000).select(F.concat(F.lit("Filips "), "id").alias("value"))
+    reference = spark.createDataFrame([("Phillips", "P", None, True, True)], "input_value string, canonical_value string, org_id string, is_active boolean, fuzzy_eligible boolean")
+    found = lookup.lookup(values, reference, sounds=True)
+    assert found.filter("match_type = 'phonetic' AND canonical = 'P'").count() == found.count() == 3000
+    joins = [j for j in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftAnti" in j]
+    assert joins and all("strategy=merge" in j for j in joins)

@@ -31,8 +31,9 @@ def lookup(values: DataFrame, reference: DataFrame, org: str | None = None, thre
 
     Tiers in turn, each for what the one before left over: equal text, trigram
     similarity from the threshold on, equal sound (first code of double metaphone; texts without a sound match nothing).
-    The latter two look at rows that are fuzzy_eligible only.  What each has found is
-    stored, as the next one and the result read it.  The organisation's row
+    The latter two look at rows that are fuzzy_eligible only.  What the first two have found is
+    stored, as the next one and the result read it; values, of which there may be
+    many that compress well, are never broadcast.  The organisation's row
     beats the common one.  The fuzzy tier meets only rows that share a trigram
     and whose numbers of trigrams allow the threshold.
     """
@@ -40,17 +41,16 @@ def lookup(values: DataFrame, reference: DataFrame, org: str | None = None, thre
     values = scratch.write(values.toDF("value").filter("value IS NOT NULL").distinct(), "values")
     ref = active(reference, org).select(F.col("input_value").alias("ref"), F.col("canonical_value").alias("canonical"), "org_id", "fuzzy_eligible")
     own_first = F.col("org_id").asc_nulls_last()
-    exact = best(values.join(ref, _low(F.col("value")) == _low(F.col("ref"))), ["value"], own_first, F.col("canonical"))
-    exact = scratch.write(exact.select("value", "canonical", F.lit("exact").alias("match_type"), F.lit(100).alias("confidence")), "exact")
-    rest = values.join(exact, "value", "left_anti")
+    known = best(ref.withColumn("__low", _low(F.col("ref"))), ["__low"], own_first, F.col("canonical")).select("__low", "canonical", F.lit("exact").alias("match_type"), F.lit(100).alias("confidence"))
+    tried = scratch.write(values.withColumn("__low", _low(F.col("value"))).join(known, "__low", "left").drop("__low"), "exact")
+    exact, rest = tried.filter("match_type IS NOT NULL"), tried.filter("match_type IS NULL").select("value")
     fuzzy = scratch.write(fuzzy_lookup(rest, ref.filter("fuzzy_eligible"), threshold), "fuzzy")
-    found, rest = exact.unionByName(fuzzy), rest.join(fuzzy, "value", "left_anti")
+    found, rest = exact.unionByName(fuzzy), rest.join(fuzzy.hint("merge"), "value", "left_anti")
     if sounds:
         sound = lambda rows, c: rows.withColumn("s", double_metaphone(F.col(c))["first"]).filter("s <> ''")
         sounding = sound(ref.filter("fuzzy_eligible"), "ref").groupBy("s").agg(F.min(F.struct(F.col("org_id").isNull().alias("common"), "org_id", "canonical")).alias("r"))  # one row answers for all that sound alike
-        heard = scratch.write(sound(rest, "value").join(sounding, "s").select("value", F.col("r.canonical").alias("canonical")), "heard")
-        heard = heard.select("value", "canonical", F.lit("phonetic").alias("match_type"), F.lit(65).alias("confidence"))
-        found, rest = found.unionByName(heard), rest.join(heard, "value", "left_anti")
+        heard = rest.withColumn("s", double_metaphone(F.col("value"))["first"]).join(sounding, "s", "left")
+        return found.unionByName(heard.select("value", F.col("r.canonical").alias("canonical"), F.when(F.col("r").isNotNull(), "phonetic").otherwise("none").alias("match_type"), F.when(F.col("r").isNotNull(), 65).otherwise(0).alias("confidence")))
     return found.unionByName(rest.select("value", F.lit(None).cast("string").alias("canonical"), F.lit("none").alias("match_type"), F.lit(0).alias("confidence")))
 
 
@@ -74,7 +74,8 @@ def fuzzy_lookup(values: DataFrame, ref: DataFrame, threshold: float) -> DataFra
 
     met = prefix(left_tokens).select("g", F.col("id").alias("x"), F.col("size").alias("p")).join(prefix(right_tokens).select("g", F.col("id").alias("y"), F.col("size").alias("q")), "g")
     met = met.filter((F.col("p") >= threshold * F.col("q")) & (F.col("q") >= threshold * F.col("p"))).select("x", "y").distinct()
-    scored = met.join(left, "x").join(right, "y").withColumn("sim", jaccard(F.col("a"), F.col("b"))).filter(F.col("sim") >= threshold)
+    scored = met.join(left.select("value", "x").hint("merge"), "x").join(right.drop("b"), "y").withColumns({"a": trigrams(F.col("value")), "b": trigrams(F.col("ref"))})
+    scored = scored.withColumn("sim", jaccard(F.col("a"), F.col("b"))).filter(F.col("sim") >= threshold)
     top = best(scored, ["value"], F.desc("sim"), F.col("org_id").asc_nulls_last(), F.col("canonical"), F.col("ref"))
     return top.select("value", "canonical", F.lit("fuzzy").alias("match_type"), F.round(F.col("sim") * 100).cast("int").alias("confidence"))
 
