@@ -398,3 +398,26 @@ def test_lookup_broadcasts_no_values(spark):
     assert found.filter("match_type = 'phonetic' AND canonical = 'P'").count() == found.count() == 3000
     joins = [j for j in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftAnti" in j]
     assert joins and all("strategy=merge" in j for j in joins)
+
+
+def test_sure_pairs_are_the_scored_pairs_from_65_on(spark):
+    """Shared domains block nothing, but count once two records meet by phone or name; meeting by host or profile loses none of them."""
+    rows = [(i, f"{'Acme' if i % 2 else 'Zeta'} {i % 5}", ("gmail.com", f"c{i % 4}.com", None, "www.gmail.com")[i % 4], (None, "212 555 0001", f"212 555 {i:04d}", "414 777 0000")[i // 3 % 4], ("it", "law")[i % 2], f"linkedin.com/company/x{i // 7}" if i % 3 == 0 else None) for i in range(60)]
+    c = spark.createDataFrame(rows, "id int, name string, domain string, phone string, industry string, linkedin string")
+    show = lambda df: sorted(map(str, df.select("a_id", "b_id", "confidence", "grade", "signals").collect()))
+    keys = dedup.company_keys(*(F.col(x) for x in ("name", "domain", "phone", "linkedin")))
+    every = dedup.score_companies(dedup.with_records(dedup.candidate_pairs(c, keys), dedup.comparable(c)))
+    assert show(dedup.company_pairs(c)) == show(every)
+    assert show(dedup.company_pairs(c, 65)) == show(every.filter("confidence >= 65")) != []
+
+
+def test_pairs_are_never_shuffled(spark):
+    """A pair comes out once, at the first common key: no aggregate over pairs follows the join."""
+    index = spark.createDataFrame([(i, kind, f"k{i % m}") for i in range(40) for kind, m in (("a", 3), ("b", 4), ("c", 5))], "id int, kind string, key string")
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if any(i % m == j % m for m in (3, 4, 5))}
+    got = [tuple(r) for r in dedup.pairs_of(index).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    got = [tuple(r) for r in dedup.pairs_of(index, spark.createDataFrame([(5,), (8,), (8,)], "id int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {p for p in want if {5, 8} & set(p)}
+    plan = dedup.pairs_of(index)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")

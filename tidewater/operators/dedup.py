@@ -42,22 +42,48 @@ def contact_keys(email: Column, phone: Column, linkedin: Column) -> Column:
 
 
 def candidate_pairs(records: DataFrame, keys: Column, id: str = "id", changed: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a key; one shuffle on (kind, key) for all kinds.
+    """Distinct pairs (a, b), a < b, that share a key; one shuffle on keys for all kinds.
 
     With ``changed``, a table of ids, only pairs with such an id (the
     incremental form).  The pairs of a block are what is asked for, so their
     number is the operator's result; adaptive execution splits hot keys.
     """
-    index = records.select(F.col(id).alias("id"), F.explode(keys).alias("k")).select("id", "k.kind", "k.key").distinct()
-    return pairs_of(index, changed)
+    return pairs_of(records.select(F.col(id).alias("id"), F.explode(keys).alias("k")).select("id", "k.kind", "k.key"), changed)
 
 
-def pairs_of(index: DataFrame, changed: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids with a common (kind, key)."""
-    left = index.join(changed.select(F.col(changed.columns[0]).alias("id")).distinct(), "id", "left_semi") if changed is not None else index
-    met = left.select(F.col("id").alias("x"), "kind", "key").join(index.select(F.col("id").alias("y"), "kind", "key"), ["kind", "key"])
-    met = met.filter("x < y" if changed is None else "x <> y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def ordered_keys(keys: Column) -> Column:
+    """Keys (kind, key) as distinct texts in one order for all records."""
+    return F.sort_array(F.array_distinct(F.transform(keys, lambda k: F.concat(k["kind"], F.lit("\0"), k["key"]))), asc=False)
+
+
+def entries(held: DataFrame, keys: str = "held") -> DataFrame:
+    """One row for each key in place of the ordered keys: ``k`` and those before it, ``earlier``."""
+    rows = held.select("*", F.posexplode(keys).alias("__at", "k"))
+    return rows.withColumn("earlier", F.slice(keys, F.lit(1), F.col("__at"))).drop(keys, "__at")
+
+
+def pairs_of(index: DataFrame, changed: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ids with a common (kind, key); with ``facts``, a table with ids, both their rows as structs a and b beside a_id and b_id.
+
+    A pair comes out at the first key that both have, so none is met twice and
+    only ids with their keys and facts are shuffled, never pairs.
+    """
+    held = index.dropna(subset=["kind", "key"]).groupBy("id").agg(ordered_keys(F.collect_set(F.struct("kind", "key"))).alias("held"))
+    if changed is not None:
+        late = changed.select(F.col(changed.columns[0]).alias("id")).distinct().withColumn("late", F.lit(True))
+        held = held.join(late, "id", "left")
+    if facts is not None:
+        held = held.join(facts.select("id", F.struct(*facts.columns).alias("facts")), "id")
+    rows = entries(held)
+    side = lambda df, n: df.select(*(F.col(c).alias(c if c == "k" else f"{n}_{c}") for c in df.columns))
+    left, right = side(rows if changed is None else rows.filter("late"), "x"), side(rows, "y")
+    once = F.col("x_id") < F.col("y_id") if changed is None else (F.col("x_id") < F.col("y_id")) | (F.col("x_id") > F.col("y_id")) & F.col("y_late").isNull()
+    met = left.join(right.hint("merge"), (left["k"] == right["k"]) & once & ~F.arrays_overlap("x_earlier", "y_earlier"))
+    if facts is None:
+        return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    straight = F.col("x_id") < F.col("y_id")
+    of = lambda first, c: F.when(straight == first, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")) if changed is not None else F.col(f"{'x' if first else 'y'}_{c}")
+    return met.select(of(True, "id").alias("a_id"), of(False, "id").alias("b_id"), of(True, "facts").alias("a"), of(False, "facts").alias("b"))
 
 
 def block_sizes(records: DataFrame, keys: Column) -> DataFrame:
@@ -102,28 +128,59 @@ def score_companies(pairs: DataFrame, penalty: int = 20) -> DataFrame:
     same = lambda f: F.coalesce((F.col("a")[f] == F.col("b")[f]) & (F.col("a")[f] != ""), F.lit(False))
     x, y, own = F.col("a")["end"], F.col("b")["end"], list(NATIONAL_ENDS)
     sim = similarity(F.col("a")["plain"], F.col("b")["plain"])
-    marks = F.struct(
-        same("host").alias("domain"), same("profile").alias("profile"), same("call").alias("phone"), same("trade").alias("industry"),
-        F.coalesce(((x == ".com") & y.isin(own)) | ((y == ".com") & x.isin(own)), F.lit(False)).alias("ends"),
-        F.when(F.col("a")["plain"].isNotNull() & F.col("b")["plain"].isNotNull(), sim).alias("sim"),
+    out = pairs.withColumns({
+        "__domain": same("host"), "__profile": same("profile"), "__phone": same("call"), "__industry": same("trade"),
+        "__ends": F.coalesce(((x == ".com") & y.isin(own)) | ((y == ".com") & x.isin(own)), F.lit(False)),
+        "__sim": F.when(F.col("a")["plain"].isNotNull() & F.col("b")["plain"].isNotNull(), sim),
+    })
+    alike, m = F.coalesce("__sim", F.lit(0.0)), (lambda f: F.col(f"__{f}"))
+    out = out.withColumns({
+        "__name": F.when(alike >= 0.85, V.round_half_up(15 + (alike - 0.85) * 66)).otherwise(0.0),
+        "__trade": F.when((alike >= 0.7) & m("industry"), 10.0).otherwise(0.0),
+    })
+    total = F.when(m("domain") | m("profile"), 95.0).otherwise(0.0) + F.when(m("phone"), 20.0).otherwise(0.0) + m("name") + m("trade")
+    out = out.withColumn("__total", F.least(F.greatest(total - F.when(m("ends"), float(penalty)).otherwise(0.0), F.lit(0.0)), F.lit(100.0)))
+    none = F.array().cast("array<struct<tier:int,type:string,deterministic:boolean,score:double>>")
+    signal = lambda when, kind, tier, points, sure: F.when(when, F.array(F.struct(F.lit(tier).alias("tier"), F.lit(kind).alias("type"), F.lit(sure).alias("deterministic"), points.cast("double").alias("score")))).otherwise(none)
+    signals = F.concat(
+        signal(m("domain"), "domain", 1, F.lit(95), True), signal(m("profile"), "linkedin", 1, F.lit(95), True), signal(m("phone"), "phone", 2, F.lit(20), True),
+        signal(m("name") > 0, "name", 3, m("name"), False), signal(m("trade") > 0, "name_industry", 4, m("trade"), False), signal(m("ends"), "tld_mismatch", 0, F.lit(-penalty), False),
     )
-
-    def judged(m: Column) -> Column:
-        sim = F.coalesce(m["sim"], F.lit(0.0))
-        name = F.when(sim >= 0.85, V.round_half_up(15 + (sim - 0.85) * 66)).otherwise(0.0)
-        industry = F.when((sim >= 0.7) & m["industry"], 10.0).otherwise(0.0)
-        total = F.when(m["domain"] | m["profile"], 95.0).otherwise(0.0) + F.when(m["phone"], 20.0).otherwise(0.0) + name + industry
-        total = F.least(F.greatest(total - F.when(m["ends"], float(penalty)).otherwise(0.0), F.lit(0.0)), F.lit(100.0))
-        signal = lambda when, kind, tier, points, sure: F.when(when, F.struct(F.lit(tier).alias("tier"), F.lit(kind).alias("type"), F.lit(sure).alias("deterministic"), points.cast("double").alias("score")))
-        signals = F.filter(F.array(
-            signal(m["domain"], "domain", 1, F.lit(95), True), signal(m["profile"], "linkedin", 1, F.lit(95), True), signal(m["phone"], "phone", 2, F.lit(20), True),
-            signal(name > 0, "name", 3, name, False), signal(industry > 0, "name_industry", 4, industry, False), signal(m["ends"], "tld_mismatch", 0, F.lit(-penalty), False),
-        ), lambda s: s.isNotNull())
-        return F.struct(total.alias("confidence"), m["sim"].alias("name_similarity"), signals.alias("signals"))
-
-    out = pairs.withColumn("__judged", V.let(marks, judged))
     keep = [c for c in pairs.columns if c not in ("confidence", "grade", "name_similarity", "signals")]
-    return out.select(*keep, F.col("__judged.name_similarity"), F.col("__judged.confidence"), grade(F.col("__judged.confidence")).alias("grade"), F.col("__judged.signals"))
+    return out.select(*keep, m("sim").alias("name_similarity"), m("total").alias("confidence"), grade(m("total")).alias("grade"), signals.alias("signals"))
+
+
+#: The most that phone, name and industry give a pair without a common host or profile.
+UNSURE = 55
+
+
+def company_pairs(records: DataFrame, least: float = 0, id: str = "id", excluded: tuple[str, ...] = SHARED_DOMAINS) -> DataFrame:
+    """Pairs (a_id, b_id) of companies (name, domain, phone, industry, linkedin) that share a blocking key, scored; with ``least`` those of this confidence or more.
+
+    Facts travel with the keys, so pairs are scored where they meet.  From more
+    than UNSURE on host or profile must agree as well, so records meet by these
+    only: crowded phone and name keys make no pairs that would be dropped.
+    """
+    keys = company_keys(*(F.col(c) for c in ("name", "domain", "phone", "linkedin")), excluded=excluded)
+    keyed = records.select(F.col(id).alias("id"), keys.alias("keys"), extract_domain(F.col("domain")).alias("host"), linkedin_id(F.col("linkedin")).alias("profile"))
+    made = sure_keys(F.col("keys"), F.col("host"), F.col("profile")) if least > UNSURE else F.col("keys")
+    index = keyed.select("id", F.explode(made).alias("k")).select("id", "k.kind", "k.key")
+    scored = score_companies(pairs_of(index, facts=records.select(F.col(id).alias("id"), *company_facts())))
+    return scored.filter(F.col("confidence") >= least) if least > 0 else scored
+
+
+def sure_keys(keys: Column, host: Column, profile: Column) -> Column:
+    """Keys that two records share if they share one of company_keys and host or profile.
+
+    A host or profile that is a key itself stands alone; one that is none (a shared domain) goes with each of the keys.
+    """
+    def of(kind: str, value: Column) -> Column:
+        own = F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+        each = F.transform(keys, lambda k: F.struct(F.concat(F.lit(f"{kind} and "), k["kind"]).alias("kind"), F.concat(value, F.lit("\0"), k["key"]).alias("key")))
+        alone = F.exists(keys, lambda k: (k["kind"] == kind) & (k["key"] == value))
+        return F.when(value != "", F.when(alone, F.array(own)).otherwise(each)).otherwise(F.array().cast("array<struct<kind:string,key:string>>"))
+
+    return F.concat(of("domain", host), of("linkedin", profile))
 
 
 def score_contacts(pairs: DataFrame) -> DataFrame:

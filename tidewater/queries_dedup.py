@@ -31,7 +31,7 @@ def dedup_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clusters_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of half of the pairs, into which the other half is merged; only clusters that it joins are written anew."""
     scratch = Scratch(spark, "merged")
-    edges = scratch.write(_scored(spark, sf_dir).filter("confidence >= 65").select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), "edges")
+    edges = scratch.write(_scored(spark, sf_dir, 65).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), "edges")
     half = F.pmod(F.crc32(F.concat("u", "v")), F.lit(2))
     known = scratch.write(components.labels(edges.filter(half == 0), Scratch(spark, "merged-old")), "known")
     return components.merged(known, edges.filter(half == 1), scratch)[0].select(F.col("node").alias("id"), F.col("root").alias("cluster"))
@@ -43,7 +43,7 @@ def clusters_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clusters_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of some records went away; only the clusters that held them are found anew."""
     scratch = Scratch(spark, "split")
-    edges = scratch.write(_scored(spark, sf_dir).filter("confidence >= 65").select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), "edges")
+    edges = scratch.write(_scored(spark, sf_dir, 65).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), "edges")
     known = scratch.write(components.labels(edges, Scratch(spark, "split-old")), "known")
     lost = F.substring("u", 2, 9).cast("bigint") % 7 == 0
     touched = edges.filter(lost).select("u").unionByName(edges.filter(lost).select(F.col("v").alias("u")))
@@ -65,7 +65,7 @@ def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle("SELECT DISTINCT cluster, TIMESTAMP '2024-05-01 06:00:00' AS scheduled_at FROM roots JOIN scored ON a = id WHERE confidence >= 98 AND substr(cluster, 2)::BIGINT % 2 = 0 AND substr(cluster, 2)::BIGINT % 4 <> 0 AND cluster IN (SELECT r.cluster FROM roots r JOIN scored s ON s.a = r.id WHERE s.grade = 'A')", FIRMS, KEYS, PAIRS, SCORES, WALK).replace("WITH ", "WITH RECURSIVE ", 1))
 def merge_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New and pending clusters of grade A with a sure pair, and when they are due."""
-    pairs = _scored(spark, sf_dir).filter("confidence >= 65")
+    pairs = _scored(spark, sf_dir, 65)
     number = F.substring("cluster", 2, 9).cast("bigint")
     found = dedup.clusters(pairs).withColumn("status", F.when(number % 4 == 0, "merged").otherwise("pending"))
     due = dedup.auto_merge(found, pairs, 0.98, new=found.filter(number % 2 == 0).select("cluster"), now=F.lit("2024-04-30 06:00:00").cast("timestamp"), hours=24)
@@ -77,4 +77,4 @@ def excluded_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains of mail providers and of an organisation's own list block nothing."""
     c = firms(spark, sf_dir).withColumn("domain", F.when(F.col("grp") % 15 == 0, "https://www.Gmail.com").otherwise(F.col("domain")))
     listed = c.select(F.regexp_extract("domain", r"(?i)(company\d*0\.com)(/|$)", 1).alias("domain")).filter("domain <> ''").withColumn("domain", F.concat(F.lit("http://"), "domain"))
-    return dedup.pairs_of(dedup.without_excluded(c, _company_keys(), listed).distinct())
+    return dedup.pairs_of(dedup.without_excluded(c, _company_keys(), listed))
