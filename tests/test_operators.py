@@ -421,3 +421,18 @@ def test_pairs_are_never_shuffled(spark):
     assert len(got) == len(set(got)) and set(got) == {p for p in want if {5, 8} & set(p)}
     plan = dedup.pairs_of(index)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_waterfall_of_equal_positions(spark, tmp_path):
+    """Lines 1 and 11 of orders 2 and 1 are at one position: the first row of the table wins, whichever provider it has."""
+    import duckdb
+
+    rows = [(1 + (i + p) % 2, p, p * 7 + i, 1 + 10 * ((i + p + 1) % 2), 1.0, 100.0 * (i + 3), dt.datetime(2024, 1, 1)) for i in range(4) for p in range(300)]
+    table = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp")
+    table.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.execute(queries.SQL["resolve_waterfall"]).fetchall())
+    got = sorted(tuple(r) for r in queries.QUERIES["resolve_waterfall"](spark, str(tmp_path)).collect())
+    assert got == want and len(got) == 300

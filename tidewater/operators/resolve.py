@@ -19,7 +19,7 @@ def _filled(candidates: DataFrame) -> DataFrame:
     return candidates.filter(~V.is_blank(F.col("value")))
 
 
-def waterfall(candidates: DataFrame, current: DataFrame | None = None, order: str = "position", mode: str = "overwrite") -> DataFrame:
+def waterfall(candidates: DataFrame, current: DataFrame | None = None, order: str | Column = "position", mode: str = "overwrite") -> DataFrame:
     """First filled value by order; with ``fill_empty`` a filled current value stays."""
     first = _filled(candidates).groupBy(*BY).agg(F.min_by(F.struct("value", "provider"), order).alias("x")).select(*BY, "x.value", F.col("x.provider").alias("source"))
     if current is None or mode == "overwrite":
