@@ -117,3 +117,27 @@ def test_a_crowded_block_makes_few_candidates(spark, monkeypatch):
     found = near_text.near_texts(rows, 0.95)[1].count()
     assert found == sum(sum(x != y for x, y in zip(f"{a:05d}", f"{b:05d}")) <= 1 for a, b in combinations(range(1500), 2))
     assert met[-1].count() < 4 * found
+
+
+def test_crowded_blocks_are_compared_in_tiles(spark, monkeypatch):
+    """Names of one beginning and end with three edits: none meet by keys, and no pair is lost across chunks, lengths or long texts."""
+    from tidewater.operators import near_tiles
+
+    monkeypatch.setattr(near_text, "CROWD", 40)
+    monkeypatch.setattr(near_tiles, "CHUNK", 50)
+    monkeypatch.setattr(near_tiles, "BATCH", 100)
+    monkeypatch.setattr(near_text, "LONG", 30)
+    met = []
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: met.append((name, out := write(self, df, name))) or out)
+    names = sorted({f"acme works {i * 37 % 5000} inc." for i in range(130)} | {f"acme works of the north {i * 91}" + " and sons" * (i % 2) for i in range(60)} | {"", "acme"})
+    rows = [(f"c{i:04d}", t, b) for i, (t, b) in enumerate((t, b) for b in ("x", "y") for t in names[: 200 if b == "x" else 30])] + [("c9999", names[5], "x")]
+    pairs = near_text.near_texts(spark.createDataFrame(rows, "id string, text string, block string"), block="block")[1].collect()
+    want = {}
+    for (i, t, b), (j, u, c) in combinations(rows[:-1], 2):
+        if b == c and t and u and 1 - distance(t, u) / max(len(t), len(u)) >= 0.85 - 1e-12:
+            want[i, j] = round(1 - distance(t, u) / max(len(t), len(u)), 9)
+    assert {(a, b): round(s, 9) for a, b, s in pairs} == want and len(pairs) == len(want)
+    held = dict(met)
+    assert [r["block"] for r in held["crowded"].collect()] == ["x"] and held["chunks"].count() > 2
+    assert max(len(rows[int(r["a"][1:])][1]) for r in pairs) > 30

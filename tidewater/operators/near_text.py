@@ -7,6 +7,10 @@ so many deletions, and texts that agree in most of their letters meet only where
 the rest agrees as well.  For larger k the shorter text is cut into k + 1
 pieces, of which one must stand unchanged, and nearly in its place, in the
 longer.  Both tests lose no pair; what meets is compared in full.
+
+Where texts of a block begin and end alike, rests and pieces are shared by many
+that are not similar.  A sample tells such blocks, and their texts are compared
+in tiles (near_tiles) that lose no pair either.
 """
 
 from __future__ import annotations
@@ -14,11 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators import near_tiles
 from tidewater.storage import Scratch
 
 #: Edits up to which texts meet by deletions, and length from which they meet by length alone (pieces would be more than the pairs of names are).
 DELETIONS = 2
 LONG = 120
+#: A block of more than CROWD texts is compared in tiles if, of about CROWD of them, one pair in SELDOM or more would meet by keys.
+CROWD, SELDOM = 512, 20
 
 
 def _edits(n: Column, threshold: float) -> Column:
@@ -58,13 +65,55 @@ def near_texts(rows: DataFrame, threshold: float = 0.85, id: str = "id", text: s
     texts = scratch.write(own.groupBy("block", "text").agg(F.min("id").alias("class")).withColumn("n", F.length("text")), "texts")
     classes = own.join(texts, ["block", "text"]).select("id", "class")
     filled = texts.filter("n > 0")
+    crowded = scratch.write(_crowded(filled, threshold, scratch), "crowded")
+    top = LONG
+    while near_tiles.edits(top, threshold) > near_tiles.EDITS:
+        top -= 1
+    many = scratch.write(filled.join(F.broadcast(crowded), "block", "left_semi").select(*texts.columns), "many")
+    few = filled.join(F.broadcast(crowded), "block", "left_anti").select(*texts.columns)
+    if few.isEmpty() and many.filter(F.col("n") / threshold > top).isEmpty():
+        return classes, near_tiles.tiles(many, threshold, scratch)
+    met = scratch.write(_by_keys(few, threshold).unionByName(_by_length(few, threshold, LONG)).unionByName(_by_length(many, threshold, top)).distinct(), "met")
+    side = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"{c}_text"), F.col("block").alias(f"{c}_block"))
+    both = met.join(side("a"), "a").join(side("b"), "b").filter("a_block = b_block")
+    similar = 1 - F.levenshtein("a_text", "b_text") / F.greatest(F.length("a_text"), F.length("b_text"))
+    pairs = both.withColumn("similarity", similar).filter(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
+    short = many.filter(F.col("n") <= top)
+    return classes, pairs if crowded.isEmpty() or short.isEmpty() else pairs.unionByName(near_tiles.tiles(short, threshold, scratch))
+
+
+def _crowded(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Blocks whose texts would meet too often by their keys."""
+    large = texts.groupBy("block").agg(F.count("*").alias("size")).filter(F.col("size") > CROWD)
+    some = texts.join(large, "block").filter(F.pmod(F.xxhash64("text"), F.col("size")) < CROWD).select(*texts.columns)
+    some = scratch.write(some, "some")
+    met = _by_keys(some, threshold).join(some.select(F.col("class").alias("a"), "block"), "a").groupBy("block").agg(F.count("*").alias("met"))
+    drawn = some.groupBy("block").agg(F.count("*").alias("drawn"))
+    return met.join(drawn, "block").filter(F.col("met") * SELDOM * 2 > F.col("drawn") * F.col("drawn")).select("block")
+
+
+def _longer(filled: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Texts as the shorter of a pair, for each length L that the longer may have, and as the longer; k edits."""
     longest = F.floor(F.col("n") / threshold + 1e-9).cast("int")
     shorter = filled.withColumn("L", F.explode(F.sequence(F.col("n"), longest))).withColumn("k", _edits(F.col("L"), threshold)).filter("L - n <= k")
-    longer = filled.withColumn("L", F.col("n")).withColumn("k", _edits(F.col("n"), threshold))
-    keyed = lambda df, key: df.select("class", "n", "L", F.xxhash64("block", "L", key).alias("key"))
+    return shorter, filled.withColumn("L", F.col("n")).withColumn("k", _edits(F.col("n"), threshold))
+
 
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    return df.select("class", "n", "L", F.xxhash64("block", "L", key).alias("key"))
+
+
+def _by_length(filled: DataFrame, threshold: float, above: int) -> DataFrame:
+    """Pairs whose longer text has more letters."""
+    shorter, longer = (_keyed(df.filter(F.col("L") > above), "L") for df in _longer(filled, threshold))
+    return _meet(shorter, longer)
+
+
+def _by_keys(filled: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose longer text has LONG letters at most, by common rests or pieces; a pair comes more than once."""
+    shorter, longer = _longer(filled, threshold)
     few = lambda df: df.filter((F.col("k") <= DELETIONS) & (F.col("L") <= LONG))
-    rest = lambda df, d: keyed(df.withColumn("rest", F.explode(_rests(F.col("text"), d))), "rest")
+    rest = lambda df, d: _keyed(df.withColumn("rest", F.explode(_rests(F.col("text"), d))), "rest")
     met = _meet(rest(few(shorter), F.col("k") - F.col("L") + F.col("n")), rest(few(longer), F.col("k")))
 
     many = lambda df: df.filter((F.col("k") > DELETIONS) & (F.col("L") <= LONG))
@@ -75,14 +124,7 @@ def near_texts(rows: DataFrame, threshold: float = 0.85, id: str = "id", text: s
     gap, at = F.col("n") - F.col("m"), start(F.col("m"), F.col("i"))
     first, last = F.greatest(at - F.floor((F.col("k") - gap) / 2).cast("int"), F.lit(0)), F.least(at + F.floor((F.col("k") + gap) / 2).cast("int"), F.col("n") - piece(F.col("m"), F.col("i")))
     other = other.withColumn("p", F.explode(_range(first, last))).withColumn("part", F.concat_ws(":", "m", "i", F.substr("text", F.col("p") + 1, piece(F.col("m"), F.col("i")))))
-    met = met.unionByName(_meet(keyed(cut, "part"), keyed(other, "part")))
-
-    far = lambda df: keyed(df.filter(F.col("L") > LONG), "L")
-    met = scratch.write(met.unionByName(_meet(far(shorter), far(longer))).distinct(), "met")
-    side = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"{c}_text"), F.col("block").alias(f"{c}_block"))
-    both = met.join(side("a"), "a").join(side("b"), "b").filter("a_block = b_block")
-    similar = 1 - F.levenshtein("a_text", "b_text") / F.greatest(F.length("a_text"), F.length("b_text"))
-    return classes, both.withColumn("similarity", similar).filter(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
+    return met.unionByName(_meet(_keyed(cut, "part"), _keyed(other, "part")))
 
 
 def _meet(short: DataFrame, long: DataFrame) -> DataFrame:
