@@ -436,3 +436,16 @@ def test_waterfall_of_equal_positions(spark, tmp_path):
     want = sorted(con.execute(queries.SQL["resolve_waterfall"]).fetchall())
     got = sorted(tuple(r) for r in queries.QUERIES["resolve_waterfall"](spark, str(tmp_path)).collect())
     assert got == want and len(got) == 300
+
+
+def test_keys_and_facts_are_made_once_for_each_record(spark, monkeypatch):
+    """No filter or branch makes a key again (a host was made up to five times for each key), and pairs are scored with a number of signals beside the list."""
+    monkeypatch.setattr(dedup, "extract_domain", lambda c: F.concat(c, F.lit("HOSTMARK")))
+    c = spark.createDataFrame([(i, f"Acme {i % 4}", f"c{i % 5}.com", f"212 555 {i % 6:04d}", "it", f"linkedin.com/company/x{i // 3}") for i in range(30)], "id int, name string, domain string, phone string, industry string, linkedin string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    keys = dedup.company_keys(*(F.col(x) for x in ("name", "domain", "phone", "linkedin")))
+    for df, sides in ((dedup.candidate_pairs(c, keys), 2), (dedup.company_pairs(c), 4)):
+        assert 0 < plan(df).count("HOSTMARK") <= sides
+    monkeypatch.undo()
+    scored = dedup.company_pairs(c)
+    assert scored.filter("signal_count <> size(signals)").isEmpty() and scored.filter("signal_count > 2").count() > 0

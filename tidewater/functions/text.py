@@ -78,11 +78,14 @@ def numeric_parse(c: Column) -> Column:
 
 def extract_domain(c: Column) -> Column:
     """Host of a URL or bare domain, in lower case, without one leading "www."."""
-    t = V.trim(c.cast("string"))
-    url = F.when(t.contains("://"), t).otherwise(F.concat(F.lit("https://"), t))
-    host = F.try_parse_url(url, F.lit("HOST"))
-    loose = F.regexp_extract(url, r"(?i)(?:https?://)?(?:www\.)?([^/\s]+)", 1)
-    return F.when(t != "", F.regexp_replace(F.lower(F.coalesce(host, F.when(loose != "", loose))), r"^www\.", ""))
+    def of(t: Column) -> Column:
+        return F.when(t != "", V.let(F.when(t.contains("://"), t).otherwise(F.concat(F.lit("https://"), t)), host))
+
+    def host(url: Column) -> Column:
+        loose = V.let(F.regexp_extract(url, r"(?i)(?:https?://)?(?:www\.)?([^/\s]+)", 1), lambda x: F.when(x != "", x))
+        return F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), loose)), r"^www\.", "")
+
+    return V.let(V.trim(c.cast("string")), of)
 
 
 def domain_format(c: Column) -> Column:

@@ -28,9 +28,14 @@ GRADES = {"A": 95, "B": 80, "C": 65}
 
 def company_keys(name: Column, domain: Column, phone: Column, linkedin: Column, excluded: tuple[str, ...] = SHARED_DOMAINS) -> Column:
     """Blocking keys as an array of (kind, key): domain, linkedin slug, first seven digits of the phone, first four characters of the name."""
-    d, p, n = extract_domain(domain), digits(phone), F.regexp_replace(F.lower(V.text(name)), "[^a-z0-9]", "")
+    made = F.struct(extract_domain(domain).alias("d"), linkedin_id(linkedin).alias("l"), digits(phone).alias("p"), F.regexp_replace(F.lower(V.text(name)), "[^a-z0-9]", "").alias("n"))
+    return V.let(made, lambda m: keys_of(m["d"], m["l"], m["p"], m["n"], excluded))
+
+
+def keys_of(host: Column, profile: Column, number: Column, letters: Column, excluded: tuple[str, ...] = SHARED_DOMAINS) -> Column:
+    """company_keys of what is made of a record: host, profile, digits of the phone, letters and digits of the name."""
     key = lambda kind, value, when: F.when(when & value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("key")))
-    keys = F.array(key("domain", d, ~d.isin(list(excluded))), key("linkedin", linkedin_id(linkedin), F.lit(True)), key("phone", F.left(p, F.lit(7)), F.length(p) >= 7), key("name", F.left(n, F.lit(4)), F.length(n) >= 4))
+    keys = F.array(key("domain", host, ~host.isin(list(excluded))), key("linkedin", profile, F.lit(True)), key("phone", F.left(number, F.lit(7)), F.length(number) >= 7), key("name", F.left(letters, F.lit(4)), F.length(letters) >= 4))
     return F.filter(keys, lambda x: x.isNotNull())
 
 
@@ -48,7 +53,12 @@ def candidate_pairs(records: DataFrame, keys: Column, id: str = "id", changed: D
     incremental form).  The pairs of a block are what is asked for, so their
     number is the operator's result; adaptive execution splits hot keys.
     """
-    return pairs_of(records.select(F.col(id).alias("id"), F.explode(keys).alias("k")).select("id", "k.kind", "k.key"), changed)
+    return pairs_of(index_of(records.select(F.col(id).alias("id"), keys.alias("keys"))), changed)
+
+
+def index_of(keyed: DataFrame, keys: str = "keys") -> DataFrame:
+    """(id, kind, key) of records with an array of keys; the outer form asks for no filter, for which Spark would make the keys again."""
+    return keyed.select("id", F.explode_outer(keys).alias("k")).select("id", "k.kind", "k.key")
 
 
 def ordered_keys(keys: Column) -> Column:
@@ -78,7 +88,8 @@ def pairs_of(index: DataFrame, changed: DataFrame | None = None, facts: DataFram
     side = lambda df, n: df.select(*(F.col(c).alias(c if c == "k" else f"{n}_{c}") for c in df.columns))
     left, right = side(rows if changed is None else rows.filter("late"), "x"), side(rows, "y")
     once = F.col("x_id") < F.col("y_id") if changed is None else (F.col("x_id") < F.col("y_id")) | (F.col("x_id") > F.col("y_id")) & F.col("y_late").isNull()
-    met = left.join(right.hint("merge"), (left["k"] == right["k"]) & once & ~F.arrays_overlap("x_earlier", "y_earlier"))
+    first = (F.size("x_earlier") == 0) | (F.size("y_earlier") == 0) | ~F.arrays_overlap("x_earlier", "y_earlier")
+    met = left.join(right.hint("merge"), (left["k"] == right["k"]) & once & first)
     if facts is None:
         return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
     straight = F.col("x_id") < F.col("y_id")
@@ -93,9 +104,8 @@ def block_sizes(records: DataFrame, keys: Column) -> DataFrame:
 
 def domain_end(c: Column) -> Column:
     """The last label of a domain, or the last two from three labels on, with a dot before."""
-    parts = F.split(F.regexp_replace(F.lower(c), r"^www\.", ""), r"\.")
-    n = F.size(parts)
-    return F.concat(F.lit("."), F.when(n >= 3, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.get(parts, n - 1)))
+    last = lambda parts: F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.get(parts, F.size(parts) - 1))
+    return F.concat(F.lit("."), V.let(F.split(F.regexp_replace(F.lower(c), r"^www\.", ""), r"\."), last))
 
 
 def grade(score: Column) -> Column:
@@ -105,10 +115,10 @@ def grade(score: Column) -> Column:
     return out.otherwise("D")
 
 
-def company_facts(r: Column | None = None) -> list[Column]:
-    """What score_companies compares, of a record (or of a struct of one): host, profile, phone, plain name and industry, end of the domain."""
+def company_facts(r: Column | None = None, host: Column | None = None) -> list[Column]:
+    """What score_companies compares, of a record (or of a struct of one): host (unless given), profile, phone, plain name and industry, end of the domain."""
     at = (lambda f: F.col(f)) if r is None else (lambda f: r[f])
-    host, phone = extract_domain(at("domain")), digits(at("phone"))
+    host, phone = extract_domain(at("domain")) if host is None else host, digits(at("phone"))
     low = lambda c: V.trim(F.lower(c))
     return [
         host.alias("host"), linkedin_id(at("linkedin")).alias("profile"), F.when(F.length(phone) >= 7, phone).alias("call"),
@@ -122,16 +132,17 @@ def comparable(records: DataFrame, id: str = "id") -> DataFrame:
 
 
 def score_companies(pairs: DataFrame, penalty: int = 20) -> DataFrame:
-    """pairs has structs a and b with the facts of comparable(), or with name, domain, phone, industry, linkedin; adds confidence, grade, name_similarity, signals."""
+    """pairs has structs a and b with the facts of comparable(), or with name, domain, phone, industry, linkedin; adds confidence, grade, name_similarity, signal_count, signals."""
     if "host" not in pairs.schema["a"].dataType.names:
         pairs = pairs.withColumns({side: F.struct(*company_facts(F.col(side))) for side in ("a", "b")})
     same = lambda f: F.coalesce((F.col("a")[f] == F.col("b")[f]) & (F.col("a")[f] != ""), F.lit(False))
     x, y, own = F.col("a")["end"], F.col("b")["end"], list(NATIONAL_ENDS)
-    sim = similarity(F.col("a")["plain"], F.col("b")["plain"])
+    p, q = F.col("a")["plain"], F.col("b")["plain"]  # in lower case already
+    sim = F.when(p == q, 1.0).when((p == "") | (q == ""), 0.0).otherwise(1 - F.levenshtein(p, q) / F.greatest(F.length(p), F.length(q)))
     out = pairs.withColumns({
         "__domain": same("host"), "__profile": same("profile"), "__phone": same("call"), "__industry": same("trade"),
         "__ends": F.coalesce(((x == ".com") & y.isin(own)) | ((y == ".com") & x.isin(own)), F.lit(False)),
-        "__sim": F.when(F.col("a")["plain"].isNotNull() & F.col("b")["plain"].isNotNull(), sim),
+        "__sim": F.when(p.isNotNull() & q.isNotNull(), sim),
     })
     alike, m = F.coalesce("__sim", F.lit(0.0)), (lambda f: F.col(f"__{f}"))
     out = out.withColumns({
@@ -146,8 +157,9 @@ def score_companies(pairs: DataFrame, penalty: int = 20) -> DataFrame:
         signal(m("domain"), "domain", 1, F.lit(95), True), signal(m("profile"), "linkedin", 1, F.lit(95), True), signal(m("phone"), "phone", 2, F.lit(20), True),
         signal(m("name") > 0, "name", 3, m("name"), False), signal(m("trade") > 0, "name_industry", 4, m("trade"), False), signal(m("ends"), "tld_mismatch", 0, F.lit(-penalty), False),
     )
-    keep = [c for c in pairs.columns if c not in ("confidence", "grade", "name_similarity", "signals")]
-    return out.select(*keep, m("sim").alias("name_similarity"), m("total").alias("confidence"), grade(m("total")).alias("grade"), signals.alias("signals"))
+    count = sum((F.when(x, 1).otherwise(0) for x in (m("profile"), m("phone"), m("name") > 0, m("trade") > 0, m("ends"))), F.when(m("domain"), 1).otherwise(0))
+    keep = [c for c in pairs.columns if c not in ("confidence", "grade", "name_similarity", "signal_count", "signals")]
+    return out.select(*keep, m("sim").alias("name_similarity"), m("total").alias("confidence"), grade(m("total")).alias("grade"), count.alias("signal_count"), signals.alias("signals"))
 
 
 #: The most that phone, name and industry give a pair without a common host or profile.
@@ -161,11 +173,13 @@ def company_pairs(records: DataFrame, least: float = 0, id: str = "id", excluded
     than UNSURE on host or profile must agree as well, so records meet by these
     only: crowded phone and name keys make no pairs that would be dropped.
     """
-    keys = company_keys(*(F.col(c) for c in ("name", "domain", "phone", "linkedin")), excluded=excluded)
-    keyed = records.select(F.col(id).alias("id"), keys.alias("keys"), extract_domain(F.col("domain")).alias("host"), linkedin_id(F.col("linkedin")).alias("profile"))
-    made = sure_keys(F.col("keys"), F.col("host"), F.col("profile")) if least > UNSURE else F.col("keys")
-    index = keyed.select("id", F.explode(made).alias("k")).select("id", "k.kind", "k.key")
-    scored = score_companies(pairs_of(index, facts=records.select(F.col(id).alias("id"), *company_facts())))
+    made = records.select(F.col(id).alias("id"), "name", "domain", "phone", "industry", "linkedin").withColumns({"host": extract_domain(F.col("domain")), "profile": linkedin_id(F.col("linkedin"))})
+    letters = F.regexp_replace(F.lower(V.text(F.col("name"))), "[^a-z0-9]", "")
+    keyed = made.select("id", "host", "profile", digits(F.col("phone")).alias("number"), letters.alias("letters"))
+    keyed = keyed.select("id", "host", "profile", keys_of(*(F.col(c) for c in ("host", "profile", "number", "letters")), excluded).alias("keys"))
+    if least > UNSURE:
+        keyed = keyed.select("id", sure_keys(F.col("keys"), F.col("host"), F.col("profile")).alias("keys"))
+    scored = score_companies(pairs_of(index_of(keyed), facts=made.select("id", *company_facts(host=F.col("host")))))
     return scored.filter(F.col("confidence") >= least) if least > 0 else scored
 
 
@@ -305,7 +319,7 @@ def auto_merge(clustered: DataFrame, pairs: DataFrame, threshold: float, a: str
 def without_excluded(records: DataFrame, keys: Column, excluded: DataFrame, id: str = "id") -> DataFrame:
     """(id, kind, key) of all blocking keys but domains of a table (domain): an organisation's exclusions beside the built-in ones.  The table is normalized as domains of records are."""
     gone = excluded.select(F.lit("domain").alias("kind"), extract_domain(F.col(excluded.columns[0])).alias("key")).distinct()
-    return records.select(F.col(id).alias("id"), F.explode(keys).alias("k")).select("id", "k.kind", "k.key").join(gone, ["kind", "key"], "left_anti").select("id", "kind", "key")
+    return index_of(records.select(F.col(id).alias("id"), keys.alias("keys"))).dropna().join(gone, ["kind", "key"], "left_anti").select("id", "kind", "key")
 
 
 def stale_clusters(clustered: DataFrame, changed: DataFrame) -> DataFrame:
