@@ -5,6 +5,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.operators import components, near_text
 from tidewater.operators.dedup_index import KeyIndex
@@ -141,3 +142,20 @@ def test_crowded_blocks_are_compared_in_tiles(spark, monkeypatch):
     held = dict(met)
     assert [r["block"] for r in held["crowded"].collect()] == ["x"] and held["chunks"].count() > 2
     assert max(len(rows[int(r["a"][1:])][1]) for r in pairs) > 30
+
+
+def test_index_makes_keys_once(spark, tmp_path):
+    """Keys may be dear: creating an index and refreshing it make those of each record once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def keys(i):
+        made.add(1)
+        return [("k", str(i % 7))]
+
+    kind = "array<struct<kind:string,key:string>>"
+    keyed = lambda n: spark.range(n).select(F.col("id"), F.udf(keys, kind)("id").alias("keys"))
+    index = KeyIndex.create(spark, f"{tmp_path}/once", keyed(60), buckets=4)
+    assert made.value == 60
+    index.refresh(keyed(9))
+    assert made.value == 69
+    assert index.candidates(spark.range(1)).count() == 8

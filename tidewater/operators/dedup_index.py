@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.storage import Scratch
+
 KEYS = "array<struct<kind:string,key:string>>"
 
 
@@ -30,7 +32,7 @@ class KeyIndex:
         """An index of all records, (id, keys); whatever lay there is superseded."""
         index = cls(spark, root)
         index.at, index.buckets, index.kind = {}, buckets, keyed.schema["id"].dataType.simpleString()
-        rows = keyed.select("id", F.col("keys").cast(KEYS).alias("keys"))
+        rows = index._made(keyed)
         index._publish({"keys": (index._entries(rows), range(buckets)), "records": (rows, range(buckets))})
         return index
 
@@ -43,7 +45,7 @@ class KeyIndex:
 
     def refresh(self, changed: DataFrame, removed: DataFrame | None = None) -> dict[str, int]:
         """Take in what changed records, (id, keys), look like now, and forget removed ids; how many buckets of each table were written."""
-        rows = changed.select("id", F.col("keys").cast(KEYS).alias("keys"))
+        rows = self._made(changed)
         ids = rows.select("id") if removed is None else rows.select("id").unionByName(removed.select(F.col(removed.columns[0]).alias("id")))
         ids = ids.distinct()
         homes = self._touched(ids.select(self._home("id").alias("b")))
@@ -64,6 +66,10 @@ class KeyIndex:
         met = mine.withColumnRenamed("id", "x").join(self.keys(places).withColumnRenamed("id", "y"), ["kind", "key"]).filter("x <> y")
         return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+    def _made(self, keyed: DataFrame) -> DataFrame:
+        """Records and their keys, stored: both tables and the buckets are told from them, and keys are dear to make."""
+        return Scratch(self.spark, "index-rows").write(keyed.select("id", F.col("keys").cast(KEYS).alias("keys")), "rows")
+
     def _entries(self, rows: DataFrame) -> DataFrame:
         return rows.select("id", F.explode("keys").alias("k")).select("k.kind", "k.key", "id").distinct()
 
