@@ -449,3 +449,30 @@ def test_keys_and_facts_are_made_once_for_each_record(spark, monkeypatch):
     monkeypatch.undo()
     scored = dedup.company_pairs(c)
     assert scored.filter("signal_count <> size(signals)").isEmpty() and scored.filter("signal_count > 2").count() > 0
+
+
+def test_cluster_average_where_a_value_is_as_far_as_the_deviation(spark, tmp_path):
+    """One value is as far from the median as the deviation, so its last bit decides, which goes by the order of the rows."""
+    import random
+    from statistics import median
+
+    import duckdb
+
+    rng, groups = random.Random(11), []
+    while len(groups) < 150:
+        n = [rng.randrange(30) for _ in range(rng.randrange(7, 12))]
+        spread = len(n) * sum(x * x for x in n) - sum(n) ** 2  # times the square of the count
+        if any((x - median(n)) ** 2 * len(n) ** 2 == spread > 0 for x in n):
+            groups.append(n)
+    rows = [(2 + 11 * i, p, i, 1, 1.0, 100.0 * groups[p][i], dt.datetime(2024, 1, 1)) for i in range(11) for p in range(150) if i < len(groups[p])]
+    table = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp")
+    table.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.execute(queries.SQL["resolve_cluster_average"]).fetchall())
+    got = sorted(tuple(r) for r in queries.QUERIES["resolve_cluster_average"](spark, str(tmp_path)).collect())
+    assert got == want and len(got) == 150
+    far = con.execute("SELECT l_partkey AS record_id, 'price' AS field, (l_extendedprice / 10)::INT::VARCHAR AS value FROM lineitem").fetchall()
+    shapes = [sorted(map(tuple, resolve.cluster_average(spark.createDataFrame(far, "record_id bigint, field string, value string").repartition(k)).collect())) for k in (1, 7)]
+    assert shapes[0] == shapes[1]

@@ -38,10 +38,23 @@ def numeric(candidates: DataFrame) -> DataFrame:
     return g.select(*BY, "max", at("max").alias("max_providers"), "min", at("min").alias("min_providers"), V.round_half_up(F.col("avg"), 2).alias("avg"), "count")
 
 
-def cluster_average(candidates: DataFrame) -> DataFrame:
-    """Mean without values farther from the median than the standard deviation; of fewer than three, or if fewer than two are left, of all."""
+def cluster_average(candidates: DataFrame, order: Column | None = None) -> DataFrame:
+    """Mean without values farther from the median than the standard deviation; of fewer than three, or if fewer than two are left, of all.
+
+    Where a value is just as far, the last bit of the deviation decides, so it is summed
+    up (Welford) value by value, in the order given or else of the values, however rows are dealt.
+    """
     n = candidates.withColumn("n", V.leading_number(F.col("value"))).filter("n IS NOT NULL")
-    g = n.groupBy(*BY).agg(F.collect_list("n").alias("all"), F.percentile("n", F.lit(0.5)).alias("median"), F.stddev_pop("n").alias("spread"), F.avg("n").alias("mean"))
+    rows = F.sort_array(F.collect_list(F.struct(*([] if order is None else [order.alias("at")]), "n")))
+    g = n.groupBy(*BY).agg(F.transform(rows, lambda x: x["n"]).alias("all"), F.percentile("n", F.lit(0.5)).alias("median"), F.avg("n").alias("mean"))
+
+    def add(s: Column, x: Column) -> Column:
+        count, off = s["count"] + 1, x - s["mean"]
+        mean = s["mean"] + off / count
+        return F.struct(count.alias("count"), mean.alias("mean"), (s["squares"] + (x - mean) * off).alias("squares"))
+
+    none = F.struct(*(F.lit(0.0).alias(c) for c in ("count", "mean", "squares")))
+    g = g.withColumn("spread", F.aggregate("all", none, add, lambda s: F.sqrt(s["squares"] / s["count"])))
     kept = F.filter("all", lambda x: F.abs(x - F.col("median")) <= F.col("spread"))
     mean = lambda a: F.aggregate(F.array_sort(a), F.lit(0.0), lambda s, x: s + x) / F.size(a)
     few = (F.size("all") < 3) | (F.size(kept) < 2)
