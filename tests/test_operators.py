@@ -476,3 +476,16 @@ def test_cluster_average_where_a_value_is_as_far_as_the_deviation(spark, tmp_pat
     far = con.execute("SELECT l_partkey AS record_id, 'price' AS field, (l_extendedprice / 10)::INT::VARCHAR AS value FROM lineitem").fetchall()
     shapes = [sorted(map(tuple, resolve.cluster_average(spark.createDataFrame(far, "record_id bigint, field string, value string").repartition(k)).collect())) for k in (1, 7)]
     assert shapes[0] == shapes[1]
+
+
+def test_trigrams_are_not_broadcast(spark, tmp_path):
+    """Values that are small on disk have many trigrams; neither side of their joins may be built on the driver."""
+    spark.range(3000).select(F.concat(F.lit("Filips "), "id").alias("value")).write.parquet(f"{tmp_path}/values")
+    rows = [("filips  123", "P", None, True, True)]
+    reference = spark.createDataFrame(rows, "input_value string, canonical_value string, org_id string, is_active boolean, fuzzy_eligible boolean")
+    ref = reference.select(F.col("input_value").alias("ref"), F.col("canonical_value").alias("canonical"), "org_id")
+    found = lookup.fuzzy_lookup(spark.read.parquet(f"{tmp_path}/values"), ref, 0.95)
+    joins = [j for j in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner, (" in j and "(g#" in j]
+    assert len(joins) == 3 and all("strategy=merge" in j for j in joins)
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert [r["value"] for r in found.collect()] == ["Filips 123"]

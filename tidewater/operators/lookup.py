@@ -60,7 +60,8 @@ def fuzzy_lookup(values: DataFrame, ref: DataFrame, threshold: float) -> DataFra
     Prefix filter: in one order of all trigrams, the rarest first, two sets that
     overlap by the threshold share one of their first |set| - ceil(threshold x
     |set|) + 1.  So common trigrams make no pairs, only these meet, as ids, and
-    the sets are compared afterwards.
+    the sets are compared afterwards.  Trigrams of rows are many times as large as the
+    files they are estimated by, so they are always joined by merge.
     """
     left = values.select("value", trigrams(F.col("value")).alias("a")).withColumn("x", F.xxhash64("value"))
     right = ref.select("ref", "canonical", "org_id", trigrams(F.col("ref")).alias("b")).withColumn("y", F.xxhash64("ref", "canonical", "org_id"))
@@ -70,9 +71,9 @@ def fuzzy_lookup(values: DataFrame, ref: DataFrame, threshold: float) -> DataFra
 
     def prefix(rows: DataFrame) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("id").orderBy("n", "g"))
-        return rows.join(seen, "g").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+        return rows.hint("merge").join(seen, "g").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
 
-    met = prefix(left_tokens).select("g", F.col("id").alias("x"), F.col("size").alias("p")).join(prefix(right_tokens).select("g", F.col("id").alias("y"), F.col("size").alias("q")), "g")
+    met = prefix(left_tokens).select("g", F.col("id").alias("x"), F.col("size").alias("p")).hint("merge").join(prefix(right_tokens).select("g", F.col("id").alias("y"), F.col("size").alias("q")), "g")
     met = met.filter((F.col("p") >= threshold * F.col("q")) & (F.col("q") >= threshold * F.col("p"))).select("x", "y").distinct()
     scored = met.join(left.select("value", "x").hint("merge"), "x").join(right.drop("b"), "y").withColumns({"a": trigrams(F.col("value")), "b": trigrams(F.col("ref"))})
     scored = scored.withColumn("sim", jaccard(F.col("a"), F.col("b"))).filter(F.col("sim") >= threshold)
