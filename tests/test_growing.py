@@ -159,3 +159,29 @@ def test_index_makes_keys_once(spark, tmp_path):
     index.refresh(keyed(9))
     assert made.value == 69
     assert index.candidates(spark.range(1)).count() == 8
+
+
+def test_names_of_few_edits_are_found_by_their_tries(monkeypatch):
+    """Every pair once, with its distance, whatever is made at once; no text of few edits is compared with all others."""
+    import numpy as np
+
+    from tidewater.operators import near_tiles, near_tries
+
+    rng = random.Random(3)
+    rows = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), -1)
+    for trial in range(60):
+        monkeypatch.setattr(near_tries, "SLICE", rng.choice([7, 50, 1 << 18]))
+        monkeypatch.setattr(near_tries, "TABLES", rng.choice([100, 1 << 26]))
+        m, k, letters, end = rng.randrange(1, 9), rng.randrange(5), rng.choice(["ab", "abcd", "é😀ab"]), rng.choice(["", " inc"])
+        lot = lambda n: sorted({"xy" + "".join(rng.choices(letters, k=n)) + end for _ in range(rng.choice([3, 40, 300]))})
+        x, y = lot(m), lot(max(1, m + rng.randrange(-2, 3)))
+        for y, same in ((y, False), (x, True)):
+            got = [(i, j, d) for u, v, far in near_tries.near(rows(x), rows(y), k, same) for i, j, d in zip(u.tolist(), v.tolist(), far.tolist())]
+            want = {(i, j, d) for i, a in enumerate(x) for j, b in enumerate(y) if (i < j or not same) and (d := distance(a, b)) <= k}
+            assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(near_tiles, "near", None)
+    names = [f"acme works {i:06d} inc." for i in range(0, 60000, 7)]
+    found = sum(len(s) for _, _, s in near_tiles._similar(names[:4000], names[4000:], 0.85, False))
+    assert found == sum(len(d) for _, _, d in near_tries.near(rows(names[:4000]), rows(names[4000:]), 3)) > 0
+    assert max(1 - s.min() for _, _, s in near_tiles._similar(names, names, 0.85, True)) == pytest.approx(3 / 22)

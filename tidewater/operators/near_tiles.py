@@ -1,6 +1,7 @@
 """Pairs of a crowded block within an edit similarity: tiles of two chunks of its texts, compared with all prefixes in common worked once.
 
-A chunk's texts are the rows of arrays; the texts of the other are read in
+Texts of few edits are compared by both tries (near_tries).  For more edits a
+chunk's texts are the rows of arrays; the texts of the other are read in
 order, letter by letter, against all of them.  For each row the cells of the
 edit matrix within e edits are the bits of one word, one bit for each diagonal
 in reach; a row without a bit is dropped with all texts that begin so.
@@ -16,11 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators import near_tries
 from tidewater.storage import Scratch, importable
 
 #: Most edits of a pair here (diagonals are the bits of one word), texts of a chunk of few and of many texts, most tasks, pairs of a batch, and bytes kept of letters found.
 EDITS = 31
-CHUNK, LARGE_CHUNK, TASKS = 1024, 16384, 2000
+CHUNK, LARGE_CHUNK, TASKS = 1024, 65536, 2000
 BATCH, KEPT_BYTES = 1 << 17, 1 << 26
 
 
@@ -51,25 +53,27 @@ def _comparer(threshold: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(texts.as_py(), classes.values) for batch in batches for texts, classes in zip(batch["texts"], batch["classes"])]  # one or two chunks
         (x, x_class), (y, y_class) = held[0], held[-1]
-        found = ([], [], [])
+        same = len(held) == 1
+        classes = x_class if same else pa.concat_arrays([x_class, y_class])
+        rank = np.empty(len(classes), np.int32)
+        rank[pc.array_sort_indices(classes).to_numpy()] = np.arange(len(classes), dtype=np.int32)
+        behind = 0 if same else len(x)
+        found: tuple[list, list, list] = ([], [], [])
         size = 0
 
         def out() -> pa.RecordBatch:
             i, j, s = (np.concatenate(f) for f in found)
             for f in found:
                 f.clear()
-            a, b = x_class.take(pa.array(i)), y_class.take(pa.array(j))
-            less = pc.less(a, b)
-            return pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(s)], ["a", "b", "similarity"])
-
-        for j, rows, distance, longer in near(x, y, threshold):
-            if len(held) == 1:
-                once = rows < j
-                rows, distance, longer = rows[once], distance[once], longer[once]
-            found[0].append(rows)
-            found[1].append(np.full(len(rows), j))
-            found[2].append(1 - distance / longer)
-            size += len(rows)
+            less = rank[i] < rank[j]
+            a, b = (classes.take(pa.array(np.where(less, *ids))) for ids in ((i, j), (j, i)))
+            return pa.RecordBatch.from_arrays([a, b, pa.array(s)], ["a", "b", "similarity"])
+
+        for i, j, similarity in _similar(x, y, threshold, same):
+            found[0].append(i)
+            found[1].append(j + behind)
+            found[2].append(similarity)
+            size += len(i)
             if size >= BATCH:
                 yield out()
                 size = 0
@@ -79,6 +83,41 @@ def _comparer(threshold: float):
     return compare
 
 
+def _similar(x: list[str], y: list[str], threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in x, places in y and similarities of pairs; of one list, each pair once.  Pairs of few edits by tries of each length, others letter by letter."""
+    few = 1
+    while few <= max(map(len, (*x, *y))) and edits(few, threshold) <= near_tries.EDITS:
+        few += 1  # the least length with more edits
+    of_x = _by_length(x, few)
+    of_y = of_x if same else _by_length(y, few)
+    for m, (rows, left) in of_x.items():
+        for n, (others, right) in of_y.items():
+            k = int(edits(max(m, n), threshold))
+            if abs(m - n) <= k and not (same and m > n):
+                for i, j, distance in near_tries.near(left, right, k, same and m == n):
+                    yield rows[i], others[j], (1 - np.arange(k + 1) / max(m, n))[distance]
+    long = lambda texts: np.array([i for i, t in enumerate(texts) if len(t) >= few], np.int64)
+    short = lambda texts: np.array([i for i, t in enumerate(texts) if len(t) < few], np.int64)
+    for rows, others in ((np.arange(len(x)), long(y)), *([] if same else [(long(x), short(y))])):
+        if len(rows) and len(others):
+            for at, i, distance, longer in near([x[r] for r in rows], [y[r] for r in others], threshold):
+                i, j = rows[i], others[at]
+                longer = np.broadcast_to(longer, i.shape)
+                good = longer >= few
+                if same:
+                    good &= (i < j) | np.array([len(x[r]) < few for r in i], bool)
+                yield i[good], np.full(int(good.sum()), j), 1 - distance[good] / longer[good]
+
+
+def _by_length(texts: list[str], below: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: places of the texts in their order, and their letters in rows."""
+    places: dict[int, list[int]] = {}
+    for i in sorted(range(len(texts)), key=texts.__getitem__):
+        if len(texts[i]) < below:
+            places.setdefault(len(texts[i]), []).append(i)
+    return {n: (np.array(at, np.int64), np.frombuffer("".join(texts[i] for i in at).encode("utf-32-le"), np.uint32).reshape(-1, n)) for n, at in places.items()}
+
+
 def near(x: list[str], y: list[str], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text of y that is like some of x: its place, their places, the edit distances and the longer lengths."""
     code = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)

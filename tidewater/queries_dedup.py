@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater import values as V
 from tidewater.operators import components, dedup
 from tidewater.operators.dedup_index import KeyIndex
 from tidewater.operators.near_text import near_texts
@@ -59,7 +60,7 @@ def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = companies(spark, sf_dir)
     letters = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
     rows = c.select("id", F.lower(F.trim("name")).alias("text"), F.left(letters, F.lit(4)).alias("block"))
-    return near_texts(rows, 0.85, block="block")[1].withColumn("similarity", F.round("similarity", 9))
+    return near_texts(rows, 0.85, block="block")[1].withColumn("similarity", V.round_half_up(F.col("similarity"), 9))
 
 
 @query(oracle("SELECT DISTINCT cluster, TIMESTAMP '2024-05-01 06:00:00' AS scheduled_at FROM roots JOIN scored ON a = id WHERE confidence >= 98 AND substr(cluster, 2)::BIGINT % 2 = 0 AND substr(cluster, 2)::BIGINT % 4 <> 0 AND cluster IN (SELECT r.cluster FROM roots r JOIN scored s ON s.a = r.id WHERE s.grade = 'A')", FIRMS, KEYS, PAIRS, SCORES, WALK).replace("WITH ", "WITH RECURSIVE ", 1))
