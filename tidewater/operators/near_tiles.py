@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from tidewater.operators import near_tries
 from tidewater.storage import Scratch, importable
 
-#: Most edits of a pair here (diagonals are the bits of one word), texts of a chunk of few and of many texts, most tasks, pairs of a batch, and bytes kept of letters found.
+#: Most edits of a pair here (diagonals are the bits of one word), texts of a chunk of few and of many texts, chunks from which on they grow, most tasks, pairs of a batch, and bytes kept of letters found.
 EDITS = 31
-CHUNK, LARGE_CHUNK, TASKS = 1024, 65536, 2000
+CHUNK, LARGE_CHUNK, PARTS, TASKS = 2048, 65536, 48, 2000
 BATCH, KEPT_BYTES = 1 << 17, 1 << 26
 
 
@@ -35,7 +35,7 @@ def tiles(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(a, b, similarity) of the texts (class, text, block, n), distinct in a block, that are within the threshold; a < b."""
     importable(texts.sparkSession)
     total = texts.count()
-    parts = max(1, min(total // CHUNK, max(16, total // LARGE_CHUNK)))
+    parts = max(1, min(total // CHUNK, max(PARTS, total // LARGE_CHUNK)))
     ranged = texts.repartitionByRange(parts, "block", "n", "text").groupBy("block", F.spark_partition_id().alias("part"))
     packed = ranged.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("text", "class")).alias("rows"))
     packed = scratch.write(packed.select("block", "part", "low", "high", F.col("rows.text").alias("texts"), F.col("rows.class").alias("classes")), "chunks")

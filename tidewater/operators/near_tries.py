@@ -22,10 +22,10 @@ FILL_X, FILL_Y = 0xFFFFFFFF, 0xFFFFFFFE
 
 
 @lru_cache(maxsize=64)
-def machine(k: int, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """(next state by state and letters in common, distance by state) of texts within k edits of which the second is t letters longer.
+def machine(k: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(next state by state and letters in common, what can follow, distance by state) of texts within k edits of which the second is t letters longer.
 
-    A state has a cell for each diagonal from -k (the second text behind) to k; cells that lead to more than k edits are k + 1. State 0 has no other cells, 1 is the start.
+    What can follow a state and the common letters of the diagonals below the middle one: 0 nothing, 1 the same letter only, 2 any.  A state has a cell for each diagonal from -k (the second text behind) to k; cells that lead to more than k edits are k + 1. State 0 has no other cells, 1 is the start.
     """
     width, over = 2 * k + 1, k + 1
     unlike = 1 - (np.arange(1 << width)[:, None] >> np.arange(width) & 1).astype(np.int8)
@@ -53,7 +53,11 @@ def machine(k: int, t: int) -> tuple[np.ndarray, np.ndarray]:
                 known[code] = len(states)
                 states.append(new.reshape(-1, width)[at])
         following.append(np.array([known[c] for c in codes.tolist()], np.uint16)[place].reshape(-1, 1 << width))
-    return np.concatenate(following).ravel(), np.array(states)[:, k + t]
+    table = np.concatenate(following)
+    lives = (table > 0).reshape(-1, 1 << k, 2, 1 << k).any(axis=1)  # by the middle diagonal and those below
+    follows = np.zeros(table.shape, np.int8)
+    follows[:, : 1 << k] = np.where(lives[:, 0], 2, lives[:, 1])
+    return table.ravel(), follows.ravel(), np.array(states)[:, k + t]
 
 
 class _Trie:
@@ -65,15 +69,24 @@ class _Trie:
         self.first = [np.zeros(1, np.int64)] + [np.flatnonzero(np.r_[True, parted[:, d]]) for d in range(depth)]
         self.start, self.count, self.letter, self.kinds = [], [], [None], [None]
         for d in range(depth):
-            start = np.searchsorted(self.first[d + 1], self.first[d]).astype(np.int32)
+            start = np.searchsorted(self.first[d + 1], self.first[d])
             self.start.append(start)
-            self.count.append(np.diff(start, append=len(self.first[d + 1])).astype(np.int32))
+            self.count.append(np.diff(start, append=len(self.first[d + 1])))
             kinds, letter = np.unique(letters[self.first[d + 1], d], return_inverse=True)
-            self.letter.append(letter.astype(np.int32))
+            self.letter.append(letter)
             self.kinds.append(kinds)
 
     def bytes_with(self, other: _Trie) -> int:
-        return 2 * sum(len(f) * len(k) for f, k in zip(self.first[1:], other.kinds[1:]))
+        return 6 * sum(len(f) * len(k) for f, k in zip(self.first[1:], other.kinds[1:]))
+
+    def child(self, d: int, letters: np.ndarray) -> np.ndarray:
+        """For each node at depth d - 1 and each of the letters the child, or -1."""
+        out = np.full((len(self.first[d - 1]), len(letters)), -1, np.int32)
+        at = np.searchsorted(letters, self.kinds[d]).clip(max=len(letters) - 1)
+        at = np.where(letters[at] == self.kinds[d], at, -1)[self.letter[d]]
+        own = np.flatnonzero(at >= 0)
+        out[np.repeat(np.arange(len(out)), self.count[d - 1])[own], at[own]] = own
+        return out.ravel()
 
 
 def _in_common(letters: np.ndarray, first: np.ndarray, others: np.ndarray, d: int, back: range, bits: list[int]) -> np.ndarray:
@@ -103,41 +116,46 @@ def near(x: np.ndarray, y: np.ndarray, k: int, same: bool = False) -> Iterator[t
     if max(len(x), len(y)) > 256 and p.bytes_with(q) + q.bytes_with(p) > TABLES:
         yield from _halves(x, y, k, same)
         return
-    following, distance = machine(k, t)
+    following, follows, distance = machine(k, t)
     width = 2 * k + 1
     tables = [None] * (depth + 1)
-    todo = [(0, np.zeros(1, np.int32), np.zeros(1, np.int32), np.ones(1, np.uint16))]
+    todo = [(0, np.zeros(1, np.intp), np.zeros(1, np.intp), np.ones(1, np.uint16))]
     while todo:
         d, u, v, state = todo.pop()
         if d == depth:
-            far = distance[state]
+            far = distance.take(state)
             good = np.flatnonzero((far <= k) & (u < v) if same else far <= k)
             if len(good):
                 yield u[good], v[good], far[good]
             continue
-        of_u, of_v = p.count[d][u], q.count[d][v]
-        until = np.cumsum(of_u.astype(np.int64) * of_v)
+        of_u, of_v = p.count[d].take(u), q.count[d].take(v)
+        until = np.cumsum(of_u * of_v)
         if until[-1] > SLICE and len(u) > 1:
-            cuts = np.unique(np.searchsorted(until, np.arange(SLICE, until[-1], SLICE), side="right"))
-            todo += [(d, *part) for part in zip(*(np.split(c, cuts) for c in (u, v, state))) if len(part[0])] if len(cuts) and 0 < cuts[-1] and (cuts < len(u)).any() else [(d, u[:1], v[:1], state[:1]), (d, u[1:], v[1:], state[1:])]
+            cuts = np.unique(np.searchsorted(until, np.arange(SLICE, until[-1], SLICE), side="right").clip(1, len(u) - 1))
+            todo += [(d, *part) for part in zip(*(np.split(c, cuts) for c in (u, v, state)))]
             continue
         d += 1
         if tables[d] is None:
             before = _in_common(b, q.first[d - 1], p.kinds[d], d, range(1, k + 1), [k - i for i in range(1, k + 1)])
-            tables[d] = before, _in_common(a, p.first[d], q.kinds[d], d, range(k + 1), [k + i for i in range(k + 1)])
-        before, after = tables[d]
-        # each child of u, then with it each child of v
-        n = np.cumsum(of_u)
-        uu = np.arange(n[-1], dtype=np.int32) + np.repeat(p.start[d - 1][u] - (n - of_u), of_u).astype(np.int32)
-        key = np.repeat(state.astype(np.int32) << width, of_u) | before[np.repeat(v * len(p.kinds[d]), of_u) + p.letter[d][uu]]
-        each = np.repeat(of_v, of_u)
-        n = np.cumsum(each)
-        vv = np.arange(n[-1], dtype=np.int32) + np.repeat(np.repeat(q.start[d - 1][v], of_u) - (n - each), each).astype(np.int32)
-        new = following[np.repeat(key, each) | after[np.repeat(uu * len(q.kinds[d]), each) + q.letter[d][vv]]]
-        uu = np.repeat(uu, each)
-        live = np.flatnonzero((new > 0) & (uu <= vv) if same else new)
-        if len(live):
-            todo.append((d, uu[live], vv[live], new[live]))
+            tables[d] = before, _in_common(a, p.first[d], q.kinds[d], d, range(k + 1), [k + i for i in range(k + 1)]), q.child(d, p.kinds[d])
+        before, after, child = tables[d]
+        # each child of u; with it each child of v, or only that of the same letter where no other can follow
+        uu = np.arange(of_u.sum()) + np.repeat(p.start[d - 1].take(u) - (np.cumsum(of_u) - of_u), of_u)
+        met = np.repeat(v * len(p.kinds[d]), of_u) + p.letter[d].take(uu)
+        key = np.repeat(state.astype(np.intp) << width, of_u) | before.take(met)
+        which = follows.take(key)
+        one, any_ = np.flatnonzero(which == 1), np.flatnonzero(which == 2)
+        vv = child.take(met[one])
+        there = np.flatnonzero(vv >= 0)
+        one, vv = one[there], vv[there].astype(np.intp)
+        each = np.repeat(of_v, of_u)[any_]
+        more = np.repeat(np.repeat(q.start[d - 1].take(v), of_u)[any_] - (np.cumsum(each) - each), each)
+        more += np.arange(len(more))
+        for uu, key, vv in ((uu[one], key[one], vv), (np.repeat(uu[any_], each), np.repeat(key[any_], each), more)):
+            new = following.take(key | after.take(uu * len(q.kinds[d]) + q.letter[d].take(vv)))
+            live = np.flatnonzero((new > 0) & (uu <= vv) if same else new > 0)
+            if len(live):
+                todo.append((d, uu[live], vv[live], new[live]))
 
 
 def _halves(x: np.ndarray, y: np.ndarray, k: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
