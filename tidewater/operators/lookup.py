@@ -10,6 +10,9 @@ from tidewater.functions.similarity import jaccard, trigrams
 from tidewater.functions.sounds import double_metaphone
 from tidewater.storage import Scratch
 
+#: Parts in which rows of one trigram are joined with its number.
+PARTS = 16
+
 
 def _low(c: Column) -> Column:
     return V.trim(F.lower(c))
@@ -67,11 +70,11 @@ def fuzzy_lookup(values: DataFrame, ref: DataFrame, threshold: float) -> DataFra
     right = ref.select("ref", "canonical", "org_id", trigrams(F.col("ref")).alias("b")).withColumn("y", F.xxhash64("ref", "canonical", "org_id"))
     tokens = lambda rows, of, id: rows.select(F.col(id).alias("id"), F.size(of).alias("size"), F.explode(of).alias("g"))
     left_tokens, right_tokens = tokens(left, "a", "x"), tokens(right, "b", "y").distinct()
-    seen = left_tokens.select("g").unionByName(right_tokens.select("g")).groupBy("g").agg(F.count("*").alias("n"))
+    seen = left_tokens.select("g").unionByName(right_tokens.select("g")).groupBy("g").agg(F.count("*").alias("n")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
     def prefix(rows: DataFrame) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("id").orderBy("n", "g"))
-        return rows.hint("merge").join(seen, "g").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+        return rows.withColumn("part", F.pmod("id", F.lit(PARTS)).cast("int")).hint("merge").join(seen, ["g", "part"]).drop("part").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
 
     met = prefix(left_tokens).select("g", F.col("id").alias("x"), F.col("size").alias("p")).hint("merge").join(prefix(right_tokens).select("g", F.col("id").alias("y"), F.col("size").alias("q")), "g")
     met = met.filter((F.col("p") >= threshold * F.col("q")) & (F.col("q") >= threshold * F.col("p"))).select("x", "y").distinct()
